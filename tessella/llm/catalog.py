@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["jaccard"]
+_MODULES = ["jaccard", "fingerprints", "decontamination"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

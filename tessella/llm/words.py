@@ -63,22 +63,29 @@ def blocks(texts: list[bytes], limit: int = BLOCK) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def word_hashes(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of all texts in order, and where each text's words begin and end
-    (one more offset than texts)."""
-    ends_of = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
-    value = table[np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)]
-    inside = value != 0
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
-    starts, ends = edge[0::2], edge[1::2]
-    offsets = np.concatenate([[0], np.searchsorted(starts, ends_of)])
-    if not len(starts):
-        return np.zeros(0, np.uint64), offsets
-    lens = ends - starts
-    first = np.cumsum(lens) - lens
-    within = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(first, lens)
-    scaled = value[inside] * powers(_BASE, int(lens.max()))[within]
-    return mix(np.add.reduceat(scaled, first) + lens.astype(np.uint64)), offsets
+class Words:
+    """All words of some texts: ``hashes``, byte ranges ``starts`` to ``ends`` in ``buffer``, and where
+    each text's words begin and end (``offsets``: one more than texts)."""
+
+    def __init__(self, texts: list[bytes], table: np.ndarray):
+        self.buffer = b" ".join(texts) + b" "
+        self.text_ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
+        value = table[np.frombuffer(self.buffer, dtype=np.uint8)]
+        inside = value != 0
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+        self.starts, self.ends = edge[0::2], edge[1::2]
+        self.offsets = np.concatenate([[0], np.searchsorted(self.starts, self.text_ends)])
+        self.hashes = np.zeros(0, np.uint64)
+        if len(self.starts):
+            lens = self.ends - self.starts
+            first = np.cumsum(lens) - lens
+            within = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(first, lens)
+            scaled = value[inside] * powers(_BASE, int(lens.max()))[within]
+            self.hashes = mix(np.add.reduceat(scaled, first) + lens.astype(np.uint64))
+
+    def text(self, i: int, n: int) -> bytes:
+        """``n`` words from the ``i``-th, A-Z lowered, with a space between."""
+        return b" ".join(self.buffer[self.starts[j] : self.ends[j]] for j in range(i, i + n)).lower()
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -97,7 +104,8 @@ def shingles(texts: list[bytes], k: int, table: np.ndarray = SPACED) -> Iterator
     """The sorted distinct ``k``-word shingle hashes of each text. A text of fewer words, but not
     none, has its whole sequence as its one shingle; one without words has none."""
     for lo, hi in blocks(texts):
-        words, offsets = word_hashes(texts[lo:hi], table)
+        found = Words(texts[lo:hi], table)
+        words, offsets = found.hashes, found.offsets
         full = window_hashes(words, k)
         for i in range(hi - lo):
             a, b = int(offsets[i]), int(offsets[i + 1])
