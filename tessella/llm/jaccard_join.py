@@ -8,8 +8,8 @@ sets share a list. The size between light and heavy is the one with the least es
 
 What keeps the heavy side in proportion:
 * equal sets are one set (128-bit digest and size), so exact copies never meet in a list;
-* sets that agree in most of their minimum hashes are compared with the least of their bucket
-  first, and whole groups of near copies become components before any list is read;
+* a set that agrees in most minimum hashes with the least sets of their buckets is compared with
+  the one that it agrees with most, and whole groups of near copies become components before any list is read;
 * only lists that more than one of those components enter give pairs, after size and position
   filters; pairs inside a component are not needed;
 * shingles frequent within some block of documents are last in the global order (any order is
@@ -42,7 +42,10 @@ COUNT_BLOCK = 4 << 20
 FREQUENT = 1 / 1024
 #: At most so many frequent shingles are broadcast (8 MB); others keep their place in the order.
 MAX_FREQUENT = 1_000_000
-#: Lists of several components are broadcast up to this number, else joined by a shuffle.
+#: Sets compared with one hub in one place.
+HUB_PAIRS = 512
+#: Lists of several components, and ids of sets to compare, are broadcast up to this number, else
+#: joined by a shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
 
 
@@ -143,38 +146,70 @@ def _prefixes(k: int, num: int, den: int, above: int, late: np.ndarray):
 
 
 def _whole_sets(k: int):
+    """The set of each text, once for each place where it is compared."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [s.tobytes() for s in shingles(encoded(batch.column(1)), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "s"])
+            hub, part, own, ids, blobs = [], [], [], [], []
+            made = shingles(encoded(batch.column("text")), k)
+            for i, places, s in zip(batch.column("id").to_pylist(), batch.column("places").to_pylist(), made, strict=True):
+                blob = s.tobytes()
+                for place in places:
+                    hub.append(place["hub"])
+                    part.append(place["part"])
+                    own.append(place["own"])
+                    ids.append(i)
+                    blobs.append(blob)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hub, pa.int64()), pa.array(part, pa.int32()), pa.array(own, pa.bool_()), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())],
+                names=["hub", "part", "own", "id", "s"],
+            )
 
     return run
 
 
 def _similar(num: int, den: int):
+    """The ids whose sets are similar to that of their hub, which comes first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(den * both >= num * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"]
-            )
+            keep_a, keep_b = [], []
+            columns = (batch.column(c).to_pylist() for c in ("hub", "part", "own", "id", "s"))
+            for hub, part, own, i, blob in zip(*columns, strict=True):
+                if (hub, part) != key:
+                    key, sets = (hub, part), []
+                s = np.frombuffer(blob, np.uint64)
+                if own:
+                    sets.append(s)
+                    continue
+                for t in sets:
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if den * both >= num * (len(s) + len(t) - both):
+                        keep_a.append(i)
+                        keep_b.append(hub)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough. Sets are made again from the
-    texts of the documents in pairs rather than kept for all documents."""
+    texts of the documents in pairs rather than kept for all documents; each is sent to where its hub b
+    is. A hub with many pairs is compared in several places."""
     pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_whole_sets(k), "id long, s binary")
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return materialise(both.mapInArrow(_similar(num, den), "a long, b long").distinct(), "links")
+    load = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("parts"))
+    placed = pairs.join(load, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    ends = placed.select(F.col("a").alias("id"), F.struct(F.col("b").alias("hub"), "part", F.lit(False).alias("own")).alias("place")).unionByName(
+        placed.select("b", "part").distinct().select(F.col("b").alias("id"), F.struct(F.col("b").alias("hub"), "part", F.lit(True).alias("own")).alias("place"))
+    )
+    wanted = materialise(ends.groupBy("id").agg(F.collect_list("place").alias("places")), "wanted")
+    if (wanted.agg(F.sum(F.size("places") + 1)).first()[0] or 0) <= MAX_BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
+    sets = texts.join(wanted, "id").select("id", "text", "places").mapInArrow(_whole_sets(k), "hub long, part int, own boolean, id long, s binary")
+    met = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("own"))
+    return materialise(met.mapInArrow(_similar(num, den), "a long, b long").distinct(), "links")
 
 
 def _boundary(sizes: dict[int, int], num: int, den: int) -> int:
@@ -268,6 +303,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("id", "hub")
         .count()
         .filter(F.col("count") >= AGREE)
+        .groupBy("id")
+        .agg(F.min_by("hub", F.struct(-F.col("count"), "hub")).alias("hub"))
         .select(F.col("id").alias("a"), F.col("hub").alias("b"))
     )
     linked = _verified(texts, first, k, num, den)
