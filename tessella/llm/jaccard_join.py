@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
-from tessella.llm.words import encoded, lists, mix, shingles
+from tessella.llm.words import encoded, lists, mix, shingles, sliced
 from tessella.session import materialise
 
 #: Sets above this size are never light: their subsets are too many whatever the sizes of others.
@@ -68,7 +68,7 @@ def _survey(k: int):
             keep = counts >= max(8, FREQUENT * len(held))
             return _survey_rows([None], [0], [0], [0], [values[keep]], [np.zeros(0, np.int64)], [counts[keep] / len(held)])
 
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, ns, d1, d2, least, small = [], [], [], [], [], []
             for i, s in zip(batch.column(0).to_pylist(), shingles(encoded(batch.column(1)), k), strict=True):
                 ids.append(i)
@@ -123,7 +123,7 @@ def _prefixes(k: int, num: int, den: int, above: int, late: np.ndarray):
     """Each set's prefix in the global order: frequent shingles last, else by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, ns, firsts = [], [], []
             for i, s in zip(batch.column(0).to_pylist(), shingles(encoded(batch.column(1)), k), strict=True):
                 n = len(s)
@@ -149,7 +149,7 @@ def _whole_sets(k: int):
     """The set of each text, once for each place where it is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             hub, part, own, ids, blobs = [], [], [], [], []
             made = shingles(encoded(batch.column("text")), k)
             for i, places, s in zip(batch.column("id").to_pylist(), batch.column("places").to_pylist(), made, strict=True):
@@ -173,7 +173,7 @@ def _similar(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sets = None, []
-        for batch in batches:
+        for batch in sliced(batches, "s"):
             keep_a, keep_b = [], []
             columns = (batch.column(c).to_pylist() for c in ("hub", "part", "own", "id", "s"))
             for hub, part, own, i, blob in zip(*columns, strict=True):

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE_BYTES = {0x20, *range(0x09, 0x0E)}
 PUNCT_BYTES = {*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)}
@@ -63,6 +64,17 @@ def blocks(texts: list[bytes], limit: int = BLOCK) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int | str, limit: int = 2 * BLOCK) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of that column, which bounds what a task holds."""
+    for batch in batches:
+        sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + limit, side="right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 class Words:
     """All words of some texts: ``hashes``, byte ranges ``starts`` to ``ends`` in ``buffer``, and where
     each text's words begin and end (``offsets``: one more than texts)."""
