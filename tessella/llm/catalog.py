@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["jaccard", "fingerprints", "decontamination"]
+_MODULES = ["jaccard", "spans", "chat", "fingerprints", "licenses", "decontamination"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
