@@ -10,8 +10,8 @@ What keeps the heavy side in proportion:
 * equal sets are one set (128-bit digest and size), so exact copies never meet in a list;
 * a set that agrees in most minimum hashes with the least sets of their buckets is compared with
   the one that it agrees with most, and whole groups of near copies become components before any list is read;
-* only lists that more than one of those components enter give pairs, after size and position
-  filters; pairs inside a component are not needed;
+* only lists that more than one of those components enter give pairs, after size, position
+  and prefix-overlap filters; pairs inside a component are not needed;
 * shingles frequent within some block of documents are last in the global order (any order is
   correct), so that passages in many documents are hardly ever in a prefix.
 Pairs are verified on whole sets. Nothing is dropped: each pair of similar sets is either linked or
@@ -335,14 +335,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = materialise(postings, "postings")
     left = postings.select("h", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "component", "at")))
     right = postings.select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "component", "at")))
-    # what follows in both, this shingle included, must suffice
+    # at each shared shingle: what precedes it, and what follows with itself, must suffice; and so must all
+    # shared prefix shingles with what lies beyond the prefix of one of the two
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     before = F.least("at_a", "at_b")
+    beyond = F.greatest(*(F.ceil(F.col(c) * num / den) - 1 for c in ("n_a", "n_b")))
     pairs = (
         left.join(right, "h")
         .filter("component_a < component_b")
         .filter((F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num))
-        .filter((rest + before) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
+        .groupBy("id_a", "id_b", "n_a", "n_b")
+        .agg(F.min(rest + before).alias("most"), F.count("*").alias("shared"))
+        .filter(F.least("most", F.col("shared") + beyond) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
         .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         .distinct()
     )
