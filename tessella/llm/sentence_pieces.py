@@ -31,7 +31,7 @@ CACHE = 300_000
 #: Longer words are joined with a queue of edges, as rounds over all symbols would take long.
 LONG = 64
 #: Bytes of text whose new words are indexed together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 _WORD = re.compile(f"{MARK}*[^{MARK}]*")
 
 
@@ -64,7 +64,7 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces))
         self.chars = np.unique(np.frombuffer("".join(self.pieces).encode("utf-32-le"), np.uint32))
         width = self.longest
-        self.codes = np.zeros((len(plain), width), ">u2")  # the rank of each character; 0 beyond the end
+        self.codes = np.zeros((len(plain), width), np.uint16)  # the rank of each character; 0 beyond the end
         for row, p in zip(self.codes, self.pieces, strict=True):
             row[: len(p)] = self.rank(p)
         self.lens = np.array([len(p) for p in self.pieces], np.int64)
@@ -77,39 +77,57 @@ class Vocabulary:
         return np.where(self.chars[at] == codes, at + 1, len(self.chars) + 1).astype(np.uint16)
 
 
+def _keys(codes: np.ndarray, width: int, bits: int, fill: int | np.ndarray = 0) -> list[np.ndarray]:
+    """``width`` neighbouring columns of ``codes`` (last axis) packed in order into as few integers as hold them."""
+    per = 63 // bits
+    out = []
+    for j in range(0, width, per):
+        key = np.zeros(codes.shape[:-1], np.uint64)
+        for t in range(j, j + per):
+            key = (key << np.uint64(bits)) | (codes[..., t] if t < width else np.uint64(fill))
+        out.append(key)
+    return out
+
+
 def edge_table(v: Vocabulary, text: str) -> np.ndarray:
     """For each position of ``text`` and each length: the id of the piece there, or -1. Words in ``text`` are
     parted by a zero character, which no piece has."""
     codes = v.rank(text)
     codes[np.frombuffer(text.encode("utf-32-le"), np.uint32) == 0] = 0
     n, width = len(codes), v.longest
+    # the characters that occur, numbered from 1 in as few bits as they need; the highest is kept free
+    dense = np.zeros(len(v.chars) + 2, np.uint64)
+    dense[codes] = 1
+    dense[0] = 0
+    here = dense.astype(bool)
+    dense = np.cumsum(dense, dtype=np.uint64)
+    bits = int(dense[-1] + np.uint64(1)).bit_length()
+    top = np.uint64((1 << bits) - 1)
     # the suffix array, sorted as far as the longest piece reaches
-    padded = np.concatenate([codes, np.zeros(width, np.uint16)]).astype(">u2")
-    suffixes = np.lib.stride_tricks.as_strided(padded, (n, width), (2, 2))
-    packed = [np.ascontiguousarray(suffixes[:, j : j + 4]).view(">u8").ravel().astype(np.uint64) for j in range(0, width - width % 4, 4)]
-    if width % 4:
-        rest = np.zeros((n, 4), ">u2")
-        rest[:, : width % 4] = suffixes[:, width - width % 4 :]
-        packed.append(rest.view(">u8").ravel().astype(np.uint64))
-    order = np.lexsort(packed[::-1])
-    sorted_keys = np.ascontiguousarray(suffixes[order]).view(f"S{2 * width}").ravel()
-    # the range of suffixes that begin with a piece: from the piece to the piece with the highest ending
-    present = np.isin(v.codes, np.append(codes, 0)).all(axis=1)
-    pieces = v.codes[present]
+    padded = np.concatenate([np.where(codes > 0, dense[codes], np.uint64(0)), np.zeros(width, np.uint64)])
+    suffixes = np.lib.stride_tricks.as_strided(padded, (n, width), (8, 8))
+    keys = _keys(suffixes, width, bits)
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    # for each piece whose characters occur, the range of suffixes that begin with it, by binary search
+    present = (here[v.codes] | (v.codes == 0)).all(axis=1)
     lens, ids = v.lens[present], v.ids[present]
-    high = pieces.copy()
-    high[np.arange(width) >= lens[:, None]] = 0xFFFF
-    lo = np.searchsorted(sorted_keys, pieces.view(f"S{2 * width}").ravel(), side="left")
-    hi = np.searchsorted(sorted_keys, high.view(f"S{2 * width}").ravel(), side="right")
+    beyond = np.arange(width) >= lens[:, None]
+    pieces = np.where(beyond, np.uint64(0), dense[v.codes[present]])
+    low, high = _keys(pieces, width, bits), _keys(np.where(beyond, top, pieces), width, bits, top)
+    lo, hi = np.searchsorted(keys[0], low[0], side="left"), np.searchsorted(keys[0], high[0], side="right")
+    for level in range(1, len(keys)):
+        for i in np.flatnonzero((lens > level * (63 // bits)) & (hi > lo)).tolist():
+            within = keys[level][lo[i] : hi[i]]
+            a = lo[i]
+            lo[i], hi[i] = a + np.searchsorted(within, low[level][i], side="left"), a + np.searchsorted(within, high[level][i], side="right")
     counts = hi - lo
     within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     position = order[np.repeat(lo, counts) + within]
-    length = np.repeat(lens, counts)
-    piece = np.repeat(ids, counts)
-    by = np.argsort(position, kind="stable")
-    table = np.full((n, width + 1), -1, np.int16)
-    table[position[by], length[by]] = piece[by]
-    return table
+    # sorted by position and length by counting: each edge has a place of its own
+    table = np.full(n * (width + 1), -1, np.int16)
+    table[position * (width + 1) + np.repeat(lens, counts)] = np.repeat(ids, counts)
+    return table.reshape(n, width + 1)
 
 
 def _relax_all(v: Vocabulary, table: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray) -> list[tuple[np.ndarray, ...]]:
