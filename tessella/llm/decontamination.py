@@ -156,7 +156,7 @@ def decontaminated(
                             here = int(found.ends[b - 1])
                         new[i] = b" ".join([*kept, found.buffer[here : start + len(texts[i])]]).decode("utf-8")
                     start += len(texts[i]) + 1
-                yield batch.set_column(at, text_col, pa.array(new, batch.schema.field(at).type))
+                yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
         out = out.mapInArrow(run, docs.schema)
     return out

@@ -372,5 +372,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with one document (the smallest id) of each component; a row with a null id stays.
     Of rows that share the id of a kept document, all stay."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
+    gone = materialise(found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    if gone.count() <= MAX_BROADCAST_KEYS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -136,6 +136,6 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = [t and redact(t) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at).name, pa.array(new, batch.schema.field(at).type))
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
