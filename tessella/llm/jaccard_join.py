@@ -10,10 +10,12 @@ What keeps the heavy side in proportion:
 * equal sets are one set (128-bit digest and size), so exact copies never meet in a list;
 * a set that agrees in most minimum hashes with the least sets of their buckets is compared with
   the one that it agrees with most, and whole groups of near copies become components before any list is read;
-* only lists that more than one of those components enter give pairs, after size, position
-  and prefix-overlap filters; pairs inside a component are not needed;
-* shingles frequent within some block of documents are last in the global order (any order is
-  correct), so that passages in many documents are hardly ever in a prefix.
+* only lists that more than one of those components enter give pairs, and pairs inside a component
+  are not needed. Lists with the same least component are counted together, in pairs of blocks of
+  bounded size, and only pairs whose shared entries can suffice leave the task;
+* shingles that many sets have are last in the global order (any order is correct), so that passages
+  which otherwise different documents share are hardly ever in a prefix: first those frequent within
+  some block of documents, then, where lists are long, all that are frequent among the sets in them.
 Pairs are verified on whole sets. Nothing is dropped: each pair of similar sets is either linked or
 within one component already.
 """
@@ -37,11 +39,15 @@ MAX_LIGHT = 14
 #: Minimum hashes for the first links, and how many of them must agree with the bucket's least set.
 MIN_HASHES, AGREE = 12, 6
 #: Shingles counted together when frequent ones are looked for: bounds the memory of a task.
-COUNT_BLOCK = 4 << 20
+COUNT_BLOCK = 2 << 20
 #: A shingle is frequent if it is in this share of a block's documents (and in 8 of them).
 FREQUENT = 1 / 1024
 #: At most so many frequent shingles are broadcast (8 MB); others keep their place in the order.
 MAX_FREQUENT = 1_000_000
+#: Lists with more entries than this are looked into: their sets' frequent shingles go last, too.
+LONG_LIST = 32
+#: Sets of two blocks of this size are counted against each other in one unit of work.
+BLOCK = 512
 #: Sets compared with one hub in one place.
 HUB_PAIRS = 512
 #: Lists of several components, and ids of sets to compare, are broadcast up to this number, else
@@ -145,6 +151,13 @@ def _prefixes(k: int, num: int, den: int, above: int, late: np.ndarray):
     return run
 
 
+def _low_half(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The lower half of each set's hashes, from which prefixes are taken (beyond it, if at all, by few sets)."""
+    for batch in sliced(batches, "text"):
+        halves = [s[: np.searchsorted(s, np.uint64(1 << 63))].view(np.int64) for s in shingles(encoded(batch.column("text")), k)]
+        yield pa.RecordBatch.from_arrays([lists(halves, pa.int64())], names=["low"])
+
+
 def _whole_sets(k: int):
     """The set of each text, once for each place where it is compared."""
 
@@ -194,6 +207,68 @@ def _similar(num: int, den: int):
     return run
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each set and each least component of lists it is in: those lists, and how many others it has."""
+    for batch in batches:
+        columns: list[list] = [[] for _ in range(6)]
+        for i, n, component, entered in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "component", "entered")), strict=True):
+            by: dict[int, list[int]] = {}
+            for e in entered:
+                by.setdefault(e["p"], []).append(e["h"])
+            for p, hs in by.items():
+                for column, value in zip(columns, (p, i, n, component, len(entered) - len(hs), hs), strict=True):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["p", "id", "n", "component", "out", "hs"])
+
+
+def _unit(rows: list[tuple], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components in one unit that can be similar: shared entries are counted for all pairs
+    of two blocks at once. Pairs share at most these, the entries that both have elsewhere, and what lies beyond
+    the prefix of one of them."""
+    i, j, own, ids, ns, components_, out, hs = zip(*rows, strict=True)
+    own, ids, ns, comps, out = (np.array(x, np.int64) for x in (own, ids, ns, components_, out))
+    codes = np.unique(np.concatenate([np.array(h, np.int64) for h in hs]), return_inverse=True)[1]
+    has = np.zeros((len(ids), int(codes.max()) + 1), np.float32)
+    has[np.repeat(np.arange(len(ids)), [len(h) for h in hs]), codes] = 1
+    x, y = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+    shared = (has[x] @ has[y].T).astype(np.int64)
+    beyond = -(-num * ns // den) - 1
+    most = shared + np.minimum(out[x][:, None], out[y][None, :]) + np.maximum(beyond[x][:, None], beyond[y][None, :])
+    sizes = ns[x][:, None] + ns[y][None, :]
+    # within one block each pair is met both ways round
+    apart = comps[x][:, None] < comps[y][None, :] if i[0] == j[0] else comps[x][:, None] != comps[y][None, :]
+    ok = (shared > 0) & apart & (most * (num + den) >= sizes * num)
+    ok &= (ns[x][:, None] * den >= ns[y][None, :] * num) & (ns[y][None, :] * den >= ns[x][:, None] * num)
+    a, b = np.nonzero(ok)
+    return ids[x[a]], ids[y[b]]
+
+
+def _candidates(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("p", "i", "j", "own", "id", "n", "component", "out", "hs")), strict=True):
+                if row[:3] != key:
+                    if len(rows) > 1:
+                        found.append(_unit(rows, num, den))
+                    key, rows = row[:3], []
+                rows.append(row[1:])
+            yield flush()
+        if len(rows) > 1:
+            found.append(_unit(rows, num, den))
+            yield flush()
+
+    return run
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough. Sets are made again from the
     texts of the documents in pairs rather than kept for all documents; each is sent to where its hub b
@@ -212,6 +287,11 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
     return materialise(met.mapInArrow(_similar(num, den), "a long, b long").distinct(), "links")
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """``keys`` marked for a broadcast if they are few enough."""
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+
+
 def _boundary(sizes: dict[int, int], num: int, den: int) -> int:
     """The size up to which sets are light: the least sum of listed subsets and of list entries.
     A list entry is scanned once by each set that it leads to, taken as one here."""
@@ -296,7 +376,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # first links: sets that agree in most minimum hashes with the least set of a bucket
     buckets = rep.filter(F.col("n") > 0).select(F.col("rep").alias("id"), "n", F.posexplode("least").alias("j", "h"))
-    hubs = buckets.groupBy("j", "h").agg(F.min("id").alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    # the set whose minimum hashes most others have, too, is the likeliest original of a group of copies
+    sizes_of = buckets.groupBy("j", "h").agg(F.count("*").alias("m")).filter("m > 1")
+    central = buckets.join(sizes_of, ["j", "h"]).groupBy("id").agg(F.sum("m").alias("weight"))
+    hubs = buckets.join(central, "id").groupBy("j", "h").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m")
     first = (
         buckets.join(hubs, ["j", "h"])
         .filter("id <> hub")
@@ -323,33 +406,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = rep.select(F.col("rep").alias("id")).distinct().join(early, F.col("id") == F.col("node"), "left").select(
         "id", F.coalesce("component", "id").alias("component")
     )
-    prefixes = texts.mapInArrow(_prefixes(k, num, den, above, late_hashes), "id long, n long, prefix array<long>")
-    entries = materialise(prefixes.join(nodes, "id"), "prefixes")
-    lists_ = entries.select("component", F.explode("prefix").alias("h"))
-    mixed = materialise(
-        lists_.groupBy("h").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q").select("h"), "lists"
-    )
-    if mixed.count() <= MAX_BROADCAST_KEYS:
-        mixed = F.broadcast(mixed)
-    postings = entries.select("id", "n", "component", F.posexplode("prefix").alias("at", "h")).join(mixed, "h")
-    postings = materialise(postings, "postings")
-    left = postings.select("h", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "component", "at")))
-    right = postings.select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "component", "at")))
-    # at each shared shingle: what precedes it, and what follows with itself, must suffice; and so must all
-    # shared prefix shingles with what lies beyond the prefix of one of the two
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    before = F.least("at_a", "at_b")
-    beyond = F.greatest(*(F.ceil(F.col(c) * num / den) - 1 for c in ("n_a", "n_b")))
-    pairs = (
-        left.join(right, "h")
-        .filter("component_a < component_b")
-        .filter((F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num))
-        .groupBy("id_a", "id_b", "n_a", "n_b")
-        .agg(F.min(rest + before).alias("most"), F.count("*").alias("shared"))
-        .filter(F.least("most", F.col("shared") + beyond) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        .distinct()
+
+    def prefixes(of: DataFrame) -> DataFrame:
+        made = of.select("id", "text").mapInArrow(_prefixes(k, num, den, above, late_hashes), "id long, n long, prefix array<long>")
+        return materialise(made.join(nodes, "id"), "prefixes")
+
+    def mixed_lists(of: DataFrame) -> DataFrame:
+        entered = of.select("component", F.explode("prefix").alias("h")).groupBy("h")
+        found = entered.agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("entries"))
+        return materialise(found.filter("p < q").select("h", "p", "entries"), "lists")
+
+    entries = prefixes(texts)
+    mixed = mixed_lists(entries)
+    too_long = mixed.filter(F.col("entries") > LONG_LIST).select("h")
+    if too_long.count():
+        # passages that some sets share: count the shingles of those sets, move the frequent ones to the end of
+        # the order, and make these sets' prefixes again
+        of_sets = entries.select("id", F.explode("prefix").alias("h")).join(_small(too_long), "h", "left_semi")
+        touched = materialise(of_sets.select("id").distinct(), "touched")
+        again = texts.join(_small(touched), "id", "left_semi")
+        counts = again.select("text").mapInArrow(lambda batches: _low_half(batches, k), "low array<long>").select(F.explode("low").alias("h")).groupBy("h").count()
+        moved = counts.filter(F.col("count") > LONG_LIST).orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h").collect()
+        late_hashes = np.union1d(late_hashes, np.array([r[0] for r in moved], np.int64).view(np.uint64))
+        entries = entries.join(_small(touched), "id", "left_anti").unionByName(prefixes(again))
+        mixed = mixed_lists(entries)
+    postings = entries.select("id", "n", "component", F.explode("prefix").alias("h")).join(_small(mixed.select("h", "p")), "h")
+    by_set = postings.groupBy("id", "n", "component").agg(F.collect_list(F.struct("p", "h")).alias("entered"))
+    members = materialise(by_set.mapInArrow(_members, "p long, id long, n long, component long, out int, hs array<long>"), "members")
+    crowded = members.groupBy("p").count().filter(F.col("count") > BLOCK).select("p", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(_small(crowded), "p", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = (
+        placed.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "out", "hs")
     )
+    units = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
+    pairs = units.mapInArrow(_candidates(num, den), "a long, b long").distinct()
     more = _verified(texts, pairs, k, num, den)
     ends = early.select("node", "component")
     joined = (
@@ -373,6 +466,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Of rows that share the id of a kept document, all stay."""
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = materialise(found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    if gone.count() <= MAX_BROADCAST_KEYS:
-        gone = F.broadcast(gone)
+    gone = _small(gone)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
