@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import ALNUM, Words, blocks, encoded, window_hashes
+from tessella.llm.words import ALNUM, Words, blocks, encoded, sliced, window_hashes
 
 #: Bytes of benchmark text that are broadcast at once.
 BLOCK_BYTES = 16 << 20
@@ -83,7 +83,7 @@ def benchmark_blocks(bench: DataFrame, item_col: str, text_col: str) -> Iterator
 def _scan(block: list[tuple[str | None, str | None]], size: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(block, size)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             n_words, ranges, items = [], [], []
             before = zip(batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True)
             for (_, a, b, hits, of), (old, known) in zip(windows.scan(encoded(batch.column("text"))), before, strict=True):
@@ -137,12 +137,12 @@ def decontaminated(
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             windows = Windows(block, size)
-            for batch in batches:
+            for batch in sliced(batches, at):
                 texts = encoded(batch.column(at))
-                hits = [(found, sorted(h)) for found, _, _, h, _ in windows.scan(texts)]
                 if not spans:
-                    yield batch.filter(pa.array([not h for _, h in hits], pa.bool_()))
+                    yield batch.filter(pa.array([not h for _, _, _, h, _ in windows.scan(texts)], pa.bool_()))
                     continue
+                hits = [(found, sorted(h)) for found, _, _, h, _ in windows.scan(texts)]
                 new = batch.column(at).to_pylist()
                 start = 0
                 last = None
