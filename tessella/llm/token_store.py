@@ -29,37 +29,71 @@ KEY = 16
 #: A chunk ends where the hash of the last WINDOW ids is 0 modulo MEAN, and after MOST ids.
 WINDOW, MEAN, MOST = 8, 256, 4096
 #: Encodings of words that a task keeps, and chunk keys that it knows it has sent already.
-CACHE = 200_000
+CACHE = 400_000
 _SPACES = re.compile(r"\s\s")
+#: A space or line feed and what follows to the next.
+_PARTS = re.compile(r"[ \n][^ \n]*")
 
 
 class Encoder:
     """Ids of whole texts with a byte-level BPE of the tokenizers library, as little-endian uint32.
 
-    Its pattern starts a new word at each single space, so what lies between two of them can be encoded
-    alone, and is only once while it stays in the cache. Texts with white space next to white space, where
-    this does not hold, are encoded whole. Strings of special tokens are read as the library reads them.
+    Its pattern begins a new word at each single space, and parts a single line feed, and a comma or period
+    behind a letter, from what is around it. So what lies between these can be encoded apart, and is only
+    once while it stays in the cache: new words are encoded together, one string for all, and come apart
+    where a token begins with the space before a word. Texts with white space next to white space or at
+    an end, where this does not hold, are encoded whole. Strings of special tokens are read as the library reads them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = {mark: np.zeros(max(tokens.values()) + 1, bool) for mark in " \n"}
+        (space,), (line,) = (self._encode([mark])[0].view("<u4") for mark in " \n")
+        # the written form of a space is what the token of a lone space is
+        mark = self.tokenizer.id_to_token(int(space))
+        self.begins[" "][[i for t, i in tokens.items() if t.startswith(mark)]] = True
+        self.begins["\n"][int(line)] = True
+        self.marks = {c: self._encode([c])[0].tobytes() for c in ".,"}
         self.cache: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str], mark: str) -> None:
+        """New words, each with the mark before it; none has white space at its end."""
+        if mark in new:
+            self.cache[mark] = self._encode([mark])[0].tobytes()
+            new.discard(mark)
+        ended = [w for w in new if w[-1] in ".," and len(w) > 2 and w[-2] < "\u0250" and w[-2].isalpha()]
+        stems = {w[:-1] for w in ended}
+        todo = list(((new - set(ended)) | stems) - self.cache.keys())
+        if todo:
+            ids = self._encode(["".join(todo)])[0]
+            at = np.append(np.flatnonzero(self.begins[mark][ids]), len(ids)) * 4
+            raw = ids.tobytes()
+            if len(at) != len(todo) + 1:
+                raise ValueError("the tokenizer does not begin a word at each mark")
+            ends = at.tolist()
+            self.cache.update(zip(todo, (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
+        for w in ended:
+            self.cache[w] = self.cache[w[:-1]] + self.marks[w[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache.clear()
-        whole = [bool(_SPACES.search(t)) for t in texts]
-        words = [[] if alone else t.split(" ") for t, alone in zip(texts, whole, strict=True)]
-        missing = list({w for of in words for w in of[1:]} - self.cache.keys())
-        self.cache.update(zip(missing, self._encode([f" {w}" for w in missing]), strict=True))
-        firsts = iter(self._encode([t if alone else of[0] for t, of, alone in zip(texts, words, whole, strict=True)]))
+        whole = [t for t in texts if _SPACES.search(t) or t[:1].isspace() or t[-1:].isspace()]
+        alone = dict(zip(whole, (x.tobytes() for x in self._encode(whole)), strict=True))
+        parts = [None if t in alone else _PARTS.findall(f"\n{t}") for t in texts]
+        new = set().union(*(of for of in parts if of is not None)) - self.cache.keys()
+        lines = {w for w in new if w[0] == "\n"}
+        self._learn(new - lines, " ")
+        self._learn(lines, "\n")
         get = self.cache.__getitem__
-        return [next(firsts) + b"".join(map(get, of[1:])) for of in words]
+        # the line feed put before the first word goes again
+        return [alone[t] if of is None else b"".join(map(get, of))[4:] for t, of in zip(texts, parts, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -70,18 +104,21 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Where the chunks of a stream of ids end."""
+def cuts(ids: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
+    """Where the chunks of each stream end, counted from its begin. ``ids`` has the streams one after the other,
+    parted by ``offsets``; what a stream's chunks are depends on itself alone."""
     ends = np.flatnonzero(window_hashes(mix(ids.astype(np.uint64) + np.uint64(1)), WINDOW) % np.uint64(MEAN) == 0) + WINDOW
-    out, last = [], 0
-    for end in [*ends.tolist(), len(ids)]:
-        while end - last > MOST:
-            last += MOST
-            out.append(last)
-        if end > last:
-            out.append(end)
-            last = end
-    return out
+    low, high = np.searchsorted(ends, offsets[:-1] + WINDOW), np.searchsorted(ends, offsets[1:], side="right")
+    for a, b, i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), low.tolist(), high.tolist(), strict=True):
+        out, last = [], 0
+        for end in [*(ends[i:j] - a).tolist(), b - a]:
+            while end - last > MOST:
+                last += MOST
+                out.append(last)
+            if end > last:
+                out.append(end)
+                last = end
+        yield out
 
 
 def key_of(data: bytes) -> bytes:
@@ -106,12 +143,14 @@ def _cut_all(path: str, end_id: int, width: int):
         for batch in sliced(batches, 1):
             ids = batch.column(0).to_pylist()
             kinds, keys, owners, ns, data = [], [], [], [], []
-            for i, raw in zip(ids, encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                stream = np.frombuffer(raw + tail, "<u4")
-                stored = stream.astype(f"<u{width}")
+            streams = [raw + tail for raw in encode([t or "" for t in batch.column(1).to_pylist()])]
+            flat = np.frombuffer(b"".join(streams), "<u4")
+            stored = flat.astype(f"<u{width}").tobytes()
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in streams])])
+            for i, a, b, ends in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist(), cuts(flat, offsets), strict=True):
                 recipe, last = [], 0
-                for end in cut(stream):
-                    chunk = stored[last:end].tobytes()
+                for end in ends:
+                    chunk = stored[(a + last) * width : (a + end) * width]
                     key = key_of(chunk)
                     recipe.append(key)
                     if key not in sent:
@@ -126,7 +165,7 @@ def _cut_all(path: str, end_id: int, width: int):
                 kinds.append("recipe")
                 keys.append(key_of(joined + repr(i).encode()))
                 owners.append(i)
-                ns.append(len(stream))
+                ns.append(b - a)
                 data.append(joined)
             if len(sent) > CACHE:
                 sent.clear()
