@@ -45,7 +45,7 @@ FREQUENT = 1 / 1024
 #: At most so many frequent shingles are broadcast (8 MB); others keep their place in the order.
 MAX_FREQUENT = 1_000_000
 #: Lists with more entries than this are looked into: their sets' frequent shingles go last, too.
-LONG_LIST = 32
+LONG_LIST = 1024
 #: Sets of two blocks of this size are counted against each other in one unit of work.
 BLOCK = 512
 #: Sets compared with one hub in one place.

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 SPACE_BYTES = {0x20, *range(0x09, 0x0E)}
 PUNCT_BYTES = {*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)}
 #: Bytes of text handled at a time; bounds the memory of the eight-byte arrays below.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
