@@ -72,8 +72,8 @@ def lines(text: Column) -> Column:
 
 
 def utf8_cut(text: Column, most: int, marker: str = "...") -> Column:
-    """The longest prefix within ``most`` bytes of UTF-8, with a marker if it was cut: a cut within a character
-    loses that character."""
-    raw = F.substring(F.encode(text, "UTF-8"), 1, most)
-    kept = F.regexp_replace(F.decode(raw, "UTF-8"), "�+$", "")
+    """The longest prefix within ``most`` bytes of UTF-8, with a marker if it was cut; of a character cut
+    in two nothing stays."""
+    raw = F.encode(text, "UTF-8")
+    kept = F.coalesce(*(F.try_validate_utf8(F.substring(raw, 1, max(0, most - j)).cast("string")) for j in range(4)))
     return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(kept, F.lit(marker)))
