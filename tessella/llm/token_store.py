@@ -29,10 +29,8 @@ KEY = 16
 #: A chunk ends where the hash of the last WINDOW ids is 0 modulo MEAN, and after MOST ids.
 WINDOW, MEAN, MOST = 8, 256, 4096
 #: Encodings of words that a task keeps, and chunk keys that it knows it has sent already.
-CACHE = 400_000
+CACHE, SHORT = 500_000, 8
 _SPACES = re.compile(r"\s\s")
-#: A space or line feed and what follows to the next.
-_PARTS = re.compile(r"[ \n][^ \n]*")
 
 
 class Encoder:
@@ -63,34 +61,38 @@ class Encoder:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str], mark: str) -> None:
-        """New words, each with the mark before it; none has white space at its end."""
-        if mark in new:
-            self.cache[mark] = self._encode([mark])[0].tobytes()
-            new.discard(mark)
-        ended = [w for w in new if w[-1] in ".," and len(w) > 2 and w[-2] < "\u0250" and w[-2].isalpha()]
-        stems = {w[:-1] for w in ended}
-        todo = list(((new - set(ended)) | stems) - self.cache.keys())
+        """New words, which the mark stood before; none has white space at its end. The cache has words after a
+        space as they are, and others with their line feed."""
+        key = (lambda w: w) if mark == " " else (lambda w: f"\n{w}")
+        ended = [w for w in new if w and w[-1] in ".," and w[-2:-1].isalpha() and w[-2] < "\u0250"]
+        todo = list((new - set(ended)) | {w for w in (x[:-1] for x in ended) if key(w) not in self.cache})
+        if "" in new:
+            todo.remove("")
+            self.cache[key("")] = self._encode([mark])[0].tobytes() if mark == "\n" else b""
         if todo:
-            ids = self._encode(["".join(todo)])[0]
+            ids = self._encode([mark + mark.join(todo)])[0]
             at = np.append(np.flatnonzero(self.begins[mark][ids]), len(ids)) * 4
             raw = ids.tobytes()
             if len(at) != len(todo) + 1:
                 raise ValueError("the tokenizer does not begin a word at each mark")
             ends = at.tolist()
-            self.cache.update(zip(todo, (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
+            self.cache.update(zip(map(key, todo), (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
         for w in ended:
-            self.cache[w] = self.cache[w[:-1]] + self.marks[w[-1]]
+            self.cache[key(w)] = self.cache[key(w[:-1])] + self.marks[w[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        if len(self.cache) > CACHE:  # short words come again more often
+            self.cache = {w: x for w, x in self.cache.items() if len(w) <= SHORT}
+            if len(self.cache) > CACHE // 2:
+                self.cache.clear()
         whole = [t for t in texts if _SPACES.search(t) or t[:1].isspace() or t[-1:].isspace()]
         alone = dict(zip(whole, (x.tobytes() for x in self._encode(whole)), strict=True))
-        parts = [None if t in alone else _PARTS.findall(f"\n{t}") for t in texts]
+        # a line feed begins a word of its own; every other word has lost its space, also at a text's begin
+        parts = [None if t in alone else f"\n{t}".replace("\n", " \n").split(" ") for t in texts]
         new = set().union(*(of for of in parts if of is not None)) - self.cache.keys()
-        lines = {w for w in new if w[0] == "\n"}
+        lines = {w for w in new if w[:1] == "\n"}
         self._learn(new - lines, " ")
-        self._learn(lines, "\n")
+        self._learn({w[1:] for w in lines}, "\n")
         get = self.cache.__getitem__
         # the line feed put before the first word goes again
         return [alone[t] if of is None else b"".join(map(get, of))[4:] for t, of in zip(texts, parts, strict=True)]
@@ -205,7 +207,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, out: str | None = None, id
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_cut_all(tokenizer_path, end_id, width), _ROW)
     once = rows.repartition(n, "key").mapInArrow(_once, _ROW)
-    once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{out}/store")
+    once.write.partitionBy("kind").option("compression", "snappy").parquet(f"{out}/store")
 
     recipes = spark.read.schema("key binary, id long, n long, data binary, kind string").parquet(f"{out}/store").filter("kind = 'recipe'").select("id", "n", "data")
 
@@ -298,15 +300,22 @@ def joined_crcs(crcs: np.ndarray, ns: np.ndarray, offsets: np.ndarray) -> np.nda
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        chunks = [sorted((c["pos"], c["key"], c["n"], c["crc"]) for c in of) for of in batch.column("chunks").to_pylist()]
-        for i, root, size, of in zip(*(batch.column(c).to_pylist() for c in ("id", "root", "n_tokens")), chunks, strict=True):
-            if any(c[2] is None for c in of) or merkle([c[1] for c in of]) != root or sum(c[2] for c in of) != size:
+        chunks = batch.column("chunks")
+        offsets = chunks.offsets.to_numpy().astype(np.int64)
+        flat = chunks.values
+        keys, ns, crcs = flat.field("key").to_pylist(), flat.field("n"), flat.field("crc")
+        if ns.null_count:
+            raise ValueError("a chunk is missing")
+        ns, crcs = ns.to_numpy(), crcs.to_numpy()
+        before = np.concatenate([[0], np.cumsum(ns)])
+        sizes = before[offsets[1:]] - before[offsets[:-1]]
+        ends = offsets.tolist()
+        for i, root, size, want, a, b in zip(batch.column("id").to_pylist(), batch.column("root").to_pylist(), sizes.tolist(), batch.column("n_tokens").to_pylist(), ends, ends[1:], strict=False):
+            if size != want or merkle(keys[a:b]) != root:
                 raise ValueError(f"document {i} is not what was written")
-        offsets = np.concatenate([[0], np.cumsum([len(of) for of in chunks])])
-        flat = [c for of in chunks for c in of]
-        crcs = joined_crcs(np.array([c[3] for c in flat], np.int64), np.array([c[2] for c in flat], np.int64), offsets)
+        found = joined_crcs(crcs, ns, offsets)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("id", "start", "n_tokens")), pa.array(crcs.astype(np.int64), pa.int64()), pa.array([len(of) for of in chunks], pa.int64())],
+            [*(batch.column(c) for c in ("id", "start", "n_tokens")), pa.array(found.astype(np.int64), pa.int64()), pa.array(np.diff(offsets), pa.int64())],
             names=["id", "start", "n_tokens", "ids_crc32", "n_chunks"],
         )
 
@@ -331,7 +340,7 @@ def verify_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     chunks = read_chunks(spark, path).select("key", "data").mapInArrow(_checked(width), "key binary, n long, crc long")
     doc = ["part", "ordinal", "id", "start", "n_tokens", "root"]
     joined = _references(read_manifest(spark, path)).join(chunks, "key", "left")
-    by_doc = joined.groupBy(*doc).agg(F.collect_list(F.struct("pos", "key", "n", "crc")).alias("chunks"))
+    by_doc = joined.groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "n", "crc"))).alias("chunks"))
     return by_doc.mapInArrow(_verified, "id long, start long, n_tokens long, ids_crc32 long, n_chunks long")
 
 
