@@ -73,8 +73,10 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: floa
 
     asked = queries.select("id", "embedding").filter("embedding is not null").orderBy("id").collect()
     rows = vectors.select("id", "embedding").filter("embedding is not null")
+    if not asked:
+        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
     found = None
-    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
+    for at in range(0, len(asked), QUERY_BLOCK):
         part = asked[at : at + QUERY_BLOCK]
         matrix = np.array([r["embedding"] for r in part], float).reshape(len(part), -1)
         one = rows.mapInArrow(block([r["id"] for r in part], matrix), "query_id long, id long, score double")
