@@ -11,7 +11,7 @@ What keeps the heavy side in proportion:
 * a set that agrees in most minimum hashes with the least sets of their buckets is compared with
   the one that it agrees with most, and whole groups of near copies become components before any list is read;
 * only lists that more than one of those components enter give pairs, and pairs inside a component
-  are not needed. Lists with the same least component are counted together, in pairs of blocks of
+  are not needed. Lists with the same least hash of a component are counted together, in pairs of blocks of
   bounded size, and only pairs whose shared entries can suffice leave the task;
 * shingles that many sets have are last in the global order (any order is correct), so that passages
   which otherwise different documents share are hardly ever in a prefix: first those frequent within
@@ -39,7 +39,7 @@ MAX_LIGHT = 14
 #: Minimum hashes for the first links, and how many of them must agree with the bucket's least set.
 MIN_HASHES, AGREE = 12, 6
 #: Shingles counted together when frequent ones are looked for: bounds the memory of a task.
-COUNT_BLOCK = 2 << 20
+COUNT_BLOCK = 1 << 20
 #: A shingle is frequent if it is in this share of a block's documents (and in 8 of them).
 FREQUENT = 1 / 1024
 #: At most so many frequent shingles are broadcast (8 MB); others keep their place in the order.
@@ -72,7 +72,7 @@ def _survey(k: int):
         def frequent() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             keep = counts >= max(8, FREQUENT * len(held))
-            return _survey_rows([None], [0], [0], [0], [values[keep]], [np.zeros(0, np.int64)], [counts[keep] / len(held)])
+            return _survey_rows([None], [0], [0], [0], [values[keep]], [np.zeros(0, np.int64)], [counts[keep] / len(held)], True)
 
         for batch in sliced(batches, 1):
             ids, ns, d1, d2, least, small = [], [], [], [], [], []
@@ -106,7 +106,7 @@ def _min_hashes(mixed: np.ndarray) -> np.ndarray:
     return out
 
 
-def _survey_rows(ids, ns, d1, d2, least, small, share) -> pa.RecordBatch:
+def _survey_rows(ids, ns, d1, d2, least, small, share, frequent=False) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()),
@@ -116,7 +116,7 @@ def _survey_rows(ids, ns, d1, d2, least, small, share) -> pa.RecordBatch:
             lists([x.view(np.int64) for x in least], pa.int64()),
             lists([x.view(np.int64) for x in small], pa.int64()),
             lists(share, pa.float64()),
-            pa.array([bool(len(x)) for x in share], pa.bool_()),
+            pa.array([frequent] * len(ids), pa.bool_()),
         ],
         names=["id", "n", "d1", "d2", "least", "small", "share", "frequent"],
     )
@@ -208,7 +208,7 @@ def _similar(num: int, den: int):
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each set and each least component of lists it is in: those lists, and how many others it has."""
+    """A row for each set and each key of lists that it is in: those lists, and how many others it has."""
     for batch in batches:
         columns: list[list] = [[] for _ in range(6)]
         for i, n, component, entered in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "component", "entered")), strict=True):
@@ -222,10 +222,10 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["p", "id", "n", "component", "out", "hs"])
 
 
-def _unit(rows: list[tuple], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components in one unit that can be similar: shared entries are counted for all pairs
-    of two blocks at once. Pairs share at most these, the entries that both have elsewhere, and what lies beyond
-    the prefix of one of them."""
+def _unit(rows: list[tuple], num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Pairs of different components in one unit that can be similar, their sizes and the entries that they share
+    here, which are counted for all pairs of two blocks at once. Pairs share at most these, the entries that both
+    have elsewhere, and what lies beyond the prefix of one of them; so a similar pair passes in all of its units."""
     i, j, own, ids, ns, components_, out, hs = zip(*rows, strict=True)
     own, ids, ns, comps, out = (np.array(x, np.int64) for x in (own, ids, ns, components_, out))
     codes = np.unique(np.concatenate([np.array(h, np.int64) for h in hs]), return_inverse=True)[1]
@@ -241,18 +241,18 @@ def _unit(rows: list[tuple], num: int, den: int) -> tuple[np.ndarray, np.ndarray
     ok = (shared > 0) & apart & (most * (num + den) >= sizes * num)
     ok &= (ns[x][:, None] * den >= ns[y][None, :] * num) & (ns[y][None, :] * den >= ns[x][:, None] * num)
     a, b = np.nonzero(ok)
-    return ids[x[a]], ids[y[b]]
+    return ids[x[a]], ids[y[b]], ns[x[a]], ns[y[b]], shared[a, b]
 
 
 def _candidates(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2))
+            columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(5)]
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n_a", "n_b", "shared"])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("p", "i", "j", "own", "id", "n", "component", "out", "hs")), strict=True):
@@ -430,7 +430,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         late_hashes = np.union1d(late_hashes, np.array([r[0] for r in moved], np.int64).view(np.uint64))
         entries = entries.join(_small(touched), "id", "left_anti").unionByName(prefixes(again))
         mixed = mixed_lists(entries)
-    postings = entries.select("id", "n", "component", F.explode("prefix").alias("h")).join(_small(mixed.select("h", "p")), "h")
+    # lists with the same components in them get the same key, whatever else is in their sets
+    postings = entries.select("id", "n", "component", F.explode("prefix").alias("h")).join(_small(mixed.select("h")), "h")
+    postings = materialise(postings, "postings")
+    keys = postings.groupBy("h").agg(F.min(F.xxhash64("component")).alias("p"))
+    postings = postings.join(_small(keys), "h")
     by_set = postings.groupBy("id", "n", "component").agg(F.collect_list(F.struct("p", "h")).alias("entered"))
     members = materialise(by_set.mapInArrow(_members, "p long, id long, n long, component long, out int, hs array<long>"), "members")
     crowded = members.groupBy("p").count().filter(F.col("count") > BLOCK).select("p", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
@@ -442,7 +446,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "out", "hs")
     )
     units = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
-    pairs = units.mapInArrow(_candidates(num, den), "a long, b long").distinct()
+    counted = units.mapInArrow(_candidates(num, den), "a long, b long, n_a long, n_b long, shared long")
+    first_a = F.col("a") < F.col("b")
+    counted = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first_a, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(first_a, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"), "shared")
+    beyond = F.greatest(*(F.ceil(F.col(c) * num / den) - 1 for c in ("n_a", "n_b")))
+    pairs = (
+        counted.groupBy("a", "b", "n_a", "n_b")
+        .agg(F.sum("shared").alias("shared"))
+        .filter((F.col("shared") + beyond) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
+        .select("a", "b")
+        .distinct()
+    )
     more = _verified(texts, pairs, k, num, den)
     ends = early.select("node", "component")
     joined = (
