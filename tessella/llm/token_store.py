@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from tessella.llm.words import mix, sliced, window_hashes
 from tessella.session import materialise, new_path
 
+_WHITE = re.compile(r"\s")
 KEY = 16
 #: A chunk ends where the hash of the last WINDOW ids is 0 modulo MEAN, and after MOST ids.
 WINDOW, MEAN, MOST = 8, 256, 4096
 #: Encodings of words that a task keeps, and chunk keys that it knows it has sent already.
 CACHE, SHORT = 500_000, 8
-_SPACES = re.compile(r"\s\s")
+#: New words in one string.
+TOGETHER = 500
 
 
 class Encoder:
@@ -47,6 +49,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words are encoded once: its own cache only takes time
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
         self.begins = {mark: np.zeros(max(tokens.values()) + 1, bool) for mark in " \n"}
         (space,), (line,) = (self._encode([mark])[0].view("<u4") for mark in " \n")
@@ -66,11 +70,8 @@ class Encoder:
         key = (lambda w: w) if mark == " " else (lambda w: f"\n{w}")
         ended = [w for w in new if w and w[-1] in ".," and w[-2:-1].isalpha() and w[-2] < "\u0250"]
         todo = list((new - set(ended)) | {w for w in (x[:-1] for x in ended) if key(w) not in self.cache})
-        if "" in new:
-            todo.remove("")
-            self.cache[key("")] = self._encode([mark])[0].tobytes() if mark == "\n" else b""
         if todo:
-            ids = self._encode([mark + mark.join(todo)])[0]
+            ids = np.concatenate(self._encode([mark + mark.join(todo[i : i + TOGETHER]) for i in range(0, len(todo), TOGETHER)]))
             at = np.append(np.flatnonzero(self.begins[mark][ids]), len(ids)) * 4
             raw = ids.tobytes()
             if len(at) != len(todo) + 1:
@@ -85,17 +86,27 @@ class Encoder:
             self.cache = {w: x for w, x in self.cache.items() if len(w) <= SHORT}
             if len(self.cache) > CACHE // 2:
                 self.cache.clear()
-        whole = [t for t in texts if _SPACES.search(t) or t[:1].isspace() or t[-1:].isspace()]
-        alone = dict(zip(whole, (x.tobytes() for x in self._encode(whole)), strict=True))
         # a line feed begins a word of its own; every other word has lost its space, also at a text's begin
-        parts = [None if t in alone else f"\n{t}".replace("\n", " \n").split(" ") for t in texts]
-        new = set().union(*(of for of in parts if of is not None)) - self.cache.keys()
-        lines = {w for w in new if w[:1] == "\n"}
-        self._learn(new - lines, " ")
-        self._learn({w[1:] for w in lines}, "\n")
+        parts = [f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
+        new = set().union(*parts) - self.cache.keys()
+        # white space next to white space, or at an end: such texts have words that are not learnt
+        lines = {w[1:] for w in new if w[:1] == "\n"}
+        for words, mark in ((new - {f"\n{w}" for w in lines}, " "), (lines, "\n")):
+            words.discard("")
+            if _WHITE.search("".join(words)):
+                words = {w for w in words if w.strip() == w}
+            self._learn(words, mark)
         get = self.cache.__getitem__
-        # the line feed put before the first word goes again
-        return [alone[t] if of is None else b"".join(map(get, of))[4:] for t, of in zip(texts, parts, strict=True)]
+        out: list[bytes | None] = []
+        for of in parts:
+            try:
+                out.append(b"".join(map(get, of))[4:])  # the line feed put before the first word goes again
+            except KeyError:
+                out.append(None)
+        alone = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(alone, self._encode([texts[i] for i in alone]), strict=True):
+            out[i] = ids.tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
