@@ -182,3 +182,20 @@ def test_events_and_models(spark):
         return texts
 
     assert M.with_retries(flaky, ["a"], sleep=lambda s: None) == ["a"]
+
+
+def test_index_recall(spark):
+    import os
+
+    from tessella.operators.retrieval import coarse_index, indexed_top_k
+
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    rows = spark.read.parquet(path).select(F.col("vec_id").alias("id"), "embedding")
+    asked = rows.filter("id % 100 = 0")
+    centers, index = coarse_index(rows)
+    assert index.count() == rows.count()
+    exact = {(r["query_id"], r["id"]) for r in vector_top_k(rows, asked, 10).collect()}
+    found = {(r["query_id"], r["id"]) for r in indexed_top_k(centers, index, asked, 10, probes=12).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
