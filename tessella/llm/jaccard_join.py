@@ -48,8 +48,8 @@ MAX_FREQUENT = 1_000_000
 LONG_LIST = 1024
 #: Sets of two blocks of this size are counted against each other in one unit of work.
 BLOCK = 512
-#: Sets compared with one hub in one place.
-HUB_PAIRS = 512
+#: Whole sets of two blocks of this size are compared in one place.
+COMPARED = 128
 #: Lists of several components, and ids of sets to compare, are broadcast up to this number, else
 #: joined by a shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
@@ -163,85 +163,78 @@ def _whole_sets(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            hub, part, own, ids, blobs = [], [], [], [], []
+            rows: list[list] = [[] for _ in range(5)]
             made = shingles(encoded(batch.column("text")), k)
             for i, places, s in zip(batch.column("id").to_pylist(), batch.column("places").to_pylist(), made, strict=True):
                 blob = s.tobytes()
                 for place in places:
-                    hub.append(place["hub"])
-                    part.append(place["part"])
-                    own.append(place["own"])
-                    ids.append(i)
-                    blobs.append(blob)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hub, pa.int64()), pa.array(part, pa.int32()), pa.array(own, pa.bool_()), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())],
-                names=["hub", "part", "own", "id", "s"],
-            )
+                    for column, value in zip(rows, (place["g"], place["i"], place["j"], i, blob), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["g", "i", "j", "a", "s"])
 
     return run
 
 
 def _similar(num: int, den: int):
-    """The ids whose sets are similar to that of their hub, which comes first."""
+    """The pairs whose sets are similar. In each place sets come first, then the pairs."""
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return den * both >= num * (len(x) + len(y) - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets = None, []
+        key, sets = None, {}
         for batch in sliced(batches, "s"):
-            keep_a, keep_b = [], []
-            columns = (batch.column(c).to_pylist() for c in ("hub", "part", "own", "id", "s"))
-            for hub, part, own, i, blob in zip(*columns, strict=True):
-                if (hub, part) != key:
-                    key, sets = (hub, part), []
-                s = np.frombuffer(blob, np.uint64)
-                if own:
-                    sets.append(s)
-                    continue
-                for t in sets:
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if den * both >= num * (len(s) + len(t) - both):
-                        keep_a.append(i)
-                        keep_b.append(hub)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
+            found: tuple[list, list] = ([], [])
+            for g, i, j, a, b, blob in zip(*(batch.column(c).to_pylist() for c in ("g", "i", "j", "a", "b", "s")), strict=True):
+                if (g, i, j) != key:
+                    key, sets = (g, i, j), {}
+                if b is None:
+                    sets.setdefault(a, []).append(np.frombuffer(blob, np.uint64))
+                elif any(alike(x, y) for x in sets[a] for y in sets[b]):
+                    found[0].append(a)
+                    found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
 
     return run
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each set and each key of lists that it is in: those lists, and how many others it has."""
+    """A row for each set and each key of lists that it is in, with all lists that it is in."""
     for batch in batches:
-        columns: list[list] = [[] for _ in range(6)]
+        columns: list[list] = [[] for _ in range(5)]
         for i, n, component, entered in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "component", "entered")), strict=True):
-            by: dict[int, list[int]] = {}
-            for e in entered:
-                by.setdefault(e["p"], []).append(e["h"])
-            for p, hs in by.items():
-                for column, value in zip(columns, (p, i, n, component, len(entered) - len(hs), hs), strict=True):
+            by, hs = {e["p"] for e in entered}, [e["h"] for e in entered]
+            for p in by:
+                for column, value in zip(columns, (p, i, n, component, hs), strict=True):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["p", "id", "n", "component", "out", "hs"])
-
-
-def _unit(rows: list[tuple], num: int, den: int) -> tuple[np.ndarray, ...]:
-    """Pairs of different components in one unit that can be similar, their sizes and the entries that they share
-    here, which are counted for all pairs of two blocks at once. Pairs share at most these, the entries that both
-    have elsewhere, and what lies beyond the prefix of one of them; so a similar pair passes in all of its units."""
-    i, j, own, ids, ns, components_, out, hs = zip(*rows, strict=True)
-    own, ids, ns, comps, out = (np.array(x, np.int64) for x in (own, ids, ns, components_, out))
-    codes = np.unique(np.concatenate([np.array(h, np.int64) for h in hs]), return_inverse=True)[1]
-    has = np.zeros((len(ids), int(codes.max()) + 1), np.float32)
-    has[np.repeat(np.arange(len(ids)), [len(h) for h in hs]), codes] = 1
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["p", "id", "n", "component", "hs"])
+
+
+def _unit(rows: list[tuple], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components in one unit that can be similar. The lists that they share are counted for all
+    pairs of two blocks at once; pairs share at most these entries and what lies beyond the prefix of one of them."""
+    i, j, own, ids, ns, components_, hs = zip(*rows, strict=True)
+    own, ids, ns, comps = (np.array(x, np.int64) for x in (own, ids, ns, components_))
+    entries = np.concatenate([np.array(h, np.int64) for h in hs])
+    _, codes, counts = np.unique(entries, return_inverse=True, return_counts=True)
+    # lists with one of these sets only say nothing
+    kept = counts[codes] > 1
+    at = np.cumsum(counts > 1) - 1
+    has = np.zeros((len(ids), int((counts > 1).sum())), np.float32)
+    has[np.repeat(np.arange(len(ids)), [len(h) for h in hs])[kept], at[codes[kept]]] = 1
     x, y = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
     shared = (has[x] @ has[y].T).astype(np.int64)
     beyond = -(-num * ns // den) - 1
-    most = shared + np.minimum(out[x][:, None], out[y][None, :]) + np.maximum(beyond[x][:, None], beyond[y][None, :])
-    sizes = ns[x][:, None] + ns[y][None, :]
+    most = shared + np.maximum(beyond[x][:, None], beyond[y][None, :])
     # within one block each pair is met both ways round
     apart = comps[x][:, None] < comps[y][None, :] if i[0] == j[0] else comps[x][:, None] != comps[y][None, :]
-    ok = (shared > 0) & apart & (most * (num + den) >= sizes * num)
+    ok = (shared > 0) & apart & (most * (num + den) >= (ns[x][:, None] + ns[y][None, :]) * num)
     ok &= (ns[x][:, None] * den >= ns[y][None, :] * num) & (ns[y][None, :] * den >= ns[x][:, None] * num)
     a, b = np.nonzero(ok)
-    return ids[x[a]], ids[y[b]], ns[x[a]], ns[y[b]], shared[a, b]
+    return np.minimum(ids[x[a]], ids[y[b]]), np.maximum(ids[x[a]], ids[y[b]])
 
 
 def _candidates(num: int, den: int):
@@ -250,12 +243,12 @@ def _candidates(num: int, den: int):
         found: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(5)]
+            columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2)]
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n_a", "n_b", "shared"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("p", "i", "j", "own", "id", "n", "component", "out", "hs")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("p", "i", "j", "own", "id", "n", "component", "hs")), strict=True):
                 if row[:3] != key:
                     if len(rows) > 1:
                         found.append(_unit(rows, num, den))
@@ -270,21 +263,25 @@ def _candidates(num: int, den: int):
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough. Sets are made again from the
-    texts of the documents in pairs rather than kept for all documents; each is sent to where its hub b
-    is. A hub with many pairs is compared in several places."""
+    """Those of the pairs (a, b) whose whole sets are similar enough. Sets are made again from the texts of the
+    documents in pairs rather than kept for all documents. Documents that pairs connect are dealt into blocks, and
+    all pairs of two blocks are compared in one place, so a set is sent once for each block it has pairs with."""
     pairs = materialise(pairs, "pairs")
-    load = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("parts"))
-    placed = pairs.join(load, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    ends = placed.select(F.col("a").alias("id"), F.struct(F.col("b").alias("hub"), "part", F.lit(False).alias("own")).alias("place")).unionByName(
-        placed.select("b", "part").distinct().select(F.col("b").alias("id"), F.struct(F.col("b").alias("hub"), "part", F.lit(True).alias("own")).alias("place"))
+    nodes = components(pairs)
+    blocks = nodes.groupBy("component").agg(F.ceil(F.count("*") / COMPARED).alias("blocks"))
+    nodes = materialise(nodes.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "nodes")
+    met = pairs.join(nodes.select(F.col("node").alias("a"), F.col("component").alias("g"), F.col("block").alias("x")), "a").join(
+        nodes.select(F.col("node").alias("b"), F.col("block").alias("y")), "b"
     )
-    wanted = materialise(ends.groupBy("id").agg(F.collect_list("place").alias("places")), "wanted")
+    met = materialise(met.select("g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"), "met")
+    places = met.select(F.explode(F.array("a", "b")).alias("id"), F.struct("g", "i", "j").alias("place")).distinct()
+    wanted = materialise(places.groupBy("id").agg(F.collect_list("place").alias("places")), "wanted")
     if (wanted.agg(F.sum(F.size("places") + 1)).first()[0] or 0) <= MAX_BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
-    sets = texts.join(wanted, "id").select("id", "text", "places").mapInArrow(_whole_sets(k), "hub long, part int, own boolean, id long, s binary")
-    met = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("own"))
-    return materialise(met.mapInArrow(_similar(num, den), "a long, b long").distinct(), "links")
+    sets = texts.join(wanted, "id").select("id", "text", "places").mapInArrow(_whole_sets(k), "g long, i int, j int, a long, s binary")
+    both = sets.select("g", "i", "j", "a", F.lit(None).cast("long").alias("b"), "s").unionByName(met.withColumn("s", F.lit(None).cast("binary")))
+    dealt = both.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", F.asc_nulls_first("b"))
+    return materialise(dealt.mapInArrow(_similar(num, den), "a long, b long").distinct(), "links")
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -436,27 +433,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = postings.groupBy("h").agg(F.min(F.xxhash64("component")).alias("p"))
     postings = postings.join(_small(keys), "h")
     by_set = postings.groupBy("id", "n", "component").agg(F.collect_list(F.struct("p", "h")).alias("entered"))
-    members = materialise(by_set.mapInArrow(_members, "p long, id long, n long, component long, out int, hs array<long>"), "members")
+    members = materialise(by_set.mapInArrow(_members, "p long, id long, n long, component long, hs array<long>"), "members")
     crowded = members.groupBy("p").count().filter(F.col("count") > BLOCK).select("p", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(_small(crowded), "p", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = (
         placed.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "out", "hs")
+        .select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "hs")
     )
     units = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
-    counted = units.mapInArrow(_candidates(num, den), "a long, b long, n_a long, n_b long, shared long")
-    first_a = F.col("a") < F.col("b")
-    counted = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first_a, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(first_a, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"), "shared")
-    beyond = F.greatest(*(F.ceil(F.col(c) * num / den) - 1 for c in ("n_a", "n_b")))
-    pairs = (
-        counted.groupBy("a", "b", "n_a", "n_b")
-        .agg(F.sum("shared").alias("shared"))
-        .filter((F.col("shared") + beyond) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
-        .select("a", "b")
-        .distinct()
-    )
+    pairs = units.mapInArrow(_candidates(num, den), "a long, b long").distinct()
     more = _verified(texts, pairs, k, num, den)
     ends = early.select("node", "component")
     joined = (
