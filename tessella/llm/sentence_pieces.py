@@ -27,11 +27,11 @@ from tessella.llm.words import sliced
 
 MARK = "▁"
 #: Words that a task keeps encoded.
-CACHE = 300_000
+CACHE = 150_000
 #: Longer words are joined with a queue of edges, as rounds over all symbols would take long.
 LONG = 64
 #: Bytes of text whose new words are indexed together.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 _WORD = re.compile(f"{MARK}*[^{MARK}]*")
 
 
