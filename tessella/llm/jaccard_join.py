@@ -48,6 +48,8 @@ MAX_FREQUENT = 1_000_000
 LONG_LIST = 1024
 #: Sets of two blocks of this size are counted against each other in one unit of work.
 BLOCK = 512
+#: Lists that are counted at a time in a unit.
+COLUMNS = 2048
 #: Whole sets of two blocks of this size are compared in one place.
 COMPARED = 128
 #: Lists of several components, and ids of sets to compare, are broadcast up to this number, else
@@ -220,13 +222,17 @@ def _unit(rows: list[tuple], num: int, den: int) -> tuple[np.ndarray, np.ndarray
     own, ids, ns, comps = (np.array(x, np.int64) for x in (own, ids, ns, components_))
     entries = np.concatenate([np.array(h, np.int64) for h in hs])
     _, codes, counts = np.unique(entries, return_inverse=True, return_counts=True)
-    # lists with one of these sets only say nothing
+    # lists with one of these sets only say nothing; the others are counted some columns at a time
     kept = counts[codes] > 1
-    at = np.cumsum(counts > 1) - 1
-    has = np.zeros((len(ids), int((counts > 1).sum())), np.float32)
-    has[np.repeat(np.arange(len(ids)), [len(h) for h in hs])[kept], at[codes[kept]]] = 1
+    rows_at = np.repeat(np.arange(len(ids)), [len(h) for h in hs])[kept]
+    columns = (np.cumsum(counts > 1) - 1)[codes[kept]]
     x, y = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
-    shared = (has[x] @ has[y].T).astype(np.int64)
+    shared = np.zeros((len(x), len(y)), np.int64)
+    for low in range(0, int((counts > 1).sum()), COLUMNS):
+        here = (columns >= low) & (columns < low + COLUMNS)
+        has = np.zeros((len(ids), COLUMNS), np.float32)
+        has[rows_at[here], columns[here] - low] = 1
+        shared += (has[x] @ has[y].T).astype(np.int64)
     beyond = -(-num * ns // den) - 1
     most = shared + np.maximum(beyond[x][:, None], beyond[y][None, :])
     # within one block each pair is met both ways round
