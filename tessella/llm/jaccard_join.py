@@ -48,6 +48,8 @@ MAX_FREQUENT = 1_000_000
 LONG_LIST = 1024
 #: Sets of two blocks of this size are counted against each other in one unit of work.
 BLOCK = 512
+#: Keys of more sets than this have all lists of their sets at hand, so their counts are those of the whole pair.
+EXACT_ABOVE = 64
 #: Lists that are counted at a time in a unit.
 COLUMNS = 2048
 #: Whole sets of two blocks of this size are compared in one place.
@@ -203,23 +205,29 @@ def _similar(num: int, den: int):
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each set and each key of lists that it is in, with all lists that it is in."""
+    """A row for each set and each key of lists that it is in: these lists and how many others it has; where the key
+    is crowded, all of its lists."""
     for batch in batches:
-        columns: list[list] = [[] for _ in range(5)]
+        columns: list[list] = [[] for _ in range(7)]
         for i, n, component, entered in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "component", "entered")), strict=True):
-            by, hs = {e["p"] for e in entered}, [e["h"] for e in entered]
-            for p in by:
-                for column, value in zip(columns, (p, i, n, component, hs), strict=True):
+            by: dict[tuple[int, bool], list[int]] = {}
+            for e in entered:
+                by.setdefault((e["p"], e["crowded"]), []).append(e["h"])
+            for (p, crowded), hs in by.items():
+                whole = [e["h"] for e in entered] if crowded else hs
+                for column, value in zip(columns, (p, i, n, component, len(entered) - len(whole), crowded, whole), strict=True):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["p", "id", "n", "component", "hs"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["p", "id", "n", "component", "out", "exact", "hs"])
 
 
-def _unit(rows: list[tuple], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components in one unit that can be similar. The lists that they share are counted for all
-    pairs of two blocks at once; pairs share at most these entries and what lies beyond the prefix of one of them."""
-    i, j, own, ids, ns, components_, hs = zip(*rows, strict=True)
-    own, ids, ns, comps = (np.array(x, np.int64) for x in (own, ids, ns, components_))
+def _unit(rows: list[tuple], num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Pairs of different components in one unit that can be similar, their sizes, and the lists that they share here,
+    which are counted for all pairs of two blocks at once. Pairs share at most these entries, those that both have
+    elsewhere (none if the unit is exact), and what lies beyond the prefix of one of them; so a similar pair passes in
+    each of its units."""
+    i, j, own, ids, ns, components_, out, exact, hs = zip(*rows, strict=True)
+    own, ids, ns, comps, out = (np.array(x, np.int64) for x in (own, ids, ns, components_, out))
     entries = np.concatenate([np.array(h, np.int64) for h in hs])
     _, codes, counts = np.unique(entries, return_inverse=True, return_counts=True)
     # lists with one of these sets only say nothing; the others are counted some columns at a time
@@ -234,13 +242,16 @@ def _unit(rows: list[tuple], num: int, den: int) -> tuple[np.ndarray, np.ndarray
         has[rows_at[here], columns[here] - low] = 1
         shared += (has[x] @ has[y].T).astype(np.int64)
     beyond = -(-num * ns // den) - 1
-    most = shared + np.maximum(beyond[x][:, None], beyond[y][None, :])
+    most = shared + np.minimum(out[x][:, None], out[y][None, :]) + np.maximum(beyond[x][:, None], beyond[y][None, :])
     # within one block each pair is met both ways round
     apart = comps[x][:, None] < comps[y][None, :] if i[0] == j[0] else comps[x][:, None] != comps[y][None, :]
     ok = (shared > 0) & apart & (most * (num + den) >= (ns[x][:, None] + ns[y][None, :]) * num)
     ok &= (ns[x][:, None] * den >= ns[y][None, :] * num) & (ns[y][None, :] * den >= ns[x][:, None] * num)
     a, b = np.nonzero(ok)
-    return np.minimum(ids[x[a]], ids[y[b]]), np.maximum(ids[x[a]], ids[y[b]])
+    counted = shared[a, b]
+    a, b = x[a], y[b]
+    a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+    return ids[a], ids[b], ns[a], ns[b], counted, np.full(len(a), int(exact[0]))
 
 
 def _candidates(num: int, den: int):
@@ -249,12 +260,12 @@ def _candidates(num: int, den: int):
         found: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2)]
+            columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(6)]
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n_a", "n_b", "shared", "exact"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("p", "i", "j", "own", "id", "n", "component", "hs")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("p", "i", "j", "own", "id", "n", "component", "out", "exact", "hs")), strict=True):
                 if row[:3] != key:
                     if len(rows) > 1:
                         found.append(_unit(rows, num, den))
@@ -437,19 +448,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = entries.select("id", "n", "component", F.explode("prefix").alias("h")).join(_small(mixed.select("h")), "h")
     postings = materialise(postings, "postings")
     keys = postings.groupBy("h").agg(F.min(F.xxhash64("component")).alias("p"))
-    postings = postings.join(_small(keys), "h")
-    by_set = postings.groupBy("id", "n", "component").agg(F.collect_list(F.struct("p", "h")).alias("entered"))
-    members = materialise(by_set.mapInArrow(_members, "p long, id long, n long, component long, hs array<long>"), "members")
+    keyed = materialise(postings.join(_small(keys), "h"), "keyed")
+    full = keyed.select("p", "id").distinct().groupBy("p").count().filter(F.col("count") > EXACT_ABOVE).select("p", F.lit(True).alias("full"))
+    flagged = keyed.join(_small(full), "p", "left").withColumn("crowded", F.coalesce("full", F.lit(False)))
+    by_set = flagged.groupBy("id", "n", "component").agg(F.collect_list(F.struct("p", "h", "crowded")).alias("entered"))
+    members = materialise(by_set.mapInArrow(_members, "p long, id long, n long, component long, out long, exact boolean, hs array<long>"), "members")
     crowded = members.groupBy("p").count().filter(F.col("count") > BLOCK).select("p", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(_small(crowded), "p", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = (
         placed.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "hs")
+        .select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "out", "exact", "hs")
     )
     units = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
-    pairs = units.mapInArrow(_candidates(num, den), "a long, b long").distinct()
+    counted = units.mapInArrow(_candidates(num, den), "a long, b long, n_a long, n_b long, shared long, exact long")
+    beyond = F.greatest(*(F.ceil(F.col(c) * num / den) - 1 for c in ("n_a", "n_b")))
+    pairs = (
+        counted.groupBy("a", "b", "n_a", "n_b")
+        .agg(F.sum("shared").alias("shared"), F.max("exact").alias("exact"))
+        .filter((F.col("exact") == 1) | ((F.col("shared") + beyond) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num))
+        .select("a", "b")
+        .distinct()
+    )
     more = _verified(texts, pairs, k, num, den)
     ends = early.select("node", "component")
     joined = (

@@ -67,7 +67,7 @@ def test_against_brute_force(spark, seed):
 
 
 def test_long_lists_and_crowded_blocks(spark, monkeypatch):
-    for name, value in (("LONG_LIST", 4), ("BLOCK", 8), ("COMPARED", 2), ("COLUMNS", 16), ("MAX_BROADCAST_KEYS", 10), ("AGREE", 13)):
+    for name, value in (("LONG_LIST", 4), ("BLOCK", 8), ("COMPARED", 2), ("COLUMNS", 16), ("EXACT_ABOVE", 6), ("MAX_BROADCAST_KEYS", 10), ("AGREE", 13)):
         monkeypatch.setattr(J, name, value)
     rows = corpus(3, 160)
     assert ours(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
