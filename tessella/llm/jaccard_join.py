@@ -56,7 +56,7 @@ COLUMNS = 2048
 COMPARED = 128
 #: Lists of several components, and ids of sets to compare, are broadcast up to this number, else
 #: joined by a shuffle.
-MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_KEYS = 2_000_000
 
 
 def needed(a: int, b: int, num: int, den: int) -> int:
