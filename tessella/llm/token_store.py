@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ WINDOW, MEAN, MOST = 8, 256, 4096
 #: Encodings of words that a task keeps, and chunk keys that it knows it has sent already.
 CACHE, SHORT = 500_000, 8
 #: New words in one string.
-TOGETHER = 500
+TOGETHER = 200
 
 
 class Encoder:
@@ -86,26 +87,39 @@ class Encoder:
             self.cache = {w: x for w, x in self.cache.items() if len(w) <= SHORT}
             if len(self.cache) > CACHE // 2:
                 self.cache.clear()
+        if not texts:
+            return []
         # a line feed begins a word of its own; every other word has lost its space, also at a text's begin
-        parts = [f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
-        new = set().union(*parts) - self.cache.keys()
+        parts = pc.split_pattern(pa.array([f"\n{t}".replace("\n", " \n") for t in texts]), " ")
+        offsets, coded = parts.offsets.to_numpy(), parts.values.dictionary_encode()
+        met = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = [*map(self.cache.get, met), b""]
+        absent = [i for i, x in enumerate(found) if x is None]
+        new = {met[i] for i in absent}
         # white space next to white space, or at an end: such texts have words that are not learnt
-        lines = {w[1:] for w in new if w[:1] == "\n"}
-        for words, mark in ((new - {f"\n{w}" for w in lines}, " "), (lines, "\n")):
+        led = {w for w in new if w[:1] == "\n"}
+        for words, mark in ((new - led, " "), ({w[1:] for w in led}, "\n")):
             words.discard("")
             if _WHITE.search("".join(words)):
                 words = {w for w in words if w.strip() == w}
             self._learn(words, mark)
-        get = self.cache.__getitem__
-        out: list[bytes | None] = []
-        for of in parts:
-            try:
-                out.append(b"".join(map(get, of))[4:])  # the line feed put before the first word goes again
-            except KeyError:
-                out.append(None)
-        alone = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(alone, self._encode([texts[i] for i in alone]), strict=True):
-            out[i] = ids.tobytes()
+        unknown = np.zeros(len(found), bool)
+        for i in absent:
+            found[i] = self.cache.get(met[i], b"")
+            unknown[i] = not found[i]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = coded.indices.to_numpy().copy()
+        codes[offsets[:-1]] = len(met)  # nothing stands before the first line feed
+        alone = np.unique(np.searchsorted(offsets, np.flatnonzero(unknown[codes]), side="right") - 1).tolist()
+        n = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        # each word's ids stand in a row at its place
+        of_word = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], n)
+        ids = np.frombuffer(b"".join(found), "<u4")[of_word + np.arange(len(of_word))]
+        bounds = ends[offsets].tolist()
+        out = [ids[a + 1 : b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]  # without the line feed put first
+        for i, whole in zip(alone, self._encode([texts[i] for i in alone]), strict=True):
+            out[i] = whole.tobytes()
         return out
 
 
@@ -292,10 +306,11 @@ def _shifts() -> np.ndarray:
     x = np.array([1 << 30], np.uint64)
     for _ in range(32):
         word = _times(word, x)
-    out = [one]
-    for _ in range(MOST):
-        out.append(_times(out[-1], word))
-    return np.concatenate(out)
+    out = one
+    while len(out) <= MOST:  # word is the factor of as many ids as out has
+        out = np.concatenate([out, _times(out, word)])
+        word = _times(word, word)
+    return out
 
 
 def joined_crcs(crcs: np.ndarray, ns: np.ndarray, offsets: np.ndarray) -> np.ndarray:
