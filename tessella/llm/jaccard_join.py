@@ -415,8 +415,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.max("f.share").alias("share"))
         .orderBy(F.desc("share"), "h")
         .limit(MAX_FREQUENT)
+        .select("h")
     )
-    late_hashes = np.sort(np.array([r[0] for r in late.select("h").collect()], np.int64).view(np.uint64))
+    late = materialise(late, "late")
+    late_hashes = np.sort(np.array([r[0] for r in late.collect()], np.int64).view(np.uint64))
     nodes = rep.select(F.col("rep").alias("id")).distinct().join(early, F.col("id") == F.col("node"), "left").select(
         "id", F.coalesce("component", "id").alias("component")
     )
@@ -435,14 +437,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     too_long = mixed.filter(F.col("entries") > LONG_LIST).select("h")
     if too_long.count():
         # passages that some sets share: count the shingles of those sets, move the frequent ones to the end of
-        # the order, and make these sets' prefixes again
-        of_sets = entries.select("id", F.explode("prefix").alias("h")).join(_small(too_long), "h", "left_semi")
-        touched = materialise(of_sets.select("id").distinct(), "touched")
-        again = texts.join(_small(touched), "id", "left_semi")
-        counts = again.select("text").mapInArrow(lambda batches: _low_half(batches, k), "low array<long>").select(F.explode("low").alias("h")).groupBy("h").count()
-        moved = counts.filter(F.col("count") > LONG_LIST).orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h").collect()
-        late_hashes = np.union1d(late_hashes, np.array([r[0] for r in moved], np.int64).view(np.uint64))
-        entries = entries.join(_small(touched), "id", "left_anti").unionByName(prefixes(again))
+        # the order, and make the prefixes that hold a moved shingle again, whoever's they are: any other prefix is
+        # the same in both orders, so that all sets follow one
+        of_sets = entries.select("id", F.explode("prefix").alias("h"))
+        touched = materialise(of_sets.join(_small(too_long), "h", "left_semi").select("id").distinct(), "touched")
+        shared_by = texts.join(_small(touched), "id", "left_semi")
+        counts = shared_by.select("text").mapInArrow(lambda batches: _low_half(batches, k), "low array<long>").select(F.explode("low").alias("h")).groupBy("h").count()
+        moved = materialise(counts.filter(F.col("count") > LONG_LIST).orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h"), "moved")
+        late_hashes = np.union1d(late_hashes, np.array([r[0] for r in moved.collect()], np.int64).view(np.uint64))
+        new = moved.join(late, "h", "left_anti")
+        stale = materialise(of_sets.join(_small(new), "h", "left_semi").select("id").distinct(), "stale")
+        again = texts.join(_small(stale), "id", "left_semi")
+        entries = entries.join(_small(stale), "id", "left_anti").unionByName(prefixes(again))
         mixed = mixed_lists(entries)
     # lists with the same components in them get the same key, whatever else is in their sets
     postings = entries.select("id", "n", "component", F.explode("prefix").alias("h")).join(_small(mixed.select("h")), "h")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import jaccard_join as J
 from tessella.llm.components import components
+from tessella.llm.words import shingles
 
 
 def sets_of(text, k=5):
@@ -73,6 +74,22 @@ def test_long_lists_and_crowded_blocks(spark, monkeypatch):
     assert ours(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_moved_shingle_in_a_set_without_long_lists(spark, monkeypatch):
+    """a has no long list, but in its prefix the shingles that those of b's long list move to the end."""
+    for name, value in (("LONG_LIST", 4), ("AGREE", 13)):
+        monkeypatch.setattr(J, name, value)
+    of_word = {f"v{i}": int(next(shingles([f"v{i}".encode()], 1))[0]) for i in range(400)}
+    w = [x for x in sorted(of_word, key=of_word.get) if of_word[x] < 1 << 63]  # in the global order
+    long, a, b, common = w[0], w[1:3], w[3], w[29:47]
+    others = [[long, *w[4 + 5 * i : 9 + 5 * i], *common[:4], *w[50 + 10 * i : 60 + 10 * i]] for i in range(5)]
+    sets = [[*a, *common], [long, b, *common], *others]
+    assert [len(s) for s in sets] == [20] * 7
+    alike = {(i, j) for i in range(7) for j in range(i) if 100 * len({*sets[i]} & {*sets[j]}) >= 75 * len({*sets[i]} | {*sets[j]})}
+    assert alike == {(1, 0)}
+    got = J.near_duplicates(spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "doc_id long, text string"), k=1)
+    assert sorted(tuple(r) for r in got.select("doc_id", "component_id").collect()) == [(0, 0), (1, 0), *((i, i) for i in range(2, 7))]
+
+
 def test_empty_table_and_dedup(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert J.near_duplicates(none).count() == 0
