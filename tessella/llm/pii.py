@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, and nearby words adjust their score.
 
 Base kinds are emails, IPv4 addresses, payment cards (Luhn) and international phone numbers. The method
-adds IBANs (mod 97, national lengths by structure) and US social security numbers, which need a word of
+adds IBANs (mod 97 over the length of their country) and US social security numbers, which need a word of
 their context nearby. Every base span is kept whatever its score.
 """
 
@@ -36,7 +36,21 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: The characters of an IBAN by country: the registry's, then those in use without being registered.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items() | {
+        25: "AO CV GW MZ", 26: "DZ IR", 27: "CF CG CM GA GQ KM MG TD", 28: "BF BJ CI MA ML NE SN TG",
+    }.items()
+    for c in countries.split()
+}
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_OF = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in {*IBAN_LENGTHS.values()}}
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _HAS_DIGIT = re.compile(r"[0-9]")
 
@@ -70,6 +84,15 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", end)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each country code, as many characters as its IBANs have, single spaces between them not counted."""
+    free = 0
+    for m in _IBAN.finditer(text):
+        if m.start() >= free and (n := IBAN_LENGTHS.get(m[1])) and (whole := _IBAN_OF[n].match(text, m.start())) and mod97(whole[0].replace(" ", "")):
+            yield whole.span()
+            free = whole.end()
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -87,7 +110,7 @@ def find_pii(text: str) -> list[tuple[str, int, int, float]]:
                 found.append(("card", *m.span()))
         if "+" in text:
             found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
-        found += [("iban", *m.span()) for m in _IBAN.finditer(text) if 15 <= len(i := m[0].replace(" ", "")) <= 34 and mod97(i)]
+        found += [("iban", a, b) for a, b in _ibans(text)]
         if "-" in text:
             for m in _SSN.finditer(text):
                 if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":

@@ -102,6 +102,19 @@ def test_pii_checksums_context_and_redaction():
     assert pii.redact("é a@b.co and 1.2.3.4!") == "é <EMAIL> and <IP>!" and pii.redact("nothing") == "nothing"
 
 
+def test_ibans_end_where_their_country_says():
+    spaced, plain = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    for iban in (spaced, plain):
+        for after in (" BIC COBADEFFXXX", " I paid", " 2024-01-01", " 00", ", OK", "\nA1", "", f" {plain}", f" {spaced} X"):
+            found = [f"before A1 {iban}{after}"[a:b] for kind, a, b, _ in pii.find_pii(f"before A1 {iban}{after}") if kind == "iban"]
+            assert found == [iban] + [x for x in (plain, spaced) if x in after], after
+    # the specimens of the registry
+    for iban in ("NO9386011117947", "BE68539007547034", "NL91ABNA0417164300", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S"):
+        assert [x[0] for x in pii.find_pii(f"{iban} EUR 5") if x[0] == "iban"] == ["iban"], iban
+        assert "iban" not in [x[0] for x in pii.find_pii(f"{iban}0")] and "iban" not in [x[0] for x in pii.find_pii(f"X{iban}")]
+    assert pii.redact(f"to {spaced} BIC COBADEFFXXX") == "to <IBAN> BIC COBADEFFXXX"
+
+
 def test_pii_linear_and_rows(spark):
     texts = [None, "", "1" * 100_000, "a" * 100_000 + "@", "a@b.co", "a@b.co", "1." * 50_000]
     got = pii.scan_pii(docs(spark, texts)).orderBy("doc_id").collect()
