@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessella.llm.words import ALNUM, Words, blocks, encoded, sliced, window_hashes
 
@@ -126,37 +127,64 @@ def scan_contamination(
     return found.withColumnRenamed("id", id_col)
 
 
-def decontaminated(
-    docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, spans: bool = False
-) -> DataFrame:
-    """``docs`` without contaminated rows; with ``spans``, with all rows but without the hit words (each
-    run of hit words, with what stands between them, becomes one space). Columns stay as they are."""
-    at = docs.columns.index(text_col)
-    out = docs
-    for block in benchmark_blocks(bench, item_col, item_text_col):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            windows = Windows(block, size)
-            for batch in sliced(batches, at):
-                texts = encoded(batch.column(at))
-                if not spans:
-                    yield batch.filter(pa.array([not h for _, _, _, h, _ in windows.scan(texts)], pa.bool_()))
-                    continue
-                hits = [(found, sorted(h)) for found, _, _, h, _ in windows.scan(texts)]
+#: Merged hits of a text: first word and end, exclusive.
+_HITS = ArrayType(ArrayType(LongType()))
+
+
+def _clean(block: list[tuple[str | None, str | None]], size: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(block, size)
+        for batch in sliced(batches, at):
+            yield batch.filter(pa.array([not h for _, _, _, h, _ in windows.scan(encoded(batch.column(at)))], pa.bool_()))
+
+    return run
+
+
+def _cut(block: list[tuple[str | None, str | None]], size: int, at: int, width: int, last: bool, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(block, size)
+        for batch in sliced(batches, at):
+            texts = encoded(batch.column(at))
+            before = batch.column(width).to_pylist() if batch.num_columns > width else [[]] * len(texts)
+            # words are counted from the first of each text
+            hits = [(found, a, _merged([*map(tuple, old), *((i - a, i - a + n) for i, n in h)])) for (found, a, _, h, _), old in zip(windows.scan(texts), before, strict=True)]
+            columns = list(batch.columns[:width])
+            if not last:
+                columns.append(pa.array([h for _, _, h in hits], pa.list_(pa.list_(pa.int64()))))
+            else:
                 new = batch.column(at).to_pylist()
-                start = 0
-                last = None
-                for i, (found, h) in enumerate(hits):
-                    start = 0 if found is not last else start
-                    last = found
+                start, of = 0, None
+                for i, (found, first, h) in enumerate(hits):
+                    start = 0 if found is not of else start
+                    of = found
                     if h:
                         kept, here = [], start
-                        for a, b in _merged([(x, x + n) for x, n in h]):
-                            kept.append(found.buffer[here : found.starts[a]])
-                            here = int(found.ends[b - 1])
+                        for a, b in h:
+                            kept.append(found.buffer[here : found.starts[first + a]])
+                            here = int(found.ends[first + b - 1])
                         new[i] = b" ".join([*kept, found.buffer[here : start + len(texts[i])]]).decode("utf-8")
                     start += len(texts[i]) + 1
-                yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+                columns[at] = pa.array(new, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
 
-        out = out.mapInArrow(run, docs.schema)
+
+def decontaminated(
+    docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, spans: bool = False
+) -> DataFrame:
+    """``docs`` without contaminated rows; with ``spans``, with all rows but without the hit words (each
+    run of hit words, with what stands between them, becomes one space). Columns stay as they are. Hits of all
+    blocks of the benchmark are gathered on the whole texts, which are cut once."""
+    at = docs.columns.index(text_col)
+    out = docs
+    parts = list(benchmark_blocks(bench, item_col, item_text_col))
+    for k, block in enumerate(parts):
+        if spans:
+            # hits of the blocks so far are in one more column, the last
+            last = k == len(parts) - 1
+            schema = docs.schema if last else StructType([*docs.schema.fields, StructField("_".join(["hits", *docs.columns]), _HITS)])
+            out = out.mapInArrow(_cut(block, size, at, len(docs.columns), last, schema.names), schema)
+        else:
+            out = out.mapInArrow(_clean(block, size, at), docs.schema)
     return out

@@ -161,6 +161,23 @@ def test_decontamination_removes_documents_or_spans(spark):
     assert D.decontaminated(d, bench.limit(0)).count() == 3 and D.scan_contamination(d.limit(0), bench).count() == 0
 
 
+def test_spans_of_several_blocks_are_those_of_one(spark, monkeypatch):
+    r = random.Random(9)
+    words = "a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd".split()
+    # items overlap, and d9 e9 stand apart in texts until the words between them are cut
+    items = [(i, " ".join(words[2 * i : 2 * i + 10])) for i in range(11)] + [(20, "d9 e9")]
+    texts = [" ".join(words), "x " + ", ".join(words).upper() + " é end", f"d9 {' '.join(words[:10])} e9", "d9 e9 z", None, "", *(" - ".join(r.choices(words, k=60)) for _ in range(20))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = docs(spark, texts)
+    one = sorted(map(tuple, D.decontaminated(d, bench, spans=True).collect()))
+    monkeypatch.setattr(D, "BLOCK_BYTES", 60)
+    assert len(list(D.benchmark_blocks(bench, "item_id", "text"))) > 3
+    several = D.decontaminated(d, bench, spans=True)
+    assert several.columns == d.columns and sorted(map(tuple, several.collect())) == one
+    assert one[0][1].split() == [] and one[2][1].split() == ["d9", "e9"] and one[3][1].split() == ["z"]
+    assert {x["doc_id"] for x in D.decontaminated(d, bench).collect()}.isdisjoint(range(4))
+
+
 # --- op5 -----------------------------------------------------------------------------------------------
 def test_fingerprints_against_brute_force(spark):
     r = random.Random(6)
