@@ -240,6 +240,52 @@ def average_linkage(vectors: np.ndarray, clusters: int) -> np.ndarray:
     return label
 
 
+def chained_linkage(vectors: np.ndarray, clusters: int) -> np.ndarray:
+    """The clusters of ``average_linkage`` without its matrix, in memory that grows with the vectors only: the average
+    cosine distance of two clusters is that of their sums of unit vectors over their sizes. Mutual nearest neighbours
+    at the end of a chain merge, which gives the same tree (other than among equal distances), cut at its height."""
+    n = len(vectors)
+    total = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    size = np.ones(n)
+    alive = np.ones(n, bool)
+    member = np.arange(n)  # a sentence of the cluster in each row
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(merges) < n - 1:
+        if 2 * int(alive.sum()) <= len(alive) and not chain:
+            total, size, member, alive = total[alive], size[alive], member[alive], np.ones(int(alive.sum()), bool)
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        while True:
+            x = chain[-1]
+            distance = 1 - (total @ total[x]) / (size * size[x])
+            distance[~alive] = np.inf
+            distance[x] = np.inf
+            y = int(np.argmin(distance))
+            # a tie goes back, and rounding is one, so that chains end
+            if len(chain) > 1 and distance[chain[-2]] <= distance[y] + 1e-12:
+                y = chain[-2]
+                break
+            chain.append(y)
+        merges.append((float(distance[y]), int(member[x]), int(member[y])))
+        del chain[-2:]
+        x, y = min(x, y), max(x, y)
+        total[x] += total[y]
+        size[x] += size[y]
+        alive[y] = False
+    root = np.arange(n)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for _, x, y in sorted(merges, key=lambda m: m[0])[: max(0, n - max(1, clusters))]:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    return np.array([find(i) for i in range(n)])
+
+
 def hashed_vectors(texts: list[str], dimension: int = 64) -> np.ndarray:
     """A stand-in for an embedding model: hashed token counts. Pass a model's function instead where there is one."""
     import zlib
@@ -253,7 +299,8 @@ def hashed_vectors(texts: list[str], dimension: int = 64) -> np.ndarray:
 
 def semantic(text: str, p: ChunkParams, embed: Callable[[list[str]], np.ndarray] = hashed_vectors, together: int = 256) -> list[str]:
     """Markdown sections with their titles; tables, lists, code and formulas stay whole; a paragraph above the limit is
-    cut where neighbouring sentences are in different clusters. Sentences cluster in runs of bounded length."""
+    cut where neighbouring sentences are in different clusters. All sentences of a paragraph cluster together, beyond
+    ``together`` of them without a matrix of distances."""
     out = []
     for titles, body in titled_sections(text.split("\n"), "markdown"):
         head = " > ".join(titles)
@@ -264,12 +311,11 @@ def semantic(text: str, p: ChunkParams, embed: Callable[[list[str]], np.ndarray]
                 blocks.append(block)
                 continue
             parts = sentences(block)
-            for at in range(0, len(parts), together):
-                run = parts[at : at + together]
-                label = average_linkage(embed(run), -(-count_tokens(" ".join(run)) // room))
-                cut = np.flatnonzero(np.diff(label)) + 1
-                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(run)], strict=True):
-                    blocks += cut_at_tokens(" ".join(run[a:b]), room)
+            link = average_linkage if len(parts) <= together else chained_linkage
+            label = link(embed(parts), -(-count_tokens(" ".join(parts)) // room))
+            cut = np.flatnonzero(np.diff(label)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(parts)], strict=True):
+                blocks += cut_at_tokens(" ".join(parts[a:b]), room)
         for chunk in merge_sections(blocks, room):
             out += [f"{head}\n{c}" if head else c for c in cut_at_tokens(chunk, room, int(room * p.hard))]
     return out

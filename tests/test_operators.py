@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,22 @@ def test_chunkers_keep_all_tokens_and_limits():
     assert C.spans("a b c", ["a", "c", "zz"]) == [(0, 1), (4, 5), (None, None)]
 
 
+def test_long_paragraphs_cluster_as_a_whole():
+    topics = np.random.default_rng(1).normal(size=(9, 12))
+    at = {f"Sentence {i} of many.": i for i in range(600)}
+    # topics come back after more than 256 sentences
+    vectors = topics[np.arange(600) // 20 % 9] + np.random.default_rng(2).normal(size=(600, 12)) / 2
+    embed = lambda run: vectors[[at[x] for x in run]]
+    pairs = lambda label: {(i, j) for i in range(0, 600, 7) for j in range(i) if label[i] == label[j]}
+    for k in (1, 9, 60, 599, 700):
+        assert pairs(C.chained_linkage(vectors, k)) == pairs(C.average_linkage(vectors, k))
+    p = C.ChunkParams(limit=150)
+    whole = C.semantic(" ".join(at), p, embed, together=600)
+    assert len(whole) > 10 and C.semantic(" ".join(at), p, embed) == whole
+    # equal sentences: no end of ties
+    assert len(set(C.chained_linkage(np.tile(topics[:3], (200, 1)), 3).tolist())) == 3
+
+
 def test_chunker_pays_no_heed_to_the_first_chunk_that_overshoots():
     assert C.merge_sections(["a b c", "d e", "f"], 2) == ["a b c", "d e\nf"]
 
