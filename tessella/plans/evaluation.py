@@ -138,7 +138,7 @@ def bench_graph(t: Tables) -> DataFrame:
     for _ in range(3):
         total = sum(seeds.values())
         restart = t.spark.createDataFrame([(i, w / total) for i, w in seeds.items()], "id string, weight double")
-        best = personalised_pagerank(nodes, edges, restart, rounds=5).filter(~F.col("id").isin(list(seeds))).orderBy(F.desc("score"), "id").first()
+        best = personalised_pagerank(nodes, edges, restart).filter(~F.col("id").isin(list(seeds))).orderBy(F.desc("score"), "id").first()
         if best is None:
             break
         seeds = {i: w * 0.9 for i, w in seeds.items()} | {best["id"]: 1.0}

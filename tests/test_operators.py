@@ -76,6 +76,23 @@ def test_pagerank_sums_to_one(spark):
     assert got["d"] == 0 and got["b"] > got["c"]
 
 
+def test_pagerank_runs_until_it_converges(spark):
+    n = 9
+    both = [(i, i + 1) for i in range(n - 2)]  # a path, and a node without neighbours
+    walk = np.zeros((n, n))
+    for i, j in both:
+        walk[i, j] = walk[j, i] = 1
+    restart = np.zeros(n)
+    restart[0], restart[n - 1] = 0.75, 0.25
+    walk /= np.maximum(walk.sum(axis=1, keepdims=True), 1)
+    walk[n - 1] = restart
+    want = np.linalg.solve(np.eye(n) - 0.85 * walk.T, 0.15 * restart)
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    weights = spark.createDataFrame([(0, 0.75), (n - 1, 0.25)], "id long, weight double")
+    got = G.personalised_pagerank(nodes, spark.createDataFrame(both, "src long, dst long"), weights).orderBy("id").collect()
+    assert [r["score"] for r in got] == pytest.approx(want.tolist(), abs=1e-5)
+
+
 def test_deleting_a_file_twice_changes_nothing(spark):
     m = spark.createDataFrame([(1, "x"), (2, "y")], "chunk_id long, entity_id string")
     t = spark.createDataFrame([("t", "x", "z")], "triple_id string, source_id string, target_id string")
