@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,9 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Only where the session has none (tests) is one of our own set."""
+    """The folder in ``spark.checkpoint.dir``. Only a local session that has none (tests) gets one of our own; on a
+    cluster, where each machine would write to its own disk, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,4 +56,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs no recomputation of what came before."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._tessella_path = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these tables. For tables that only written results depend on."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._tessella_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
