@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import materialise
+from tessella.session import materialise, release
 
 
 def _state(links: DataFrame) -> tuple:
@@ -41,10 +41,13 @@ def components(links: DataFrame, limit: int = 100) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        links = materialise(small, "stars")
+        before, links = links, materialise(small, "stars")
+        release(before)
         now = _state(links)
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components are not found in {limit} rounds")
     tops = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)

@@ -18,6 +18,9 @@ What keeps the heavy side in proportion:
   some block of documents, then, where lists are long, all that are frequent among the sets in them.
 Pairs are verified on whole sets. Nothing is dropped: each pair of similar sets is either linked or
 within one component already.
+
+The plan is the same at every size: nothing that grows with the input is broadcast. What a join would drop anyway
+(list entries of one component, texts without a pair) is sifted by a bit table of fixed size before the shuffle.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessella.llm.components import components
+from tessella.llm.sieve import held, passing, sieve
 from tessella.llm.words import encoded, lists, mix, shingles, sliced
-from tessella.session import materialise
+from tessella.session import materialise, release
 
 #: Sets above this size are never light: their subsets are too many whatever the sizes of others.
 MAX_LIGHT = 14
@@ -52,11 +57,10 @@ BLOCK = 512
 EXACT_ABOVE = 64
 #: Lists that are counted at a time in a unit.
 COLUMNS = 2048
-#: Whole sets of two blocks of this size are compared in one place.
-COMPARED = 128
-#: Lists of several components, and ids of sets to compare, are broadcast up to this number, else
-#: joined by a shuffle.
-MAX_BROADCAST_KEYS = 2_000_000
+#: Whole sets of two blocks are compared in one place; a block has about so many sets, and so many shingles.
+COMPARED, COMPARED_SHINGLES = 128, 1 << 19
+#: Places of a set that travel in one row with its text, and bytes of sets in one batch.
+PLACES, SENT = 32, 4 << 20
 
 
 def needed(a: int, b: int, num: int, den: int) -> int:
@@ -164,18 +168,24 @@ def _low_half(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 def _whole_sets(k: int):
     """The set of each text, once for each place where it is compared."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["g", "i", "j", "a", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in sliced(batches, "text"):
-            rows: list[list] = [[] for _ in range(5)]
             made = shingles(encoded(batch.column("text")), k)
             for i, places, s in zip(batch.column("id").to_pylist(), batch.column("places").to_pylist(), made, strict=True):
                 blob = s.tobytes()
                 for place in places:
-                    for column, value in zip(rows, (place["g"], place["i"], place["j"], i, blob), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["g", "i", "j", "a", "s"])
+                    rows.append((place["g"], place["i"], place["j"], i, blob))
+                    size += len(blob)
+                    if size > SENT:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+        yield batch_of(rows)
 
     return run
 
@@ -204,6 +214,25 @@ def _similar(num: int, den: int):
     return run
 
 
+def _entered(table: np.ndarray, component: bool):
+    """The list entries that the table may have, a row each; or, without ``component``, the ids of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            flat = prefix.flatten().to_numpy()
+            at = np.repeat(np.arange(batch.num_rows), prefix.value_lengths().to_numpy())
+            found = held(table, flat)
+            at = at[found]
+            if component:
+                columns = {c: batch.column(c).take(pa.array(at)) for c in ("id", "n", "component")} | {"h": pa.array(flat[found], pa.int64())}
+            else:
+                columns = {"id": batch.column("id").take(pa.array(np.unique(at)))}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each set and each key of lists that it is in: these lists and how many others it has; where the key
     is crowded, all of its lists."""
@@ -279,31 +308,33 @@ def _candidates(num: int, den: int):
     return run
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough. Sets are made again from the texts of the
     documents in pairs rather than kept for all documents. Documents that pairs connect are dealt into blocks, and
-    all pairs of two blocks are compared in one place, so a set is sent once for each block it has pairs with."""
+    all pairs of two blocks are compared in one place, so a set is sent once for each block it has pairs with.
+    ``sizes`` has the number of shingles ``n`` of each document ``id``."""
     pairs = materialise(pairs, "pairs")
-    nodes = components(pairs)
-    blocks = nodes.groupBy("component").agg(F.ceil(F.count("*") / COMPARED).alias("blocks"))
+    nodes = materialise(components(pairs), "groups")
+    sized = nodes.join(sizes.groupBy("id").agg(F.max("n").alias("n")), F.col("node") == F.col("id"), "left")
+    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / COMPARED), F.ceil(F.sum("n") / COMPARED_SHINGLES), F.lit(1)).alias("blocks"))
     nodes = materialise(nodes.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "nodes")
     met = pairs.join(nodes.select(F.col("node").alias("a"), F.col("component").alias("g"), F.col("block").alias("x")), "a").join(
         nodes.select(F.col("node").alias("b"), F.col("block").alias("y")), "b"
     )
     met = materialise(met.select("g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"), "met")
     places = met.select(F.explode(F.array("a", "b")).alias("id"), F.struct("g", "i", "j").alias("place")).distinct()
-    wanted = materialise(places.groupBy("id").agg(F.collect_list("place").alias("places")), "wanted")
-    if (wanted.agg(F.sum(F.size("places") + 1)).first()[0] or 0) <= MAX_BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    sets = texts.join(wanted, "id").select("id", "text", "places").mapInArrow(_whole_sets(k), "g long, i int, j int, a long, s binary")
+    wanted = places.groupBy("id").agg(F.collect_list("place").alias("places"))
+    # a set with many places, as the hub of a large group has, gets several rows
+    part = F.explode(F.sequence(F.lit(0), F.ceil(F.size("places") / PLACES).cast("int") - 1))
+    wanted = wanted.select("*", part.alias("part")).select("id", F.expr(f"slice(places, part * {PLACES} + 1, {PLACES})").alias("places"))
+    wanted = materialise(wanted, "wanted")
+    sifted = passing(texts, sieve(wanted.select("id")), "id")
+    sets = sifted.join(wanted, "id").select("id", "text", "places").mapInArrow(_whole_sets(k), "g long, i int, j int, a long, s binary")
     both = sets.select("g", "i", "j", "a", F.lit(None).cast("long").alias("b"), "s").unionByName(met.withColumn("s", F.lit(None).cast("binary")))
     dealt = both.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", F.asc_nulls_first("b"))
-    return materialise(dealt.mapInArrow(_similar(num, den), "a long, b long").distinct(), "links")
-
-
-def _small(keys: DataFrame) -> DataFrame:
-    """``keys`` marked for a broadcast if they are few enough."""
-    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+    links = materialise(dealt.mapInArrow(_similar(num, den), "a long, b long").distinct(), "links")
+    release(pairs, nodes, met, wanted)
+    return links
 
 
 def _boundary(sizes: dict[int, int], num: int, den: int) -> int:
@@ -354,12 +385,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are what white space (0x20, 0x09-0x0D) divides, A-Z lowered; a text of fewer than k words
     has its whole sequence as its shingle. A null, empty or blank text has no shingles and no links;
-    its component is itself. Rows that share an id are one document whose links are those of all its
-    rows. A row with a null id is counted, but its component is null. Other columns of ``docs`` are
-    not looked at, whatever their names.
+    its component is itself. Ids are integers, else it is a TypeError. Rows that share an id are one
+    document whose links are those of all its rows. A row with a null id is counted, but its component
+    is null. Other columns of ``docs`` are not looked at, whatever their names.
     """
     if not 0 < num <= den:
         raise ValueError("a similarity between 0 and 1 is needed")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"ids in {id_col} must be integers")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     survey = materialise(texts.mapInArrow(_survey(k), _SURVEY), "survey")
     rows = survey.filter("not frequent").select("id", "n", "d1", "d2")
@@ -369,14 +402,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("id").alias("rep"), F.min_by("least", "id").alias("least"), F.min_by("small", "id").alias("small")
     )
     rep = materialise(rep, "sets")
+    sizes = rep.select(F.col("rep").alias("id"), "n")
     same = rows.join(rep.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).filter("id is not null and id <> rep").select(
         F.col("id").alias("a"), F.col("rep").alias("b")
     )
 
     # one row for each size, up to MAX_LIGHT sizes
-    sizes = {r["n"]: r["count"] for r in rep.filter(F.col("n") <= den * (MAX_LIGHT + 1) // num).groupBy("n").count().collect()}
-    above = _boundary(sizes, num, den)
+    counts = {r["n"]: r["count"] for r in rep.filter(F.col("n") <= den * (MAX_LIGHT + 1) // num).groupBy("n").count().collect()}
+    above = _boundary(counts, num, den)
+    linked = _first_links(texts, rep, sizes, k, num, den)
+    early = materialise(components(linked.unionByName(_light_links(rep, above, num, den)).unionByName(same)), "early")
+    more = _verified(texts, _list_pairs(texts, survey, rep, early, above, k, num, den), sizes, k, num, den)
 
+    ends = early.select("node", "component")
+    joined = (
+        more.join(ends.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        .join(ends.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    )
+    late_links = materialise(components(joined).select(F.col("node").alias("component"), F.col("component").alias("top")), "tops")
+    final = early.join(late_links, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    alone = late_links.join(early, late_links["component"] == early["node"], "left_anti").select(
+        F.col("component").alias("node"), F.col("top").alias("component")
+    )
+    return (
+        rows.join(final.unionByName(alone), F.col("id") == F.col("node"), "left")
+        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    )
+
+
+def _light_links(rep: DataFrame, above: int, num: int, den: int) -> DataFrame:
+    """A link from each light set to the least set that lists the same subset."""
     listed = (
         rep.filter(F.col("n") <= above)
         .select(F.col("rep").alias("id"), "small")
@@ -386,9 +442,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = listed.groupBy(*bucket).agg(F.min("id").alias("hub"), F.min("own").alias("p"), F.max("own").alias("q")).filter(
         "p = lesser and q = larger"
     )
-    light = listed.join(shared, bucket).filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    return listed.join(shared, bucket).filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
-    # first links: sets that agree in most minimum hashes with the least set of a bucket
+
+def _first_links(texts: DataFrame, rep: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Sets that agree in most minimum hashes with the least set of a bucket, and are similar to it."""
     buckets = rep.filter(F.col("n") > 0).select(F.col("rep").alias("id"), "n", F.posexplode("least").alias("j", "h"))
     # the set whose minimum hashes most others have, too, is the likeliest original of a group of copies
     sizes_of = buckets.groupBy("j", "h").agg(F.count("*").alias("m")).filter("m > 1")
@@ -404,10 +462,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min_by("hub", F.struct(-F.col("count"), "hub")).alias("hub"))
         .select(F.col("id").alias("a"), F.col("hub").alias("b"))
     )
-    linked = _verified(texts, first, k, num, den)
-    early = materialise(components(linked.unionByName(light).unionByName(same)), "early")
+    return _verified(texts, first, sizes, k, num, den)
+
+
+def _hashes(df: DataFrame) -> np.ndarray:
+    """The one column of hashes, of at most MAX_FREQUENT rows, on the driver."""
+    return np.sort(df.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
-    # the inverted lists
+
+def _list_pairs(texts: DataFrame, survey: DataFrame, rep: DataFrame, early: DataFrame, above: int, k: int, num: int, den: int) -> DataFrame:
+    """Pairs of sets of different components of ``early`` that meet in the inverted lists and can be similar."""
     late = (
         survey.filter("frequent")
         .select(F.explode(F.arrays_zip("least", "share")).alias("f"))
@@ -417,19 +481,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .limit(MAX_FREQUENT)
         .select("h")
     )
-    late = materialise(late, "late")
-    late_hashes = np.sort(np.array([r[0] for r in late.collect()], np.int64).view(np.uint64))
-    nodes = rep.select(F.col("rep").alias("id")).distinct().join(early, F.col("id") == F.col("node"), "left").select(
-        "id", F.coalesce("component", "id").alias("component")
-    )
+    late_hashes = _hashes(late)
+    # sets without a link are components of their own; only others have to be looked up
+    linked = early.join(rep.select(F.col("rep").alias("node"), F.lit(True).alias("is_rep")).distinct(), "node", "left")
+    in_early = sieve(early.select("node"))
 
     def prefixes(of: DataFrame) -> DataFrame:
-        made = of.select("id", "text").mapInArrow(_prefixes(k, num, den, above, late_hashes), "id long, n long, prefix array<long>")
-        return materialise(made.join(nodes, "id"), "prefixes")
+        made = materialise(of.select("id", "text").mapInArrow(_prefixes(k, num, den, above, late_hashes), "id long, n long, prefix array<long>"), "prefixes")
+        own = made.select("id", "n", "prefix", F.col("id").alias("component"))
+        looked_up = passing(made, in_early, "id").join(linked, F.col("id") == F.col("node"), "left").filter("node is null or is_rep")
+        looked_up = materialise(looked_up.select("id", "n", "prefix", F.coalesce("component", "id").alias("component")), "looked_up")
+        return passing(own, in_early, "id", inside=False).unionByName(looked_up)
 
     def mixed_lists(of: DataFrame) -> DataFrame:
-        entered = of.select("component", F.explode("prefix").alias("h")).groupBy("h")
-        found = entered.agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("entries"))
+        """Lists of several components. Those with the same components get the same key p, whatever else is in their sets."""
+        entered = of.select(F.xxhash64("component").alias("c"), F.explode("prefix").alias("h")).groupBy("h")
+        found = entered.agg(F.min("c").alias("p"), F.max("c").alias("q"), F.count("*").alias("entries"))
         return materialise(found.filter("p < q").select("h", "p", "entries"), "lists")
 
     entries = prefixes(texts)
@@ -439,28 +506,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # passages that some sets share: count the shingles of those sets, move the frequent ones to the end of
         # the order, and make the prefixes that hold a moved shingle again, whoever's they are: any other prefix is
         # the same in both orders, so that all sets follow one
-        of_sets = entries.select("id", F.explode("prefix").alias("h"))
-        touched = materialise(of_sets.join(_small(too_long), "h", "left_semi").select("id").distinct(), "touched")
-        shared_by = texts.join(_small(touched), "id", "left_semi")
-        counts = shared_by.select("text").mapInArrow(lambda batches: _low_half(batches, k), "low array<long>").select(F.explode("low").alias("h")).groupBy("h").count()
+        touched = sieve(entries.mapInArrow(_entered(sieve(too_long), False), "id long"))
+        counts = passing(texts, touched, "id").select("text").mapInArrow(lambda batches: _low_half(batches, k), "low array<long>").select(F.explode("low").alias("h")).groupBy("h").count()
         moved = materialise(counts.filter(F.col("count") > LONG_LIST).orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h"), "moved")
-        late_hashes = np.union1d(late_hashes, np.array([r[0] for r in moved.collect()], np.int64).view(np.uint64))
-        new = moved.join(late, "h", "left_anti")
-        stale = materialise(of_sets.join(_small(new), "h", "left_semi").select("id").distinct(), "stale")
-        again = texts.join(_small(stale), "id", "left_semi")
-        entries = entries.join(_small(stale), "id", "left_anti").unionByName(prefixes(again))
+        late_hashes = np.union1d(late_hashes, _hashes(moved))
+        stale = sieve(entries.mapInArrow(_entered(sieve(moved), False), "id long"))
+        entries = passing(entries, stale, "id", inside=False).unionByName(prefixes(passing(texts, stale, "id")))
+        release(mixed, moved)
         mixed = mixed_lists(entries)
-    # lists with the same components in them get the same key, whatever else is in their sets
-    postings = entries.select("id", "n", "component", F.explode("prefix").alias("h")).join(_small(mixed.select("h")), "h")
-    postings = materialise(postings, "postings")
-    keys = postings.groupBy("h").agg(F.min(F.xxhash64("component")).alias("p"))
-    keyed = materialise(postings.join(_small(keys), "h"), "keyed")
+    entered = entries.mapInArrow(_entered(sieve(mixed.select("h")), True), "id long, n long, component long, h long")
+    keyed = materialise(entered.join(mixed.select("h", "p"), "h"), "keyed")
     full = keyed.select("p", "id").distinct().groupBy("p").count().filter(F.col("count") > EXACT_ABOVE).select("p", F.lit(True).alias("full"))
-    flagged = keyed.join(_small(full), "p", "left").withColumn("crowded", F.coalesce("full", F.lit(False)))
+    flagged = keyed.join(full, "p", "left").withColumn("crowded", F.coalesce("full", F.lit(False)))
     by_set = flagged.groupBy("id", "n", "component").agg(F.collect_list(F.struct("p", "h", "crowded")).alias("entered"))
     members = materialise(by_set.mapInArrow(_members, "p long, id long, n long, component long, out long, exact boolean, hs array<long>"), "members")
     crowded = members.groupBy("p").count().filter(F.col("count") > BLOCK).select("p", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(_small(crowded), "p", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = members.join(crowded, "p", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = (
         placed.withColumn("own", own)
@@ -470,35 +531,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     units = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
     counted = units.mapInArrow(_candidates(num, den), "a long, b long, n_a long, n_b long, shared long, exact long")
     beyond = F.greatest(*(F.ceil(F.col(c) * num / den) - 1 for c in ("n_a", "n_b")))
-    pairs = (
+    return (
         counted.groupBy("a", "b", "n_a", "n_b")
         .agg(F.sum("shared").alias("shared"), F.max("exact").alias("exact"))
         .filter((F.col("exact") == 1) | ((F.col("shared") + beyond) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num))
         .select("a", "b")
         .distinct()
     )
-    more = _verified(texts, pairs, k, num, den)
-    ends = early.select("node", "component")
-    joined = (
-        more.join(ends.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        .join(ends.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    )
-    late_links = components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    final = early.join(late_links, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    alone = late_links.join(early, late_links["component"] == early["node"], "left_anti").select(
-        F.col("component").alias("node"), F.col("top").alias("component")
-    )
-    return (
-        rows.join(final.unionByName(alone), F.col("id") == F.col("node"), "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document (the smallest id) of each component; a row with a null id stays.
     Of rows that share the id of a kept document, all stay."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = materialise(found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    gone = _small(gone)
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = materialise(found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).cast("long").alias("_gone")).distinct(), "gone")
+    table = sieve(gone)
+    # only texts that the table of the ids that go may have are shuffled
+    maybe = passing(docs, table, id_col)
+    return passing(docs, table, id_col, inside=False).unionByName(maybe.join(gone, maybe[id_col] == gone["_gone"], "left_anti"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import jaccard_join as J
 from tessella.llm.components import components
+from tessella.llm.sieve import held, passing, sieve
 from tessella.llm.words import shingles
 
 
@@ -68,12 +69,63 @@ def test_against_brute_force(spark, seed):
 
 
 def test_long_lists_and_crowded_blocks(spark, monkeypatch):
-    for name, value in (("LONG_LIST", 4), ("BLOCK", 8), ("COMPARED", 2), ("COLUMNS", 16), ("EXACT_ABOVE", 6), ("MAX_BROADCAST_KEYS", 10), ("AGREE", 13)):
+    for name, value in (("LONG_LIST", 4), ("BLOCK", 8), ("COMPARED", 2), ("COLUMNS", 16), ("EXACT_ABOVE", 6), ("PLACES", 2), ("SENT", 500), ("AGREE", 13)):
         monkeypatch.setattr(J, name, value)
     rows = corpus(3, 160)
     assert ours(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def sets_corpus(seed, n=60):
+    """Word sets of one vocabulary: variants of a few bases, of which some share a passage."""
+    r = random.Random(seed)
+    words = [f"s{seed}w{i}" for i in range(150)]
+    passage = r.sample(words, 6)
+    bases = [r.sample(words, r.choice([6, 8, 10, 12, 20, 30])) for _ in range(n // 5)]
+    out = []
+    for _ in range(n):
+        w = list(r.choice(bases))
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            w[r.randrange(len(w))] = r.choice(words)
+        out.append({*w, *(passage if r.random() < 0.5 else ())})
+    return out
+
+
+@pytest.mark.parametrize(("agree", "max_light"), [(13, 0), (6, 14)])
+def test_hundreds_of_corpora(spark, monkeypatch, agree, max_light):
+    """Corpora of vocabularies of their own in one table, with moved shingles, crowded keys and many blocks."""
+    small = {"LONG_LIST": 4, "BLOCK": 8, "COMPARED": 4, "COMPARED_SHINGLES": 64, "COLUMNS": 16, "EXACT_ABOVE": 6, "PLACES": 2, "SENT": 500}
+    for name, value in {**small, "AGREE": agree, "MAX_LIGHT": max_light}.items():
+        monkeypatch.setattr(J, name, value)
+    rows, want = [], {}
+    for seed in range(200):
+        sets, first = sets_corpus(seed), 1000 * seed
+        parent = list(range(len(sets)))
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if 100 * len(x & sets[j]) >= 75 * len(x | sets[j]):
+                    a, b = parent[i], parent[j]
+                    parent = [min(a, b) if p in (a, b) else p for p in parent]
+        rows += [(first + i, " ".join(sorted(x))) for i, x in enumerate(sets)]
+        want |= {first + i: first + p for i, p in enumerate(parent)}
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
+def test_sieve_has_all_of_its_keys(spark):
+    keys = [*range(-50, 5000, 7), 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(k,) for k in [*keys, None]], "id long")
+    table = sieve(df)
+    assert held(table, np.array(keys, np.int64)).all() and held(table, np.arange(10**6, 10**6 + 10**5)).mean() < 0.001
+    other = spark.createDataFrame([(7, 1), (None, 2), (6, 3)], "id long, other int")
+    assert {r["other"] for r in passing(other, table, "id").collect()} <= {1, 3}
+    assert {2} <= {r["other"] for r in passing(other, table, "id", inside=False).collect()}
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        J.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_moved_shingle_in_a_set_without_long_lists(spark, monkeypatch):
     """a has no long list, but in its prefix the shingles that those of b's long list move to the end."""
     for name, value in (("LONG_LIST", 4), ("AGREE", 13)):
