@@ -133,11 +133,19 @@ def _survey_rows(ids, ns, d1, d2, least, small, share, frequent=False) -> pa.Rec
 _SURVEY = "id long, n long, d1 long, d2 long, least array<long>, small array<long>, share array<double>, frequent boolean"
 
 
-def _prefixes(k: int, num: int, den: int, above: int, late: np.ndarray):
-    """Each set's prefix in the global order: frequent shingles last, else by hash."""
+def _within(batch: pa.RecordBatch, table: np.ndarray | None) -> pa.RecordBatch:
+    """The rows whose id (the first column) the table may have; all without a table."""
+    if table is None:
+        return batch
+    ids = batch.column(0)
+    return batch.filter(pa.array(held(table, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)))
+
+
+def _prefixes(k: int, num: int, den: int, above: int, late: np.ndarray, linked: np.ndarray, only: np.ndarray | None):
+    """Each set's prefix in the global order: frequent shingles last, else by hash; and whether it may have a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
+        for batch in sliced((_within(b, only) for b in batches), 1):
             ids, ns, firsts = [], [], []
             for i, s in zip(batch.column(0).to_pylist(), shingles(encoded(batch.column(1)), k), strict=True):
                 n = len(s)
@@ -153,17 +161,22 @@ def _prefixes(k: int, num: int, den: int, above: int, late: np.ndarray):
                 ns.append(n)
                 firsts.append(s[:length].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), lists(firsts, pa.int64())], names=["id", "n", "prefix"]
+                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), lists(firsts, pa.int64()), pa.array(held(linked, np.array(ids, np.int64)), pa.bool_())],
+                names=["id", "n", "prefix", "linked"],
             )
 
     return run
 
 
-def _low_half(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _low_half(k: int, only: np.ndarray):
     """The lower half of each set's hashes, from which prefixes are taken (beyond it, if at all, by few sets)."""
-    for batch in sliced(batches, "text"):
-        halves = [s[: np.searchsorted(s, np.uint64(1 << 63))].view(np.int64) for s in shingles(encoded(batch.column("text")), k)]
-        yield pa.RecordBatch.from_arrays([lists(halves, pa.int64())], names=["low"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced((_within(b, only) for b in batches), "text"):
+            halves = [s[: np.searchsorted(s, np.uint64(1 << 63))].view(np.int64) for s in shingles(encoded(batch.column("text")), k)]
+            yield pa.RecordBatch.from_arrays([lists(halves, pa.int64())], names=["low"])
+
+    return run
 
 
 def _whole_sets(k: int):
@@ -214,8 +227,19 @@ def _similar(num: int, den: int):
     return run
 
 
-def _entered(table: np.ndarray, component: bool):
-    """The list entries that the table may have, a row each; or, without ``component``, the ids of their sets."""
+def _ids_with(table: np.ndarray):
+    """The ids of the sets that have an entry which the table may have."""
+
+    def pick(batch: pa.RecordBatch) -> np.ndarray:
+        prefix = batch.column("prefix")
+        at = np.repeat(np.arange(batch.num_rows), prefix.value_lengths().to_numpy())
+        return batch.column("id").to_numpy()[np.unique(at[held(table, prefix.flatten().to_numpy())])]
+
+    return pick
+
+
+def _entered(table: np.ndarray, without: np.ndarray | None):
+    """The list entries that the table may have, a row each; without the sets whose id that table may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,12 +247,10 @@ def _entered(table: np.ndarray, component: bool):
             flat = prefix.flatten().to_numpy()
             at = np.repeat(np.arange(batch.num_rows), prefix.value_lengths().to_numpy())
             found = held(table, flat)
-            at = at[found]
-            if component:
-                columns = {c: batch.column(c).take(pa.array(at)) for c in ("id", "n", "component")} | {"h": pa.array(flat[found], pa.int64())}
-            else:
-                columns = {"id": batch.column("id").take(pa.array(np.unique(at)))}
-            yield pa.RecordBatch.from_pydict(columns)
+            if without is not None:
+                found &= ~held(without, batch.column("id").to_numpy())[at]
+            at = pa.array(at[found])
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(at) for c in ("id", "n", "component")} | {"h": pa.array(flat[found], pa.int64())})
 
     return run
 
@@ -486,12 +508,12 @@ def _list_pairs(texts: DataFrame, survey: DataFrame, rep: DataFrame, early: Data
     linked = early.join(rep.select(F.col("rep").alias("node"), F.lit(True).alias("is_rep")).distinct(), "node", "left")
     in_early = sieve(early.select("node"))
 
-    def prefixes(of: DataFrame) -> DataFrame:
-        made = materialise(of.select("id", "text").mapInArrow(_prefixes(k, num, den, above, late_hashes), "id long, n long, prefix array<long>"), "prefixes")
-        own = made.select("id", "n", "prefix", F.col("id").alias("component"))
-        looked_up = passing(made, in_early, "id").join(linked, F.col("id") == F.col("node"), "left").filter("node is null or is_rep")
+    def prefixes(only: np.ndarray | None) -> DataFrame:
+        """(id, n, prefix, component) of the sets, or of those whose ids the table may have."""
+        made = materialise(texts.mapInArrow(_prefixes(k, num, den, above, late_hashes, in_early, only), "id long, n long, prefix array<long>, linked boolean"), "prefixes")
+        looked_up = made.filter("linked").join(linked, F.col("id") == F.col("node"), "left").filter("node is null or is_rep")
         looked_up = materialise(looked_up.select("id", "n", "prefix", F.coalesce("component", "id").alias("component")), "looked_up")
-        return passing(own, in_early, "id", inside=False).unionByName(looked_up)
+        return made.filter("not linked").select("id", "n", "prefix", F.col("id").alias("component")).unionByName(looked_up)
 
     def mixed_lists(of: DataFrame) -> DataFrame:
         """Lists of several components. Those with the same components get the same key p, whatever else is in their sets."""
@@ -499,22 +521,27 @@ def _list_pairs(texts: DataFrame, survey: DataFrame, rep: DataFrame, early: Data
         found = entered.agg(F.min("c").alias("p"), F.max("c").alias("q"), F.count("*").alias("entries"))
         return materialise(found.filter("p < q").select("h", "p", "entries"), "lists")
 
-    entries = prefixes(texts)
+    entries = prefixes(None)
     mixed = mixed_lists(entries)
     too_long = mixed.filter(F.col("entries") > LONG_LIST).select("h")
+    again = stale = None
     if too_long.count():
         # passages that some sets share: count the shingles of those sets, move the frequent ones to the end of
         # the order, and make the prefixes that hold a moved shingle again, whoever's they are: any other prefix is
         # the same in both orders, so that all sets follow one
-        touched = sieve(entries.mapInArrow(_entered(sieve(too_long), False), "id long"))
-        counts = passing(texts, touched, "id").select("text").mapInArrow(lambda batches: _low_half(batches, k), "low array<long>").select(F.explode("low").alias("h")).groupBy("h").count()
+        touched = sieve(entries, _ids_with(sieve(too_long)))
+        counts = texts.mapInArrow(_low_half(k, touched), "low array<long>").select(F.explode("low").alias("h")).groupBy("h").count()
         moved = materialise(counts.filter(F.col("count") > LONG_LIST).orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h"), "moved")
         late_hashes = np.union1d(late_hashes, _hashes(moved))
-        stale = sieve(entries.mapInArrow(_entered(sieve(moved), False), "id long"))
-        entries = passing(entries, stale, "id", inside=False).unionByName(prefixes(passing(texts, stale, "id")))
+        stale = sieve(entries, _ids_with(sieve(moved)))
+        again = prefixes(stale)
         release(mixed, moved)
-        mixed = mixed_lists(entries)
-    entered = entries.mapInArrow(_entered(sieve(mixed.select("h")), True), "id long, n long, component long, h long")
+        mixed = mixed_lists(passing(entries, stale, "id", inside=False).unionByName(again))
+    of_several = sieve(mixed.select("h"))
+    schema = "id long, n long, component long, h long"
+    entered = entries.mapInArrow(_entered(of_several, stale), schema)
+    if again is not None:
+        entered = entered.unionByName(again.mapInArrow(_entered(of_several, None), schema))
     keyed = materialise(entered.join(mixed.select("h", "p"), "h"), "keyed")
     full = keyed.select("p", "id").distinct().groupBy("p").count().filter(F.col("count") > EXACT_ABOVE).select("p", F.lit(True).alias("full"))
     flagged = keyed.join(full, "p", "left").withColumn("crowded", F.coalesce("full", F.lit(False)))

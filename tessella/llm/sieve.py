@@ -6,7 +6,7 @@ rows that pass meet the keys in an exact join. More keys let more rows pass, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,18 +14,25 @@ from pyspark.sql import DataFrame
 
 from tessella.llm.words import mix
 
-#: Bits of a table (16 MB), and how many of them reach the driver in one row.
-SLOTS, PART = 1 << 27, 1 << 15
+#: Bits of a table (8 MB), and how many of them reach the driver in one row.
+SLOTS, PART = 1 << 26, 1 << 15
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.astype(np.int64).view(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        slots = np.unique(_slots(batch.column(0).drop_null().to_numpy()))
-        yield pa.RecordBatch.from_arrays([pa.array(slots // PART, pa.int64()), pa.array(slots, pa.int64())], names=["part", "slot"])
+def _parts(pick: Callable[[pa.RecordBatch], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = np.unique(_slots(pick(batch)))
+            yield pa.RecordBatch.from_arrays([pa.array(slots // PART, pa.int64()), pa.array(slots, pa.int64())], names=["part", "slot"])
+
+    return run
+
+
+def _first(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).drop_null().to_numpy()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,9 +45,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array([rows[i].tobytes() for i in filled.tolist()], pa.binary())], names=["part", "bits"])
 
 
-def sieve(keys: DataFrame) -> np.ndarray:
-    """The bit table of the one (long) column of ``keys``; nulls are in none."""
-    packed = keys.mapInArrow(_parts, "part long, slot long").repartition("part").mapInArrow(_packed, "part long, bits binary")
+def sieve(keys: DataFrame, pick: Callable[[pa.RecordBatch], np.ndarray] = _first) -> np.ndarray:
+    """The bit table of the keys that ``pick`` finds in each batch: by default those of the first (long) column, without nulls."""
+    packed = keys.mapInArrow(_parts(pick), "part long, slot long").repartition("part").mapInArrow(_packed, "part long, bits binary")
     table = np.zeros((SLOTS // PART, PART // 8), np.uint8)
     got = packed.toArrow()
     for part, bits in zip(got.column("part").to_pylist(), got.column("bits").to_pylist(), strict=True):
