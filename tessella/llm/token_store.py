@@ -3,10 +3,12 @@
 Documents are encoded, and a rolling hash over their ids cuts each stream into chunks, so that equal
 passages give equal chunks wherever they stand. A chunk is stored once, under the hash of its bytes. A
 document's recipe lists its chunks; a Merkle root over them verifies that what is read back is what was
-written. The manifest holds the recipes in ascending order of the document ids.
+written. The manifest holds the recipes in ascending order of the document ids, and the store's root, over
+all documents' roots, tells a manifest that lacks a part.
 
 ``store/kind=chunk`` has key, n and the ids as little-endian integers of ``WIDTH`` bytes; ``manifest``
-has, for each document, start, n_tokens, the chunk keys and the root. All are Parquet files.
+has, for each document, start, n_tokens, the chunk keys and the root; ``root`` has one row: the store's root,
+its documents and its tokens. All are Parquet files.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.words import mix, sliced, window_hashes
-from tessella.session import materialise, new_path
+from tessella.session import materialise, new_path, release
 
 _WHITE = re.compile(r"\s")
 KEY = 16
@@ -32,6 +34,8 @@ KEY = 16
 WINDOW, MEAN, MOST = 8, 256, 4096
 #: Encodings of words that a task keeps, and chunk keys that it knows it has sent already.
 CACHE, SHORT = 500_000, 8
+#: Bytes of text whose words are looked up together.
+SLICE = 4 << 20
 #: New words in one string.
 TOGETHER = 200
 
@@ -167,11 +171,13 @@ def _cut_all(path: str, end_id: int, width: int):
         encode = encoder(path)
         sent: set[bytes] = set()
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, SLICE):
             ids = batch.column(0).to_pylist()
             kinds, keys, owners, ns, data = [], [], [], [], []
             streams = [raw + tail for raw in encode([t or "" for t in batch.column(1).to_pylist()])]
             flat = np.frombuffer(b"".join(streams), "<u4")
+            if len(flat) and int(flat.max()) >> (8 * width):
+                raise ValueError(f"id {int(flat.max())} does not fit in {width} bytes: take a larger width")
             stored = flat.astype(f"<u{width}").tobytes()
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in streams])])
             for i, a, b, ends in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist(), cuts(flat, offsets), strict=True):
@@ -205,14 +211,14 @@ def _cut_all(path: str, end_id: int, width: int):
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first of the rows of each chunk; a partition has all of them, and holds their keys only."""
-    seen: set[bytes] = set()
+    """The first of the rows of each chunk: a partition has all of them, next to each other, so only the last key is held."""
+    last = None
     for batch in batches:
         keep = []
         for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            keep.append(kind != "chunk" or key not in seen)
+            keep.append(kind != "chunk" or key != last)
             if kind == "chunk":
-                seen.add(key)
+                last = key
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -225,13 +231,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, out: str | None = None, id
 
     A null or empty text has the end id alone. Rows that repeat are documents of their own; equal ids are
     ordered by length and content. A null id comes first. Other columns are not looked at. ``width`` is the
-    bytes of an id in the files: 2 for vocabularies of up to 65,536 ids, else 4.
+    bytes of an id in the files: 2 for vocabularies of up to 65,536 ids, else 4; an id that does not fit is a ValueError.
     """
     spark = docs.sparkSession
     out = out or new_path(spark, "token-store")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_cut_all(tokenizer_path, end_id, width), _ROW)
-    once = rows.repartition(n, "key").mapInArrow(_once, _ROW)
+    once = rows.repartition(n, "key").sortWithinPartitions("kind", "key").mapInArrow(_once, _ROW)
     once.write.partitionBy("kind").option("compression", "snappy").parquet(f"{out}/store")
 
     recipes = spark.read.schema("key binary, id long, n long, data binary, kind string").parquet(f"{out}/store").filter("kind = 'recipe'").select("id", "n", "data")
@@ -266,9 +272,44 @@ def write_store(docs: DataFrame, tokenizer_path: str, out: str | None = None, id
         total += sizes[part]
     offsets = spark.createDataFrame(before, "part int, before long")
     local.join(F.broadcast(offsets), "part").withColumn("start", F.col("start") + F.col("before")).drop("before").write.option("compression", "zstd").parquet(f"{out}/manifest")
+    release(local)
+    root = _store_root(read_manifest(spark, out))
+    spark.createDataFrame([root], "root binary, documents long, n_tokens long").coalesce(1).write.parquet(f"{out}/root")
     return out
 
 
+def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each part of the manifest: a hash over its documents' roots in their order. Documents must be
+    numbered from 0, and each must start where the one before ends."""
+    rows: list[list] = []
+    for batch in batches:
+        for part, ordinal, start, n, root in zip(*(batch.column(c).to_pylist() for c in ("part", "ordinal", "start", "n_tokens", "root")), strict=True):
+            if not rows or rows[-1][0] != part:
+                rows.append([part, start, start, 0, hashlib.blake2b(b"part", digest_size=KEY)])
+            last = rows[-1]
+            if ordinal != last[3] or start != last[2]:
+                raise ValueError(f"the manifest lacks a document in part {part}")
+            last[2], last[3] = start + n, ordinal + 1
+            last[4].update(root)
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array([h.digest() for h in columns[4]], pa.binary())],
+        names=["part", "start", "end", "documents", "root"],
+    )
+
+
+def _store_root(manifest: DataFrame) -> tuple[bytes, int, int]:
+    """(root, documents, tokens) of the manifest; one row for each of its parts reaches the driver."""
+    rows = manifest.select("part", "ordinal", "start", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "ordinal")
+    parts = sorted(tuple(r) for r in rows.mapInArrow(_part_roots, "part int, start long, end long, documents long, root binary").collect())
+    at = documents = 0
+    for part, start, end, n, _ in parts:
+        if start != at:
+            raise ValueError(f"the manifest lacks what comes before part {part}")
+        at, documents = end, documents + n
+    return merkle([bytes(p[4]) for p in parts]), documents, at
+
+
 def _checked(width: int):
     """(key, n, crc) of each chunk: its bytes must have the hash that it is stored under."""
 
@@ -361,8 +402,14 @@ def _references(manifest: DataFrame) -> DataFrame:
 
 
 def verify_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32, n_chunks) of each document, from the files: each chunk is read and
-    its hash compared; then recipes, lengths and roots. Anything that does not fit raises an error."""
+    """(id, start, n_tokens, ids_crc32, n_chunks) of each document, from the files: the store's root, the number of
+    documents and their starts are compared at once, then each chunk is read and its hash compared; then recipes,
+    lengths and roots. Anything that does not fit raises an error. A chunk of very many documents is one key of
+    the join; adaptive execution splits its references, as only they are many."""
+    root, documents, tokens = _store_root(read_manifest(spark, path))
+    want = spark.read.schema("root binary, documents long, n_tokens long").parquet(f"{path}/root").collect()
+    if [(bytes(r["root"]), r["documents"], r["n_tokens"]) for r in want] != [(root, documents, tokens)]:
+        raise ValueError("the manifest is not what was written")
     chunks = read_chunks(spark, path).select("key", "data").mapInArrow(_checked(width), "key binary, n long, crc long")
     doc = ["part", "ordinal", "id", "start", "n_tokens", "root"]
     joined = _references(read_manifest(spark, path)).join(chunks, "key", "left")
