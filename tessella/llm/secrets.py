@@ -1,9 +1,10 @@
 """Secret scans with structural confirmation.
 
-Three simple patterns propose base spans. Beyond them, candidates of base64 or hexadecimal text are
-decoded, and reported only if what they hold has the structure of a key: DER with nested lengths that
-add up, the length-prefixed fields of an SSH key, an armoured private key whose body is one of these, or
-a signed token whose header is JSON that names an algorithm.
+Three simple patterns propose base spans. Beyond them, candidates of base64 (plain, URL-safe or wrapped)
+or hexadecimal text are decoded, and reported only if what they hold has the structure of a private key: DER
+with nested lengths that add up and the fields of PKCS#1, PKCS#8, SEC1 or DSA, an openssh-key-v1 file, an
+OpenPGP secret key packet, an armoured key whose body is one of these, or a signed token whose header is JSON
+that names an algorithm. Public keys and certificates are no secrets.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.words import sliced
+
 #: Kinds in the order in which spans with the same start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "jwt", "private_key", "encoded_key", "hex_key")
 
@@ -29,12 +32,18 @@ _LONG = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{32,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
-_ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}")
+_URL_BASE64 = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}+={0,2}")
+#: Base64 in lines of 64 or 76 characters.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=])(?:(?:[A-Za-z0-9+/]{64}\r?\n)++|(?:[A-Za-z0-9+/]{76}\r?\n)++)(?:[A-Za-z0-9+/]{1,76}+={0,2})?")
+_BEGIN, _LABEL = "-----BEGIN ", re.compile(r"((?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?)-----")
+_BODY = re.compile(r"[A-Za-z0-9+/=\s:,.()_-]*+")
+_DEK = re.compile(r"DEK-Info: *[A-Z0-9-]+,([0-9A-F]+)\s*$", re.M)
 
 #: ASN.1 tags whose content is itself DER: SEQUENCE, SET and the context tags 0 to 3.
 _NESTING_TAGS = {0x30, 0x31, 0xA0, 0xA1, 0xA2, 0xA3}
-_SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Object identifiers of password-based encryption (PKCS#5, PKCS#12), as DER begins them.
+_ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c"))
 _OPENSSH_MAGIC = b"openssh-key-v1\0"
 
 
@@ -80,10 +89,48 @@ def ssh_fields(data: bytes) -> int | None:
     return fields
 
 
+def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
+    """(tag, begin, end of the content) of the fields side by side in valid DER."""
+    out = []
+    while at < end:
+        tag, size = data[at], data[at + 1]
+        at += 2
+        if size & 0x80:
+            n = size & 0x7F
+            size = int.from_bytes(data[at : at + n], "big")
+            at += n
+        out.append((tag, at, at + size))
+        at += size
+    return out
+
+
+def _is_der_key(data: bytes) -> bool:
+    if not der_fields(data, 0, len(data)):
+        return False
+    outer = _children(data, 0, len(data))
+    if len(outer) != 1 or outer[0][0] != 0x30:
+        return False
+    fields = _children(data, *outer[0][1:])
+    tags = [t for t, _, _ in fields]
+    if tags[:2] == [0x30, 0x04] and len(tags) == 2:  # encrypted PKCS#8
+        inner = _children(data, *fields[0][1:])
+        return bool(inner) and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]].startswith(_ENCRYPTIONS)
+    if not tags or tags[0] != 0x02 or data[fields[0][1] : fields[0][2]] not in (b"\0", b"\1"):
+        return False
+    if set(tags) == {0x02} and len(tags) in (6, 9):  # DSA, and RSA by PKCS#1
+        return True
+    if tags[1:2] == [0x04]:  # SEC1, which names its curve or its public point
+        return data[fields[0][1]] == 1 and len(tags) >= 3 and set(tags[2:]) <= {0xA0, 0xA1}
+    if tags[1:3] == [0x30, 0x04]:  # PKCS#8
+        inner = _children(data, *fields[1][1:])
+        return bool(inner) and inner[0][0] == 0x06
+    return False
+
+
 def is_key(data: bytes) -> bool:
-    """Whether these bytes are a key in DER or in one of the SSH encodings."""
+    """Whether these bytes are a private key in DER, in openssh-key-v1, or an OpenPGP packet of a secret key."""
     if data[:1] == b"\x30":
-        return (der_fields(data, 0, len(data)) or 0) >= 3
+        return _is_der_key(data)
     if data.startswith(_OPENSSH_MAGIC):
         rest = data[len(_OPENSSH_MAGIC) :]
         for _ in range(3):  # cipher, key derivation and its options
@@ -92,11 +139,59 @@ def is_key(data: bytes) -> bool:
                 return False
             rest = rest[4 + size :]
         return len(rest) > 8 and 1 <= int.from_bytes(rest[:4], "big") <= 16 and ssh_fields(rest[4:]) is not None
-    if len(data) > 15 and data[:3] == b"\0\0\0" and data[4 : 4 + data[3]] in _SSH_NAMES:
-        return (ssh_fields(data) or 0) >= 2
     return False
 
 
+def is_pgp_key(data: bytes) -> bool:
+    """Whether these bytes begin with an OpenPGP secret key packet that is wholly there."""
+    if len(data) < 8 or not data[0] & 0x80:
+        return False
+    if data[0] & 0x40:
+        tag, first = data[0] & 0x3F, data[1]
+        if first < 192:
+            size, head = first, 2
+        elif first < 224:
+            size, head = ((first - 192) << 8) + data[2] + 192, 3
+        else:
+            size, head = int.from_bytes(data[2:6], "big"), 6
+    else:
+        tag, n = (data[0] >> 2) & 0x0F, 1 << (data[0] & 3)
+        if n > 4:
+            return False
+        size, head = int.from_bytes(data[1 : 1 + n], "big"), 1 + n
+    return tag == 5 and 0 < size <= len(data) - head and data[head] in (3, 4, 5, 6)
+
+
+def _armoured(text: str) -> Iterator[tuple[int, int]]:
+    """From each BEGIN to the END of the same label, if it comes before the next BEGIN. Line ends may be written as
+    backslash and letter, as in JSON."""
+    at = text.find(_BEGIN)
+    while at >= 0:
+        after = text.find(_BEGIN, at + 1)
+        if m := _LABEL.match(text, at + len(_BEGIN)):
+            end = text.find(f"-----END {m[1]}-----", m.end(), after if after >= 0 else len(text))
+            if end >= 0:
+                body = text[m.end() : end].replace("\\r", "").replace("\\n", "\n")
+                if _BODY.fullmatch(body) and _is_body(body, m[1]):
+                    yield at, end + len(m[1]) + 14
+        at = after
+
+
+def _is_body(body: str, label: str) -> bool:
+    pgp = label.endswith("BLOCK")
+    lines = [line.strip() for line in body.split("\n")]
+    data = from_base64("".join("".join(line.split()) for line in lines if ":" not in line and not (pgp and line.startswith("="))))
+    if not data:
+        return False
+    if pgp:
+        return is_pgp_key(data)
+    if is_key(data):
+        return True
+    # a traditional encrypted key: whole blocks of ciphertext, and the start vector that its header tells
+    dek = _DEK.search(body)
+    return "ENCRYPTED" in body and dek is not None and len(dek[1]) in (16, 32) and len(data) % (len(dek[1]) // 2) == 0
+
+
 def from_base64(text: str) -> bytes | None:
     body = text.rstrip("=")
     if len(body) % 4 == 1:
@@ -132,12 +227,17 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
         for m in _ANY_HEX.finditer(text, a, b):
             if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
                 found.append((m.start(), m.end(), "hex_key"))
-        found += [(m.start(), m.end(), "encoded_key") for m in _BASE64.finditer(text, a, b) if (data := from_base64(m[0])) and is_key(data)]
-    if "-----BEGIN " in text:
-        for m in _ARMOUR.finditer(text):
-            body = "".join(line for line in m[2].split() if ":" not in line)
-            if (data := from_base64(body)) and (is_key(data) or "ENCRYPTED" in m[2]):
-                found.append((m.start(), m.end(), "private_key"))
+        for m in (*_BASE64.finditer(text, a, b), *_URL_BASE64.finditer(text, a, b)):
+            if (data := from_base64(m[0])) and is_key(data):
+                found.append((m.start(), m.end(), "encoded_key"))
+    if _BEGIN in text:
+        found += [(a, b, "private_key") for a, b in _armoured(text)]
+    if "\n" in text:
+        inside = [(a, b) for a, b, k in found if k == "private_key"]
+        for m in _WRAPPED.finditer(text):
+            if (data := from_base64("".join(m[0].split()))) and is_key(data) and not any(a <= m.start() < b for a, b in inside):
+                found.append((m.start(), m.start() + len(m[0].rstrip()), "encoded_key"))
+    found = [*dict.fromkeys(found)]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -153,7 +253,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in find_secrets(t)] if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPAN_TYPE)], names=["id", "spans"])
 
