@@ -30,17 +30,57 @@ MARK = "▁"
 CACHE = 150_000
 #: Longer words are joined with a queue of edges, as rounds over all symbols would take long.
 LONG = 64
-#: Bytes of text whose new words are indexed together.
-TOGETHER = 2 << 20
+#: Bytes of text whose new words are indexed together, and characters in one suffix array.
+TOGETHER, INDEXED = 2 << 20, 1 << 21
 _WORD = re.compile(f"{MARK}*[^{MARK}]*")
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a message in the public protocol-buffer wire format: number, and an integer or the bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 0x7F) << shift
+            shift += 7
+            if byte < 0x80:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+        else:
+            size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield tag >> 3, data[at : at + size]
+            at += size
+
+
+def check_model(path: str) -> None:
+    """Raise unless the model is a byte-pair one that leaves texts as they are but for a space before the first word."""
+    with open(path, "rb") as f:
+        model = list(_fields(f.read()))
+    trainer = dict(x for n, v in model if n == 2 for x in _fields(v))
+    normaliser = dict(x for n, v in model if n == 3 for x in _fields(v))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("a byte-pair model is needed")
+    # 2: table of replaced characters, 3: space put first, 4: spaces removed, 5: spaces as marks; by default 3 to 5 are on
+    if normaliser.get(2) or not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("a model that does not normalise texts is needed")
+
+
 class Vocabulary:
     """The pieces of a byte-pair model with byte fallback, and the checks that words can be encoded alone."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
+        check_model(path)
         model = SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(n)]
@@ -91,7 +131,14 @@ def _keys(codes: np.ndarray, width: int, bits: int, fill: int | np.ndarray = 0)
 
 def edge_table(v: Vocabulary, text: str) -> np.ndarray:
     """For each position of ``text`` and each length: the id of the piece there, or -1. Words in ``text`` are
-    parted by a zero character, which no piece has."""
+    parted by a zero character, which no piece has. A long text is indexed in pieces, which reach into the next by
+    the longest piece."""
+    if len(text) <= INDEXED:
+        return _edge_table(v, text)
+    return np.concatenate([_edge_table(v, text[a : a + INDEXED + v.longest])[:INDEXED] for a in range(0, len(text), INDEXED)])
+
+
+def _edge_table(v: Vocabulary, text: str) -> np.ndarray:
     codes = v.rank(text)
     codes[np.frombuffer(text.encode("utf-32-le"), np.uint32) == 0] = 0
     n, width = len(codes), v.longest
