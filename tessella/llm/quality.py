@@ -177,20 +177,19 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Fit on those documents whose id ``labels`` holds, at most ``max_rows`` by a hash of the id.
 
-    Rows with a null id or label are left out; of labels that differ for one id the larger counts. Other
-    columns of ``docs`` (language, source, ...) are never looked at.
+    Rows with a null id or label are left out; of labels that differ for one id the larger counts, and of texts
+    that share an id the least. Other columns of ``docs`` (language, source, ...) are never looked at.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("i"), "i").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("i")).select("id", "text", "y")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("i")).groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             x = features(encoded(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    # an id may repeat in docs; the bound holds for rows, too
-    got = rows.mapInArrow(run, "y double, x array<double>").limit(2 * max_rows).toArrow()
+    got = rows.mapInArrow(run, "y double, x array<double>").toArrow()  # one row for each id
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = got.column("y").to_numpy()
     order = np.lexsort((*x.T, y))  # the fit does not depend on the order in which tasks end
