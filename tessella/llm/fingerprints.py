@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessella.llm.words import encoded, mix, shingles
+from tessella.llm.words import encoded, mix, shingles, sliced
 
 K = 128
 BITS = 40
@@ -71,7 +72,7 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, sketch: array<long>) of each row of ``docs``. Null and empty texts have an empty sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found = sketches(encoded(batch.column(1)), k, size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], names=["id", "sketch"])
 
@@ -80,12 +81,12 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def merged_sketches(table: DataFrame, by: list[str], sketch_col: str = "sketch", k: int = K, salts: int = 64) -> DataFrame:
-    """The sketch of all parts of each group. Groups are salted, so that a large one meets in one task
-    only as ``salts`` sketches of at most k hashes."""
-    parts = table.select(*by, F.explode(sketch_col).alias("h")).withColumn("salt", F.pmod("h", F.lit(salts)))
-    least = lambda c: F.slice(F.array_sort(c), 1, k)
-    small = parts.distinct().groupBy(*by, "salt").agg(least(F.collect_list("h")).alias("low"))
-    return small.groupBy(*by).agg(least(F.flatten(F.collect_list("low"))).alias(sketch_col))
+    """The sketch of all parts of each group. Groups are salted and ranked within the salt, which Spark cuts before
+    and after the shuffle, so that a large one meets in one task only as at most k hashes of each of ``salts``."""
+    parts = table.select(*by, F.explode(sketch_col).alias("h")).withColumn("salt", F.pmod("h", F.lit(salts))).distinct()
+    rank = F.row_number().over(Window.partitionBy(*by, "salt").orderBy("h"))
+    small = parts.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return small.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("h")), 1, k).alias(sketch_col))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
