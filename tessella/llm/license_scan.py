@@ -62,8 +62,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LEAST_VOTES, NEIGHBOURS = 2, 3
 #: Share of a notice's pairs that must vote, and of its distinct words that must be in the span.
 VOTED, WORDS_FOUND = 0.6, 0.7
-#: Documents with candidate spans are broadcast for verification up to this number, else shuffled.
-MAX_BROADCAST_DOCS = 500_000
+#: Candidate spans are broadcast for verification up to so many bytes, else joined by a shuffle.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def templates() -> list[tuple[int, str, bool, list[str]]]:
@@ -144,7 +144,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     spans = exact.unionByName(runs).groupBy("id", "key").agg(F.collect_list(F.struct("template", "phrase", "first", "end")).alias("spans"))
     spans = materialise(spans.select(F.col("id").alias("i"), F.col("key").alias("k"), "spans"), "spans")
-    if spans.count() <= MAX_BROADCAST_DOCS:
+    # a row holds its keys and some 40 bytes for each span
+    if (spans.agg(F.sum(64 + 40 * F.size("spans"))).first()[0] or 0) <= MAX_BROADCAST_BYTES:
         spans = F.broadcast(spans)
     # verification on the words of the documents that have a span
     found = (
