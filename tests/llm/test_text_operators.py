@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -32,8 +33,23 @@ def b64(raw):
     return base64.b64encode(raw).decode()
 
 
-DER = bytes([0x30, 0x82, 0x01, 0x0C, 0x02, 0x01, 0x00, 0x30, 0x82, 0x01, 0x05, 0x02, 0x01, 0x05, 0x04, 0x81, 0xFF]) + bytes(255)
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+RSA_OID, CURVE_OID = der(6, bytes.fromhex("2a864886f70d010101")), der(6, bytes.fromhex("2a8648ce3d030107"))
+PKCS8 = der(0x30, der(2, b"\0"), der(0x30, RSA_OID, b"\5\0"), der(4, bytes(200)))
+PKCS1 = der(0x30, der(2, b"\0"), *(der(2, bytes([1] * 40)) for _ in range(8)))
+SEC1 = der(0x30, der(2, b"\1"), der(4, bytes(32)), der(0xA0, CURVE_OID))
+ENCRYPTED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, b"\5\0")), der(4, bytes(64)))
+PUBLIC = der(0x30, der(0x30, RSA_OID, b"\5\0"), der(3, bytes(100)))
+CERTIFICATE = der(0x30, der(0x30, der(2, b"\1"), PUBLIC), der(0x30, RSA_OID), der(3, bytes(64)))
 SSH = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+OPENSSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (SSH, bytes(64)))
+PGP = bytes([0x95, 0, 40, 4]) + bytes(39)
 JWT = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256"}', b'{"sub":"1"}', bytes(32)))
 
 
@@ -50,15 +66,45 @@ def test_secret_base_patterns():
 
 
 def test_secret_structures():
-    assert secrets.is_key(DER) and not secrets.is_key(DER[:-1]) and not secrets.is_key(b"\x30" + DER[1:4] + bytes(len(DER) - 4))
-    assert ("encoded_key", b64(DER)) in secret_kinds(f"x {b64(DER)} y")
-    assert ("encoded_key", b64(SSH)) in secret_kinds(f"ssh-ed25519 {b64(SSH)} me")
-    assert "hex_key" in [k for k, _ in secret_kinds(DER.hex())]
+    for key in (PKCS8, PKCS1, SEC1, ENCRYPTED, OPENSSH):
+        assert secrets.is_key(key) and not secrets.is_key(key[:-1]) and not secrets.is_key(key + b"\0" if key is not OPENSSH else key[:40])
+        assert ("encoded_key", b64(key)) in secret_kinds(f"x {b64(key)} y")
+    for other in (PUBLIC, CERTIFICATE, SSH, b"\x30" + PKCS8[1:3] + bytes(len(PKCS8) - 3), bytes(range(60))):
+        assert not secrets.is_key(other) and secret_kinds(f"x {b64(other)} y") == []
+    assert "hex_key" in [k for k, _ in secret_kinds(PKCS8.hex())]
+    safe = base64.urlsafe_b64encode(PKCS1.replace(b"\1\1\1\1", b"\xff\xef\xbe\xfb")).decode().rstrip("=")
+    assert "_" in safe and ("encoded_key", safe) in secret_kinds(f"x {safe}; y")
     assert [k for k, _ in secret_kinds(f"bearer {JWT}")] == ["jwt"]
-    assert secret_kinds(JWT.replace("eyJ", "eyK", 1)) == [] and secret_kinds(b64(bytes(range(60)))) == []
-    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{b64(DER)}\n-----END RSA PRIVATE KEY-----"
-    assert ("private_key", pem) in secret_kinds(f"see {pem} there")
-    assert "private_key" not in [k for k, _ in secret_kinds(pem.replace(b64(DER), "AAAA"))]
+    assert secret_kinds(JWT.replace("eyJ", "eyK", 1)) == []
+
+
+@pytest.mark.parametrize("width", [64, 76])
+def test_wrapped_and_armoured_keys(width):
+    lines = "\n".join(re.findall(f".{{1,{width}}}", b64(PKCS1)))
+    assert ("encoded_key", lines) in secret_kinds(f"key:\n{lines}\nend")
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----"
+    assert [x for x in secret_kinds(f"see {pem} there")] == [("private_key", pem)]
+    escaped = pem.replace("\n", "\\n")
+    assert ("private_key", escaped) in secret_kinds(json.dumps({"private_key": pem}))
+    assert secret_kinds(pem.replace("RSA PRIVATE", "PUBLIC").replace(b64(PKCS1)[:8], "AAAAAAAA")) == []
+    assert "private_key" not in [k for k, _ in secret_kinds(pem.replace(lines, "AAAA"))]
+    assert "private_key" not in [k for k, _ in secret_kinds(pem.replace("END RSA", "END EC"))]
+    block = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x 1.0\n\n{b64(PGP)}\n=abcd\n-----END PGP PRIVATE KEY BLOCK-----"
+    assert ("private_key", block) in secret_kinds(f"a {block} b")
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    locked = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{b64(bytes(range(64)))}\n-----END RSA PRIVATE KEY-----"
+    assert ("private_key", locked) in secret_kinds(locked) and secret_kinds(locked.replace(b64(bytes(range(64))), b64(bytes(range(63))))) == []
+
+
+def test_secrets_take_linear_time():
+    def seconds(text):
+        began = time.perf_counter()
+        secrets.find_secrets(text)
+        return time.perf_counter() - began
+
+    for unit in ("-----BEGIN RSA PRIVATE KEY-----\n", "A" * 64 + "\n", "eyJ", "password", "-----END RSA PRIVATE KEY-----", "ab12_-"):
+        short = min(seconds(unit * (40_000 // len(unit))) for _ in range(3))
+        assert seconds(unit * (400_000 // len(unit))) < 40 * max(short, 0.005), unit
 
 
 def test_secret_scan_rows(spark):
@@ -98,7 +144,7 @@ def test_pii_checksums_context_and_redaction():
     assert [x[0] for x in pii.find_pii("IBAN DE89 3704 0044 0532 0130 00 ok")] == ["iban"]
     assert [x[0] for x in pii.find_pii("ssn 123-45-6789")] == ["ssn"] and pii.find_pii("part 123-45-6789") == []
     plain, near = pii.find_pii("x 1.2.3.4")[0], pii.find_pii("server 1.2.3.4")[0]
-    assert near[3] > plain[3]
+    assert near[3] > plain[3] == pii.find_pii("recipe 1.2.3.4")[0][3] and pii.find_pii("hotel +1 555 010 9999")[0][3] < pii.find_pii("tel: +1 555 010 9999")[0][3]
     assert pii.redact("é a@b.co and 1.2.3.4!") == "é <EMAIL> and <IP>!" and pii.redact("nothing") == "nothing"
 
 
@@ -171,13 +217,25 @@ def test_spans_of_several_blocks_are_those_of_one(spark, monkeypatch):
     d = docs(spark, texts)
     one = sorted(map(tuple, D.decontaminated(d, bench, spans=True).collect()))
     monkeypatch.setattr(D, "BLOCK_BYTES", 60)
-    assert len(list(D.benchmark_blocks(bench, "item_id", "text"))) > 3
+    assert len(list(D.benchmark_blocks(bench, "item_id", "text", 10))) > 3
     several = D.decontaminated(d, bench, spans=True)
     assert several.columns == d.columns and sorted(map(tuple, several.collect())) == one
     assert one[0][1].split() == [] and one[2][1].split() == ["d9", "e9"] and one[3][1].split() == ["z"]
     assert {x["doc_id"] for x in D.decontaminated(d, bench).collect()}.isdisjoint(range(4))
 
 
+def test_long_items_are_divided_without_loss(spark, monkeypatch):
+    for name, value in (("BLOCK_BYTES", 4000), ("PIECE_BYTES", 300)):
+        monkeypatch.setattr(D, name, value)
+    words = [f"w{i}" for i in range(2000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "a b"), (3, " ".join(words[100:130]))], "item_id long, text string")
+    texts = [*(" ".join(words[i : i + 10]) for i in range(1991)), "W5 w6 w7", "x A b", None]
+    got = D.scan_contamination(docs(spark, texts), bench).orderBy("doc_id").collect()
+    for i, r in enumerate(got[:1991]):
+        assert r["items"] == ["1", *(["3"] if 100 <= i <= 120 else [])] and [tuple(x) for x in r["ranges"]] == [(0, 10)], i
+    assert [r["items"] for r in got[1991:]] == [[], ["2"], []] and got[1991]["n_words"] == 3
+
+
 # --- op5 -----------------------------------------------------------------------------------------------
 def test_fingerprints_against_brute_force(spark):
     r = random.Random(6)
@@ -257,12 +315,30 @@ def test_token_store_sees_damage(spark, tmp_path):
     path = T.write_store(docs(spark, ["one two", "three"]), BYTE_BPE, f"file://{tmp_path}/store")
     T.read_chunks(spark, path).withColumn("data", F.lit(b"xx")).withColumn("kind", F.lit("chunk")).withColumn("id", F.lit(None).cast("long")).select("key", "id", "n", "data", "kind").write.mode("overwrite").partitionBy("kind").parquet(f"{tmp_path}/bad/store")
     T.read_manifest(spark, path).write.parquet(f"{tmp_path}/bad/manifest")
+    spark.read.parquet(f"{path}/root").write.parquet(f"{tmp_path}/bad/root")
     with pytest.raises(Exception, match="damaged"):
         T.verify_store(spark, f"file://{tmp_path}/bad").collect()
     empty = T.write_store(docs(spark, []).limit(0), BYTE_BPE, f"file://{tmp_path}/none")
     assert T.verify_store(spark, empty).count() == 0
 
 
+def test_token_store_misses_documents(spark, tmp_path):
+    path = T.write_store(docs(spark, [f"text {i}" for i in range(20)]), BYTE_BPE, f"file://{tmp_path}/store")
+    for name, lost in (("first", "start > 0"), ("last", "id < 19"), ("inner", "id <> 7"), ("all", "false")):
+        T.read_chunks(spark, path).withColumns({"kind": F.lit("chunk"), "id": F.lit(None).cast("long")}).select("key", "id", "n", "data", "kind").write.partitionBy("kind").parquet(f"{tmp_path}/{name}/store")
+        T.read_manifest(spark, path).filter(lost).write.parquet(f"{tmp_path}/{name}/manifest")
+        spark.read.parquet(f"{path}/root").write.parquet(f"{tmp_path}/{name}/root")
+        with pytest.raises(Exception, match="manifest"):
+            T.verify_store(spark, f"file://{tmp_path}/{name}").collect()
+
+
+def test_ids_must_fit_their_width(spark, tmp_path):
+    with pytest.raises(Exception, match="does not fit"):
+        T.write_store(docs(spark, ["a"]), BYTE_BPE, f"file://{tmp_path}/wide", end_id=70_000)
+    path = T.write_store(docs(spark, ["a"]), BYTE_BPE, f"file://{tmp_path}/four", end_id=70_000, width=4)
+    assert T.verify_store(spark, path, 4).count() == 1 and T.read_documents(spark, path, 4).first()["ids"][-1] == 70_000
+
+
 def test_words_encoded_apart_are_the_whole():
     from tokenizers import Tokenizer
 
@@ -293,6 +369,27 @@ def test_sentence_pieces_equal_the_library():
     assert [S.decode(v, x) for x in got] == model.decode(got)
 
 
+def test_long_text_without_spaces_and_other_models(monkeypatch, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+
+    model, v, r = SentencePieceProcessor(model_file=MODEL), S.vocabulary(MODEL), random.Random(3)
+    text = "".join(r.choice("abcdehinosté中") for _ in range(5000))
+    monkeypatch.setattr(S, "INDEXED", 101)
+    v.cache.clear()
+    assert np.frombuffer(S.encode(v, [text])[0], "<u2").tolist() == model.encode(text)
+    raw = open(MODEL, "rb").read()
+    for name, at in (("unigram", raw.index(b"tok_v0") + 7), ("normalised", raw.rindex(b"identity") + 8 + 2 + 2 + 1)):
+        changed = bytearray(raw)
+        assert (changed[at - 1 if name == "unigram" else at], name) is not None
+        if name == "unigram":
+            changed[at] = 1  # model_type
+        else:
+            changed[at] = 1  # remove_extra_whitespaces
+        (tmp_path / name).write_bytes(changed)
+        with pytest.raises(ValueError):
+            S.check_model(str(tmp_path / name))
+
+
 def test_sentence_piece_rows(spark):
     texts = [None, "", "a b", "a b", "é" * 5000, "line\nfeed  two"]
     rows = S.piece_digests(docs(spark, texts), MODEL).orderBy("doc_id").collect()
