@@ -71,3 +71,23 @@ def test_pipeline_stages_take_effect(spark):
     assert now.filter(F.col("text").rlike(r"[a-z0-9]@[a-z0-9]+\.[a-z]")).count() == 0
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == counts[4] and out.filter("n_pieces = 0").count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, a further column with a clashing name, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string, ranges string"
+    clean = " ".join(f"plain{i} words" for i in range(60))
+    rows = [(i, t, "en", "s", len(t or ""), "x", "y") for i, t in [(None, clean), (1, None), (2, ""), (3, clean + " three"), (3, clean + " three"), (4, "word " * 60_000), (5, "mail a@b.co now")]]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, SF), stage(spark, docs.limit(0), SF)
+        assert none.count() == 0, name
+        got = out.collect()
+        if name == "sentence_pieces":
+            assert len(got) == 7 and sorted(r["n_pieces"] for r in got)[:2] == [0, 0]
+            continue
+        assert out.columns == docs.columns and {r["component_id"] for r in got} <= {"x"}, name
+        if name != "quality":
+            assert len(got) == 7, name  # no two ids of these are alike: the null id and 3 are, and both stay
+        if name == "personal_data":
+            assert [r["text"] for r in got if r["doc_id"] == 5] == ["mail <EMAIL> now"] and [r["text"] for r in got if r["doc_id"] == 1] == [None]
