@@ -10,12 +10,56 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.session import TABLES, table
 
-#: Nodes of a parsed statement that change something: commands and writes.
-_CHANGES = re.compile(r"Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Truncate|SetCatalog|SetNamespace|Cache|Refresh|AddArchive|AddFile|AddJar|LoadData|Repair|Analyze")
-_READS = re.compile(r"^(ShowTables|ShowColumns|DescribeRelation|DescribeColumn|Explain|ShowNamespaces|DescribeQuery)")
+#: Nodes that a query may consist of; whatever else a statement holds, at any depth, is refused.
+_QUERY_NODES = frozenset(
+    """
+    Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Join LateralJoin AsOfJoin Union Intersect Except Distinct SubqueryAlias
+    UnresolvedRelation UnresolvedWith UnresolvedInlineTable LocalRelation OneRowRelation Generate UnresolvedHaving
+    UnresolvedSubqueryColumnAliases WithWindowDefinition Window UnresolvedTableValuedFunction Pivot UnresolvedPivot Unpivot
+    UnresolvedHint RepartitionByExpression Repartition Sample ResolvedInlineTable UnresolvedTVFAliases
+    """.split()
+)
+_SHOWS = re.compile(r"ShowTables|ShowTablesCommand|ShowColumns|ShowColumnsCommand|DescribeRelation|DescribeColumn|DescribeQueryCommand|ShowNamespaces")
+_SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
+#: Functions that run code of the machine, and formats by which a file's path is a table.
+_FUNCTIONS = {"java_method", "reflect", "try_reflect"}
+_PATHS = {"parquet", "csv", "json", "text", "orc", "avro", "binaryfile", "delta", "xml"}
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _check(plan) -> None:
+    """Raise unless the parsed statement is a query throughout: its nodes, those in WITH and in subqueries, its functions."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name not in _QUERY_NODES:
+            raise ValueError(f"only queries are allowed, not {name}")
+        todo += _items(node.children())
+        if name == "UnresolvedWith":
+            todo += _items(node.innerChildren())
+        parts = []
+        if name in ("UnresolvedRelation", "UnresolvedTableValuedFunction"):
+            parts = [x.lower() for x in _items(node.multipartIdentifier() if name == "UnresolvedRelation" else node.name())]
+        if len(parts) > 1 and parts[0] in _PATHS and name == "UnresolvedRelation":
+            raise ValueError("files are no tables")
+        expressions = _items(node.expressions())
+        while expressions:
+            e = expressions.pop()
+            kind = e.getClass().getSimpleName()
+            if kind in _SUBQUERIES:
+                todo.append(e.plan())
+            elif kind == "UnresolvedFunction" and _items(e.nameParts())[-1].lower() in _FUNCTIONS:
+                raise ValueError("a function that runs code of the machine")
+            elif kind in ("CallMethodViaReflection", "TryReflect"):
+                raise ValueError("a function that runs code of the machine")
+            expressions += _items(e.children())
+
+
 def validated(spark: SparkSession, statement: str) -> str:
     """The statement without its last semicolon, if it is one query (or shows or describes something); else a ValueError."""
     text = statement.strip().rstrip(";").strip()
@@ -27,9 +71,8 @@ def validated(spark: SparkSession, statement: str) -> str:
         raise ValueError(f"not one statement of SQL: {e}") from e
     except Exception as e:
         raise ValueError(f"not one statement of SQL: {str(e).splitlines()[0]}") from e
-    node = plan.nodeName()
-    if _CHANGES.search(node) and not _READS.match(node):
-        raise ValueError(f"only queries are allowed, not {node}")
+    if not _SHOWS.fullmatch(plan.getClass().getSimpleName()):
+        _check(plan)
     return text
 
 
