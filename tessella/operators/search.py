@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,23 +86,25 @@ def folders_of(files: DataFrame, path: str) -> DataFrame:
     return every.filter(F.col("depth") > 1).select(F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "/").alias("parent"), F.element_at("p", -1).alias("name")).distinct()
 
 
-def descendants(tree: DataFrame, roots: DataFrame, deepest: int = 64) -> DataFrame:
-    """(id, depth): the roots and all below them in (id, parent), level by level until none is left."""
+def descendants(tree: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, depth): the roots and all below them in (id, parent), level by level until none is left (cycles end, too)."""
     level = found = materialise(roots.select("id").distinct().withColumn("depth", F.lit(0)), "level")
-    for depth in range(1, deepest + 1):
+    for depth in count(1):
         below = tree.join(level.select(F.col("id").alias("parent")), "parent").select("id").distinct().withColumn("depth", F.lit(depth))
         level = materialise(below.join(found, "id", "left_anti"), "level")
         if level.isEmpty():
             break
         found = found.unionByName(level)
+        if depth % 16 == 0:  # a deep tree leaves no long plan
+            found = materialise(found, "level")
     return found
 
 
-def pruned(tree: DataFrame, gone: DataFrame, root, deepest: int = 64) -> DataFrame:
+def pruned(tree: DataFrame, gone: DataFrame, root) -> DataFrame:
     """The tree (id, parent) without the leaves in ``gone``, and without parents that this leaves empty, up to the root."""
     parents = tree.select(F.col("parent").alias("id")).distinct()
     left = materialise(tree.join(gone.join(parents, "id", "left_anti"), "id", "left_anti"), "tree")
-    for _ in range(deepest):
+    while True:
         was = parents
         parents = left.select(F.col("parent").alias("id")).distinct()
         empty = was.join(parents, "id", "left_anti").filter(F.col("id") != F.lit(root)).join(left, "id", "left_semi")

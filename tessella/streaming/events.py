@@ -7,6 +7,7 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.session import materialise
 
@@ -45,10 +46,10 @@ def changed_if(df: DataFrame, column: str, allowed: list[str], value: Column) ->
     return df.withColumn("changed", ok).withColumn(column, F.when(F.col("changed"), value).otherwise(F.col(column)))
 
 
-def cancelled_tree(runs: DataFrame, root, ended: list[str], deepest: int = 64) -> DataFrame:
+def cancelled_tree(runs: DataFrame, root, ended: list[str]) -> DataFrame:
     """(id): the runs below a run (id, parent, status), itself included, that have not ended; the search goes on below ended ones."""
     level = found = materialise(runs.filter(F.col("id") == root).select("id"), "cancel")
-    for _ in range(deepest):
+    while True:
         level = materialise(runs.join(level.select(F.col("id").alias("parent")), "parent").select("id").join(found, "id", "left_anti").distinct(), "cancel")
         if level.isEmpty():
             break
@@ -100,3 +101,23 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append")
     """What is there now goes through the stream and to Parquet; a next call with the same checkpoint goes on after it."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.parquet(out)
+
+
+def appended(spark: SparkSession, log: str, run_id: str, kinds_and_payloads: DataFrame, now: Column, first_seq: int, keep_seconds: int = 7200) -> None:
+    """Append events (kind, payload, n: their order) of a run to a log of Parquet files, in an envelope of version 1 with a
+    sequence ``milliseconds-n`` and the time after which retention may drop it. Readers see whole batches only."""
+    at = F.unix_millis(now.cast("timestamp"))
+    envelope = F.struct(F.lit(1).alias("v"), F.lit(run_id).alias("run_id"), F.col("kind"), F.col("payload"))
+    rows = kinds_and_payloads.select(
+        F.lit(run_id).alias("run_id"), F.concat_ws("-", at, F.col("n") + first_seq).alias("seq"), F.to_json(envelope).alias("envelope"), (at + 1000 * keep_seconds).alias("drop_after")
+    )
+    rows.write.mode("append").parquet(log)
+
+
+def retained(events: DataFrame, now_millis: int, most: int | None = None) -> DataFrame:
+    """The events that a log keeps: those not past their time and, with ``most``, the latest so many of each run."""
+    alive = events.filter(F.col("drop_after") > now_millis)
+    if most is None:
+        return alive
+    order = Window.partitionBy("run_id").orderBy(*(F.split_part("seq", F.lit("-"), F.lit(i)).cast("long").desc() for i in (1, 2)))
+    return alive.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
