@@ -100,21 +100,26 @@ def personalised_pagerank(
     parts; (1 - damping) of everything, and what nodes without neighbours hold, goes to the ``restart`` nodes
     (id, weight, summing to 1). Damping is held between 0.1 and 0.99. Rounds are joins and sums; every few
     of them the scores are written to the shared folder, and they end where all scores together have changed by less
-    than ``tolerance`` since the last time (at 0.99, after at most 1,450), or after ``rounds``."""
+    than ``tolerance`` (0: never) since the last time (at 0.99, after at most 1,450), or after ``rounds``. What nodes without
+    neighbours hold comes from the restart alone, so it is a number that follows from their weight."""
     alpha = min(0.99, max(0.1, damping))
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
     degree = both.groupBy("src").agg(F.count("*").alias("degree"))
     ways = materialise(both.join(degree, "src"), "ways")
     start = materialise(nodes.select("id").distinct().join(restart, "id", "left").join(degree.select(F.col("src").alias("id"), "degree"), "id", "left").select("id", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("degree").isNull().alias("dangling")), "nodes")
-    scores = start.select("id", "weight", "dangling", F.col("weight").alias("score"))
+    alone = start.filter("dangling").agg(F.sum("weight")).first()[0] or 0.0
+    lost = alone
+    scores = start.select("id", F.col("weight").alias("score"))
     kept = start.select("id", F.col("weight").alias("before"))
     for i in range(rounds):
         given = scores.select(F.col("id").alias("src"), "score").join(ways, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
-        lost = scores.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("lost"))
-        score = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("weight")) + (1 - alpha) * F.col("weight")
-        scores = start.join(given, "id", "left").join(F.broadcast(lost)).select("id", "weight", "dangling", score.alias("score"))
+        score = alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("weight")) + (1 - alpha) * F.col("weight")
+        scores = start.join(given, "id", "left").select("id", score.alias("score"))
+        lost = alone * (alpha * lost + 1 - alpha)
         if (i + 1) % cut_every == 0:
             scores = materialise(scores, "scores")
+            if not tolerance:
+                continue
             change = scores.join(kept, "id").agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0
             if change < tolerance:
                 break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -50,6 +51,59 @@ def applied(df: DataFrame, name: str, text_col: str, out_col: str, kind: str, si
     return df.mapInArrow(run, f"{fields}, `{out_col}` {kind}")
 
 
+def checked_scores(results: list, n: int) -> list[float]:
+    """The scores of a reranker's reply, (index, score) for each of ``n`` texts in any order; an index that is missing,
+    repeated or out of range, or a score that is no finite number, is a ValueError."""
+    scores = dict(results)
+    if len(results) != n or any(type(i) is not int for i in scores) or scores.keys() != set(range(n)):
+        raise ValueError("a reranker must give one score for each text")
+    if any(isinstance(x, bool) or not isinstance(x, (int, float)) or not math.isfinite(x) for x in scores.values()):
+        raise ValueError("a reranker must give finite numbers")
+    return [float(scores[i]) for i in range(n)]
+
+
+def reranked(found: DataFrame, name: str, query_col: str, text_col: str, size: int = 32, normalise: bool = True, order_col: str | None = None) -> DataFrame:
+    """``found`` with ``rerank_score``. The model gets a list of (query, text), in batches of one query and at most ``size``
+    texts, in the order of ``order_col`` if given, and gives (index, score) of each; a batch that fails or whose reply is not valid counts 0.5 for each text. Scores
+    pass a sigmoid, those of failed batches too."""
+    fn = MODELS[name]
+    q, t = found.columns.index(query_col), found.columns.index(text_col)
+
+    def scores_of(pairs: list[tuple]) -> list[float]:
+        try:
+            raw = checked_scores(fn(pairs), len(pairs))
+        except Exception:  # whatever a remote model fails with
+            raw = [0.5] * len(pairs)
+        return [1 / (1 + math.exp(-min(700.0, max(-700.0, x)))) if normalise else x for x in raw]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.RecordBatch, list[tuple]]] = []
+
+        def done() -> pa.RecordBatch:
+            """The rows held, which are one batch of the model, though they may come from two of Spark's."""
+            rows = pa.Table.from_batches([b for b, _ in held]).combine_chunks().to_batches()[0]
+            scores = scores_of([x for _, own in held for x in own])
+            held.clear()
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores, pa.float64())], names=[*rows.schema.names, "rerank_score"])
+
+        for batch in batches:
+            pairs = [(a, b or "") for a, b in zip(batch.column(q).to_pylist(), batch.column(t).to_pylist(), strict=True)]
+            at = 0
+            while at < len(pairs):
+                if held and (held[0][1][0][0] != pairs[at][0] or sum(len(x) for _, x in held) == size):
+                    yield done()
+                room = size - sum(len(x) for _, x in held)
+                end = next((i for i in range(at, min(at + room, len(pairs))) if pairs[i][0] != pairs[at][0]), min(at + room, len(pairs)))
+                held.append((batch.slice(at, end - at), pairs[at:end]))
+                at = end
+        if held:
+            yield done()
+
+    dealt = found.repartition(query_col).sortWithinPartitions(query_col, *([order_col] if order_col else []))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    return dealt.mapInArrow(run, f"{fields}, rerank_score double")
+
+
 def fenced_json(reply: Column) -> Column:
     """What is in the fence of a model's reply, or between its outer braces, or the reply; trimmed."""
     fence = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)

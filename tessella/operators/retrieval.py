@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.text import tokens
+from tessella.session import materialise
 
 #: Query vectors that are compared with all rows in one scan.
 QUERY_BLOCK = 4096
@@ -84,23 +86,78 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: floa
     return top_k(found, k, ["query_id"], "score", "id")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score) of every document (id, text) that has a term of a query (query_id, text).
-
-    Postings are made only for terms of queries: they are joined before counting, and a document's counts are
-    complete within its task. No score threshold applies to keyword search."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    words = docs.select("id", tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    # outer: no filter is inferred that would compute the words a second time
-    postings = words.select("id", "dl", F.explode_outer("words").alias("term")).join(wanted, "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    part = idf * F.col("tf") * (k1 + 1) / norm
-    weighed = postings.join(df, "term").join(F.broadcast(stats)).select("term", "id", part.alias("part"))
-    return terms.join(weighed, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+_TERM = re.compile(r"[A-Za-z0-9_]+|[\u4e00-\u9fff]")
+
+
+def _counted(codes: dict[str, int]):
+    """(id, dl, terms, tfs) of each text: its length in terms, and the asked terms in it, as codes, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, terms, tfs = [], [], []
+            for text in batch.column(1).to_pylist():
+                words = _TERM.findall(text or "")
+                own = Counter(filter(None.__ne__, map(codes.get, map(str.lower, words))))
+                lengths.append(len(words))
+                terms.append(list(own))
+                tfs.append(list(own.values()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=["id", "dl", "terms", "tfs"]
+            )
+
+    return run
+
+
+def _best(ids: list[int], idf: np.ndarray, asked: np.ndarray, first: np.ndarray, avgdl: float, k: int, k1: float, b: float):
+    """The k best rows (and those equal to the last) of each query within a slice of rows. The queries that ask for term c
+    are ``asked[first[c]:first[c + 1]]``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                terms, tf = part.column("terms").flatten().to_numpy(), part.column("tfs").flatten().to_numpy().astype(float)
+                row = np.repeat(np.arange(part.num_rows), part.column("terms").value_lengths().to_numpy())
+                dl = part.column("dl").to_numpy()[row]
+                weight = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (avgdl or 1.0)))
+                per = first[terms + 1] - first[terms]
+                at = np.repeat(first[terms] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+                scores = np.bincount(np.repeat(row, per) * len(ids) + asked[at], np.repeat(weight, per), part.num_rows * len(ids)).reshape(part.num_rows, len(ids))
+                rounded = np.round(scores, 9)
+                last = np.partition(rounded, -k, axis=0)[-k] if part.num_rows > k else np.zeros(len(ids))
+                r, q = np.nonzero((scores > 0) & (rounded >= last))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[q]), part.column("id").take(pa.array(r)), pa.array(scores[r, q])], names=["query_id", "id", "score"])
+
+    return run
+
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score, rank): the k best of the documents (id, text) that have a term of a query (query_id, text).
+
+    Queries, a stated set, go in blocks with their terms to every task. Texts are read once for a block; only the counts of
+    asked terms are kept (in the shared folder), and each task passes on k rows of a query and slice. A term's number of
+    documents and the mean length are all that comes back between. No score threshold applies to keyword search."""
+    kinds = docs.schema["id"].dataType.simpleString()
+    rows = docs.select("id", "text")
+    stated = queries.select("query_id", "text").orderBy("query_id").collect()
+    found = None
+    for at in range(0, len(stated), QUERY_BLOCK):
+        part = stated[at : at + QUERY_BLOCK]
+        terms_of = [sorted({w.lower() for w in _TERM.findall(r["text"] or "")}) for r in part]
+        codes = {w: c for c, w in enumerate(sorted({w for of in terms_of for w in of}))}
+        pairs = sorted((codes[w], q) for q, of in enumerate(terms_of) for w in of)
+        first = np.searchsorted(np.array([c for c, _ in pairs], np.int64), np.arange(len(codes) + 1))
+        asked = np.array([q for _, q in pairs], np.int64)
+        counted = materialise(rows.mapInArrow(_counted(codes), f"id {kinds}, dl long, terms array<int>, tfs array<int>"), "terms")
+        n, avgdl = counted.agg(F.count("*"), F.avg("dl")).first()
+        df = np.zeros(len(codes))
+        for r in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # asked terms only
+            df[r["term"]] = r["count"]
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        one = counted.mapInArrow(_best([r["query_id"] for r in part], idf, asked, first, avgdl, k, k1, b), f"query_id long, id {kinds}, score double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"query_id long, id {kinds}, score double, rank int")
+    return top_k(found, k, ["query_id"], "score", "id")
 
 
 def min_max(scored: DataFrame) -> DataFrame:

@@ -259,6 +259,17 @@ def file_types(t: Tables) -> DataFrame:
     return named.groupBy(F.coalesce("known", F.upper("lang")).alias("label")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("size"))
 
 
+@query(
+    "kb_types",
+    "SELECT CASE source WHEN 'src0' THEN 'Milvus' WHEN 'src1' THEN 'Notion' ELSE upper(coalesce(source, '')) END AS type, count(*) AS bases, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY 1",
+)
+def kb_types(t: Tables) -> DataFrame:
+    """Bases by the label of their type; one without a label is written in capitals."""
+    labels = t.spark.createDataFrame([("src0", "Milvus"), ("src1", "Notion")], "source string, known string")
+    named = t.documents.select("source", "n_chars").join(F.broadcast(labels), "source", "left")
+    return named.groupBy(F.coalesce("known", F.upper(F.coalesce("source", F.lit("")))).alias("type")).agg(F.count("*").alias("bases"), F.sum("n_chars").alias("size"))
+
+
 @query("children_count", "SELECT c_nationkey AS parent_id, count(*) AS children FROM customer GROUP BY 1")
 def children_count(t: Tables) -> DataFrame:
     return t.customer.groupBy(F.col("c_nationkey").alias("parent_id")).agg(F.count("*").alias("children"))

@@ -33,6 +33,20 @@ def ev_recent(t: Tables) -> DataFrame:
     return t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id")
 
 
+@query(
+    "ev_append",
+    """WITH a AS (SELECT 1704067200000 + CASE WHEN event_id < 500 THEN 0 ELSE 1000 END AS ms, event_id AS n, event_type FROM events WHERE user_id <= 20)
+    SELECT ms || '-' || n AS seq, '{"v":1,"run_id":"r","kind":"' || event_type || '"}' AS envelope, ms + 7200000 AS drop_after FROM a ORDER BY ms DESC, n DESC LIMIT 300""",
+)
+def ev_append(t: Tables) -> DataFrame:
+    """Two batches appended to a log; the latest 300 are kept."""
+    log = new_path(t.spark, "log")
+    rows = t.events.filter("user_id <= 20").select(F.col("event_type").alias("kind"), F.lit(None).cast("string").alias("payload"), F.col("event_id").alias("n"))
+    for part, second in (("n < 500", 0), ("n >= 500", 1)):
+        E.appended(t.spark, log, "r", rows.filter(part), F.lit(f"2024-01-01 00:00:0{second}").cast("timestamp"), 0)
+    return E.retained(t.spark.read.parquet(log), 1704067200000, 300).select("seq", "envelope", "drop_after")
+
+
 @query("ev_last", "SELECT user_id, arg_max(event_id, ts) AS last_id FROM events GROUP BY 1")
 def ev_last(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))
@@ -164,23 +178,40 @@ def src_html(t: Tables) -> DataFrame:
     return M.applied(t.pages.select("page_id", "html"), "html", "html", "markdown", "string").select("page_id", "markdown")
 
 
-@query("src_csv", "SELECT n_nationkey, '| n_name | n_regionkey |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | ' || n_regionkey || ' |' AS markdown FROM nation")
+@query("src_csv", "SELECT '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' AS markdown FROM nation")
 def src_csv(t: Tables) -> DataFrame:
-    rows = t.nation.select("n_nationkey", R.row_as_table(["n_name", "n_regionkey"]).alias("markdown"))
-    return rows.withColumn("markdown", F.replace("markdown", F.lit("\n|" + " --- |" * 2), F.lit("\n| --- | --- |")))
+    """A CSV file with a header, and each of its rows as a table of its own."""
+    path = new_path(t.spark, "csv")
+    t.nation.select("n_nationkey", "n_name").write.csv(path, header=True)
+    return R.reader("csv")(t.spark, path)
 
 
-@query("src_text", "SELECT doc_id, text FROM documents")
+@query("src_text", "SELECT n_nationkey, n_name || chr(10) || 'in region ' || n_regionkey || chr(10) AS text FROM nation")
 def src_text(t: Tables) -> DataFrame:
-    """Texts written as files, one each row as JSON, and read again."""
+    """Text files, each read whole as one row."""
     path = new_path(t.spark, "texts")
-    t.documents.select("doc_id", "text").write.json(path)
-    return t.spark.read.schema("doc_id long, text string").json(path)
+    t.nation.select("n_nationkey", F.concat("n_name", F.lit("\nin region "), "n_regionkey").alias("value")).write.partitionBy("n_nationkey").text(path)
+    found = R.reader("texts")(t.spark, path)
+    return found.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), F.col("value").alias("text"))
 
 
-@query("src_json", "SELECT event_id, CAST(props->>'k' AS INTEGER) AS k FROM events")
+@query("src_json", "SELECT n_nationkey, '```json' || chr(10) || '{' || chr(10) || '  \"n_nationkey\": ' || n_nationkey || ',' || chr(10) || '  \"n_name\": \"' || n_name || '\"' || chr(10) || '}' || chr(10) || '```' AS markdown FROM nation")
 def src_json(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.from_json("props", "k int").getField("k").alias("k"))
+    """JSON files as indented JSON in a fence."""
+    path = new_path(t.spark, "json")
+    record = F.to_json(F.struct("n_nationkey", "n_name"))
+    t.nation.select(F.col("n_nationkey").alias("k"), record.alias("value")).write.partitionBy("k").text(path)
+    found = t.spark.read.text(path, wholetext=True)
+    M.register("json", lambda texts: [R.json_to_markdown(x) for x in texts])
+    return M.applied(found.select(F.col("k").cast("int").alias("n_nationkey"), "value"), "json", "value", "markdown", "string").select("n_nationkey", "markdown")
+
+
+@query("src_xls", "SELECT * FROM (VALUES ('Sheet1', 0, ['id', 'name', '']), ('Sheet1', 1, ['1', 'é', '2.50']), ('Second', 0, ['x'])) AS v(sheet, row, cells)")
+def src_xls(t: Tables) -> DataFrame:
+    """A workbook of two sheets: every cell as text, without a header."""
+    sheets = {"Sheet1": [["id", "name"], ["1", "é", "2.50"]], "Second": [["x"]]}
+    book = t.spark.createDataFrame([("a.xlsx", R.workbook(sheets))], "path string, content binary")
+    return R.sheet_rows(book).select("sheet", "row", "cells")
 
 
 @query("src_jsonl", "SELECT 'item ' || item_id AS query, item_id > 5 AS has_gold_chunks, item_id <> 7 AS has_gold_answer, false AS bad FROM benchmark")
@@ -191,7 +222,10 @@ def src_jsonl(t: Tables) -> DataFrame:
 
 @query("snk_jsonl", "SELECT CASE WHEN quality = 1 THEN '{\"doc_id\":' || doc_id || ',\"good\":true}' ELSE '{\"doc_id\":' || doc_id || '}' END AS value FROM labels")
 def snk_jsonl(t: Tables) -> DataFrame:
-    return K.json_lines(t.labels.select("doc_id", F.when(F.col("quality") == 1, True).alias("good")), "doc_id")
+    """The lines of the file that is written."""
+    path = new_path(t.spark, "jsonl")
+    K.write_json_lines(t.labels.select("doc_id", F.when(F.col("quality") == 1, True).alias("good")), "doc_id", path)
+    return t.spark.read.text(path)
 
 
 @query("snk_upsert_chunks", "SELECT o_orderkey AS chunk_id, CASE WHEN o_orderstatus = 'O' THEN o_totalprice * 2 ELSE o_totalprice END AS value FROM orders")

@@ -37,3 +37,15 @@ class Registry:
             return f
 
         return add
+
+
+def rounds_sql(rounds: int) -> str:
+    """The scores of personalised PageRank after so many rounds, from ``begin_at`` (id, w, dangling), ``ways`` (src, dst) and ``deg`` (src, d)."""
+    steps = ["s0 AS MATERIALIZED (SELECT id, w, dangling, w AS score FROM begin_at)"]
+    for i in range(rounds):
+        steps.append(
+            f"g{i} AS MATERIALIZED (SELECT dst AS id, sum(score / d) AS got FROM s{i} JOIN ways ON src = id JOIN deg USING (src) GROUP BY dst), "
+            f"l{i} AS MATERIALIZED (SELECT coalesce(sum(score) FILTER (dangling), 0) AS lost FROM s{i}), "
+            f"s{i + 1} AS MATERIALIZED (SELECT begin_at.id, w, dangling, 0.85 * (coalesce(got, 0) + lost * w) + 0.15 * w AS score FROM begin_at LEFT JOIN g{i} USING (id), l{i})"
+        )
+    return ", ".join(steps)

@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import graph as G
+from tessella.operators import models as M
 from tessella.operators import retrieval as R
-from tessella.plans.registry import Registry, Tables
+from tessella.plans.registry import Registry, Tables, rounds_sql
+from tessella.session import materialise
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -71,52 +74,108 @@ def vec_ivf(t: Tables) -> DataFrame:
 
 @query("bm25_topk", f"WITH {_BM25} SELECT item_id AS query_id, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10")
 def bm25_topk(t: Tables) -> DataFrame:
-    found = R.top_k(R.bm25(texts(t), questions(t)), 10, ["query_id"], "score", "id")
+    found = R.bm25_top_k(texts(t), questions(t), 10)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
-def _keyword_vectors(t: Tables) -> DataFrame:
-    """A second list over the same ids: vectors of the query's label score by their id."""
-    q = asked(t).select(F.col("id").alias("query_id")).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
-    return q.join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id", (1.0 / (1 + F.col("id"))).alias("score"))
+def chunks(t: Tables) -> DataFrame:
+    """(id, text, embedding): the documents that have a vector of the same id."""
+    return t.documents.select(F.col("doc_id").alias("id"), "text").join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id")
 
 
-_KEY = """
-    k AS (SELECT q.vec_id AS query_id, v.vec_id AS id, 1.0 / (1 + v.vec_id) AS score FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 100 = 0),
-    kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM k)"""
+def question_vectors(t: Tables) -> DataFrame:
+    """A question's vector is that of its id."""
+    return vectors(t).join(t.benchmark.select(F.col("item_id").alias("id")), "id", "left_semi")
+
+
+_CHUNKS = rf"""
+    ch AS (SELECT doc_id, text, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM documents JOIN embeddings ON doc_id = vec_id),
+    qv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
+    cs AS (SELECT q.vec_id AS query_id, c.doc_id AS id, list_dot_product(q.e, c.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(c.e, c.e)) AS score FROM qv q, ch c),
+    vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM cs),
+    {_BM25.replace("FROM documents)", "FROM ch)")},
+    kr AS (SELECT item_id AS query_id, doc_id AS id, score, rank FROM bmr)"""
 
 
 @query(
     "hybrid",
     f"""
-    WITH {_VEC}, {_KEY},
+    WITH {_CHUNKS},
     a AS (SELECT query_id, id, score, min(score) OVER w AS lo, max(score) OVER w AS hi FROM vr WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id)),
     b AS (SELECT query_id, id, score, min(score) OVER w AS lo, max(score) OVER w AS hi FROM kr WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id)),
     x AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id,
         0.7 * coalesce(CASE WHEN a.hi = a.lo THEN 1.0 ELSE (a.score - a.lo) / (a.hi - a.lo) END, 0)
         + 0.3 * coalesce(CASE WHEN b.hi = b.lo THEN 1.0 ELSE (b.score - b.lo) / (b.hi - b.lo) END, 0) AS score
       FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id)
-    SELECT query_id, id, round(score, 6) AS score FROM x WHERE score >= 0.2
+    SELECT query_id, id, round(score, 6) AS score FROM x WHERE score >= 0.2001
     """,
 )
 def hybrid(t: Tables) -> DataFrame:
-    config = R.RetrievalConfig(mode="hybrid", similarity_threshold=0.2)
-    keyword = R.top_k(_keyword_vectors(t), 50, ["query_id"], "score", "id")
-    found = R.weighted_hybrid(R.vector_top_k(vectors(t), asked(t), 50), keyword, config)
+    """Vector and keyword search over the same chunks, for each question."""
+    config = R.RetrievalConfig(mode="hybrid", similarity_threshold=0.2001)
+    of = chunks(t)
+    found = R.weighted_hybrid(R.vector_top_k(of, question_vectors(t), 50), R.bm25_top_k(of, questions(t), 50), config)
     return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+_GRAPH_ROUNDS, _ASKED = 20, 3
+
+
+#: The graph: chunks mention their source and, in the first 100 characters, words of over six letters.
+_GRAPH = rf"""
+    {_CHUNKS},
+    men AS MATERIALIZED (SELECT DISTINCT doc_id AS chunk_id, unnest(list_concat(['source ' || source], regexp_extract_all(lower(substr(coalesce(text, ''), 1, 100)), '[a-z]{{7,}}'))) AS entity
+      FROM documents WHERE doc_id IN (SELECT doc_id FROM ch)),
+    hit AS (SELECT entity AS id, sum(0.3 * score) AS w FROM kr JOIN men ON chunk_id = kr.id WHERE query_id = {_ASKED} AND rank <= 5 GROUP BY entity),
+    seed AS MATERIALIZED (SELECT id, w / (SELECT sum(w) FROM hit) AS w FROM hit),
+    n1 AS (SELECT chunk_id FROM men WHERE entity IN (SELECT id FROM seed)),
+    near AS MATERIALIZED (SELECT DISTINCT chunk_id, entity FROM men WHERE chunk_id IN (SELECT chunk_id FROM n1)),
+    ways AS MATERIALIZED (SELECT 'chunk ' || chunk_id AS src, entity AS dst FROM near UNION SELECT entity, 'chunk ' || chunk_id FROM near),
+    deg AS MATERIALIZED (SELECT src, count(*) AS d FROM ways GROUP BY src),
+    begin_at AS MATERIALIZED (SELECT DISTINCT src AS id, coalesce(w, 0.0)::DOUBLE AS w, false AS dangling FROM ways LEFT JOIN seed ON seed.id = src),
+    {rounds_sql(_GRAPH_ROUNDS)},
+    gr AS (SELECT CAST(substr(id, 7) AS BIGINT) AS id, score, row_number() OVER (ORDER BY round(score, 9) DESC, CAST(substr(id, 7) AS BIGINT)) AS rank FROM s{_GRAPH_ROUNDS} WHERE id LIKE 'chunk %')"""
+
+
+def _graph_chunks(t: Tables, k: int) -> DataFrame:
+    """(query_id, id, score, rank) of one question: chunks found by keyword give weight to the entities that they mention, these
+    seed a walk over the graph within two steps, and the chunks where it stays most are found."""
+    of = chunks(t)
+    words = F.regexp_extract_all(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 100)), F.lit("[a-z]{7,}"), F.lit(0))
+    documents = t.documents.select(F.col("doc_id").alias("chunk_id"), "source", "text").join(of.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    mentions = documents.select("chunk_id", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("source "), "source")), words))).alias("entity_id"))
+    mentions = materialise(mentions, "mentions")
+    hits = R.bm25_top_k(of, questions(t), 5).filter(F.col("query_id") == _ASKED)
+    in_chunks = hits.select(F.col("id").alias("chunk_id"), "score").join(mentions, "chunk_id").select("entity_id", "score")
+    none = in_chunks.filter("false")
+    seeds = R.seed_weights(none, none.select(F.col("entity_id").alias("source_id"), F.col("entity_id").alias("target_id"), "score"), in_chunks)
+    seeds = materialise(seeds.select(F.col("entity_id").alias("id"), "weight"), "seeds")
+    edges = mentions.select(F.concat(F.lit("chunk "), "chunk_id").alias("src"), F.col("entity_id").alias("dst"))
+    near = G.expand(edges, seeds, 2).select("id")
+    ends = lambda c: near.withColumnRenamed("id", c)
+    inner = edges.join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi")
+    scores = G.personalised_pagerank(near, inner, seeds, rounds=_GRAPH_ROUNDS, tolerance=0.0)
+    ranked = scores.filter(F.col("id").startswith("chunk ")).select(F.lit(_ASKED).cast("long").alias("query_id"), F.substring("id", 7, 20).cast("long").alias("id"), "score")
+    return R.top_k(ranked, k, ["query_id"], "score", "id")
+
+
+@query("graph_retrieve", f"WITH RECURSIVE {_GRAPH} SELECT {_ASKED}::BIGINT AS query_id, id, round(score, 8) AS score, rank FROM gr WHERE rank <= 20")
+def graph_retrieve(t: Tables) -> DataFrame:
+    return _graph_chunks(t, 20).select("query_id", "id", F.round("score", 8).alias("score"), F.col("rank").cast("long"))
+
+
 @query(
     "rrf_fuse",
     f"""
-    WITH {_VEC}, {_KEY},
-    u AS (SELECT query_id, id, rank, 'chunk' AS src, 1.0 AS w FROM vr WHERE rank <= 20 UNION ALL SELECT query_id, id, rank, 'graph', 0.5 FROM kr WHERE rank <= 20)
-    SELECT query_id, id, round(sum(w / (60 + rank)), 9) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM u GROUP BY query_id, id
+    WITH RECURSIVE {_GRAPH},
+    u AS (SELECT id, rank, 'chunk' AS src, 1.0 AS w FROM vr WHERE rank <= 20 AND query_id = {_ASKED} UNION ALL SELECT id, rank, 'graph', 0.5 FROM gr WHERE rank <= 20)
+    SELECT {_ASKED}::BIGINT AS query_id, id, round(sum(w / (60 + rank)), 9) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM u GROUP BY id
     """,
 )
 def rrf_fuse(t: Tables) -> DataFrame:
-    keyword = R.top_k(_keyword_vectors(t), 20, ["query_id"], "score", "id")
-    found = R.reciprocal_rank_fusion([("chunk", 1.0, R.vector_top_k(vectors(t), asked(t), 20)), ("graph", 0.5, keyword)])
+    """The vector and the graph results of a question."""
+    by_vector = R.vector_top_k(chunks(t), question_vectors(t).filter(F.col("id") == _ASKED), 20)
+    found = R.reciprocal_rank_fusion([("chunk", 1.0, by_vector), ("graph", 0.5, _graph_chunks(t, 20))])
     return found.select("query_id", "id", F.round("score", 9).alias("score"), "sources")
 
 
@@ -137,7 +196,7 @@ def files(t: Tables) -> DataFrame:
     """,
 )
 def hydrate(t: Tables) -> DataFrame:
-    found = R.top_k(R.bm25(texts(t), questions(t)), 10, ["query_id"], "score", "id")
+    found = R.bm25_top_k(texts(t), questions(t), 10)
     return R.hydrate(found.select("query_id", F.col("id").alias("file_id"), F.round("score", 6).alias("score")), files(t))
 
 
@@ -148,7 +207,7 @@ def hydrate(t: Tables) -> DataFrame:
 def file_filter(t: Tables) -> DataFrame:
     """The filter on file names comes before scoring: other files count neither for n nor for df."""
     wanted = t.documents.filter(F.lower("source").contains("src1")).select(F.col("doc_id").alias("id"))
-    found = R.top_k(R.bm25(texts(t).join(wanted, "id", "left_semi"), questions(t)), 10, ["query_id"], "score", "id")
+    found = R.bm25_top_k(texts(t).join(wanted, "id", "left_semi"), questions(t), 10)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
@@ -170,6 +229,30 @@ def rerank_sort(t: Tables) -> DataFrame:
     return out.select("query_id", "id", "rerank_score", F.col("position").cast("long"))
 
 
+@query(
+    "rerank",
+    f"""
+    WITH {_BM25}, x AS (SELECT item_id, doc_id, CAST(floor((row_number() OVER (PARTITION BY item_id ORDER BY doc_id) - 1) / 32) AS BIGINT) AS batch FROM bmr WHERE rank <= 40),
+    y AS (SELECT item_id, doc_id, length(coalesce(text, '')) AS n, max(CASE WHEN length(coalesce(text, '')) = 0 OR doc_id % 50 = 7 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id, batch) AS failed FROM x JOIN documents USING (doc_id))
+    SELECT item_id AS query_id, doc_id, round(1 / (1 + exp(-CASE WHEN failed = 1 THEN 0.5 ELSE n / 10000 END)), 9) AS score FROM y
+    """,
+)
+def rerank(t: Tables) -> DataFrame:
+    """Batches of a question and 32 texts; the rule in place of a model scores by length, and fails for texts that some ids have."""
+    found = R.bm25_top_k(texts(t), questions(t), 40).select("query_id", F.col("id").alias("doc_id"))
+    joined = found.join(t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id").withColumn("text", F.concat(F.col("doc_id").cast("string"), F.lit("|"), "text"))
+
+    def by_length(pairs: list[tuple]) -> list[tuple[int, float]]:
+        split = [text.partition("|") for _, text in pairs]
+        if any(not body or int(i) % 50 == 7 for i, _, body in split):
+            raise ConnectionError("no answer")
+        return [(n, len(body) / 10000) for n, (_, _, body) in enumerate(split)][::-1]
+
+    M.register("by_length", by_length)
+    scored = M.reranked(joined.select("query_id", "doc_id", "text"), "by_length", "query_id", "text", order_col="doc_id")
+    return scored.select("query_id", "doc_id", F.round("rerank_score", 9).alias("score"))
+
+
 @query(
     "rerank_sigmoid",
     "SELECT event_id, round(1 / (1 + exp(-value / 100)), 9) AS score FROM events",
@@ -183,7 +266,7 @@ def rerank_sigmoid(t: Tables) -> DataFrame:
     f"WITH {_BM25} SELECT item_id AS query_id, doc_id FROM bmr WHERE rank <= 3",
 )
 def final_topk(t: Tables) -> DataFrame:
-    return R.top_k(R.bm25(texts(t), questions(t)), R.RetrievalConfig(final_top_k=3).final_top_k, ["query_id"], "score", "id").select("query_id", F.col("id").alias("doc_id"))
+    return R.bm25_top_k(texts(t), questions(t), R.RetrievalConfig(final_top_k=3).final_top_k).select("query_id", F.col("id").alias("doc_id"))
 
 
 _SEEDS = """
@@ -209,7 +292,7 @@ def graph_seed(t: Tables) -> DataFrame:
 )
 def search_output(t: Tables) -> DataFrame:
     """The public shape of a result: an id made of file and place, and no internal keys."""
-    found = R.top_k(R.bm25(texts(t), questions(t)), 10, ["query_id"], "score", "id")
+    found = R.bm25_top_k(texts(t), questions(t), 10)
     joined = found.join(t.documents.select(F.col("doc_id").alias("id"), "source", "n_chars"), "id")
     return joined.select("query_id", F.concat_ws(":", "id", "rank").alias("result_id"), F.col("source").alias("origin"), F.col("n_chars").alias("size"))
 
@@ -245,23 +328,6 @@ def page_score_ext(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", score.cast("long").alias("score"))
 
 
-@query(
-    "graph_retrieve",
-    f"""
-    WITH RECURSIVE {_BM25}, top AS (SELECT doc_id, sum(score) AS s FROM bmr WHERE rank <= 5 GROUP BY doc_id)
-    SELECT source, round(sum(s) / (SELECT sum(s) FROM top), 6) AS weight, count(*) AS n_chunks FROM top JOIN documents USING (doc_id) GROUP BY source
-    """,
-)
-def graph_retrieve(t: Tables) -> DataFrame:
-    """Chunks found by keyword pass their scores to the entities (sources) that they mention."""
-    top = R.top_k(R.bm25(texts(t), questions(t)), 5, ["query_id"], "score", "id").groupBy("id").agg(F.sum("score").alias("score"))
-    mentions = top.join(t.documents.select(F.col("doc_id").alias("id"), "source"), "id")
-    none = mentions.filter("false")
-    weights = R.seed_weights(none.select(F.col("source").alias("entity_id"), "score"), none.select(F.col("source").alias("source_id"), F.col("source").alias("target_id"), "score"), mentions.select(F.col("source").alias("entity_id"), "score"))
-    n = mentions.groupBy(F.col("source").alias("entity_id")).agg(F.count("*").alias("n_chunks"))
-    return weights.join(n, "entity_id").select(F.col("entity_id").alias("source"), F.round("weight", 6).alias("weight"), "n_chunks")
-
-
 @query("src_notion", "SELECT page_id, min(priority) AS priority FROM (SELECT page_id, 1 AS priority FROM pages WHERE contains(lower(html), 'the') UNION ALL SELECT page_id, 2 FROM pages) GROUP BY page_id")
 def src_notion(t: Tables) -> DataFrame:
     """Candidates of a search and of a scan, once each, the search's first."""

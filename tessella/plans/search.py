@@ -71,6 +71,16 @@ def same_name(t: Tables) -> DataFrame:
     return t.part.join(twice, F.lower("p_name") == F.col("n"), "left_semi").select("p_partkey")
 
 
+@query("exists_hash", "SELECT doc_id, EXISTS (SELECT 1 FROM documents o LEFT JOIN labels USING (doc_id) WHERE o.text = d.text AND o.doc_id <> d.doc_id AND (quality IS NULL OR quality <> 0)) AS known FROM documents d")
+def exists_hash(t: Tables) -> DataFrame:
+    """Whether another file has the same content hash, failed ones (quality 0) not counted. Counts of a hash are gathered
+    first, so many equal files make no pairs."""
+    files = t.documents.select("doc_id", F.sha2("text", 256).alias("hash")).join(t.labels, "doc_id", "left").withColumn("ok", F.coalesce(F.col("quality") != 0, F.lit(True)))
+    counts = files.groupBy("hash").agg(F.count_if("ok").alias("n"))
+    own = files.join(counts, "hash", "left")
+    return own.select("doc_id", F.coalesce(F.col("n") - F.col("ok").cast("int") > 0, F.lit(False)).alias("known"))
+
+
 @query("dup_content", "SELECT sha256(text) AS hash, count(*) AS files, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def dup_content(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("files"), F.min("doc_id").alias("first_id")).filter("files > 1")

@@ -130,6 +130,74 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
 
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def workbook_sheets(data: bytes, most: int = 256 << 20) -> dict[str, list[list[str]]]:
+    """The rows of every sheet of an .xlsx workbook by its public format: all cells as text as they are stored, no header
+    inferred; rows of a sheet are filled up to the same length."""
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if sum(i.file_size for i in z.infolist()) > most:
+            raise ValueError("workbook too large")
+        text = lambda node: "".join(x.text or "" for x in node.iter(f"{_SHEET}t"))
+        shared = [text(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        out = {}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"):
+            target = targets[sheet.get(_RELATION)]
+            rows: list[list[str]] = []
+            for row in ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iter(f"{_SHEET}row"):
+                at = int(row.get("r") or len(rows) + 1) - 1
+                rows += [[] for _ in range(at + 1 - len(rows))]
+                for cell in row.iter(f"{_SHEET}c"):
+                    letters = re.match("[A-Z]*", cell.get("r") or "")[0]
+                    column = len(rows[at])
+                    if letters:
+                        column = 0
+                        for letter in letters:
+                            column = 26 * column + ord(letter) - 64
+                        column -= 1
+                    rows[at] += [""] * (column + 1 - len(rows[at]))
+                    value = cell.find(f"{_SHEET}v")
+                    raw = value.text or "" if value is not None else ""
+                    rows[at][column] = shared[int(raw)] if cell.get("t") == "s" else text(cell) if cell.get("t") == "inlineStr" else raw
+            width = max(map(len, rows), default=0)
+            out[sheet.get("name")] = [r + [""] * (width - len(r)) for r in rows]
+        return out
+
+
+def workbook(sheets: dict[str, list[list[str]]]) -> bytes:
+    """A minimal .xlsx workbook with these texts."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    main, relations = _SHEET[1:-1], _RELATION[1:].split("}")[0]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        names = "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{relations}"><sheets>{names}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{''.join(f'<Relationship Id=\"r{i}\" Target=\"worksheets/sheet{i}.xml\"/>' for i, _ in enumerate(sheets, 1))}</Relationships>")
+        for i, rows in enumerate(sheets.values(), 1):
+            lines = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(x)}</t></is></c>' for x in row) + "</row>" for row in rows)
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{lines}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def sheet_rows(files: DataFrame) -> DataFrame:
+    """(path, sheet, row, cells) of the workbooks in ``files`` (path, content), each opened in its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(path, name, i, cells) for name, of in workbook_sheets(data).items() for i, cells in enumerate(of)]
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["path", "sheet", "row", "cells"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, sheet string, row int, cells array<string>")
+
+
 def row_as_table(columns: list[str]) -> Column:
     """A row as a markdown table of its own."""
     head = "| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns) + "\n"
