@@ -1,5 +1,7 @@
 """Operators on literal rows, with results worked out by hand."""
 
+import random
+import re
 from datetime import datetime
 
 import numpy as np
@@ -144,7 +146,12 @@ def test_qa_headings_and_laws():
     assert C.qa_pairs("| q | a |\n| --- | --- |\n| x | y |") == [("q", "a"), ("x", "y")]
     assert C.qa_pairs("# A\n## B\ntext") == [("A B", "text")]
     assert C.qa_pairs("x\ty\nmore") == [("x", "y\nmore")]
-    assert C.heading_family(["# a", "text"]) == "markdown"
+    assert C.heading_family(["# a", "text"]) == C.MARKDOWN and C.heading_family(["plain"]) is None
+    # 一、 stands in one family, numbers in another; the first of equal ones wins; marks within a line and sentences count less
+    assert C.heading_family(["一、总则", "二、附则"]) == 2 and C.heading_family(["1. one", "1.1 two", "2. three"]) == C.DECIMAL
+    assert C.heading_family(["第一章 总则", "第一节 甲"]) == 0 and C.heading_family(["0 zero", "12 3", "1.. x"]) is None
+    assert C.heading_family(["Section 1 见（一）与（二）", "（一）甲"]) == 0
+    assert C.heading_family(["第1章 " + "字" * 100] * 3 + ["# one"]) == C.MARKDOWN
     assert C.laws("第一章 总则\n第一条 甲乙\n第二条 丙丁", C.ChunkParams(limit=50))[0].startswith("第一章 总则")
     assert C.sentences("Dr. Smith came. He left.") == ["Dr. Smith came.", "He left."]
 
@@ -169,6 +176,26 @@ def test_sql_tool_allows_queries_only(spark):
     spark.range(3).createOrReplaceTempView("numbers")
     assert sqltool.run(spark, "SELECT sum(id) FROM numbers;").first()[0] == 3
     assert sqltool.run(spark, "WITH a AS (SELECT 1 AS x UNION SELECT 2) SELECT count(*) FROM a").first()[0] == 2
+    assert sqltool.run(spark, "SELECT id, rank() OVER (ORDER BY id) AS r FROM numbers WHERE id IN (SELECT max(id) FROM numbers)").count() == 1
+    assert sqltool.run(spark, "SELECT * FROM numbers PIVOT (count(*) FOR id IN (1, 2))").count() == 1
+    assert sqltool.run(spark, "SELECT a.id, x FROM numbers a JOIN numbers b USING (id) LATERAL VIEW explode(array(1, 2)) t AS x ORDER BY 1 LIMIT 3 OFFSET 1").count() == 3
+    assert sqltool.run(spark, "VALUES (1), (2) EXCEPT SELECT 1").count() == 1 and sqltool.run(spark, "SHOW TABLES").columns
+    assert sqltool.run(spark, "SELECT * FROM range(3) WHERE EXISTS (SELECT 1 FROM numbers) GROUP BY ROLLUP(id)").count() == 4
+    for bad in (
+        "WITH a AS (SELECT 1 AS x) INSERT INTO t SELECT * FROM a",
+        "WITH a AS (SELECT 1 AS x) DELETE FROM t WHERE x IN (SELECT x FROM a)",
+        "FROM numbers INSERT INTO t SELECT * INSERT INTO u SELECT *",
+        "BEGIN DROP TABLE t; END",
+        "SELECT java_method('java.lang.System', 'exit', 1)",
+        "SELECT * FROM numbers WHERE id = (SELECT reflect('java.lang.Math', 'random'))",
+        "WITH a AS (SELECT try_reflect('x', 'y')) SELECT * FROM a",
+        "SELECT * FROM parquet.`/etc/x`",
+        "EXPLAIN INSERT INTO t VALUES (1)",
+        "SET a = 1", "CACHE TABLE numbers", "REFRESH TABLE numbers", "TRUNCATE TABLE t", "CALL f()", "USE x",
+        "MERGE INTO t USING numbers ON t.id = numbers.id WHEN MATCHED THEN DELETE",
+    ):
+        with pytest.raises(ValueError):
+            sqltool.validated(spark, bad)
     for bad in ("", "DROP TABLE numbers", "SELECT 1; SELECT 2", "INSERT INTO numbers VALUES (1)", "CREATE TABLE t (a INT)", "not sql"):
         with pytest.raises(ValueError):
             sqltool.run(spark, bad)
@@ -233,3 +260,101 @@ def test_index_recall(spark):
     exact = {(r["query_id"], r["id"]) for r in vector_top_k(rows, asked, 10).collect()}
     found = {(r["query_id"], r["id"]) for r in indexed_top_k(centers, index, asked, 10, probes=12).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_bm25_is_the_formula_over_blocks_and_slices(spark, monkeypatch):
+    import math
+
+    from tessella.operators import retrieval
+
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(12)] + ["中", "文"]
+    docs = [(i, " ".join(r.choices(words, k=r.choice([0, 1, 4, 30])))) for i in range(60)] + [(60, None), (61, "中文 W1")]
+    queries = [(i, " ".join(r.choices([*words, "none"], k=3))) for i in range(7)] + [(7, None), (8, "")]
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    got = retrieval.bm25_top_k(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(queries, "query_id long, text string"), 4)
+    terms = {i: [w.lower() for w in re.findall("[A-Za-z0-9_]+|[\u4e00-\u9fff]", t or "")] for i, t in docs}
+    mean = sum(map(len, terms.values())) / len(docs)
+    want = set()
+    for q, text in queries:
+        scores = {}
+        for w in {w for w in re.findall("[A-Za-z0-9_]+|[\u4e00-\u9fff]", text or "")}:
+            df = sum(w in ws for ws in terms.values())
+            for i, ws in terms.items():
+                if tf := ws.count(w):
+                    scores[i] = scores.get(i, 0) + math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+        best = sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:4]
+        want |= {(q, i, n + 1, round(scores[i], 6)) for n, i in enumerate(best)}
+    assert {(x["query_id"], x["id"], x["rank"], round(x["score"], 6)) for x in got.collect()} == want
+
+
+def test_rerank_batches_and_failures(spark):
+    seen = []
+
+    def model(pairs):
+        if pairs[0][0] == 2:
+            return [(0, 1.0)] * len(pairs)  # an index twice
+        if pairs[0][0] == 3:
+            raise TimeoutError
+        assert len(pairs) <= 4 and len({q for q, _ in pairs}) == 1
+        return [(i, float(t)) for i, (_, t) in enumerate(pairs)][::-1]
+
+    M.register("numbers", model)
+    rows = [(q, str(n)) for q in (1, 2, 3) for n in range(6)]
+    got = M.reranked(spark.createDataFrame(rows, "q long, text string"), "numbers", "q", "text", size=4).collect()
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    assert len(got) == 18 and not seen
+    assert all(r["rerank_score"] == pytest.approx(sigmoid(float(r["text"]) if r["q"] == 1 else 0.5)) for r in got)
+    for bad in ([(0, 1.0)], [(0, 1.0), (0, 2.0)], [(0, 1.0), (2, 1.0)], [(0, 1.0), (1, float("nan"))], [(0, 1.0), (True, 1.0)], [(0, 1.0), (1, True)]):
+        with pytest.raises(ValueError):
+            M.checked_scores(bad, 2)
+
+
+def test_tables_titles_and_lines():
+    html = "<p>x</p><table><tr><th>Name</th><th colspan=2>Size</th><th></th></tr><tr><td rowspan='2'>a <b>b</b></td><td>1</td><td>2</td><td>z</td></tr><tr><td>3</td></tr></table><table><tr><td>no</td></tr></table>"
+    assert C.table_to_kv(html) == ["Name：ab；Size：1；Size：2；", "Name：ab；Size：3；"]
+    assert C.table_to_kv("") == C.table_to_kv("<p>none</p>") == C.table_to_kv("<table></table>") == []
+    text = "这里有一个超过三十二个字符的句子因此可以作为标题来看待并且它的确是这样的长。最后一句："
+    assert C.colon_titles([(text, "text"), ("a: b", "x"), ("short:", "y")]) == [("最后一句：", "title"), (text, "text"), ("a: b", "x"), ("short:", "y")]
+    p = C.ChunkParams(limit=6)
+    got = C.paragraphs_then_lines("one two\n\na b c\nd e\nf g h i j k\n\nl m n o. P q r s. T u v", p, C.hashed_vectors)
+    assert got[:3] == ["one two", "a b c\nd e", "f g h i j k"] and " ".join(got[3:]).split() == "l m n o. P q r s. T u v".split()
+
+
+def test_deep_trees_and_cycles(spark):
+    tree = spark.createDataFrame([(i, i - 1 if i else None) for i in range(70)] + [(100, 101), (101, 100)], "id long, parent long")
+    assert S.descendants(tree, spark.createDataFrame([(0,), (100,)], "id long")).count() == 72
+
+
+def test_workbooks_and_archives(spark):
+    import io
+    import zipfile
+
+    book = R.workbook({"A": [["x", "1"], ["<&>"]], "B": []})
+    assert R.workbook_sheets(book) == {"A": [["x", "1"], ["<&>", ""]], "B": []}
+
+    def archive(files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in files.items():
+                z.writestr(name, text)
+        return out.getvalue()
+
+    assert R.zip_to_markdown(archive({"d/b.md": "no", "d/full.md": "![i](images/1.png)", "d/images/1.png": "x"})) == "![i](d/images/1.png)"
+    for bad in ({"../a.md": "x"}, {"/a.md": "x"}, {"a.txt": "x"}):
+        with pytest.raises(ValueError):
+            R.zip_to_markdown(archive(bad))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tessella.session import shared_dir
+
+    class Fake:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Fake())
