@@ -61,6 +61,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+#: Bytes of rows that go to a Python worker at a time; by default 64 MB, which the JVM and the worker both hold.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same rows. From now on the session sends them to Python workers in batches of at most BATCH_BYTES, however
+    long their texts are, unless it has a smaller bound."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key, "0b").rstrip("b")) not in range(1, BATCH_BYTES):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def release(*tables: DataFrame) -> None:
     """Delete what ``materialise`` wrote for these tables. For tables that only written results depend on."""
     for t in tables:
