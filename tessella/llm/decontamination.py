@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.words import ALNUM, Words, blocks, encoded, sliced, window_hashes
-from tessella.session import materialise
+from tessella.session import bounded_batches, materialise
 
 #: Bytes of benchmark text that are broadcast at once (about five times as many with the windows' hashes), and of one piece of an item.
 BLOCK_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
@@ -208,6 +208,7 @@ def scan_contamination(
     texts have no words and no hits; items with a null or empty text have no windows; items with a null id
     hit words but are not listed. Repeated items count once. Other columns are not looked at.
     """
+    docs = bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     only, parts = _first_of(benchmark_blocks(bench, item_col, item_text_col, size))
@@ -271,6 +272,7 @@ def decontaminated(
     """``docs`` without contaminated rows; with ``spans``, with all rows but without the hit words (each
     run of hit words, with what stands between them, becomes one space). Columns stay as they are. Hits of all
     blocks of the benchmark are gathered on the whole texts, which are cut once. Null and empty texts stay."""
+    docs = bounded_batches(docs)
     at = docs.columns.index(text_col)
     only, parts = _first_of(benchmark_blocks(bench, item_col, item_text_col, size))
     if parts is None:

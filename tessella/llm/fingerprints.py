@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.llm.words import encoded, mix, shingles, sliced
+from tessella.session import bounded_batches
 
 K = 128
 BITS = 40
@@ -70,6 +71,7 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, size: int = 5) -> DataFrame:
     """(id, sketch: array<long>) of each row of ``docs``. Null and empty texts have an empty sketch."""
+    docs = bounded_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
@@ -135,6 +137,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null texts count as empty; they have an empty fingerprint, which is like another empty one (1.0)
     and unlike any other (0.0). Rows that repeat each have a row. A null id sorts below all others.
     """
+    docs = bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

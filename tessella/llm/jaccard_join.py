@@ -37,7 +37,7 @@ from pyspark.sql.types import IntegralType
 from tessella.llm.components import components
 from tessella.llm.sieve import held, passing, sieve
 from tessella.llm.words import encoded, lists, mix, shingles, sliced
-from tessella.session import materialise, release
+from tessella.session import bounded_batches, materialise, release
 
 #: Sets above this size are never light: their subsets are too many whatever the sizes of others.
 MAX_LIGHT = 14
@@ -411,6 +411,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document whose links are those of all its rows. A row with a null id is counted, but its component
     is null. Other columns of ``docs`` are not looked at, whatever their names.
     """
+    docs = bounded_batches(docs)
     if not 0 < num <= den:
         raise ValueError("a similarity between 0 and 1 is needed")
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
@@ -570,6 +571,7 @@ def _list_pairs(texts: DataFrame, survey: DataFrame, rep: DataFrame, early: Data
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document (the smallest id) of each component; a row with a null id stays.
     Of rows that share the id of a kept document, all stay."""
+    docs = bounded_batches(docs)
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = materialise(found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).cast("long").alias("_gone")).distinct(), "gone")
     table = sieve(gone)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.words import sliced
+from tessella.session import bounded_batches
 
 #: Kinds in the order in which spans are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -146,6 +147,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null and empty texts have no spans. Rows that repeat each have a row; a null id is kept. Other columns
     of ``docs`` are not looked at. Whole texts are scanned, in time proportional to their length.
     """
+    docs = bounded_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
@@ -158,6 +160,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data replaced in the text; all rows and columns stay, null stays null."""
+    docs = bounded_batches(docs)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.words import SPACED, Words, blocks, encoded, sliced
+from tessella.session import bounded_batches
 
 #: Bounds of the fitting sample, and the model's size.
 MAX_ROWS = 20_000
@@ -180,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows with a null id or label are left out; of labels that differ for one id the larger counts, and of texts
     that share an id the least. Other columns of ``docs`` (language, source, ...) are never looked at.
     """
+    docs = bounded_batches(docs)
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("i"), "i").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("i")).groupBy("id", "y").agg(F.min("text").alias("text"))
@@ -198,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of each row of ``docs``; null and empty texts are scored by their features, too."""
+    docs = bounded_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
@@ -209,6 +212,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with a score of at least ``least``."""
+    docs = bounded_batches(docs)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.words import sliced
+from tessella.session import bounded_batches
 
 #: Kinds in the order in which spans with the same start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "jwt", "private_key", "encoded_key", "hex_key")
@@ -251,6 +252,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts have no spans. Rows that repeat each have a row; a null id is kept. Other columns
     of ``docs`` are not looked at. Whole texts are scanned, in time proportional to their length.
     """
+    docs = bounded_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):

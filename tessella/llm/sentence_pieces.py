@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.words import sliced
+from tessella.session import bounded_batches
 
 MARK = "▁"
 #: Words that a task keeps encoded.
@@ -305,6 +306,7 @@ def vocabulary(path: str) -> Vocabulary:
 def encoded_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids: array<int>) for each row of ``docs``. Null and empty texts have no ids; rows that repeat each
     have a row; a null id is kept. The model's path is a parameter: the file is on each machine."""
+    docs = bounded_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
@@ -336,6 +338,7 @@ def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """For each row of ``docs``: id, ``n_pieces``, ``n_bytes`` (pieces of the byte fallback), ``ids_crc32`` (of
     the ids as little-endian uint32), and ``round_trip``: whether decoding gives the text again (as it does
     unless the text holds the mark itself)."""
+    docs = bounded_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)

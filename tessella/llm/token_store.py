@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.words import mix, sliced, window_hashes
-from tessella.session import materialise, new_path, release
+from tessella.session import bounded_batches, materialise, new_path, release
 
 _WHITE = re.compile(r"\s")
 KEY = 16
@@ -233,6 +233,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, out: str | None = None, id
     ordered by length and content. A null id comes first. Other columns are not looked at. ``width`` is the
     bytes of an id in the files: 2 for vocabularies of up to 65,536 ids, else 4; an id that does not fit is a ValueError.
     """
+    docs = bounded_batches(docs)
     spark = docs.sparkSession
     out = out or new_path(spark, "token-store")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
