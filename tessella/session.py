@@ -67,9 +67,9 @@ BATCH_BYTES = 4 << 20
 
 def bounded_batches(df: DataFrame) -> DataFrame:
     """The same rows. From now on the session sends them to Python workers in batches of at most BATCH_BYTES, however
-    long their texts are, unless it has a smaller bound."""
+    long their texts are, unless a bound of its own is set."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(key, "0b").rstrip("b")) not in range(1, BATCH_BYTES):
+    if conf.get(key) == "67108864b":  # Spark's default
         conf.set(key, str(BATCH_BYTES))
     return df
 
