@@ -351,7 +351,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, num:
     wanted = wanted.select("*", part.alias("part")).select("id", F.expr(f"slice(places, part * {PLACES} + 1, {PLACES})").alias("places"))
     wanted = materialise(wanted, "wanted")
     sifted = passing(texts, sieve(wanted.select("id")), "id")
-    sets = sifted.join(wanted, "id").select("id", "text", "places").mapInArrow(_whole_sets(k), "g long, i int, j int, a long, s binary")
+    # always a shuffle: within one stage the two functions would run in two Python workers at once
+    sets = sifted.join(wanted.hint("merge"), "id").select("id", "text", "places").mapInArrow(_whole_sets(k), "g long, i int, j int, a long, s binary")
     both = sets.select("g", "i", "j", "a", F.lit(None).cast("long").alias("b"), "s").unionByName(met.withColumn("s", F.lit(None).cast("binary")))
     dealt = both.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", F.asc_nulls_first("b"))
     links = materialise(dealt.mapInArrow(_similar(num, den), "a long, b long").distinct(), "links")
