@@ -18,22 +18,40 @@ def precision_at(ids: Column, gold: Column, k: int) -> Column:
     return hits(ids, gold, k) / F.lit(float(k))
 
 
-def recall_at(ids: Column, gold: Column, k: int) -> Column:
-    """Hits by distinct gold ids; 0 without gold."""
-    return F.when(F.size(gold) > 0, hits(ids, gold, k) / F.size(F.array_distinct(gold))).otherwise(0.0)
+def recall_at(ids: Column, gold: Column, k: int, n_gold: Column | None = None) -> Column:
+    """Hits by distinct gold ids; 0 without gold. With ``n_gold``, their number, ``gold`` need only hold those retrieved."""
+    n = F.size(F.array_distinct(gold)) if n_gold is None else n_gold
+    return F.when(n > 0, hits(ids, gold, k) / n).otherwise(0.0)
 
 
-def f1_at(ids: Column, gold: Column, k: int) -> Column:
-    p, r = precision_at(ids, gold, k), recall_at(ids, gold, k)
+def f1_at(ids: Column, gold: Column, k: int, n_gold: Column | None = None) -> Column:
+    p, r = precision_at(ids, gold, k), recall_at(ids, gold, k, n_gold)
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
+def judged_runs(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """(query_id, ids, gold, n_gold) of ranked results (query_id, id, rank), where the rows of the query's own label in
+    ``labels`` (id, label) are its gold: the ids in order, those of them that are gold, and how many gold ids there are.
+
+    Labels are counted by a group-by and met by joins, so no label's ids are gathered however many it has. Results and
+    queries without a label are left out; each id has one label."""
+    sizes = labels.filter("label is not null").groupBy("label").agg(F.count_distinct("id").alias("n_gold"))
+    of_query = labels.join(sizes, "label").select(F.col("id").alias("query_id"), F.col("label").alias("asked"), "n_gold")
+    rows = found.join(of_query, "query_id").join(labels, "id", "left")
+    listed = F.array_sort(F.collect_list(F.struct("rank", "id", F.coalesce(F.col("label") == F.col("asked"), F.lit(False)).alias("is_gold"))))
+    runs = rows.groupBy("query_id", "n_gold").agg(listed.alias("found"))
+    gold = F.transform(F.filter("found", lambda x: x["is_gold"]), lambda x: x["id"])
+    return runs.select("query_id", F.transform("found", lambda x: x["id"]).alias("ids"), gold.alias("gold"), "n_gold")
+
+
 def question_metrics(runs: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """(query_id, metrics: map of recall@k and f1@k) for runs (query_id, ids, gold); an empty map where nothing was
-    retrieved or there is no gold."""
-    pairs = [x for k in ks for x in (F.lit(f"recall@{k}"), recall_at(F.col("ids"), F.col("gold"), k), F.lit(f"f1@{k}"), f1_at(F.col("ids"), F.col("gold"), k))]
+    """(query_id, metrics: map of recall@k and f1@k) for runs (query_id, ids, gold, and n_gold if the gold ids are only those
+    retrieved); an empty map where nothing was retrieved or there is no gold."""
+    ids, gold = F.col("ids"), F.col("gold")
+    n = F.col("n_gold") if "n_gold" in runs.columns else F.size(F.array_distinct(gold))
+    pairs = [x for k in ks for x in (F.lit(f"recall@{k}"), recall_at(ids, gold, k, n), F.lit(f"f1@{k}"), f1_at(ids, gold, k, n))]
     nothing = F.expr("cast(map() as map<string,double>)")
-    return runs.select("query_id", F.when((F.size("ids") > 0) & (F.size("gold") > 0), F.create_map(*pairs)).otherwise(nothing).alias("metrics"))
+    return runs.select("query_id", F.when((F.size("ids") > 0) & (n > 0), F.create_map(*pairs)).otherwise(nothing).alias("metrics"))
 
 
 def macro_means(metrics: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:

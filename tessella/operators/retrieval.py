@@ -47,29 +47,38 @@ def top_k(scored: DataFrame, k: int, by: list[str], score: str, tie: str) -> Dat
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _matrix(ids: list[int], embeddings: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(ids, np.int64), np.array(embeddings, float).reshape(len(ids), -1)
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of all rows of ``x`` with all rows of ``y``; NaN for a vector without length."""
+    with np.errstate(all="ignore"):
+        return (x @ y.T) / (np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))[None, :])
+
+
+def _best_pairs(own: np.ndarray, x: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, threshold: float = -1.0) -> Iterator[pa.RecordBatch]:
+    """(query_id, id, score): the k best of some rows for each query."""
+    scores, found = _cosines(x, matrix), []
+    for j, query in enumerate(ids):
+        ok = np.flatnonzero(~np.isnan(scores[:, j]) & (scores[:, j] >= threshold))
+        best = ok[np.lexsort((own[ok], -np.round(scores[ok, j], 9)))[:k]]
+        found.append((np.full(len(best), query, np.int64), own[best], scores[best, j]))
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["query_id", "id", "score"])
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
     """(query_id, id, score, rank): the k most cosine-similar of ``vectors`` (id, embedding) for each of
     ``queries``. A vector without length is like none. Queries, a stated set, go in blocks to every task,
     which keeps k rows of each batch; so what is shuffled does not grow with the vectors' dimension."""
 
-    def block(ids: list[int], matrix: np.ndarray):
+    def block(ids: np.ndarray, matrix: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = np.array(batch.column(0).to_pylist(), np.int64)
-                x = np.array(batch.column(1).to_pylist(), float).reshape(len(own), -1)
-                length = np.sqrt((x * x).sum(axis=1))
-                with np.errstate(all="ignore"):
-                    scores = (x @ matrix.T) / (length[:, None] * np.sqrt((matrix * matrix).sum(axis=1))[None, :])
-                q, i, s = [], [], []
-                for j, query in enumerate(ids):
-                    ok = np.flatnonzero(~np.isnan(scores[:, j]) & (scores[:, j] >= threshold))
-                    best = ok[np.lexsort((own[ok], -np.round(scores[ok, j], 9)))[:k]]
-                    q += [query] * len(best)
-                    i += own[best].tolist()
-                    s += scores[best, j].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
+                if batch.num_rows:
+                    own, x = _matrix(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                    yield from _best_pairs(own, x, ids, matrix, k, threshold)
 
         return run
 
@@ -80,8 +89,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: floa
     found = None
     for at in range(0, len(asked), QUERY_BLOCK):
         part = asked[at : at + QUERY_BLOCK]
-        matrix = np.array([r["embedding"] for r in part], float).reshape(len(part), -1)
-        one = rows.mapInArrow(block([r["id"] for r in part], matrix), "query_id long, id long, score double")
+        one = rows.mapInArrow(block(*_matrix([r["id"] for r in part], [r["embedding"] for r in part])), "query_id long, id long, score double")
         found = one if found is None else found.unionByName(one)
     return top_k(found, k, ["query_id"], "score", "id")
 
@@ -213,25 +221,89 @@ def hydrate(found: DataFrame, files: DataFrame) -> DataFrame:
     return found.join(files.select("file_id", "filename", "chunk_count"), "file_id")
 
 
-def coarse_index(vectors: DataFrame, lists: int = 16, sample_rows: int = 10_000, seed: int = 7):
-    """A k-means partition of the vectors, fitted on a bounded sample (``sample_rows``, by a hash of the id), and
-    every row with its list: the rows to probe for a query are those of its nearest lists."""
+@dataclass(frozen=True)
+class CoarseIndex:
+    """Vectors by their nearest center, and how many lists to read."""
+
+    centers: np.ndarray
+    rows: DataFrame  # id, embedding, list
+    probes: int
+
+
+def probes_for(centers: np.ndarray, sample: np.ndarray, k: int, recall: float, tried: int = 256) -> int:
+    """The fewest lists to read so that, within the sample, the mean share of the k nearest vectors that are found is at least
+    ``recall``; the first ``tried`` vectors are the queries."""
+    lists = _by_distance(centers, sample)[:, 0]
+    scores = np.nan_to_num(_cosines(sample[:tried], sample), nan=-2.0)
+    nearest = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    place = np.argsort(_by_distance(centers, sample[:tried]), axis=1)  # of each list in the query's order
+    needed = np.sort(np.take_along_axis(place, lists[nearest], axis=1), axis=None)
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1 if len(needed) else 1
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(length > 0, length, 1.0)
+
+
+def _by_distance(centers: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The centers from the nearest on, for each row."""
+    return np.argsort((centers * centers).sum(axis=1)[None, :] - 2 * _unit(x) @ centers.T, axis=1, kind="stable")
+
+
+def coarse_index(vectors: DataFrame, k: int = 10, recall: float = 0.95, lists: int | None = None, sample_rows: int = 10_000, seed: int = 7) -> CoarseIndex:
+    """A k-means partition of the vectors by direction, as many lists as the square root of their number if not given.
+
+    It is fitted on at most ``sample_rows`` vectors, by a hash of the id, and has at least 40 of them in a list; the number of
+    lists to read is that which finds ``recall`` of the k nearest within the sample. Every vector that is not null is indexed."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = vectors.select("id", "embedding", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(points.orderBy(F.xxhash64("id")).limit(sample_rows))
-    return np.array(model.clusterCenters()), model.transform(points).select("id", "embedding", F.col("prediction").alias("list"))
-
-
-def indexed_top_k(centers: np.ndarray, indexed: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """As ``vector_top_k``, with only the ``probes`` nearest lists of each query compared."""
-    asked = queries.select("id", "embedding").collect()
-    near = [(int(r["id"]), int(c)) for r in asked for c in np.argsort(((centers - np.array(r["embedding"])) ** 2).sum(axis=1))[:probes]]
-    spark = indexed.sparkSession
-    lists = spark.createDataFrame(near, "query_id long, list int")
-    probe = lists.join(queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    score = dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q"))
-    pairs = indexed.join(F.broadcast(probe), "list").select("query_id", "id", score.alias("score")).filter("score is not null")
-    return top_k(pairs, k, ["query_id"], "score", "id")
+    wide = F.transform("embedding", lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.transform(wide, lambda x: x / F.when(length > 0, length).otherwise(1.0))
+    points = vectors.filter("embedding is not null").select("id", "embedding", array_to_vector(unit).alias("features"))
+    sample = materialise(points.orderBy(F.xxhash64("id"), "id").limit(sample_rows), "sample")
+    own = np.array([r["embedding"] for r in sample.select("embedding").collect()], float)
+    if not len(own):
+        return CoarseIndex(np.zeros((0, 0)), vectors.filter("false").select("id", "embedding", F.lit(0).alias("list")), 0)
+    lists = lists or max(1, min(int(np.sqrt(points.count())), len(own) // 40))
+    if lists == 1:
+        return CoarseIndex(_unit(own).mean(axis=0, keepdims=True), points.select("id", "embedding", F.lit(0).alias("list")), 1)
+    model = KMeans(k=lists, seed=seed, maxIter=10).fit(sample)
+    centers = np.array(model.clusterCenters())
+    return CoarseIndex(centers, model.transform(points).select("id", "embedding", F.col("prediction").alias("list")), probes_for(centers, own, k, recall))
+
+
+def indexed_top_k(index: CoarseIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    """As ``vector_top_k``, with only the ``probes`` nearest lists of each query compared (if not given, the index's number)."""
+
+    def block(ids: np.ndarray, matrix: np.ndarray, of_list: dict[int, np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own, x = _matrix(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                lists = batch.column(2).to_numpy()
+                for c in np.unique(lists):
+                    if len(asking := of_list.get(int(c), ())):
+                        here = lists == c
+                        yield from _best_pairs(own[here], x[here], ids[asking], matrix[asking], k)
+
+        return run
+
+    asked = queries.select("id", "embedding").filter("embedding is not null").orderBy("id").collect()
+    found = None
+    for at in range(0, len(asked), QUERY_BLOCK):
+        part = asked[at : at + QUERY_BLOCK]
+        ids, matrix = _matrix([r["id"] for r in part], [r["embedding"] for r in part])
+        if not len(index.centers):
+            break
+        near = _by_distance(index.centers, matrix)[:, : probes or index.probes]
+        of_list = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+        rows = index.rows.filter(F.col("list").isin([*of_list])).select("id", "embedding", "list")
+        one = rows.mapInArrow(block(ids, matrix, of_list), "query_id long, id long, score double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+    return top_k(found, k, ["query_id"], "score", "id")

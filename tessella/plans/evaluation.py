@@ -17,11 +17,8 @@ K = 10
 
 
 def runs(t: Tables) -> DataFrame:
-    """(query_id, ids in order, gold): one row for each query."""
-    found = vector_top_k(vectors(t), asked(t), K).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
-    label = t.embeddings.select(F.col("vec_id").alias("id"), "label")
-    gold = label.groupBy("label").agg(F.collect_set("id").alias("gold"))
-    return found.join(label.select(F.col("id").alias("query_id"), "label"), "query_id").join(gold, "label").select("query_id", "ids", "gold")
+    """(query_id, ids in order, gold among them, n_gold): one row for each query."""
+    return V.judged_runs(vector_top_k(vectors(t), asked(t), K), t.embeddings.select(F.col("vec_id").alias("id"), "label"))
 
 
 _RUNS = f"""{_VEC},
@@ -52,12 +49,12 @@ def precision_k(t: Tables) -> DataFrame:
 
 @query("recall_k", f"WITH {_RUNS} SELECT query_id, round({_r(5)}, 9) AS recall_5 FROM runs")
 def recall_k(t: Tables) -> DataFrame:
-    return runs(t).select("query_id", _rounded(V.recall_at(F.col("ids"), F.col("gold"), 5), "recall_5"))
+    return runs(t).select("query_id", _rounded(V.recall_at(F.col("ids"), F.col("gold"), 5, F.col("n_gold")), "recall_5"))
 
 
 @query("f1_k", f"WITH {_RUNS} SELECT query_id, round({_f(5)}, 9) AS f1_5 FROM runs")
 def f1_k(t: Tables) -> DataFrame:
-    return runs(t).select("query_id", _rounded(V.f1_at(F.col("ids"), F.col("gold"), 5), "f1_5"))
+    return runs(t).select("query_id", _rounded(V.f1_at(F.col("ids"), F.col("gold"), 5, F.col("n_gold")), "f1_5"))
 
 
 _ROWS = " UNION ALL ".join(f"SELECT query_id, '{m}@{k}' AS metric, round({f(k)}, 9) AS value FROM runs" for k in V.KS for m, f in (("recall", _r), ("f1", _f)))

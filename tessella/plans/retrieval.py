@@ -68,8 +68,7 @@ def vec_threshold(t: Tables) -> DataFrame:
 
 @query("vec_ivf")
 def vec_ivf(t: Tables) -> DataFrame:
-    centers, index = R.coarse_index(vectors(t))
-    return R.indexed_top_k(centers, index, asked(t), 10, probes=12)
+    return R.indexed_top_k(R.coarse_index(vectors(t)), asked(t), 10)
 
 
 @query("bm25_topk", f"WITH {_BM25} SELECT item_id AS query_id, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10")

@@ -255,11 +255,68 @@ def test_index_recall(spark):
         pytest.skip("no test tables here")
     rows = spark.read.parquet(path).select(F.col("vec_id").alias("id"), "embedding")
     asked = rows.filter("id % 100 = 0")
-    centers, index = coarse_index(rows)
-    assert index.count() == rows.count()
+    index = coarse_index(rows)
+    assert index.rows.count() == rows.count()
     exact = {(r["query_id"], r["id"]) for r in vector_top_k(rows, asked, 10).collect()}
-    found = {(r["query_id"], r["id"]) for r in indexed_top_k(centers, index, asked, 10, probes=12).collect()}
+    found = {(r["query_id"], r["id"]) for r in indexed_top_k(index, asked, 10).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+    everything = indexed_top_k(index, asked, 10, probes=len(index.centers)).collect()
+    assert {(r["query_id"], r["id"]) for r in everything} == exact
+
+
+def test_index_of_blocks_and_of_odd_vectors(spark, monkeypatch):
+    from tessella.operators import retrieval
+
+    r = random.Random(5)
+    data = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(300, [0.0] * 4), (301, None)]
+    rows = spark.createDataFrame(data, "id long, embedding array<float>")
+    asked = rows.filter("id % 20 = 0 or id = 301")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    index = retrieval.coarse_index(rows, k=3)
+    assert len(index.centers) == 7 and 1 <= index.probes <= 7 and index.rows.count() == 301
+    every = retrieval.indexed_top_k(index, asked, 3, probes=7)
+    pairs = lambda df: sorted((x["query_id"], x["rank"], x["id"]) for x in df.collect())
+    assert pairs(every) == pairs(vector_top_k(rows, asked, 3))
+    small = retrieval.coarse_index(rows.limit(10))
+    assert len(small.centers) == 1 and pairs(retrieval.indexed_top_k(small, asked, 3)) == pairs(vector_top_k(rows.limit(10), asked, 3))
+    none = retrieval.coarse_index(rows.filter("id < 0"))
+    assert none.rows.count() == 0 and retrieval.indexed_top_k(none, asked, 3).count() == 0
+
+
+def test_probes_are_the_fewest_that_reach_the_recall():
+    import numpy as np
+
+    from tessella.operators.retrieval import _by_distance, probes_for
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    centers = x[:12] / np.linalg.norm(x[:12], axis=1, keepdims=True)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = _by_distance(centers, x)
+
+    def recall(probes: int) -> float:
+        hit = 0
+        for i in range(50):
+            best = np.argsort(-(unit @ unit[i]), kind="stable")[:5]
+            hit += sum(order[j, 0] in order[i, :probes] for j in best)
+        return hit / 250
+
+    for wanted in (0.5, 0.8, 0.95, 1.0):
+        p = probes_for(centers, x, 5, wanted, tried=50)
+        assert recall(p) >= wanted and (p == 1 or recall(p - 1) < wanted)
+
+
+def test_judged_runs_are_the_metrics_of_whole_gold_lists(spark):
+    from tessella.operators.evaluation import judged_runs, question_metrics
+
+    labels = spark.createDataFrame([(i, i % 3) for i in range(30)] + [(30, None)], "id long, label int")
+    found = spark.createDataFrame([(q, (q * 7 + r * 5) % 32, r + 1) for q in (0, 1, 2, 30) for r in range(6)], "query_id long, id long, rank int")
+    runs = judged_runs(found, labels)
+    got = {r["query_id"]: r["metrics"] for r in question_metrics(runs).collect()}
+    gold = spark.createDataFrame([(q, [i for i in range(30) if i % 3 == q % 3]) for q in (0, 1, 2)], "query_id long, gold array<long>")
+    want = question_metrics(runs.select("query_id", "ids").join(gold, "query_id"))
+    assert got == {r["query_id"]: r["metrics"] for r in want.collect()} and set(got) == {0, 1, 2}
+    assert all(len(r["ids"]) == 6 and r["n_gold"] == 10 for r in runs.collect())
 
 
 def test_bm25_is_the_formula_over_blocks_and_slices(spark, monkeypatch):
