@@ -2,8 +2,9 @@
 
 Every rolling word pair of every document is hashed and joined to the word pairs of a fixed set of license
 templates (a few hundred rows, broadcast). A hit votes for a diagonal: the document's place less the
-template's. Votes are counted by diagonal before the shuffle; neighbouring diagonals of a notice merge, so
-that words added or left out do not part it; spans with enough votes are verified on the words themselves.
+template's. Each template place votes once on a diagonal, as a bit of a mask that merges before the shuffle;
+neighbouring diagonals of a notice merge, so that words added or left out do not part it; spans with enough
+places are verified on the words themselves, in their order, along the diagonals that voted.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ PHRASES = [
     ("cc-by", "cc by"),
     ("mit", "mit license"),
 ]
-# Notices of public licenses (label, text).
+# Notices of public licenses (label, text), of at most 64 words each: a pair is a bit of a long.
 NOTICES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     (
@@ -58,9 +59,9 @@ NOTICES = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Votes that a diagonal of a notice needs before it merges, and the most that neighbours lie apart.
+#: Places that must vote on a diagonal of a notice before it merges, and the most that neighbours lie apart.
 LEAST_VOTES, NEIGHBOURS = 2, 3
-#: Share of a notice's pairs that must vote, and of its distinct words that must be in the span.
+#: Share of a notice's pairs that must vote, and of its words that must stand at their place on the voted diagonals.
 VOTED, WORDS_FOUND = 0.6, 0.7
 #: Candidate spans are broadcast for verification up to so many bytes, else joined by a shuffle.
 MAX_BROADCAST_BYTES = 64 << 20
@@ -90,12 +91,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     known = templates()
     pairs = spark.createDataFrame(
-        [(t, i, phrase, len(words), a, b) for t, _, phrase, words in known for i, (a, b) in enumerate(zip(words, words[1:], strict=False))],
-        "template int, at int, phrase boolean, size int, w string, x string",
-    ).select("template", "at", "phrase", "size", F.xxhash64("w", "x").alias("h"))
+        [(t, i, 1 << i, phrase, len(words), a, b) for t, _, phrase, words in known for i, (a, b) in enumerate(zip(words, words[1:], strict=False))],
+        "template int, at int, bit long, phrase boolean, size int, w string, x string",
+    ).select("template", "at", "bit", "phrase", "size", F.xxhash64("w", "x").alias("h"))
     # one row for each document: the pair that its last word begins, which no word can be in
     end = F.xxhash64(F.lit(" "), F.lit(" "))
-    ends = spark.range(1).select(F.lit(-1).alias("template"), F.lit(0).alias("at"), F.lit(True).alias("phrase"), F.lit(0).alias("size"), end.alias("h"))
+    ends = spark.range(1).select(F.lit(-1).alias("template"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("bit"), F.lit(True).alias("phrase"), F.lit(0).alias("size"), end.alias("h"))
     pairs = F.broadcast(pairs.unionByName(ends))
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -116,50 +117,46 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     votes = (
         grams.join(pairs, "h")
         .groupBy("id", "key", "n_words", "template", "phrase", "size", F.when(F.col("template") >= 0, F.col("pos") - F.col("at")).alias("diagonal"))
-        .agg(F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"))
+        .agg(F.count("*").alias("votes"), F.bit_or("bit").alias("mask"), F.min("at").alias("low"), F.max("at").alias("high"))
     )
     votes = materialise(votes, "votes")
     # equal rows are counted together; the end of text tells how many there are
     rows = votes.filter("template < 0").select("id", "key", "n_words", F.col("votes").alias("copies"))
-    cast = votes.filter("template >= 0").join(rows.select(F.col("id").alias("i"), F.col("key").alias("k"), "copies"), F.col("key").eqNullSafe(F.col("k")) & F.col("id").eqNullSafe(F.col("i")))
-    cast = cast.withColumn("votes", F.col("votes") / F.col("copies"))
+    cast = votes.filter("template >= 0").withColumn("places", F.bit_count("mask"))
 
-    exact = cast.filter("phrase and votes = size - 1").select("id", "key", "template", "phrase", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("size")).alias("end"))
+    exact = cast.filter("phrase and places = size - 1").selectExpr("id", "key", "template", "phrase", "diagonal AS first", "diagonal + size AS end", "diagonal AS from", "diagonal AS to")
     by_diagonal = Window.partitionBy("id", "key", "template").orderBy("diagonal")
     runs = (
-        cast.filter(f"not phrase and votes >= {LEAST_VOTES}")
+        cast.filter(f"not phrase and places >= {LEAST_VOTES}")
         .withColumn("apart", (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > NEIGHBOURS).cast("int"))
         .withColumn("run", F.sum(F.coalesce("apart", F.lit(0))).over(by_diagonal))
         .groupBy("id", "key", "template", "phrase", "size", "run")
         .agg(
-            F.sum("votes").alias("votes"),
+            F.bit_or("mask").alias("mask"),
             F.min(F.col("diagonal") + F.col("low")).alias("first"),
             F.max(F.col("diagonal") + F.col("high") + 2).alias("end"),
+            F.min("diagonal").alias("from"),
+            F.max("diagonal").alias("to"),
         )
-        .filter(F.col("votes") >= VOTED * (F.col("size") - 1))
-        .select("id", "key", "template", "phrase", "first", "end")
+        .filter(F.bit_count("mask") >= VOTED * (F.col("size") - 1))
+        .select("id", "key", "template", "phrase", "first", "end", "from", "to")
     )
     told = spark.createDataFrame(
         [(t, label, words) for t, label, _, words in known], "template int, label string, wanted array<string>"
     )
-    spans = exact.unionByName(runs).groupBy("id", "key").agg(F.collect_list(F.struct("template", "phrase", "first", "end")).alias("spans"))
+    spans = exact.unionByName(runs).groupBy("id", "key").agg(F.collect_list(F.struct("template", "phrase", "first", "end", "from", "to")).alias("spans"))
     spans = materialise(spans.select(F.col("id").alias("i"), F.col("key").alias("k"), "spans"), "spans")
-    # a row holds its keys and some 40 bytes for each span
-    if (spans.agg(F.sum(64 + 40 * F.size("spans"))).first()[0] or 0) <= MAX_BROADCAST_BYTES:
+    # a row holds its keys and some 50 bytes for each span
+    if (spans.agg(F.sum(64 + 50 * F.size("spans"))).first()[0] or 0) <= MAX_BROADCAST_BYTES:
         spans = F.broadcast(spans)
-    # verification on the words of the documents that have a span
+    # verification on the words of the documents that have a span: those that stand where a voted diagonal has them
+    stands = """array_contains(slice(words, greatest(i + s.from, 0) + 1, greatest(i + s.to + 1 - greatest(i + s.from, 0), 0)), wanted[i])"""
     found = (
         keyed.join(spans, F.col("key").eqNullSafe(F.col("k")) & F.col("id").eqNullSafe(F.col("i")))
         .dropDuplicates(["id", "key"])
         .select("id", "key", words_of(F.col("text")).alias("words"), F.explode("spans").alias("s"))
-        .select("id", "key", "s.*", F.expr("slice(words, s.first + 1, s.end - s.first)").alias("here"))
-        .join(F.broadcast(told), "template")
-        .withColumn(
-            "score",
-            F.when(F.col("phrase"), (F.col("here") == F.col("wanted")).cast("double")).otherwise(
-                F.size(F.array_intersect("wanted", "here")) / F.size(F.array_distinct("wanted"))
-            ),
-        )
+        .join(F.broadcast(told), F.col("s.template") == F.col("template"))
+        .select("id", "key", "s.*", "label", F.expr(f"size(filter(sequence(0, size(wanted) - 1), i -> {stands})) / size(wanted)").alias("score"))
         .filter(F.when(F.col("phrase"), F.col("score") == 1).otherwise(F.col("score") >= WORDS_FOUND))
         .select("id", "key", F.struct("template", "label", "first", "end", "phrase", "score").alias("place"))
     )

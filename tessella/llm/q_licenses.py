@@ -40,19 +40,19 @@ g AS (SELECT t, label, phrase, len(ws) AS n, i - 1 AS tp, ws[i] AS w, ws[i + 1]
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{L.UPPER}', '{L.LOWER}'), '{L.WORD}') AS ws FROM documents),
 p AS (SELECT doc_id, i - 1 AS pos, ws[i] AS w, ws[i + 1] AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM d)),
 v AS (
-  SELECT doc_id, t, label, phrase, n, pos - tp AS diagonal, count(*) AS votes, min(tp) AS low, max(tp) AS high
+  SELECT doc_id, t, label, phrase, n, pos - tp AS diagonal, list(DISTINCT tp) AS places, min(tp) AS low, max(tp) AS high
   FROM p JOIN g USING (w, x) GROUP BY ALL),
 r AS (
   SELECT *, sum(CASE WHEN apart > {L.NEIGHBOURS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS run
-  FROM (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS apart FROM v WHERE NOT phrase AND votes >= {L.LEAST_VOTES})),
+  FROM (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS apart FROM v WHERE NOT phrase AND len(places) >= {L.LEAST_VOTES})),
 s AS (
-  SELECT doc_id, t, label, phrase, diagonal AS first, diagonal + n AS last FROM v WHERE phrase AND votes = n - 1
+  SELECT doc_id, t, label, phrase, diagonal AS first, diagonal AS lo, diagonal AS hi FROM v WHERE phrase AND len(places) = n - 1
   UNION ALL
-  SELECT doc_id, t, label, phrase, min(diagonal + low), max(diagonal + high + 2) FROM r
-  GROUP BY doc_id, t, label, phrase, n, run HAVING sum(votes) >= {L.VOTED} * (n - 1)),
+  SELECT doc_id, t, label, phrase, min(diagonal + low), min(diagonal), max(diagonal) FROM r
+  GROUP BY doc_id, t, label, phrase, n, run HAVING len(list_distinct(flatten(list(places)))) >= {L.VOTED} * (n - 1)),
 c AS (
   SELECT s.doc_id, s.label, s.phrase, s.first, CASE WHEN s.phrase THEN 1.0::DOUBLE
-    ELSE len(list_intersect(t.ws, d.ws[first + 1:last]))::DOUBLE / len(list_distinct(t.ws)) END AS score
+    ELSE len(list_filter(range(len(t.ws)), lambda i: list_contains(d.ws[greatest(i + lo, 0) + 1:greatest(i + hi + 1, 0)], t.ws[i + 1])))::DOUBLE / len(t.ws) END AS score
   FROM s JOIN t ON t.t = s.t JOIN d ON d.doc_id = s.doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(count(*) FILTER (phrase) AS BIGINT) AS n_base,
   CAST(min(first) FILTER (phrase) AS BIGINT) AS first_word, CAST(max(first) FILTER (phrase) AS BIGINT) AS last_word,

@@ -276,6 +276,13 @@ def test_licenses(spark):
     base = [[(p["label"], p["first"]) for p in got[i]["places"] if p["phrase"]] for i in range(7)]
     assert base[2] == base[6] == [("cc-by", 5), ("mit", 1), ("mit", 3)] and base[4] == [] and base[5] == [("gpl", 50_000)]
     assert "isc" in [p["label"] for p in got[3]["places"]]
+    words = notice.lower().split()
+    halves = " ".join(words[10:] + words[:10])  # all words of the notice, but not in its order
+    pairs = "permission to use to use to use to use to use to use to use to use to use"  # two places vote again and again
+    cut = " ".join(words[4:])  # begins within the notice: negative diagonals
+    odd = {r["doc_id"]: {p["label"]: p["score"] for p in r["places"]} for r in scan_licenses(docs(spark, [halves, pairs, cut, notice])).collect()}
+    assert odd[0] == {} and odd[1] == {} and odd[3] == {"isc": 1.0}
+    assert abs(odd[2]["isc"] - 16 / 20) < 1e-9
     twice = docs(spark, ["mit license"]).unionByName(docs(spark, ["mit license"]))
     assert [len(r["places"]) for r in scan_licenses(twice).collect()] == [1, 1]
     assert scan_licenses(docs(spark, []).limit(0)).count() == 0
