@@ -61,8 +61,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Places that must vote on a diagonal of a notice before it merges, and the most that neighbours lie apart.
 LEAST_VOTES, NEIGHBOURS = 2, 3
-#: Share of a notice's pairs that must vote, and of its words that must stand at their place on the voted diagonals.
-VOTED, WORDS_FOUND = 0.6, 0.7
+#: Share of a notice's pairs that must vote, and of its words that must stand at their place on the voted diagonals,
+#: give or take NEIGHBOURS. Of a notice of fewer than WHOLE words all must: one tells it from another license.
+VOTED, WORDS_FOUND, WHOLE = 0.6, 0.7, 12
 #: Candidate spans are broadcast for verification up to so many bytes, else joined by a shuffle.
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -135,8 +136,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.bit_or("mask").alias("mask"),
             F.min(F.col("diagonal") + F.col("low")).alias("first"),
             F.max(F.col("diagonal") + F.col("high") + 2).alias("end"),
-            F.min("diagonal").alias("from"),
-            F.max("diagonal").alias("to"),
+            (F.min("diagonal") - NEIGHBOURS).alias("from"),
+            (F.max("diagonal") + NEIGHBOURS).alias("to"),
         )
         .filter(F.bit_count("mask") >= VOTED * (F.col("size") - 1))
         .select("id", "key", "template", "phrase", "first", "end", "from", "to")
@@ -156,8 +157,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .dropDuplicates(["id", "key"])
         .select("id", "key", words_of(F.col("text")).alias("words"), F.explode("spans").alias("s"))
         .join(F.broadcast(told), F.col("s.template") == F.col("template"))
-        .select("id", "key", "s.*", "label", F.expr(f"size(filter(sequence(0, size(wanted) - 1), i -> {stands})) / size(wanted)").alias("score"))
-        .filter(F.when(F.col("phrase"), F.col("score") == 1).otherwise(F.col("score") >= WORDS_FOUND))
+        .select("id", "key", "s.*", "label", F.size("wanted").alias("size"), F.expr(f"size(filter(sequence(0, size(wanted) - 1), i -> {stands})) / size(wanted)").alias("score"))
+        .filter(F.col("score") >= F.when(F.col("size") < WHOLE, 1.0).otherwise(WORDS_FOUND))
         .select("id", "key", F.struct("template", "label", "first", "end", "phrase", "score").alias("place"))
     )
     both = rows.select("id", "key", "n_words", "copies", F.lit(None).cast(found.schema["place"].dataType).alias("place")).unionByName(

@@ -48,16 +48,16 @@ r AS (
 s AS (
   SELECT doc_id, t, label, phrase, diagonal AS first, diagonal AS lo, diagonal AS hi FROM v WHERE phrase AND len(places) = n - 1
   UNION ALL
-  SELECT doc_id, t, label, phrase, min(diagonal + low), min(diagonal), max(diagonal) FROM r
+  SELECT doc_id, t, label, phrase, min(diagonal + low), min(diagonal) - {L.NEIGHBOURS}, max(diagonal) + {L.NEIGHBOURS} FROM r
   GROUP BY doc_id, t, label, phrase, n, run HAVING len(list_distinct(flatten(list(places)))) >= {L.VOTED} * (n - 1)),
 c AS (
-  SELECT s.doc_id, s.label, s.phrase, s.first, CASE WHEN s.phrase THEN 1.0::DOUBLE
+  SELECT s.doc_id, s.label, s.phrase, s.first, len(t.ws) AS n, CASE WHEN s.phrase THEN 1.0::DOUBLE
     ELSE len(list_filter(range(len(t.ws)), lambda i: list_contains(d.ws[greatest(i + lo, 0) + 1:greatest(i + hi + 1, 0)], t.ws[i + 1])))::DOUBLE / len(t.ws) END AS score
   FROM s JOIN t ON t.t = s.t JOIN d ON d.doc_id = s.doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(count(*) FILTER (phrase) AS BIGINT) AS n_base,
   CAST(min(first) FILTER (phrase) AS BIGINT) AS first_word, CAST(max(first) FILTER (phrase) AS BIGINT) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (score IS NOT NULL), '') AS labels, coalesce(max(score), 0.0) AS score
-FROM d LEFT JOIN c ON c.doc_id = d.doc_id AND score >= {L.WORDS_FOUND} GROUP BY d.doc_id, len(ws)
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id AND score >= CASE WHEN n < {L.WHOLE} THEN 1 ELSE {L.WORDS_FOUND} END GROUP BY d.doc_id, len(ws)
 """
 }

@@ -283,6 +283,9 @@ def test_licenses(spark):
     odd = {r["doc_id"]: {p["label"]: p["score"] for p in r["places"]} for r in scan_licenses(docs(spark, [halves, pairs, cut, notice])).collect()}
     assert odd[0] == {} and odd[1] == {} and odd[3] == {"isc": 1.0}
     assert abs(odd[2]["isc"] - 16 / 20) < 1e-9
+    near = ["Licensed under CC BY-NC 4.0", "Licensed under the Apache License, Version 1.1", "licensed under the GNU General Public License, version 2", "licensed under the GNU General Public License (GPL), version 3"]
+    told = [{p["label"] for p in r["places"]} for r in scan_licenses(docs(spark, near)).orderBy("doc_id").collect()]
+    assert told == [{"cc-by", "cc-by-nc-4.0"}, {"apache"}, {"gpl"}, {"gpl", "gpl-3.0"}]  # one word tells licenses apart
     twice = docs(spark, ["mit license"]).unionByName(docs(spark, ["mit license"]))
     assert [len(r["places"]) for r in scan_licenses(twice).collect()] == [1, 1]
     assert scan_licenses(docs(spark, []).limit(0)).count() == 0
