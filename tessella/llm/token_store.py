@@ -32,8 +32,8 @@ _WHITE = re.compile(r"\s")
 KEY = 16
 #: A chunk ends where the hash of the last WINDOW ids is 0 modulo MEAN, and after MOST ids.
 WINDOW, MEAN, MOST = 8, 256, 4096
-#: Encodings of words that a task keeps, and chunk keys that it knows it has sent already.
-CACHE, SHORT = 500_000, 8
+#: Encodings of words that a worker keeps (some 200 bytes each), and chunk keys that a task knows it has sent already.
+CACHE, SHORT, SENT = 1_000_000, 8, 500_000
 #: Bytes of text whose words are looked up together.
 SLICE = 4 << 20
 #: New words in one string.
@@ -200,7 +200,7 @@ def _cut_all(path: str, end_id: int, width: int):
                 owners.append(i)
                 ns.append(b - a)
                 data.append(joined)
-            if len(sent) > CACHE:
+            if len(sent) > SENT:
                 sent.clear()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.string()), pa.array(keys, pa.binary()), pa.array(owners, pa.int64()), pa.array(ns, pa.int64()), pa.array(data, pa.binary())],
