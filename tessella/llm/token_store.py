@@ -238,8 +238,15 @@ def write_store(docs: DataFrame, tokenizer_path: str, out: str | None = None, id
     out = out or new_path(spark, "token-store")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_cut_all(tokenizer_path, end_id, width), _ROW)
-    once = rows.repartition(n, "key").sortWithinPartitions("kind", "key").mapInArrow(_once, _ROW)
-    once.write.partitionBy("kind").option("compression", "snappy").parquet(f"{out}/store")
+    once = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_once, _ROW)
+    # two folders, both open in a task: no sort by folder before they are written
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, "2")
+    try:
+        once.write.partitionBy("kind").option("compression", "snappy").parquet(f"{out}/store")
+    finally:
+        spark.conf.set(writers, before)
 
     recipes = spark.read.schema("key binary, id long, n long, data binary, kind string").parquet(f"{out}/store").filter("kind = 'recipe'").select("id", "n", "data")
 
@@ -267,11 +274,11 @@ def write_store(docs: DataFrame, tokenizer_path: str, out: str | None = None, id
     )
     # one number for each partition
     sizes = {r["part"]: r["n"] for r in local.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-    before, total = [], 0
+    offsets, total = [], 0
     for part in sorted(sizes):
-        before.append((part, total))
+        offsets.append((part, total))
         total += sizes[part]
-    offsets = spark.createDataFrame(before, "part int, before long")
+    offsets = spark.createDataFrame(offsets, "part int, before long")
     local.join(F.broadcast(offsets), "part").withColumn("start", F.col("start") + F.col("before")).drop("before").write.option("compression", "zstd").parquet(f"{out}/manifest")
     release(local)
     root = _store_root(read_manifest(spark, out))
