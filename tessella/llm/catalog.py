@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["jaccard", "quality", "spans", "chat", "fingerprints", "licenses", "tokens", "decontamination", "pieces", "collocations"]
+_MODULES = ["jaccard", "quality", "spans", "chat", "fingerprints", "licenses", "tokens", "decontamination", "pieces", "merkle", "toxicity", "collocations"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
