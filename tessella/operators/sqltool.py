@@ -21,18 +21,19 @@ _QUERY_NODES = frozenset(
 )
 _SHOWS = re.compile(r"ShowTables|ShowTablesCommand|ShowColumns|ShowColumnsCommand|DescribeRelation|DescribeColumn|DescribeQueryCommand|ShowNamespaces")
 _SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
-#: Functions that run code of the machine, and formats by which a file's path is a table.
+#: Functions that run code of the machine.
 _FUNCTIONS = {"java_method", "reflect", "try_reflect"}
-_PATHS = {"parquet", "csv", "json", "text", "orc", "avro", "binaryfile", "delta", "xml"}
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+_ON_FILES = "spark.sql.runSQLOnFiles"
 
 
 def _items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def _check(plan) -> None:
-    """Raise unless the parsed statement is a query throughout: its nodes, those in WITH and in subqueries, its functions."""
+def _check(spark: SparkSession, plan) -> None:
+    """Raise unless the parsed statement is a query throughout: its nodes, those in WITH and in subqueries, its functions.
+    A name of several parts must be a table of the catalog: any other may be a data source and a path."""
     todo = [plan]
     while todo:
         node = todo.pop()
@@ -42,11 +43,10 @@ def _check(plan) -> None:
         todo += _items(node.children())
         if name == "UnresolvedWith":
             todo += _items(node.innerChildren())
-        parts = []
-        if name in ("UnresolvedRelation", "UnresolvedTableValuedFunction"):
-            parts = [x.lower() for x in _items(node.multipartIdentifier() if name == "UnresolvedRelation" else node.name())]
-        if len(parts) > 1 and parts[0] in _PATHS and name == "UnresolvedRelation":
-            raise ValueError("files are no tables")
+        if name == "UnresolvedRelation":
+            parts = _items(node.multipartIdentifier())
+            if len(parts) > 1 and not spark.catalog.tableExists(".".join("`" + x.replace("`", "``") + "`" for x in parts)):
+                raise ValueError(f"{'.'.join(parts)} is no table of the catalog")
         expressions = _items(node.expressions())
         while expressions:
             e = expressions.pop()
@@ -61,7 +61,7 @@ def _check(plan) -> None:
 
 
 def validated(spark: SparkSession, statement: str) -> str:
-    """The statement without its last semicolon, if it is one query (or shows or describes something); else a ValueError."""
+    """The statement without its last semicolon, if it is one query, explains one, or shows or describes something; else a ValueError."""
     text = statement.strip().rstrip(";").strip()
     if not text:
         raise ValueError("an empty statement")
@@ -71,8 +71,11 @@ def validated(spark: SparkSession, statement: str) -> str:
         raise ValueError(f"not one statement of SQL: {e}") from e
     except Exception as e:
         raise ValueError(f"not one statement of SQL: {str(e).splitlines()[0]}") from e
-    if not _SHOWS.fullmatch(plan.getClass().getSimpleName()):
-        _check(plan)
+    kind = plan.getClass().getSimpleName()
+    if kind == "ExplainCommand":
+        _check(spark, plan.logicalPlan())
+    elif not _SHOWS.fullmatch(kind):
+        _check(spark, plan)
     return text
 
 
@@ -83,8 +86,13 @@ def attach(spark: SparkSession, sf_dir: str) -> None:
 
 
 def run(spark: SparkSession, statement: str) -> DataFrame:
-    """The lazy result of a validated statement."""
-    return spark.sql(validated(spark, statement))
+    """The lazy result of a validated statement. No path is a table while Spark looks its names up."""
+    text, before = validated(spark, statement), spark.conf.get(_ON_FILES)
+    spark.conf.set(_ON_FILES, "false")
+    try:
+        return spark.sql(text)
+    finally:
+        spark.conf.set(_ON_FILES, before)
 
 
 def run_limited(spark: SparkSession, statement: str, seconds: int = 60, rows: int = 50) -> list:

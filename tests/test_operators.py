@@ -190,6 +190,11 @@ def test_sql_tool_allows_queries_only(spark):
         "SELECT * FROM numbers WHERE id = (SELECT reflect('java.lang.Math', 'random'))",
         "WITH a AS (SELECT try_reflect('x', 'y')) SELECT * FROM a",
         "SELECT * FROM parquet.`/etc/x`",
+        "SELECT * FROM `org.apache.spark.sql.execution.datasources.text.TextFileFormat`.`/etc/hosts`",
+        "SELECT * FROM `org.apache.spark.sql.execution.datasources.v2.text.TextDataSourceV2`.`/etc/hosts`",
+        "SELECT * FROM numbers WHERE id IN (SELECT 1 FROM `text`.`/etc/hosts`)",
+        "WITH a AS (SELECT * FROM TEXT.`/etc/hosts`) SELECT * FROM a",
+        "EXPLAIN SELECT * FROM text.`/etc/hosts`",
         "EXPLAIN INSERT INTO t VALUES (1)",
         "SET a = 1", "CACHE TABLE numbers", "REFRESH TABLE numbers", "TRUNCATE TABLE t", "CALL f()", "USE x",
         "MERGE INTO t USING numbers ON t.id = numbers.id WHEN MATCHED THEN DELETE",
@@ -199,6 +204,11 @@ def test_sql_tool_allows_queries_only(spark):
     for bad in ("", "DROP TABLE numbers", "SELECT 1; SELECT 2", "INSERT INTO numbers VALUES (1)", "CREATE TABLE t (a INT)", "not sql"):
         with pytest.raises(ValueError):
             sqltool.run(spark, bad)
+    assert "Range" in sqltool.run(spark, "EXPLAIN FORMATTED SELECT * FROM numbers WHERE id > 1").first()[0]
+    assert sqltool.run(spark, "EXPLAIN SELECT 1").count() == 1
+    spark.range(2).createOrReplaceGlobalTempView("shared_numbers")
+    assert sqltool.run(spark, "SELECT count(*) FROM global_temp.shared_numbers").first()[0] == 2
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
     assert len(sqltool.run_limited(spark, "SELECT id FROM numbers", 30)) == 3
     assert "| 1 |" in sqltool.formatted(["a"], [(1,), (2,)])
     with pytest.raises(ValueError):
