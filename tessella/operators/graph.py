@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import entity_name, short_hash
-from tessella.session import materialise
+from tessella.session import materialise, release
 
 
 def with_entity_id(entities: DataFrame, kb: str, name: str = "name", label: str = "label") -> DataFrame:
@@ -127,6 +127,46 @@ def personalised_pagerank(
     return scores.select("id", "score")
 
 
+def pushed_pagerank(edges: DataFrame, restarts: DataFrame, damping: float = 0.85, residual: float = 1e-4, rounds: int = 400) -> DataFrame:
+    """(query_id, id, score) over the undirected simple graph, for all of ``restarts`` (query_id, id, weight, summing to 1 for
+    each query) at once, by forward push: a node whose weight not yet given out is above ``residual`` times its degree keeps
+    (1 - damping) of it as its score and gives the rest to its neighbours in equal parts. All such nodes of all queries push in
+    the same round, and it ends when there is none (or after about ``rounds``): no score, to which (1 - damping) of what is held is added,
+    is then too low by more than ``residual`` times the degree, and a query touches at most 1 / (residual (1 - damping)) edges
+    however large the graph is.
+
+    Nodes of ``restarts`` without an edge are left out, so their weight is lost. What is given to a node by many is summed before
+    it is dealt; the driver gets one number a round. Every second round's table is
+    written, and the one before deleted."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
+    both = materialise(both, "both")
+    degree = both.groupBy("src").agg(F.count("*").alias("degree"))
+    ways = materialise(both.join(degree.select(F.col("src").alias("dst"), F.col("degree").alias("dst_degree")), "dst").repartition("src"), "ways")
+    begin = restarts.groupBy("query_id", "id").agg(F.sum("weight").alias("held")).join(degree.withColumnRenamed("src", "id"), "id")
+    state = materialise(begin.select("query_id", "id", "degree", F.lit(0.0).alias("score"), "held"), "pushed")
+    pushes = F.col("held") > residual * F.col("degree")
+
+    def pushed(now: DataFrame) -> DataFrame:
+        given = (
+            now.filter(pushes)
+            .select("query_id", F.col("id").alias("src"), (damping * F.col("held") / F.col("degree")).alias("part"))
+            .join(ways, "src")
+            .select("query_id", F.col("dst").alias("id"), F.col("dst_degree").alias("degree"), F.lit(0.0).alias("score"), F.col("part").alias("held"))
+        )
+        stays = now.select(
+            "query_id", "id", "degree", (F.col("score") + F.when(pushes, (1 - damping) * F.col("held")).otherwise(0.0)).alias("score"), F.when(pushes, 0.0).otherwise(F.col("held")).alias("held")
+        )
+        return stays.unionByName(given).groupBy("query_id", "id").agg(F.max("degree").alias("degree"), F.sum("score").alias("score"), F.sum("held").alias("held"))
+
+    for _ in range(0, rounds, 2):
+        if not state.filter(pushes).limit(1).count():
+            break
+        before, state = state, materialise(pushed(pushed(state)), "pushed")
+        release(before)
+    release(both, ways)
+    return state.select("query_id", "id", (F.col("score") + (1 - damping) * F.col("held")).alias("score")).filter("score > 0")
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(label, nodes, all_nodes, all_edges) by label, the most frequent first."""
     totals = nodes.agg(F.count("*").alias("all_nodes")).join(edges.agg(F.count("*").alias("all_edges")))

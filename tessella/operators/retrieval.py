@@ -9,11 +9,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.session import materialise
+from tessella.session import bounded_batches, materialise, release
 
 #: Query vectors that are compared with all rows in one scan.
 QUERY_BLOCK = 4096
@@ -94,80 +95,198 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: floa
     return top_k(found, k, ["query_id"], "score", "id")
 
 
-_TERM = re.compile(r"[A-Za-z0-9_]+|[\u4e00-\u9fff]")
+_TERM = re.compile(r"[a-z0-9_]+|[\u4e00-\u9fff]")
+#: Documents of a block of the keyword index, on average.
+SEGMENT = 256
 
 
-def _counted(codes: dict[str, int]):
-    """(id, dl, terms, tfs) of each text: its length in terms, and the asked terms in it, as codes, with their counts."""
+def terms_of(text: str | None) -> list[str]:
+    """Words of ASCII letters, digits and ``_`` with A-Z lowered, and single CJK characters."""
+    return _TERM.findall((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, dl, terms, tfs) of each text: its length in terms, and its distinct terms with their counts."""
+    for batch in batches:
+        lengths, terms, tfs = [], [], []
+        for text in batch.column(1).to_pylist():
+            words = terms_of(text)
+            own = Counter(words)
+            lengths.append(len(words))
+            terms.append(list(own))
+            tfs.append(list(own.values()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32()))], names=["id", "dl", "terms", "tfs"]
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths, terms, tfs = [], [], []
-            for text in batch.column(1).to_pylist():
-                words = _TERM.findall(text or "")
-                own = Counter(filter(None.__ne__, map(codes.get, map(str.lower, words))))
-                lengths.append(len(words))
-                terms.append(list(own))
-                tfs.append(list(own.values()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=["id", "dl", "terms", "tfs"]
-            )
+
+@dataclass(frozen=True)
+class KeywordIndex:
+    """An inverted index in blocks of documents: a row has a block's ``ids``, its ``terms``, the ``best`` weight of each there, and
+    where each term's postings (``docs``: places in ids, ``weights``) ``stop``. ``terms``: the number of documents of each."""
+
+    blocks: DataFrame
+    terms: DataFrame
+    n: int
+    id_type: str
+
+
+def _block(avgdl: float, k1: float, b: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        flat = pc.list_flatten(table.column("terms")).combine_chunks().dictionary_encode()
+        doc = np.repeat(np.arange(table.num_rows), pc.list_value_length(table.column("terms")).to_numpy())
+        tf, dl = pc.list_flatten(table.column("tfs")).to_numpy().astype(float), table.column("dl").to_numpy().astype(float)
+        weights = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / (avgdl or 1.0)))
+        order = np.argsort(flat.indices.to_numpy(), kind="stable")
+        sizes = np.bincount(flat.indices.to_numpy(), minlength=len(flat.dictionary))
+        stop = np.cumsum(sizes)
+        best = np.maximum.reduceat(weights[order], stop - sizes) if len(order) else np.zeros(0)
+        one = lambda x, kind: pa.array([x], pa.list_(kind))
+        return pa.table(
+            {
+                "ids": pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type)),
+                "terms": pa.array([flat.dictionary.to_pylist()], pa.list_(pa.string())),
+                "best": one(best, pa.float64()),
+                "stop": one(stop.astype(np.int32), pa.int32()),
+                "docs": one(doc[order].astype(np.int32), pa.int32()),
+                "weights": one(weights[order], pa.float64()),
+            }
+        )
 
     return run
 
 
-def _best(ids: list[int], idf: np.ndarray, asked: np.ndarray, first: np.ndarray, avgdl: float, k: int, k1: float, b: float):
-    """The k best rows (and those equal to the last) of each query within a slice of rows. The queries that ask for term c
-    are ``asked[first[c]:first[c + 1]]``."""
+def keyword_index(docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> KeywordIndex:
+    """The inverted index of the documents (id, text), written to the shared folder once. Documents are dealt to blocks of about
+    SEGMENT by a hash of the id (rows that share an id, by their text too); null and empty texts count for lengths alone."""
+    kind = docs.schema["id"].dataType.simpleString()
+    texts = bounded_batches(docs).select("id", "text")
+    counted = materialise(texts.mapInArrow(_counted, f"id {kind}, dl long, terms array<string>, tfs array<int>"), "counted")
+    n, avgdl = counted.agg(F.count("*"), F.avg("dl")).first()
+    dealt = counted.withColumn("block", F.pmod(F.xxhash64("id", "terms"), F.lit(max(1, -(-n // SEGMENT)))))
+    shape = f"ids array<{kind}>, terms array<string>, best array<double>, stop array<int>, docs array<int>, weights array<double>"
+    blocks = materialise(dealt.groupBy("block").applyInArrow(_block(avgdl or 0.0, k1, b), shape), "keyword-index")
+    size = F.col("stop")[F.col("i")] - F.when(F.col("i") == 0, 0).otherwise(F.col("stop")[F.col("i") - 1])
+    terms = blocks.select("stop", F.posexplode("terms").alias("i", "term")).select("term", size.alias("df")).groupBy("term").agg(F.sum("df").alias("df"))
+    terms = materialise(terms, "keyword-terms")
+    release(counted)
+    return KeywordIndex(blocks, terms, n, kind)
+
+
+def _search(asked: pa.Array, ids: list, idf: np.ndarray, queries: np.ndarray, first: np.ndarray, k: int):
+    """The k best rows of each query in a task. The queries that ask for term c are ``queries[first[c]:first[c + 1]]``. A query is
+    left out of a block whose best weights cannot reach its k-th row so far."""
+
+    def expand(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of these terms, its queries; and which of the terms that is."""
+        per = first[terms + 1] - first[terms]
+        which = np.repeat(np.arange(len(terms)), per)
+        return queries[np.repeat(first[terms] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))], which
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_of, s_of, r_of, d_of = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, object)
+        least, kind = np.full(len(ids), -1.0), None
         for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                terms, tf = part.column("terms").flatten().to_numpy(), part.column("tfs").flatten().to_numpy().astype(float)
-                row = np.repeat(np.arange(part.num_rows), part.column("terms").value_lengths().to_numpy())
-                dl = part.column("dl").to_numpy()[row]
-                weight = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (avgdl or 1.0)))
-                per = first[terms + 1] - first[terms]
-                at = np.repeat(first[terms] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
-                scores = np.bincount(np.repeat(row, per) * len(ids) + asked[at], np.repeat(weight, per), part.num_rows * len(ids)).reshape(part.num_rows, len(ids))
+            kind = batch.column("ids").type.value_type
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                code = pc.index_in(part.column("terms").flatten(), value_set=asked)
+                at = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+                if not len(at):
+                    continue
+                terms = code.take(pa.array(at)).to_numpy()
+                q, which = expand(terms)
+                most = np.bincount(q, (idf[terms] * part.column("best").flatten().to_numpy()[at])[which], len(ids))
+                active = (most > 0) & (np.round(most, 9) + 1e-9 >= least)
+                if not active.any():
+                    continue
+                row_of = np.cumsum(active) - 1
+                alive = active[q]
+                q, which = row_of[q[alive]], which[alive]
+                used = np.unique(which)  # terms with a query left
+                stop = part.column("stop").flatten().to_numpy()
+                start = np.concatenate([[0], stop[:-1]])[at[used]].astype(np.int64)
+                sizes = stop[at[used]] - start
+                where = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+                docs, owner = part.column("docs").flatten().to_numpy()[where], np.repeat(used, sizes)
+                weight = part.column("weights").flatten().to_numpy()[where] * idf[terms[owner]]
+                own = part.column("ids").flatten()
+                scores = np.zeros((int(active.sum()), len(own)))
+                # each query adds its terms' postings: postings of a term are next to each other
+                begin = np.searchsorted(owner, which)
+                size = np.searchsorted(owner, which, side="right") - begin
+                src = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                scores.ravel()[:] = np.bincount(np.repeat(q, size) * len(own) + docs[src], weight[src], scores.size)
                 rounded = np.round(scores, 9)
-                last = np.partition(rounded, -k, axis=0)[-k] if part.num_rows > k else np.zeros(len(ids))
-                r, q = np.nonzero((scores > 0) & (rounded >= last))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[q]), part.column("id").take(pa.array(r)), pa.array(scores[r, q])], names=["query_id", "id", "score"])
+                here = np.flatnonzero(active)
+                bar = least[here]
+                if len(own) > k:
+                    bar = np.maximum(bar, np.partition(rounded, -k, axis=1)[:, -k])
+                row, col = np.nonzero((scores > 0) & (rounded >= bar[:, None]))
+                if not len(row):
+                    continue
+                names = np.array(own.to_pylist(), object)
+                q_of, s_of = np.concatenate([q_of, here[row]]), np.concatenate([s_of, scores[row, col]])
+                r_of, d_of = np.concatenate([r_of, rounded[row, col]]), np.concatenate([d_of, names[col]])
+                keep = _first_k(q_of, r_of, d_of, k)
+                q_of, s_of, r_of, d_of = q_of[keep], s_of[keep], r_of[keep], d_of[keep]
+                full = np.bincount(q_of, minlength=len(ids)) >= k
+                last = np.append(np.flatnonzero(np.diff(q_of)), len(q_of) - 1)
+                least[q_of[last]] = np.where(full[q_of[last]], r_of[last], -1.0)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[q_of]), pa.array(d_of.tolist(), kind), pa.array(s_of)], names=["query_id", "id", "score"])
 
     return run
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank): the k best of the documents (id, text) that have a term of a query (query_id, text).
+def _first_k(q: np.ndarray, rounded: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """The places of each query's k first rows by score, then by id, in that order. A null id comes first."""
+    by_name = np.array(sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i] if names[i] is not None else 0)), np.int64)
+    order = by_name[np.lexsort((-rounded[by_name], q[by_name]))]
+    sorted_q = q[order]
+    begin = np.searchsorted(sorted_q, sorted_q)
+    return order[np.arange(len(order)) - begin < k]
+
 
-    Queries, a stated set, go in blocks with their terms to every task. Texts are read once for a block; only the counts of
-    asked terms are kept (in the shared folder), and each task passes on k rows of a query and slice. A term's number of
-    documents and the mean length are all that comes back between. No score threshold applies to keyword search."""
-    kinds = docs.schema["id"].dataType.simpleString()
-    rows = docs.select("id", "text")
+def keyword_top_k(index: KeywordIndex, queries: DataFrame, k: int, drop_ratio: float = 0.0) -> DataFrame:
+    """(query_id, id, score, rank): the k best documents by BM25 that have a term of a query (query_id, text).
+
+    Of a query's terms that occur at all, the floor(``drop_ratio`` times their number) with the least weight are left out (ties: the
+    first by name). Queries, a stated set, go in blocks with their terms to every task, which reads its blocks of the index
+    once, skips what cannot be among the k best, and passes on k rows of a query. The numbers of documents of the asked terms
+    are all that comes back before. No score threshold applies to keyword search."""
+    spark = queries.sparkSession
     stated = queries.select("query_id", "text").orderBy("query_id").collect()
     found = None
     for at in range(0, len(stated), QUERY_BLOCK):
         part = stated[at : at + QUERY_BLOCK]
-        terms_of = [sorted({w.lower() for w in _TERM.findall(r["text"] or "")}) for r in part]
-        codes = {w: c for c, w in enumerate(sorted({w for of in terms_of for w in of}))}
-        pairs = sorted((codes[w], q) for q, of in enumerate(terms_of) for w in of)
-        first = np.searchsorted(np.array([c for c, _ in pairs], np.int64), np.arange(len(codes) + 1))
-        asked = np.array([q for _, q in pairs], np.int64)
-        counted = materialise(rows.mapInArrow(_counted(codes), f"id {kinds}, dl long, terms array<int>, tfs array<int>"), "terms")
-        n, avgdl = counted.agg(F.count("*"), F.avg("dl")).first()
-        df = np.zeros(len(codes))
-        for r in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # asked terms only
-            df[r["term"]] = r["count"]
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        one = counted.mapInArrow(_best([r["query_id"] for r in part], idf, asked, first, avgdl, k, k1, b), f"query_id long, id {kinds}, score double")
+        wanted = [sorted(set(terms_of(r["text"]))) for r in part]
+        names = spark.createDataFrame([(w,) for w in sorted({w for of in wanted for w in of})], "term string")
+        df = {r["term"]: r["df"] for r in index.terms.join(names, "term").collect()}  # asked terms only
+        for q, of in enumerate(wanted):
+            known = [w for w in of if w in df]
+            dropped = set(sorted(known, key=lambda w: (-df[w], w))[: int(drop_ratio * len(known))])
+            wanted[q] = [w for w in known if w not in dropped]
+        asked = sorted({w for of in wanted for w in of})
+        codes = {w: c for c, w in enumerate(asked)}
+        pairs = sorted((codes[w], q) for q, of in enumerate(wanted) for w in of)
+        first = np.searchsorted(np.array([c for c, _ in pairs], np.int64), np.arange(len(asked) + 1))
+        counts = np.array([df[w] for w in asked], float)
+        idf = np.log(1 + (index.n - counts + 0.5) / (counts + 0.5))
+        search = _search(pa.array(asked, pa.string()), [r["query_id"] for r in part], idf, np.array([q for _, q in pairs], np.int64), first, k)
+        one = index.blocks.mapInArrow(search, f"query_id long, id {index.id_type}, score double")
         found = one if found is None else found.unionByName(one)
     if found is None:
-        return docs.sparkSession.createDataFrame([], f"query_id long, id {kinds}, score double, rank int")
+        return spark.createDataFrame([], f"query_id long, id {index.id_type}, score double, rank int")
     return top_k(found, k, ["query_id"], "score", "id")
 
 
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, drop_ratio: float = 0.0) -> DataFrame:
+    """``keyword_top_k`` over an index of ``docs`` (id, text) made for it."""
+    return keyword_top_k(keyword_index(docs, k1, b), queries, k, drop_ratio)
+
+
 def min_max(scored: DataFrame) -> DataFrame:
     """Scores of each query scaled to 0..1; all 1 where they are equal."""
     w = Window.partitionBy("query_id")
@@ -196,18 +315,20 @@ def reciprocal_rank_fusion(lists: list[tuple[str, float, DataFrame]], constant:
     return parts.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.array_join(names, ",").alias("sources"), F.min("list").alias("first_list"))
 
 
-def seed_weights(entity_hits: DataFrame, triple_hits: DataFrame, chunk_entities: DataFrame) -> DataFrame:
-    """(entity_id, weight) that sum to 1: 1.0 of each entity hit's score, 0.8 of a triple's for both of its ends,
-    0.3 of a chunk's for the entities in it; negative scores count as 0. Empty if all are 0."""
+def seed_weights(entity_hits: DataFrame, triple_hits: DataFrame, chunk_entities: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, entity_id, weight) that sum to 1 (for each query, with ``by``): 1.0 of each entity hit's score, 0.8 of a triple's for
+    both of its ends, 0.3 of a chunk's for the entities in it; negative scores count as 0. Empty if all are 0."""
+    by = by or []
     at_least_0 = lambda c: F.greatest(F.lit(0.0), F.col(c))
     parts = (
-        entity_hits.select("entity_id", at_least_0("score").alias("w"))
-        .unionByName(triple_hits.select(F.explode(F.array("source_id", "target_id")).alias("entity_id"), (0.8 * at_least_0("score")).alias("w")))
-        .unionByName(chunk_entities.select("entity_id", (0.3 * at_least_0("score")).alias("w")))
+        entity_hits.select(*by, "entity_id", at_least_0("score").alias("w"))
+        .unionByName(triple_hits.select(*by, F.explode(F.array("source_id", "target_id")).alias("entity_id"), (0.8 * at_least_0("score")).alias("w")))
+        .unionByName(chunk_entities.select(*by, "entity_id", (0.3 * at_least_0("score")).alias("w")))
     )
-    sums = parts.groupBy("entity_id").agg(F.sum("w").alias("w"))
-    total = sums.agg(F.sum("w").alias("total")).filter("total > 0")
-    return sums.join(F.broadcast(total)).select("entity_id", (F.col("w") / F.col("total")).alias("weight"))
+    sums = parts.groupBy(*by, "entity_id").agg(F.sum("w").alias("w"))
+    total = sums.groupBy(*by).agg(F.sum("w").alias("total")).filter("total > 0")
+    joined = sums.join(total, by) if by else sums.join(F.broadcast(total))
+    return joined.select(*by, "entity_id", (F.col("w") / F.col("total")).alias("weight"))
 
 
 def rerank_order(found: DataFrame, config: RetrievalConfig) -> DataFrame:

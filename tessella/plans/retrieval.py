@@ -5,13 +5,14 @@ The query vectors are those whose id is divisible by 100, a stated query set aga
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.operators import graph as G
 from tessella.operators import models as M
 from tessella.operators import retrieval as R
-from tessella.plans.registry import Registry, Tables, rounds_sql
+from tessella.plans.registry import Registry, Tables, push_sql
 from tessella.session import materialise
 
 query = Registry()
@@ -77,6 +78,22 @@ def bm25_topk(t: Tables) -> DataFrame:
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
+@query(
+    "bm25_drop_ratio",
+    f"""
+    WITH {_BM25.split("bm AS (")[0]}
+    w AS (SELECT item_id, term, df, row_number() OVER (PARTITION BY item_id ORDER BY df DESC, term) AS place, count(*) OVER (PARTITION BY item_id) AS terms FROM q JOIN f USING (term)),
+    bm AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+      FROM (SELECT * FROM w WHERE place > floor(0.4 * terms)) JOIN p USING (term), st GROUP BY item_id, doc_id),
+    bmr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm)
+    SELECT item_id AS query_id, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10""",
+)
+def bm25_drop_ratio(t: Tables) -> DataFrame:
+    """The two fifths of each question's terms that weigh least are left out."""
+    found = R.bm25_top_k(texts(t), questions(t), 10, drop_ratio=0.4)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
 def chunks(t: Tables) -> DataFrame:
     """(id, text, embedding): the documents that have a vector of the same id."""
     return t.documents.select(F.col("doc_id").alias("id"), "text").join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id")
@@ -117,48 +134,73 @@ def hybrid(t: Tables) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-_GRAPH_ROUNDS, _ASKED = 20, 3
+#: The push stops at this share of a node's degree; the SQL unrolls as many rounds as end it on these tables, and some more.
+_RESIDUAL, _PUSH_ROUNDS = 5e-4, 30
 
 
-#: The graph: chunks mention their source and, in the first 100 characters, words of over six letters.
+#: The graph: chunks mention their source and their words of over six letters, and each two of these that follow each other in
+#: a chunk are a triple. A question's seeds are the entities and triples that it holds, the rarest ten of each, and the entities
+#: of the five chunks that keyword search finds.
 _GRAPH = rf"""
     {_CHUNKS},
-    men AS MATERIALIZED (SELECT DISTINCT doc_id AS chunk_id, unnest(list_concat(['source ' || source], regexp_extract_all(lower(substr(coalesce(text, ''), 1, 100)), '[a-z]{{7,}}'))) AS entity
-      FROM documents WHERE doc_id IN (SELECT doc_id FROM ch)),
-    hit AS (SELECT entity AS id, sum(0.3 * score) AS w FROM kr JOIN men ON chunk_id = kr.id WHERE query_id = {_ASKED} AND rank <= 5 GROUP BY entity),
-    seed AS MATERIALIZED (SELECT id, w / (SELECT sum(w) FROM hit) AS w FROM hit),
-    n1 AS (SELECT chunk_id FROM men WHERE entity IN (SELECT id FROM seed)),
-    near AS MATERIALIZED (SELECT DISTINCT chunk_id, entity FROM men WHERE chunk_id IN (SELECT chunk_id FROM n1)),
-    ways AS MATERIALIZED (SELECT 'chunk ' || chunk_id AS src, entity AS dst FROM near UNION SELECT entity, 'chunk ' || chunk_id FROM near),
+    cw AS MATERIALIZED (SELECT doc_id AS chunk_id, source, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{7,}}') AS ws FROM documents WHERE doc_id IN (SELECT doc_id FROM ch)),
+    men AS MATERIALIZED (SELECT DISTINCT chunk_id, unnest(list_concat(['source ' || source], ws)) AS entity FROM cw),
+    tri AS MATERIALIZED (SELECT p.a AS a, p.b AS b, count(DISTINCT chunk_id) AS n FROM (SELECT chunk_id, unnest(list_transform(range(1, len(ws)), lambda i: {{'a': ws[i], 'b': ws[i + 1]}})) AS p FROM cw) WHERE p.a <> p.b GROUP BY ALL),
+    df AS MATERIALIZED (SELECT entity, count(*) AS n FROM men GROUP BY entity),
+    qw AS MATERIALIZED (SELECT item_id AS q, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{7,}}') AS ws FROM benchmark),
+    eh AS (SELECT q, entity, 1 / (1 + ln(n)) AS score FROM (SELECT DISTINCT q, unnest(ws) AS entity FROM qw) JOIN df USING (entity)
+      QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(1 / (1 + ln(n)), 9) DESC, entity) <= 10),
+    th AS (SELECT q, a, b, 1 / (1 + ln(n)) AS score FROM (SELECT DISTINCT q, p.a AS a, p.b AS b FROM (SELECT q, unnest(list_transform(range(1, len(ws)), lambda i: {{'a': ws[i], 'b': ws[i + 1]}})) AS p FROM qw)) JOIN tri USING (a, b)
+      QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(1 / (1 + ln(n)), 9) DESC, a, b) <= 10),
+    kc AS (SELECT query_id AS q, id, score / max(score) OVER (PARTITION BY query_id) AS score FROM kr WHERE rank <= 5),
+    hit AS (SELECT q, entity AS id, score AS w FROM eh UNION ALL SELECT q, unnest([a, b]), 0.8 * score FROM th
+      UNION ALL SELECT q, entity, 0.3 * score FROM kc JOIN men ON chunk_id = id),
+    seed AS MATERIALIZED (SELECT q, id, sum(w) / any_value(t) AS w FROM (SELECT *, sum(w) OVER (PARTITION BY q) AS t FROM hit) GROUP BY q, id),
+    ways AS MATERIALIZED (SELECT 'chunk ' || chunk_id AS src, entity AS dst FROM men UNION SELECT entity, 'chunk ' || chunk_id FROM men UNION SELECT a, b FROM tri UNION SELECT b, a FROM tri),
     deg AS MATERIALIZED (SELECT src, count(*) AS d FROM ways GROUP BY src),
-    begin_at AS MATERIALIZED (SELECT DISTINCT src AS id, coalesce(w, 0.0)::DOUBLE AS w, false AS dangling FROM ways LEFT JOIN seed ON seed.id = src),
-    {rounds_sql(_GRAPH_ROUNDS)},
-    gr AS (SELECT CAST(substr(id, 7) AS BIGINT) AS id, score, row_number() OVER (ORDER BY round(score, 9) DESC, CAST(substr(id, 7) AS BIGINT)) AS rank FROM s{_GRAPH_ROUNDS} WHERE id LIKE 'chunk %')"""
+    {push_sql(_PUSH_ROUNDS, _RESIDUAL)},
+    gr AS (SELECT q AS query_id, CAST(substr(id, 7) AS BIGINT) AS id, p + 0.15 * r AS score, row_number() OVER (PARTITION BY q ORDER BY round(p + 0.15 * r, 9) DESC, CAST(substr(id, 7) AS BIGINT)) AS rank
+      FROM s{_PUSH_ROUNDS} WHERE id LIKE 'chunk %' AND p + r > 0)"""
+
+
+def _long_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{7,}"), F.lit(0))
+
+
+def _neighbours(words: str) -> Column:
+    """(a, b) of each two words that follow each other and differ."""
+    return F.expr(f"filter(transform(sequence(1, size({words}) - 1), i -> struct({words}[i - 1] as a, {words}[i] as b)), p -> p.a <> p.b)")
+
+
+def _pairs(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.filter(F.size("ws") > 1).select(*keep, F.explode(_neighbours("ws")).alias("p")).select(*keep, "p.a", "p.b")
 
 
 def _graph_chunks(t: Tables, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of one question: chunks found by keyword give weight to the entities that they mention, these
-    seed a walk over the graph within two steps, and the chunks where it stays most are found."""
-    of = chunks(t)
-    words = F.regexp_extract_all(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 100)), F.lit("[a-z]{7,}"), F.lit(0))
-    documents = t.documents.select(F.col("doc_id").alias("chunk_id"), "source", "text").join(of.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    mentions = documents.select("chunk_id", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("source "), "source")), words))).alias("entity_id"))
-    mentions = materialise(mentions, "mentions")
-    hits = R.bm25_top_k(of, questions(t), 5).filter(F.col("query_id") == _ASKED)
-    in_chunks = hits.select(F.col("id").alias("chunk_id"), "score").join(mentions, "chunk_id").select("entity_id", "score")
-    none = in_chunks.filter("false")
-    seeds = R.seed_weights(none, none.select(F.col("entity_id").alias("source_id"), F.col("entity_id").alias("target_id"), "score"), in_chunks)
-    seeds = materialise(seeds.select(F.col("entity_id").alias("id"), "weight"), "seeds")
-    edges = mentions.select(F.concat(F.lit("chunk "), "chunk_id").alias("src"), F.col("entity_id").alias("dst"))
-    near = G.expand(edges, seeds, 2).select("id")
-    ends = lambda c: near.withColumnRenamed("id", c)
-    inner = edges.join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi")
-    scores = G.personalised_pagerank(near, inner, seeds, rounds=_GRAPH_ROUNDS, tolerance=0.0)
-    ranked = scores.filter(F.col("id").startswith("chunk ")).select(F.lit(_ASKED).cast("long").alias("query_id"), F.substring("id", 7, 20).cast("long").alias("id"), "score")
+    """(query_id, id, score, rank) for each question: its entities, triples and chunks give weight to entities, these seed a
+    walk over the whole graph, and the chunks where it stays most are found."""
+    of = materialise(chunks(t), "chunks")
+    words = t.documents.select(F.col("doc_id").alias("chunk_id"), "source", _long_words(F.col("text")).alias("ws"))
+    words = materialise(words.join(of.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi"), "chunk-words")
+    mentions = materialise(words.select("chunk_id", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("source "), "source")), "ws"))).alias("entity_id")), "mentions")
+    triples = materialise(_pairs(words, "chunk_id").distinct().groupBy("a", "b").agg(F.count("*").alias("n")), "triples")
+    rarity = (1 / (1 + F.log("n"))).alias("score")
+    asked_words = t.benchmark.select(F.col("item_id").alias("query_id"), _long_words(F.col("text")).alias("ws"))
+    found_entities = asked_words.select("query_id", F.explode(F.array_distinct("ws")).alias("entity_id")).join(mentions.groupBy("entity_id").agg(F.count("*").alias("n")), "entity_id")
+    entities = R.top_k(found_entities.select("query_id", "entity_id", rarity), 10, ["query_id"], "score", "entity_id")
+    found_triples = _pairs(asked_words, "query_id").distinct().join(triples, ["a", "b"]).select("query_id", F.col("a").alias("source_id"), F.col("b").alias("target_id"), rarity)
+    by_ends = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "source_id", "target_id")
+    found_triples = found_triples.withColumn("rank", F.row_number().over(by_ends)).filter("rank <= 10")
+    hits = R.bm25_top_k(of, questions(t), 5).withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("query_id")))
+    in_chunks = hits.select("query_id", F.col("id").alias("chunk_id"), "score").join(mentions, "chunk_id").select("query_id", "entity_id", "score")
+    seeds = R.seed_weights(entities, found_triples, in_chunks, by=["query_id"])
+    edges = mentions.select(F.concat(F.lit("chunk "), "chunk_id").alias("src"), F.col("entity_id").alias("dst")).unionByName(triples.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    scores = G.pushed_pagerank(edges, seeds.withColumnRenamed("entity_id", "id"), residual=_RESIDUAL)
+    ranked = scores.filter(F.col("id").startswith("chunk ")).select("query_id", F.substring("id", 7, 20).cast("long").alias("id"), "score")
     return R.top_k(ranked, k, ["query_id"], "score", "id")
 
 
-@query("graph_retrieve", f"WITH RECURSIVE {_GRAPH} SELECT {_ASKED}::BIGINT AS query_id, id, round(score, 8) AS score, rank FROM gr WHERE rank <= 20")
+@query("graph_retrieve", f"WITH {_GRAPH} SELECT query_id, id, round(score, 8) AS score, rank FROM gr WHERE rank <= 20")
 def graph_retrieve(t: Tables) -> DataFrame:
     return _graph_chunks(t, 20).select("query_id", "id", F.round("score", 8).alias("score"), F.col("rank").cast("long"))
 
@@ -166,14 +208,14 @@ def graph_retrieve(t: Tables) -> DataFrame:
 @query(
     "rrf_fuse",
     f"""
-    WITH RECURSIVE {_GRAPH},
-    u AS (SELECT id, rank, 'chunk' AS src, 1.0 AS w FROM vr WHERE rank <= 20 AND query_id = {_ASKED} UNION ALL SELECT id, rank, 'graph', 0.5 FROM gr WHERE rank <= 20)
-    SELECT {_ASKED}::BIGINT AS query_id, id, round(sum(w / (60 + rank)), 9) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM u GROUP BY id
+    WITH {_GRAPH},
+    u AS (SELECT query_id, id, rank, 'chunk' AS src, 1.0 AS w FROM vr WHERE rank <= 20 UNION ALL SELECT query_id, id, rank, 'graph', 0.5 FROM gr WHERE rank <= 20)
+    SELECT query_id, id, round(sum(w / (60 + rank)), 9) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM u GROUP BY query_id, id
     """,
 )
 def rrf_fuse(t: Tables) -> DataFrame:
-    """The vector and the graph results of a question."""
-    by_vector = R.vector_top_k(chunks(t), question_vectors(t).filter(F.col("id") == _ASKED), 20)
+    """The vector and the graph results of each question."""
+    by_vector = R.vector_top_k(chunks(t), question_vectors(t), 20)
     found = R.reciprocal_rank_fusion([("chunk", 1.0, by_vector), ("graph", 0.5, _graph_chunks(t, 20))])
     return found.select("query_id", "id", F.round("score", 9).alias("score"), "sources")
 

@@ -69,6 +69,47 @@ def test_metrics(spark):
     assert [len(r["metrics"]) for r in V.question_metrics(runs).orderBy("query_id").collect()] == [8, 0]
 
 
+def test_pushed_pagerank_is_near_the_fixed_point_for_all_queries(spark):
+    r = random.Random(4)
+    edges = [("hub", f"n{i}") for i in range(40)] + [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(60)] + [("far", "away")]
+    restarts = [(1, "n1", 0.5), (1, "n2", 0.25), (1, "n2", 0.25), (2, "hub", 1.0), (3, "far", 0.6), (3, "no edge", 0.4)]
+    frame = spark.createDataFrame(edges + edges[:5], "src string, dst string")
+    limit = 1e-6
+    got = {(x["query_id"], x["id"]): x["score"] for x in G.pushed_pagerank(frame, spark.createDataFrame(restarts, "query_id long, id string, weight double"), residual=limit).collect()}
+    ways = {}
+    for a, b in edges:
+        if a != b:
+            ways.setdefault(a, set()).add(b)
+            ways.setdefault(b, set()).add(a)
+    for q in (1, 2, 3):
+        start = {n: sum(w for x, i, w in restarts if x == q and i == n) for n in ways}
+        score = dict(start)
+        for _ in range(300):
+            score = {n: 0.15 * start[n] + 0.85 * sum(score[m] / len(ways[m]) for m in ways[n]) for n in ways}
+        for n in ways:
+            assert score[n] - limit * len(ways[n]) - 1e-12 <= got.get((q, n), 0.0) <= score[n] + 1e-12, (q, n)
+    assert G.pushed_pagerank(frame, spark.createDataFrame([], "query_id long, id string, weight double")).count() == 0
+
+
+def test_keyword_search_skips_blocks_and_loses_nothing(spark, monkeypatch):
+    from tessella.operators import retrieval
+
+    r = random.Random(8)
+    docs = [(None if i == 3 else i % 900, " ".join(r.choices(["Rare"] * (i % 97 == 0) + ["common", "Word_1", "ça", "x"], k=r.randrange(0, 12)))) for i in range(1000)]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in docs], "id long, text string, n int").repartition(3)
+    queries = spark.createDataFrame([(1, "rare COMMON"), (2, "x word_1 common"), (3, "nowhere")], "query_id long, text string")
+
+    def best(segment):
+        monkeypatch.setattr(retrieval, "SEGMENT", segment)
+        return sorted((x["query_id"], x["rank"], x["id"] or -1, round(x["score"], 9)) for x in retrieval.bm25_top_k(frame, queries, 7).collect())
+
+    assert best(16) == best(5000) and {q for q, *_ in best(64)} == {1, 2}
+    dropped = retrieval.bm25_top_k(frame, queries, 7, drop_ratio=0.5).filter("query_id = 1")
+    alone = retrieval.bm25_top_k(frame, spark.createDataFrame([(1, "rare")], "query_id long, text string"), 7)
+    assert sorted(map(tuple, dropped.collect())) == sorted(map(tuple, alone.collect()))
+    assert retrieval.bm25_top_k(frame.limit(0), queries, 5).count() == 0
+
+
 def test_pagerank_sums_to_one(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "id string")
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
