@@ -8,8 +8,9 @@ sets share a list. The size between light and heavy is the one with the least es
 
 What keeps the heavy side in proportion:
 * equal sets are one set (128-bit digest and size), so exact copies never meet in a list;
-* a set that agrees in most minimum hashes with the least sets of their buckets is compared with
-  the one that it agrees with most, and whole groups of near copies become components before any list is read;
+* lists are scanned twice: first only the heads of sets' prefixes (HEAD entries), where each set is compared with
+  one set, the hub of most of its lists, so that whole groups of near copies become components in proportion to their
+  size; then all lists, for the pairs that are left;
 * only lists that more than one of those components enter give pairs, and pairs inside a component
   are not needed. Lists with the same least hash of a component are counted together, in pairs of blocks of
   bounded size, and only pairs whose shared entries can suffice leave the task;
@@ -41,8 +42,8 @@ from tessella.session import bounded_batches, materialise, release
 
 #: Sets above this size are never light: their subsets are too many whatever the sizes of others.
 MAX_LIGHT = 14
-#: Minimum hashes for the first links, and how many of them must agree with the bucket's least set.
-MIN_HASHES, AGREE = 12, 6
+#: Entries of a prefix whose lists are scanned first, and the share of them that must lead to one hub.
+HEAD, AGREE = 12, 0.5
 #: Shingles counted together when frequent ones are looked for: bounds the memory of a task.
 COUNT_BLOCK = 1 << 20
 #: A shingle is frequent if it is in this share of a block's documents (and in 8 of them).
@@ -72,7 +73,7 @@ def smallest(a: int, num: int, den: int) -> int:
     return -(-num * a // den)
 
 
-def _survey(k: int):
+def _survey(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -90,7 +91,7 @@ def _survey(k: int):
                 mixed = mix(s)
                 d1.append(int(s.sum().view(np.int64)))
                 d2.append(int(mixed.sum().view(np.int64)))
-                least.append(_min_hashes(mixed) if len(s) else s)
+                least.append(s[: min(HEAD, len(s) - smallest(len(s), num, den) + 1)])
                 small.append(s if len(s) <= MAX_LIGHT else s[:0])
                 held.append(s)
                 size += len(s)
@@ -104,16 +105,6 @@ def _survey(k: int):
     return run
 
 
-_SALTS = mix(np.arange(1, MIN_HASHES + 1, dtype=np.uint64))
-
-
-def _min_hashes(mixed: np.ndarray) -> np.ndarray:
-    out = np.empty(MIN_HASHES, np.uint64)
-    for j, salt in enumerate(_SALTS):
-        out[j] = ((mixed ^ salt) * np.uint64(0xBF58476D1CE4E5B9)).min()
-    return out
-
-
 def _survey_rows(ids, ns, d1, d2, least, small, share, frequent=False) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
@@ -218,8 +209,8 @@ def _similar(num: int, den: int):
                 if (g, i, j) != key:
                     key, sets = (g, i, j), {}
                 if b is None:
-                    sets.setdefault(a, []).append(np.frombuffer(blob, np.uint64))
-                elif any(alike(x, y) for x in sets[a] for y in sets[b]):
+                    sets.setdefault(a, {}).setdefault(blob, np.frombuffer(blob, np.uint64))  # equal rows of an id are one
+                elif any(alike(x, y) for x in sets[a].values() for y in sets[b].values()):
                     found[0].append(a)
                     found[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
@@ -350,7 +341,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, num:
     part = F.explode(F.sequence(F.lit(0), F.ceil(F.size("places") / PLACES).cast("int") - 1))
     wanted = wanted.select("*", part.alias("part")).select("id", F.expr(f"slice(places, part * {PLACES} + 1, {PLACES})").alias("places"))
     wanted = materialise(wanted, "wanted")
-    sifted = passing(texts, sieve(wanted.select("id")), "id")
+    sifted = passing(texts, sieve(wanted.select("id"), expected=wanted.count()), "id")
     # always a shuffle: within one stage the two functions would run in two Python workers at once
     sets = sifted.join(wanted.hint("merge"), "id").select("id", "text", "places").mapInArrow(_whole_sets(k), "g long, i int, j int, a long, s binary")
     both = sets.select("g", "i", "j", "a", F.lit(None).cast("long").alias("b"), "s").unionByName(met.withColumn("s", F.lit(None).cast("binary")))
@@ -418,7 +409,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise TypeError(f"ids in {id_col} must be integers")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    survey = materialise(texts.mapInArrow(_survey(k), _SURVEY), "survey")
+    survey = materialise(texts.mapInArrow(_survey(k, num, den), _SURVEY), "survey")
     rows = survey.filter("not frequent").select("id", "n", "d1", "d2")
 
     linkable = survey.filter("not frequent and n > 0 and id is not null")
@@ -434,7 +425,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one row for each size, up to MAX_LIGHT sizes
     counts = {r["n"]: r["count"] for r in rep.filter(F.col("n") <= den * (MAX_LIGHT + 1) // num).groupBy("n").count().collect()}
     above = _boundary(counts, num, den)
-    linked = _first_links(texts, rep, sizes, k, num, den)
+    linked = _first_links(texts, rep, above, sizes, k, num, den)
     early = materialise(components(linked.unionByName(_light_links(rep, above, num, den)).unionByName(same)), "early")
     more = _verified(texts, _list_pairs(texts, survey, rep, early, above, k, num, den), sizes, k, num, den)
 
@@ -469,19 +460,20 @@ def _light_links(rep: DataFrame, above: int, num: int, den: int) -> DataFrame:
     return listed.join(shared, bucket).filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _first_links(texts: DataFrame, rep: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Sets that agree in most minimum hashes with the least set of a bucket, and are similar to it."""
-    buckets = rep.filter(F.col("n") > 0).select(F.col("rep").alias("id"), "n", F.posexplode("least").alias("j", "h"))
-    # the set whose minimum hashes most others have, too, is the likeliest original of a group of copies
-    sizes_of = buckets.groupBy("j", "h").agg(F.count("*").alias("m")).filter("m > 1")
-    central = buckets.join(sizes_of, ["j", "h"]).groupBy("id").agg(F.sum("m").alias("weight"))
-    hubs = buckets.join(central, "id").groupBy("j", "h").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m")
+def _first_links(texts: DataFrame, rep: DataFrame, above: int, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links of heavy sets to hubs of the inverted lists of their first prefix entries: the hub that at least half of a set's
+    lists lead to, if they are similar."""
+    entries = rep.filter(F.col("n") > above).select(F.col("rep").alias("id"), "n", F.size("least").alias("own"), F.explode("least").alias("h"))
+    # the set whose lists most others are in, too, is the likeliest original of a group of copies
+    sizes_of = entries.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
+    central = entries.join(sizes_of, "h").groupBy("id").agg(F.sum("m").alias("weight"))
+    hubs = entries.join(central, "id").groupBy("h").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m")
     first = (
-        buckets.join(hubs, ["j", "h"])
+        entries.join(hubs, "h")
         .filter("id <> hub")
-        .groupBy("id", "hub")
+        .groupBy("id", "hub", "own")
         .count()
-        .filter(F.col("count") >= AGREE)
+        .filter(F.col("count") >= AGREE * F.col("own"))
         .groupBy("id")
         .agg(F.min_by("hub", F.struct(-F.col("count"), "hub")).alias("hub"))
         .select(F.col("id").alias("a"), F.col("hub").alias("b"))
@@ -508,7 +500,7 @@ def _list_pairs(texts: DataFrame, survey: DataFrame, rep: DataFrame, early: Data
     late_hashes = _hashes(late)
     # sets without a link are components of their own; only others have to be looked up
     linked = early.join(rep.select(F.col("rep").alias("node"), F.lit(True).alias("is_rep")).distinct(), "node", "left")
-    in_early = sieve(early.select("node"))
+    in_early = sieve(early.select("node"), expected=early.count())
 
     def prefixes(only: np.ndarray | None) -> DataFrame:
         """(id, n, prefix, component) of the sets, or of those whose ids the table may have."""
@@ -539,7 +531,7 @@ def _list_pairs(texts: DataFrame, survey: DataFrame, rep: DataFrame, early: Data
         again = prefixes(stale)
         release(mixed, moved)
         mixed = mixed_lists(passing(entries, stale, "id", inside=False).unionByName(again))
-    of_several = sieve(mixed.select("h"))
+    of_several = sieve(mixed.select("h"), expected=mixed.count())
     schema = "id long, n long, component long, h long"
     entered = entries.mapInArrow(_entered(of_several, stale), schema)
     if again is not None:
@@ -575,7 +567,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = bounded_batches(docs)
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = materialise(found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).cast("long").alias("_gone")).distinct(), "gone")
-    table = sieve(gone)
+    table = sieve(gone, expected=gone.count())
     # only texts that the table of the ids that go may have are shuffled
     maybe = passing(docs, table, id_col)
     return passing(docs, table, id_col, inside=False).unionByName(maybe.join(gone, maybe[id_col] == gone["_gone"], "left_anti"))

@@ -69,7 +69,7 @@ def test_against_brute_force(spark, seed):
 
 
 def test_long_lists_and_crowded_blocks(spark, monkeypatch):
-    for name, value in (("LONG_LIST", 4), ("BLOCK", 8), ("COMPARED", 2), ("COLUMNS", 16), ("EXACT_ABOVE", 6), ("PLACES", 2), ("SENT", 500), ("AGREE", 13)):
+    for name, value in (("LONG_LIST", 4), ("BLOCK", 8), ("COMPARED", 2), ("COLUMNS", 16), ("EXACT_ABOVE", 6), ("PLACES", 2), ("SENT", 500), ("AGREE", 2.0)):
         monkeypatch.setattr(J, name, value)
     rows = corpus(3, 160)
     assert ours(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
@@ -90,7 +90,7 @@ def sets_corpus(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize(("agree", "max_light"), [(13, 0), (6, 14)])
+@pytest.mark.parametrize(("agree", "max_light"), [(2.0, 0), (0.5, 14)])
 def test_hundreds_of_corpora(spark, monkeypatch, agree, max_light):
     """Corpora of vocabularies of their own in one table, with moved shingles, crowded keys and many blocks."""
     small = {"LONG_LIST": 4, "BLOCK": 8, "COMPARED": 4, "COMPARED_SHINGLES": 64, "COLUMNS": 16, "EXACT_ABOVE": 6, "PLACES": 2, "SENT": 500}
@@ -116,6 +116,8 @@ def test_sieve_has_all_of_its_keys(spark):
     df = spark.createDataFrame([(k,) for k in [*keys, None]], "id long")
     table = sieve(df)
     assert held(table, np.array(keys, np.int64)).all() and held(table, np.arange(10**6, 10**6 + 10**5)).mean() < 0.001
+    larger = sieve(df, expected=1 << 23)
+    assert len(larger) == 2 * len(table) and held(larger, np.array(keys, np.int64)).all() and held(larger, np.arange(10**6, 10**6 + 10**5)).mean() < 0.001
     other = spark.createDataFrame([(7, 1), (None, 2), (6, 3)], "id long, other int")
     assert {r["other"] for r in passing(other, table, "id").collect()} <= {1, 3}
     assert {2} <= {r["other"] for r in passing(other, table, "id", inside=False).collect()}
@@ -128,7 +130,7 @@ def test_ids_must_be_integers(spark):
 
 def test_moved_shingle_in_a_set_without_long_lists(spark, monkeypatch):
     """a has no long list, but in its prefix the shingles that those of b's long list move to the end."""
-    for name, value in (("LONG_LIST", 4), ("AGREE", 13)):
+    for name, value in (("LONG_LIST", 4), ("AGREE", 2.0)):
         monkeypatch.setattr(J, name, value)
     of_word = {f"v{i}": int(next(shingles([f"v{i}".encode()], 1))[0]) for i in range(400)}
     w = [x for x in sorted(of_word, key=of_word.get) if of_word[x] < 1 << 63]  # in the global order
