@@ -26,8 +26,8 @@ BLOCK_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
 
 
 class Windows:
-    """The windows of a block of items: by length, the sorted hashes, and for each of these the places of the windows in
-    the items' texts, one for each item."""
+    """The windows of a block of items: by length, the sorted hashes, for each of these its distinct texts (nearly always one),
+    each with one place where it stands, and for each text the items that have it."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int):
         self.items = [i for i, _ in items]
@@ -44,28 +44,51 @@ class Windows:
                 hashes = window_hashes(found.hashes, n)[at]
                 parts.setdefault(n, []).append((hashes, np.full(len(at), len(self.sources), np.int32), at.astype(np.int32), np.repeat(lo + chosen, per).astype(np.int32)))
             self.sources.append((found.buffer, found.starts.astype(np.int32), found.ends.astype(np.int32)))
-        #: by length: distinct hashes, where the rows of each begin (one more than hashes), and rows of source, word, item
+        #: by length: distinct hashes, where the texts of each begin (one more than hashes), a source and word for each text,
+        #: where its items begin (one more than texts), and the items
         self.of: dict[int, tuple[np.ndarray, ...]] = {}
         for n, found_parts in parts.items():
             hashes, source, at, item = (np.concatenate(x) for x in zip(*found_parts, strict=True))
             order = np.lexsort((item, hashes))
             hashes, source, at, item = hashes[order], source[order], at[order], item[order]
-            fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (item[1:] != item[:-1]))
-            hashes, source, at, item = hashes[fresh], source[fresh], at[fresh], item[fresh]
-            known, first = np.unique(hashes, return_index=True)
-            self.of[n] = known, np.append(first, len(hashes)), source, at, item
+            known, first, size_of = np.unique(hashes, return_index=True, return_counts=True)
+            text = np.zeros(len(hashes), np.int32)  # which of the texts of its hash a row has
+            for i in np.flatnonzero(size_of > 1).tolist():
+                seen: dict[bytes, int] = {}
+                for r in range(first[i], first[i] + size_of[i]):
+                    text[r] = seen.setdefault(self._text(source[r], at[r], n), len(seen))
+            if text.any():  # two texts with one hash
+                order = np.lexsort((item, text, hashes))
+                hashes, source, at, item, text = hashes[order], source[order], at[order], item[order], text[order]
+            new_text = np.append(True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1]))
+            fresh = np.flatnonzero(new_text | np.append(True, item[1:] != item[:-1]))
+            hashes, source, at, item, new_text = hashes[fresh], source[fresh], at[fresh], item[fresh], new_text[fresh]
+            starts = np.flatnonzero(new_text)
+            self.of[n] = known, np.append(np.searchsorted(hashes[starts], known), len(starts)), source[starts], at[starts], np.append(starts, len(item)), item
+        self._names: dict[frozenset[tuple[int, int]], list[str]] = {}
+
+    def names(self, texts: frozenset[tuple[int, int]]) -> list[str]:
+        """The sorted ids of the items that have one of these texts (length, number); those without an id are not listed."""
+        found = self._names.get(texts)
+        if found is None:
+            rows = [self.of[n][5][self.of[n][4][v] : self.of[n][4][v + 1]] for n, v in texts]
+            found = sorted({x for i in np.unique(np.concatenate(rows)).tolist() if (x := self.items[i]) is not None}) if rows else []
+            if len(self._names) > 256:
+                self._names.clear()
+            self._names[texts] = found
+        return found
 
     def _text(self, source: int, at: int, n: int) -> bytes:
         buffer, starts, ends = self.sources[source]
         return b" ".join(buffer[starts[j] : ends[j]] for j in range(at, at + n)).lower()
 
-    def scan(self, texts: list[bytes]) -> Iterator[tuple[Words, int, int, list[tuple[int, int]], set[str | None]]]:
-        """For each text: all words, its first and last offset in them, the hits (first word, length), the items."""
+    def scan(self, texts: list[bytes]) -> Iterator[tuple[Words, int, int, list[tuple[int, int]], list[str]]]:
+        """For each text: all words, its first and last offset in them, the hits (first word, length), the sorted items."""
         for lo, hi in blocks(texts):
             found = Words(texts[lo:hi], ALNUM)
             hits: list[list[tuple[int, int]]] = [[] for _ in range(hi - lo)]
-            items: list[set[str | None]] = [set() for _ in range(hi - lo)]
-            for n, (known, first, source, word, item) in self.of.items():
+            met: list[set[tuple[int, int]]] = [set() for _ in range(hi - lo)]
+            for n, (known, first, source, word, _, _) in self.of.items():
                 windows = window_hashes(found.hashes, n)
                 if not len(windows):
                     continue
@@ -76,12 +99,12 @@ class Windows:
                     if i + n > found.offsets[j + 1]:
                         continue
                     text = found.text(i, n)
-                    same = [r for r in range(first[of], first[of + 1]) if self._text(source[r], word[r], n) == text]
-                    if same:
-                        hits[j].append((i, n))
-                        items[j].update(self.items[item[r]] for r in same)
+                    for v in range(first[of], first[of + 1]):
+                        if self._text(source[v], word[v], n) == text:
+                            hits[j].append((i, n))
+                            met[j].add((n, v))
             for j in range(hi - lo):
-                yield found, int(found.offsets[j]), int(found.offsets[j + 1]), hits[j], items[j]
+                yield found, int(found.offsets[j]), int(found.offsets[j + 1]), hits[j], self.names(frozenset(met[j]))
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -150,7 +173,7 @@ def _scan(windows: Broadcast, others: bool):
             for _, a, b, hits, of in windows.value.scan(encoded(batch.column("text"))):
                 n_words.append(b - a)
                 ranges.append([{"first": x, "end": y} for x, y in _merged([(i - a, i - a + n) for i, n in hits])])
-                items.append(sorted(x for x in of if x is not None))
+                items.append(of)
             found = pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(ranges, _RANGES), pa.array(items, pa.list_(pa.string()))], names=["id", "n_words", "ranges", "items"])
             yield found if others else found.filter(pa.array([bool(r) for r in ranges], pa.bool_()))
 

@@ -8,6 +8,7 @@ number of distinct shingles. Below k shingles all of these are exact, up to hash
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,47 +93,43 @@ def merged_sketches(table: DataFrame, by: list[str], sketch_col: str = "sketch",
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, own, id, text): the rows in ranges of the id, one range a partition, sorted by id
-    descending (ties by text), each range followed by the row that comes next (own = false).
+    """(bucket, own, id, text): the rows in ranges of (id descending, hash of the text), one range a partition, in this order,
+    each range followed by the row that comes next (own = false). After the last row comes the first one again.
 
-    Only the ranges' bounds and greatest ids (one for each partition) reach the driver. A null id
-    counts as less than all others; after the least row comes the first one again.
+    Rows of one id, or of none, are dealt to several ranges by their texts; only rows equal in both stay together. A range's
+    first row reaches the one before it once, however often it is repeated. Only the ranges' first keys, one for each
+    partition, reach the driver. A null id counts as less than all others.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low = -(2**63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("order"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    cuts = rows.agg(F.percentile_approx("order", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0]
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    rows = docs.select(F.bitwise_not(order).alias("a"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("b"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ranged = rows.select("a", "b").repartitionByRange(n, "a", "b").groupBy(F.spark_partition_id()).agg(F.min(F.struct("a", "b")).alias("first"))
+    firsts = sorted((r["first"]["a"], r["first"]["b"]) for r in ranged.collect())
 
     @F.pandas_udf("int")
-    def bucket(order):
+    def bucket(a, b):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(cuts, order.to_numpy(np.int64), side="left").astype(np.int32))
+        return pd.Series([bisect_right(firsts, key) - 1 for key in zip(a.tolist(), b.tolist(), strict=True)], dtype="int32")
 
-    greatest = {r["b"]: r["m"] for r in rows.select(bucket("order").alias("b"), "order").groupBy("b").agg(F.max("order").alias("m")).collect()}
-    filled = sorted(greatest)
-    # a range's greatest row follows the next higher range; the greatest of all follows the lowest
-    follows = {greatest[b]: filled[(i + 1) % len(filled)] for i, b in enumerate(filled)}
-
-    @F.pandas_udf("array<int>")
-    def buckets(order):
+    @F.pandas_udf("int")
+    def follows(a, b):
         import pandas as pd
 
-        own = np.searchsorted(cuts, order.to_numpy(np.int64), side="left").tolist()
-        return pd.Series([[b, -1 - follows[o]] if o in follows else [b] for o, b in zip(order.tolist(), own, strict=True)])
+        place = {key: (i - 1) % len(firsts) for i, key in enumerate(firsts)}
+        return pd.Series([place.get(key, -1) for key in zip(a.tolist(), b.tolist(), strict=True)], dtype="int32")
 
-    dealt = rows.withColumn("at", F.explode(buckets("order"))).select(
-        F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).cast("int").alias("bucket"), (F.col("at") >= 0).alias("own"), "order", "id", "text"
-    )
-    return dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions(F.desc("own"), F.desc("order"), "text").select("bucket", "own", "id", "text")
+    own = rows.select(bucket("a", "b").alias("bucket"), F.lit(True).alias("own"), "a", "b", "id", "text")
+    next_rows = rows.withColumn("bucket", follows("a", "b")).filter("bucket >= 0").groupBy("bucket", "a", "b").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    dealt = own.unionByName(next_rows.withColumn("own", F.lit(False)))
+    return dealt.repartitionById(max(n, len(firsts)), F.col("bucket")).sortWithinPartitions(F.desc("own"), "a", "b", "text").select("bucket", "own", "id", "text")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of ``docs``: its fingerprint, and that of its edited text, whose last floor(n/2)
     code points are replaced by the first as many (or all) of the next document's (descending id, then
-    text; the first follows the last; a single row follows itself).
+    by a hash of the text; the first follows the last; a single row follows itself).
 
     Null texts count as empty; they have an empty fingerprint, which is like another empty one (1.0)
     and unlike any other (0.0). Rows that repeat each have a row. A null id sorts below all others.
