@@ -1,8 +1,8 @@
 """Chunking of documents: one row in, its chunks out.
 
-A preset is a small function from a text to a list of chunks; ``chunked`` runs it over Arrow batches, so that
-documents are spread over tasks and no state passes between rows. Tokens are runs of ASCII word characters
-or single CJK ideographs.
+The general and the separator preset are column expressions (``tessella.functions.chunks``). The presets that follow headings,
+questions or meaning are small functions from a text to a list of chunks; ``chunked`` runs them over Arrow batches. Documents are
+spread over tasks and no state passes between rows. Tokens are runs of ASCII word characters or single CJK ideographs.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.chunks import general, heading_vote, placed, separated
+from tessella.functions.text import tok_count
+
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[一-鿿]")
 _SENTENCE = re.compile(r"(?<=[。！？!?])[”’」』）)\"']*|(?<=[.])\s+(?=[A-ZÀ-Þ])|\n+")
 _ABBREVIATION = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|St|vs|etc|e\.g|i\.e|No|Fig|[A-Z])\.$")
@@ -70,40 +73,6 @@ def merge_sections(sections: list[str], limit: int, overlap_percent: int = 0) ->
     return chunks
 
 
-def general(text: str, p: ChunkParams) -> list[str]:
-    """Sections between delimiters, merged; what is above the hard limit is cut."""
-    merged = merge_sections(_split(text, p.delimiter), p.limit, p.overlap_percent)
-    hard = int(p.limit * p.hard)
-    return [x for c in merged for x in (cut_at_tokens(c, p.limit, hard) if count_tokens(c) > hard else [c])]
-
-
-def _split(text: str, delimiter: str) -> list[str]:
-    """Delimiters in backticks are whole strings; other characters are delimiters one by one."""
-    marked = re.findall(r"`([^`]+)`", delimiter)
-    if marked:
-        return re.split("|".join(re.escape(m) for m in sorted(marked, key=len, reverse=True)), text)
-    return re.split(f"[{re.escape(delimiter)}]" if delimiter else r"\n", text)
-
-
-def separator(text: str, p: ChunkParams) -> list[str]:
-    """Strictly what is between delimiters; only a part above the limit is sliced, with an overlap in tokens."""
-    out = []
-    for part in (x.strip() for x in _split(text, p.delimiter)):
-        if not part:
-            continue
-        starts = [m.start() for m in _TOKEN.finditer(part)]
-        if len(starts) <= p.limit:
-            out.append(part)
-            continue
-        step = max(1, p.limit - p.limit * p.overlap_percent // 100)
-        for i in range(0, len(starts), step):
-            end = starts[i + p.limit] if i + p.limit < len(starts) else len(part)
-            out.append(part[(0 if i == 0 else starts[i]) : end].strip())
-            if end == len(part):
-                break
-    return out
-
-
 # Families of headings, each from the highest level down; the first of equally heavy families wins.
 HEADINGS = [
     [
@@ -116,17 +85,17 @@ HEADINGS = [
     [
         r"第[0-9]+章",
         r"第[0-9]+节",
-        r"[0-9]{,2}[\. 、]",
-        r"[0-9]{,2}\.[0-9]{,2}[^a-zA-Z/%~-]",
-        r"[0-9]{,2}\.[0-9]{,2}\.[0-9]{,2}",
-        r"[0-9]{,2}\.[0-9]{,2}\.[0-9]{,2}\.[0-9]{,2}",
+        r"[0-9]{0,2}[\. 、]",
+        r"[0-9]{0,2}\.[0-9]{0,2}[^a-zA-Z/%~-]",
+        r"[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}",
+        r"[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}",
     ],
     [
         r"第[零一二三四五六七八九十百0-9]+章",
         r"第[零一二三四五六七八九十百0-9]+节",
         r"[零一二三四五六七八九十百]+[ 、]",
         r"[\(（][零一二三四五六七八九十百]+[\)）]",
-        r"[\(（][0-9]{,2}[\)）]",
+        r"[\(（][0-9]{0,2}[\)）]",
     ],
     [
         r"PART (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN)",
@@ -146,43 +115,17 @@ HEADINGS = [
 #: The place of the markdown family, and that of decimal numbers.
 MARKDOWN, DECIMAL = 4, 1
 _COMPILED = [[re.compile(x) for x in family] for family in HEADINGS]
-# Lines that begin like numbers in a text, and list marks that a sentence may hold.
-_NO_HEADING = re.compile(r"0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,}")
-_MARK = re.compile(r"[一二三四五六七八九十百]+、|[\(（][一二三四五六七八九十百]+[\)）]|[0-9]{1,2}[\.、]")
-_TITLE, _HTML_TABLE = re.compile(r"#{1,6}\s+\S"), re.compile(r"</?(table|tr|td|th|caption|tbody|thead)[^>]*>", re.I)
-
-
-def _likely(line: str) -> bool:
-    """Whether a line looks like a heading: short, and without marks of a sentence near its begin."""
-    too_long = len(line) > 96 or count_tokens(line) > 72
-    sentence = re.search(r"[，。；！？!?:：]", line[:24]) or (len(line) > 20 and line[-1:] in "。；！!？?")
-    return bool(line) and not (too_long or sentence or _HTML_TABLE.search(line))
-
-
-def _weight(line: str, family: int) -> float:
-    """What a line that fits a pattern of the family adds to it."""
-    if _TITLE.match(line):
-        if family != MARKDOWN:
-            return 1.0
-        marks = len(line) - len(line.lstrip("#"))
-        return 4.0 if marks <= 2 else 3.0 if marks <= 4 else 2.0
-    weight = 1.0
-    mark = _MARK.search(line)
-    if mark and mark.start() and line[mark.start() - 1] not in "#\n":
-        weight *= 0.1
-    return weight if family == MARKDOWN or _likely(line) else weight * 0.2
-
-
-def heading_family(lines: list[str]) -> int | None:
-    """The place in HEADINGS of the family with most weight: markdown headings count 4 to 2 by level, other hits 1, a
-    tenth if the mark stands within the line, a fifth if the line is no likely heading."""
-    best, most = None, 0.0
-    stripped = [x for x in (line.strip() for line in lines) if not _NO_HEADING.match(x)]
-    for family, patterns in enumerate(_COMPILED):
-        total = sum(_weight(line, family) for line in stripped if any(p.match(line) for p in patterns))
-        if total > most:
-            best, most = family, total
-    return best
+# How lines begin that are no headings, and marks of lists; both for Python and Java.
+NO_HEADING = r"0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,}"
+LIST_MARK = r"[一二三四五六七八九十百]+、|[\(（][一二三四五六七八九十百]+[\)）]|[0-9]{1,2}[\.、]"
+_NO_HEADING = re.compile(NO_HEADING)
+# Titles of a table of contents, without spaces.
+_CONTENTS = re.compile(r"#*(?:contents|目录|目次|tableofcontents|致谢|acknowledge)", re.I)
+
+
+def heading_family(text: Column) -> Column:
+    """The place in HEADINGS of the family that most headings of a text weigh for."""
+    return heading_vote(text, HEADINGS, MARKDOWN, NO_HEADING, LIST_MARK)
 
 
 def heading_depth(line: str, family: int | None) -> int | None:
@@ -217,21 +160,38 @@ def titled_sections(lines: list[str], family: int | None, depth: int = 5) -> lis
     return out
 
 
-def without_contents(lines: list[str], ahead: int = 128) -> list[str]:
-    """Without a table of contents: from its title to the line before its first entry comes again."""
-    for i, line in enumerate(lines):
-        if re.fullmatch(r"\s*#*\s*(?:contents|table of contents|目录|目次)\s*", line, re.I) and i + 1 < len(lines):
-            first = next((x.strip() for x in lines[i + 1 :] if x.strip()), "")
-            for j in range(i + 2, min(i + 2 + ahead, len(lines))):
-                if first and lines[j].strip()[:3] == first[:3] and lines[j].strip() == re.sub(r"[\s.·…]*\d+$", "", first):
-                    return lines[:i] + lines[j:]
-    return lines
+def _lead(line: str, english: bool) -> str:
+    """What an entry of a table of contents has in common with its heading: three characters, in English two words."""
+    return " ".join(line.split()[:2]) if english else line.strip()[:3]
 
 
-def book(text: str, p: ChunkParams) -> list[str]:
+def without_contents(lines: list[str], english: bool = False, ahead: int = 128) -> list[str]:
+    """Without tables of contents: the title and the first entry go, and with them what stands before the line, at most
+    ``ahead`` further, that begins like this entry."""
+    kept, i = [], 0
+    while i < len(lines):
+        if not _CONTENTS.fullmatch(re.sub(r"[ \u3000]+", "", lines[i].strip())):
+            kept.append(lines[i])
+            i += 1
+            continue
+        entry = next((j for j in range(i + 1, len(lines)) if lines[j].strip()), None)
+        if entry is None:
+            break
+        begin = _lead(lines[entry], english)
+        i = next((j for j in range(entry + 1, min(entry + 1 + ahead, len(lines))) if lines[j].strip().startswith(begin)), entry + 1)
+    return kept
+
+
+def _english(lines: list[str]) -> bool:
+    """Over four fifths of the lines that are not blank are ASCII."""
+    inked = [x for x in lines if x.strip()]
+    return sum(x.isascii() for x in inked) > 0.8 * len(inked)
+
+
+def book(text: str, p: ChunkParams, family: int | None) -> list[str]:
     """Sections under their titles, merged within a title up to the limit."""
-    lines = without_contents(text.split("\n"))
-    family = heading_family(lines)
+    lines = text.split("\n")
+    lines = without_contents(lines, _english(lines))
     if family is None:
         return [x for c in merge_sections(lines, p.limit) for x in cut_at_tokens(c, p.limit)]
     out = []
@@ -242,10 +202,9 @@ def book(text: str, p: ChunkParams) -> list[str]:
     return out
 
 
-def laws(text: str, p: ChunkParams) -> list[str]:
+def laws(text: str, p: ChunkParams, family: int | None) -> list[str]:
     """An article is a chunk under the titles of its first three levels; an overlong one is cut."""
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    family = heading_family(lines)
     out = []
     for titles, body in titled_sections(lines, family, depth=3 if family != DECIMAL else 2):
         head = " ".join(titles)
@@ -272,28 +231,11 @@ def sentences(text: str) -> list[str]:
     return [s for s in (x.strip() for x in [*parts, text[start:]]) if s]
 
 
-def average_linkage(vectors: np.ndarray, clusters: int) -> np.ndarray:
-    """Labels of agglomerative clustering by average cosine distance, merged until so many are left."""
-    n = len(vectors)
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    distance = 1 - unit @ unit.T
-    np.fill_diagonal(distance, np.inf)
-    label, size = np.arange(n), np.ones(n)
-    for _ in range(n - max(1, clusters)):
-        i, j = sorted(np.unravel_index(int(np.argmin(distance)), distance.shape))
-        merged = (distance[i] * size[i] + distance[j] * size[j]) / (size[i] + size[j])
-        distance[i], distance[:, i] = merged, merged
-        distance[i, i] = np.inf
-        distance[j], distance[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return label
-
-
 def chained_linkage(vectors: np.ndarray, clusters: int) -> np.ndarray:
-    """The clusters of ``average_linkage`` without its matrix, in memory that grows with the vectors only: the average
-    cosine distance of two clusters is that of their sums of unit vectors over their sizes. Mutual nearest neighbours
-    at the end of a chain merge, which gives the same tree (other than among equal distances), cut at its height."""
+    """Labels of agglomerative clustering by average cosine distance, merged until so many are left, in memory that grows with
+    the vectors only: the average distance of two clusters is that of their sums of unit vectors over their sizes. Mutual
+    nearest neighbours at the end of a chain merge (of equal distances the one that the chain came from, then the first), which
+    gives the tree of the plain algorithm, cut at its height."""
     n = len(vectors)
     total = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     size = np.ones(n)
@@ -347,10 +289,9 @@ def hashed_vectors(texts: list[str], dimension: int = 64) -> np.ndarray:
     return out
 
 
-def semantic(text: str, p: ChunkParams, embed: Callable[[list[str]], np.ndarray] = hashed_vectors, together: int = 256) -> list[str]:
+def semantic(text: str, p: ChunkParams, embed: Callable[[list[str]], np.ndarray] = hashed_vectors) -> list[str]:
     """Markdown sections with their titles; tables, lists, code and formulas stay whole; a paragraph above the limit is
-    cut where neighbouring sentences are in different clusters. All sentences of a paragraph cluster together, beyond
-    ``together`` of them without a matrix of distances."""
+    cut where neighbouring sentences are in different clusters. All sentences of a paragraph cluster together."""
     out = []
     for titles, body in titled_sections(text.split("\n"), MARKDOWN):
         head = " > ".join(titles)
@@ -361,8 +302,7 @@ def semantic(text: str, p: ChunkParams, embed: Callable[[list[str]], np.ndarray]
                 blocks.append(block)
                 continue
             parts = sentences(block)
-            link = average_linkage if len(parts) <= together else chained_linkage
-            label = link(embed(parts), -(-count_tokens(" ".join(parts)) // room))
+            label = chained_linkage(embed(parts), -(-count_tokens(" ".join(parts)) // room))
             cut = np.flatnonzero(np.diff(label)) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(parts)], strict=True):
                 blocks += cut_at_tokens(" ".join(parts[a:b]), room)
@@ -426,16 +366,12 @@ def qa(text: str, p: ChunkParams, most_chars: int = 4000) -> list[str]:
     return out
 
 
-PRESETS: dict[str, Callable[[str, ChunkParams], list[str]]] = {
-    "general": general, "naive": general, "separator": separator, "book": book, "laws": laws, "qa": qa, "semantic": semantic,
+#: Presets that are functions of a text, and of the family of its headings.
+PRESETS: dict[str, Callable[[str, ChunkParams, int | None], list[str]]] = {
+    "book": book, "laws": laws, "qa": lambda text, p, _: qa(text, p), "semantic": lambda text, p, _: semantic(text, p),
 }
 
 
-def preset(name: str) -> Callable[[str, ChunkParams], list[str]]:
-    """An unknown preset is the general one."""
-    return PRESETS.get(name, general)
-
-
 def spans(text: str, chunks: list[str]) -> list[tuple[int | None, int | None]]:
     """Where each chunk stands verbatim, searched forward only; none where it does not."""
     out, here = [], 0
@@ -446,23 +382,42 @@ def spans(text: str, chunks: list[str]) -> list[tuple[int | None, int | None]]:
     return out
 
 
+def native_chunks(name: str, text: Column, p: ChunkParams) -> Column:
+    """The chunks of the separator preset, else those of the general one, of which an unknown preset is another name."""
+    if name == "separator":
+        return separated(text, p.limit, p.overlap_percent, p.delimiter)
+    return general(text, p.limit, p.overlap_percent, p.delimiter, p.hard)
+
+
 def chunked(docs: DataFrame, name: str, params: ChunkParams = ChunkParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk_id, chunk_index, content, start, end, tokens) of each document; the index counts chunks that are not blank."""
-    make = preset(name)
+    """(id, chunk_id, chunk_index, content, start, end, tokens) of each document; the index counts chunks that are not blank.
+    A null or blank text has none."""
+    make = PRESETS.get(name)
+    if make is None:
+        chunks = placed(F.col("text"), native_chunks(name, F.col("text"), params))
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", F.posexplode(chunks).alias("chunk_index", "c"))
+        return rows.select(
+            F.col("id").alias(id_col),
+            F.concat(F.coalesce(F.col("id").cast("string"), F.lit("None")), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"),
+            "chunk_index", "c.content", "c.start", "c.end", tok_count(F.col("c.content")).alias("tokens"),
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 rows = []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found = [c for c in make(text or "", params) if c.strip()]
+                for i, text, family in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                    found = [c for c in make(text or "", params, family) if c.strip()]
                     rows += [(i, f"{i}_chunk_{n}", n, c, a, b, count_tokens(c)) for n, (c, (a, b)) in enumerate(zip(found, spans(text or "", found), strict=True))]
                 columns = list(zip(*rows, strict=True)) or [()] * 7
                 kinds = (part.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "chunk_id", "chunk_index", "content", "start", "end", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, chunk_id string, chunk_index int, content string, start long, end long, tokens long")
+    family = heading_family(F.col(text_col)) if name in ("book", "laws") else F.lit(None).cast("int")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), family.alias("family")).mapInArrow(
+        run, f"id {kind}, chunk_id string, chunk_index int, content string, start long, end long, tokens long"
+    )
     return found.withColumnRenamed("id", id_col)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions.chunks import cut_at_tokens, merged, sections
 from tessella.functions.text import tok_count, tokens
 from tessella.operators import chunking as C
 from tessella.plans.registry import Registry, Tables
@@ -26,17 +27,78 @@ def _chunks(t: Tables, name: str, limit: int = 128, **options) -> DataFrame:
     return C.chunked(t.documents, name, C.ChunkParams(limit=limit, **options))
 
 
-@query("chunk_general")
+_INK, _UNIT = r"[^\s\x{a0}\x{3000}]", rf"(?:{_TOK})[^A-Za-z0-9_\x{{4e00}}-\x{{9fff}}]*"
+
+
+def _general_sql(limit: int, overlap: int, hard: int) -> list[str]:
+    """Steps from documents to ``chunks`` (doc_id, text, cs): split at line feeds, folded, and cut above the hard limit."""
+    return [
+        f"sections AS (SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '{_INK}')) AS ss FROM documents)",
+        rf"""starts AS (SELECT *, list_reduce(list_transform(ss, lambda s, i: {{'b': CAST([] AS BIGINT[]), 'n': {_COUNT.format('s')}, 'i': i}}),
+            lambda a, x: {{'b': CASE WHEN len(a.b) = 0 OR a.n * 100 > {limit * (100 - overlap)} THEN list_append(a.b, x.i) ELSE a.b END,
+                'n': CASE WHEN len(a.b) = 0 OR a.n * 100 > {limit * (100 - overlap)} THEN x.n ELSE a.n + x.n END, 'i': x.i}},
+            {{'b': CAST([] AS BIGINT[]), 'n': 0, 'i': 0}}).b AS begins FROM sections)""",
+        "merged AS (SELECT doc_id, text, list_transform(begins, lambda b, k: array_to_string(ss[b:coalesce(begins[k + 1] - 1, len(ss))], chr(10))) AS bodies FROM starts)",
+        rf"""laid AS (SELECT doc_id, text, list_reduce(list_transform(bodies, lambda b: [b]), lambda a, x: list_append(a, substr(a[-1], CAST(floor(length(a[-1]) * {100 - overlap} / 100) AS INT) + 1) || x[1])) AS bodies
+            FROM merged WHERE len(bodies) > 0)""" if overlap else "laid AS (SELECT * FROM merged WHERE len(bodies) > 0)",
+        rf"""units AS (SELECT doc_id, text, list_transform(bodies, lambda b: {{'b': b, 'u': regexp_extract_all(b, '{_UNIT}')}}) AS bs FROM laid)""",
+        rf"""sized AS (SELECT doc_id, text, list_transform(bs, lambda x: {{'b': x.b, 'u': x.u, 'n': len(x.u), 'k': CAST(ceil(len(x.u) / {limit}) AS BIGINT)
+            - CASE WHEN ceil(len(x.u) / {limit}) > 1 AND len(x.u) - {limit} * (ceil(len(x.u) / {limit}) - 2) <= {hard} THEN 1 ELSE 0 END}}) AS bs FROM units)""",
+        rf"""chunks AS (SELECT doc_id, text, flatten(list_transform(bs, lambda x: CASE WHEN x.n <= {hard} THEN [x.b] ELSE list_transform(range(0, x.k),
+            lambda i: concat(CASE WHEN i = 0 THEN regexp_extract(x.b, '^[^A-Za-z0-9_\x{{4e00}}-\x{{9fff}}]*') ELSE '' END,
+                array_to_string(x.u[i * {limit} + 1:CASE WHEN i = x.k - 1 THEN x.n ELSE (i + 1) * {limit} END], ''))) END)) AS cs FROM sized)""",
+    ]
+
+
+#: Where each chunk stands, searched forward, a row each.
+_PLACED = rf"""
+    found AS (SELECT doc_id, list_reduce(list_transform(cs, lambda c: {{'rows': CAST([] AS STRUCT(c VARCHAR, a BIGINT)[]), 'here': 0, 'c': c, 'text': coalesce(text, '')}}),
+      lambda a, x: {{'rows': list_append(a.rows, {{'c': x.c, 'a': CASE WHEN strpos(substr(x.text, a.here + 1), x.c) > 0 THEN a.here + strpos(substr(x.text, a.here + 1), x.c) - 1 END}}),
+        'here': CASE WHEN strpos(substr(x.text, a.here + 1), x.c) > 0 THEN a.here + strpos(substr(x.text, a.here + 1), x.c) - 1 ELSE a.here END, 'c': x.c, 'text': x.text}},
+      {{'rows': CAST([] AS STRUCT(c VARCHAR, a BIGINT)[]), 'here': 0, 'c': '', 'text': ''}}).rows AS rows FROM chunks WHERE len(cs) > 0),
+    flat AS (SELECT doc_id, generate_subscripts(rows, 1) - 1 AS i, unnest(rows) AS r FROM found)
+    SELECT doc_id, concat(doc_id, '_chunk_', i) AS chunk_id, CAST(i AS INT) AS chunk_index, r.c AS content, r.a AS start, r.a + length(r.c) AS "end", CAST({_COUNT.format('r.c')} AS BIGINT) AS tokens FROM flat"""
+
+
+@query("chunk_general", f"WITH {', '.join(_general_sql(128, 0, 192))}, {_PLACED}")
 def chunk_general(t: Tables) -> DataFrame:
     return _chunks(t, "general")
 
 
-@query("chunk_overlap")
+@query("chunk_overlap", f"WITH {', '.join(_general_sql(128, 20, 192))}, {_PLACED}")
 def chunk_overlap(t: Tables) -> DataFrame:
     return _chunks(t, "naive", overlap_percent=20)
 
 
-@query("chunk_separator")
+@query("naive_merge", f"WITH {', '.join(_general_sql(64, 0, 96)[:3])} SELECT doc_id, unnest(bodies) AS content FROM merged")
+def naive_merge(t: Tables) -> DataFrame:
+    """Lines folded to 64 tokens, without the cut."""
+    return t.documents.select("doc_id", F.explode(merged(sections(F.col("text"), "\n"), 64)).alias("content"))
+
+
+@query(
+    "hard_split",
+    rf"""
+    WITH u AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{_UNIT}') AS u FROM documents),
+    k AS (SELECT *, CAST(ceil(len(u) / 100) AS BIGINT) - CASE WHEN ceil(len(u) / 100) > 1 AND len(u) - 100 * (ceil(len(u) / 100) - 2) <= 130 THEN 1 ELSE 0 END AS k FROM u)
+    SELECT doc_id, unnest(CASE WHEN len(u) <= 130 THEN [text] ELSE list_transform(range(0, k), lambda i: concat(
+      CASE WHEN i = 0 THEN regexp_extract(text, '^[^A-Za-z0-9_\x{{4e00}}-\x{{9fff}}]*') ELSE '' END, array_to_string(u[i * 100 + 1:CASE WHEN i = k - 1 THEN len(u) ELSE (i + 1) * 100 END], ''))) END) AS content
+    FROM k WHERE regexp_matches(coalesce(text, ''), '{_INK}')""",
+)
+def hard_split(t: Tables) -> DataFrame:
+    """Texts cut each 100 tokens; a tail that makes no more than 130 with the piece before it stays there."""
+    return t.documents.select("doc_id", F.explode(cut_at_tokens(F.col("text"), 100, 130)).alias("content"))
+
+
+@query(
+    "chunk_separator",
+    rf"""
+    WITH s AS (SELECT doc_id, text, list_filter(list_transform(string_split(coalesce(text, ''), '. '), lambda s: regexp_replace(s, '^[\s\x{{a0}}\x{{3000}}]+|[\s\x{{a0}}\x{{3000}}]+$', '', 'g')), lambda s: s <> '') AS ss FROM documents),
+    u AS (SELECT doc_id, text, list_transform(ss, lambda s: {{'s': s, 'u': regexp_extract_all(s, '{_UNIT}')}}) AS us FROM s),
+    chunks AS (SELECT doc_id, text, flatten(list_transform(us, lambda x: CASE WHEN len(x.u) <= 128 THEN [x.s] ELSE list_transform(range(0, CAST(ceil((len(x.u) - 128) / 116) AS BIGINT) + 1),
+      lambda i: regexp_replace(concat(CASE WHEN i = 0 THEN regexp_extract(x.s, '^[^A-Za-z0-9_\x{{4e00}}-\x{{9fff}}]*') ELSE '' END, array_to_string(x.u[i * 116 + 1:i * 116 + 128], '')), '^[\s\x{{a0}}\x{{3000}}]+|[\s\x{{a0}}\x{{3000}}]+$', '', 'g')) END)) AS cs FROM u),
+    {_PLACED}""",
+)
 def chunk_separator(t: Tables) -> DataFrame:
     return _chunks(t, "separator", delimiter="`. `", overlap_percent=10)
 

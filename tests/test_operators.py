@@ -150,18 +150,57 @@ def test_deleting_a_file_twice_changes_nothing(spark):
     assert both["entities"].count() == 0
 
 
-def test_chunkers_keep_all_tokens_and_limits():
+def chunks_of(spark, text, name, p):
+    found = C.chunked(spark.createDataFrame([(1, text)], "doc_id long, text string"), name, p).orderBy("chunk_index").collect()
+    assert [r["chunk_index"] for r in found] == list(range(len(found)))
+    return found
+
+
+def test_chunkers_keep_all_tokens_and_limits(spark):
     text = "\n".join(f"Line {i} has several words in it." for i in range(200))
     p = C.ChunkParams(limit=40)
-    for name in ("general", "separator", "book", "semantic"):
-        chunks = C.preset(name)(text, p)
-        assert sum(map(C.count_tokens, chunks)) == C.count_tokens(text), name
-        assert max(map(C.count_tokens, chunks)) <= 60, name
-    assert C.preset("unknown") is C.general
+    for name in ("general", "separator", "book", "semantic", "unknown"):
+        chunks = chunks_of(spark, text, name, p)
+        assert sum(r["tokens"] for r in chunks) == C.count_tokens(text), name
+        assert max(r["tokens"] for r in chunks) <= 60, name
     assert C.cut_at_tokens("", 5) == [] and C.count_tokens("  ") == 0
     assert C.spans("a b c", ["a", "c", "zz"]) == [(0, 1), (4, 5), (None, None)]
 
 
+def test_native_chunks_are_the_fold_line_by_line(spark):
+    """Random texts against the functions of lists; nulls, blanks, texts without tokens and very long ones."""
+    from tessella.functions import chunks as N
+
+    r = random.Random(6)
+    part = lambda: r.choice(["one ", "two_2 ", "é, ", "字", "。", "...", "\n", "\n\n", " \u00a0", "\t", "three", "四 "])
+    texts = ["".join(part() for _ in range(r.randrange(0, 60))) for _ in range(80)] + [None, "", " \n\u3000", "... !", "w " * 30_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+
+    def of(column):
+        return {x["i"]: x["c"] for x in frame.select("i", column.alias("c")).collect()}
+
+    for limit, overlap in ((1, 0), (4, 0), (4, 30), (9, 90)):
+        got = of(N.merged(N.sections(F.col("text"), "\n"), limit, overlap))
+        assert got == {i: C.merge_sections((t or "").split("\n"), limit, overlap) for i, t in enumerate(texts)}, (limit, overlap)
+    for limit, hard in ((1, 0), (3, 0), (3, 4), (5, 7), (0, 0)):
+        got = of(N.cut_at_tokens(F.coalesce("text", F.lit("")), limit, hard))
+        assert got == {i: C.cut_at_tokens(t or "", limit, hard) for i, t in enumerate(texts)}, (limit, hard)
+    got = of(N.placed(F.col("text"), N.general(F.col("text"), 4, 0, "\n", 1.5)))
+    for i, t in enumerate(texts):
+        want = [x for c in C.merge_sections((t or "").split("\n"), 4) for x in (C.cut_at_tokens(c, 4, 6) if C.count_tokens(c) > 6 else [c])]
+        assert [(x["content"], x["start"], x["end"]) for x in got[i]] == [(c, *at) for c, at in zip(want, C.spans(t or "", want), strict=True)]
+    assert [x["content"] for x in chunks_of(spark, "a b c<br>d|e<br>f g h i", "separator", C.ChunkParams(limit=3, delimiter="`<br>``|`", overlap_percent=34))] == ["a b c", "d", "e", "f g h", "h i"]
+
+
+def test_contents_go_up_to_their_first_heading():
+    lines = ["Preface", "目 录", "", "第一章 总则 .... 1", "第二章 附则 .... 2", "第一章 总则", "text"]
+    assert C.without_contents(lines) == ["Preface", "第一章 总则", "text"]
+    assert C.without_contents(["# Table of Contents", "One two three", "Four", "One two again", "x"], english=True) == ["One two again", "x"]
+    assert C.without_contents(["Contents", "", " "]) == [] and C.without_contents(["contents", "only entry", "other"]) == ["other"]
+    far = ["Contents", "Alpha", *["filler"] * 128, "Alpha"]
+    assert C.without_contents(far) == far[2:] and C.without_contents(far[:2] + far[3:]) == ["Alpha"]
+
+
 def test_long_paragraphs_cluster_as_a_whole():
     topics = np.random.default_rng(1).normal(size=(9, 12))
     at = {f"Sentence {i} of many.": i for i in range(600)}
@@ -169,11 +208,27 @@ def test_long_paragraphs_cluster_as_a_whole():
     vectors = topics[np.arange(600) // 20 % 9] + np.random.default_rng(2).normal(size=(600, 12)) / 2
     embed = lambda run: vectors[[at[x] for x in run]]
     pairs = lambda label: {(i, j) for i in range(0, 600, 7) for j in range(i) if label[i] == label[j]}
+
+    def plain(count):
+        """The two nearest clusters merge, by the mean of their members' distances, until so many are left."""
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        sums, sizes, label = unit.copy(), np.ones(600), np.arange(600)
+        distance = 1 - sums @ sums.T
+        np.fill_diagonal(distance, np.inf)
+        for _ in range(600 - max(1, count)):
+            i, j = sorted(np.unravel_index(int(np.argmin(distance)), distance.shape))
+            sums[i], sizes[i] = sums[i] + sums[j], sizes[i] + sizes[j]
+            label[label == j] = i
+            row = 1 - sums @ sums[i] / (sizes * sizes[i])
+            row[np.isinf(distance[i])] = np.inf
+            distance[i], distance[:, i] = row, row
+            distance[j], distance[:, j] = np.inf, np.inf
+            distance[i, i] = np.inf
+        return label
+
     for k in (1, 9, 60, 599, 700):
-        assert pairs(C.chained_linkage(vectors, k)) == pairs(C.average_linkage(vectors, k))
-    p = C.ChunkParams(limit=150)
-    whole = C.semantic(" ".join(at), p, embed, together=600)
-    assert len(whole) > 10 and C.semantic(" ".join(at), p, embed) == whole
+        assert pairs(C.chained_linkage(vectors, k)) == pairs(plain(k))
+    assert len(C.semantic(" ".join(at), C.ChunkParams(limit=150), embed)) > 10
     # equal sentences: no end of ties
     assert len(set(C.chained_linkage(np.tile(topics[:3], (200, 1)), 3).tolist())) == 3
 
@@ -182,18 +237,22 @@ def test_chunker_pays_no_heed_to_the_first_chunk_that_overshoots():
     assert C.merge_sections(["a b c", "d e", "f"], 2) == ["a b c", "d e\nf"]
 
 
-def test_qa_headings_and_laws():
+def test_qa_headings_and_laws(spark):
+    def vote(*texts):
+        rows = spark.createDataFrame([(i, "\n".join(t) if t is not None else None) for i, t in enumerate(texts)], "i long, text string")
+        return [r[1] for r in sorted(rows.select("i", C.heading_family(F.col("text"))).collect())]
+
     assert C.qa_pairs("Q: one\nmore\nA: two\nQ: three\nA: four") == [("one\nmore", "two"), ("three", "four")]
     assert C.qa_pairs("| q | a |\n| --- | --- |\n| x | y |") == [("q", "a"), ("x", "y")]
     assert C.qa_pairs("# A\n## B\ntext") == [("A B", "text")]
     assert C.qa_pairs("x\ty\nmore") == [("x", "y\nmore")]
-    assert C.heading_family(["# a", "text"]) == C.MARKDOWN and C.heading_family(["plain"]) is None
+    assert vote(["# a", "text"], ["plain"], None, []) == [C.MARKDOWN, None, None, None]
     # 一、 stands in one family, numbers in another; the first of equal ones wins; marks within a line and sentences count less
-    assert C.heading_family(["一、总则", "二、附则"]) == 2 and C.heading_family(["1. one", "1.1 two", "2. three"]) == C.DECIMAL
-    assert C.heading_family(["第一章 总则", "第一节 甲"]) == 0 and C.heading_family(["0 zero", "12 3", "1.. x"]) is None
-    assert C.heading_family(["Section 1 见（一）与（二）", "（一）甲"]) == 0
-    assert C.heading_family(["第1章 " + "字" * 100] * 3 + ["# one"]) == C.MARKDOWN
-    assert C.laws("第一章 总则\n第一条 甲乙\n第二条 丙丁", C.ChunkParams(limit=50))[0].startswith("第一章 总则")
+    assert vote(["一、总则", "二、附则"], ["1. one", "1.1 two", "2. three"]) == [2, C.DECIMAL]
+    assert vote(["第一章 总则", "第一节 甲"], ["0 zero", "12 3", "1.. x"]) == [0, None]
+    assert vote(["Section 1 见（一）与（二）", "（一）甲"], ["第1章 " + "字" * 100] * 3 + ["# one"]) == [0, C.MARKDOWN]
+    assert vote(["###### deep", "Chapter I one", "Chapter II two", "Chapter V three"], ["## high", "Chapter I one", "Chapter II two", "Chapter V three"]) == [3, C.MARKDOWN]
+    assert C.laws("第一章 总则\n第一条 甲乙\n第二条 丙丁", C.ChunkParams(limit=50), 0)[0].startswith("第一章 总则")
     assert C.sentences("Dr. Smith came. He left.") == ["Dr. Smith came.", "He left."]
 
 
