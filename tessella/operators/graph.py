@@ -127,7 +127,18 @@ def personalised_pagerank(
     return scores.select("id", "score")
 
 
-def pushed_pagerank(edges: DataFrame, restarts: DataFrame, damping: float = 0.85, residual: float = 1e-4, rounds: int = 400) -> DataFrame:
+def push_ways(edges: DataFrame) -> DataFrame:
+    """(src, dst, dst_degree, src_degree): both directions of each edge once, as ``pushed_pagerank`` uses them, written by src."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
+    both = materialise(both, "both")
+    degree = both.groupBy("src").agg(F.count("*").alias("src_degree"))
+    named = both.join(degree.select(F.col("src").alias("dst"), F.col("src_degree").alias("dst_degree")), "dst").join(degree, "src")
+    ways = materialise(named.select("src", "dst", "dst_degree", "src_degree"), "ways")
+    release(both)
+    return ways
+
+
+def pushed_pagerank(edges: DataFrame | None, restarts: DataFrame, damping: float = 0.85, residual: float = 1e-4, rounds: int = 400, ways: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score) over the undirected simple graph, for all of ``restarts`` (query_id, id, weight, summing to 1 for
     each query) at once, by forward push: a node whose weight not yet given out is above ``residual`` times its degree keeps
     (1 - damping) of it as its score and gives the rest to its neighbours in equal parts. All such nodes of all queries push in
@@ -137,12 +148,11 @@ def pushed_pagerank(edges: DataFrame, restarts: DataFrame, damping: float = 0.85
 
     Nodes of ``restarts`` without an edge are left out, so their weight is lost. What is given to a node by many is summed before
     it is dealt; the driver gets one number a round. Every second round's table is
-    written, and the one before deleted."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
-    both = materialise(both, "both")
-    degree = both.groupBy("src").agg(F.count("*").alias("degree"))
-    ways = materialise(both.join(degree.select(F.col("src").alias("dst"), F.col("degree").alias("dst_degree")), "dst").repartition("src"), "ways")
-    begin = restarts.groupBy("query_id", "id").agg(F.sum("weight").alias("held")).join(degree.withColumnRenamed("src", "id"), "id")
+    written, and the one before deleted. ``ways``, if given, are those of the graph already made by ``push_ways``."""
+    own = ways is None
+    ways = push_ways(edges) if own else ways
+    degree = ways.groupBy(F.col("src").alias("id")).agg(F.first("src_degree").alias("degree"))
+    begin = restarts.groupBy("query_id", "id").agg(F.sum("weight").alias("held")).join(degree, "id")
     state = materialise(begin.select("query_id", "id", "degree", F.lit(0.0).alias("score"), "held"), "pushed")
     pushes = F.col("held") > residual * F.col("degree")
 
@@ -163,10 +173,39 @@ def pushed_pagerank(edges: DataFrame, restarts: DataFrame, damping: float = 0.85
             break
         before, state = state, materialise(pushed(pushed(state)), "pushed")
         release(before)
-    release(both, ways)
+    if own:
+        release(ways)
     return state.select("query_id", "id", (F.col("score") + (1 - damping) * F.col("held")).alias("score")).filter("score > 0")
 
 
+def expanded_contexts(mentions: DataFrame, anchors: DataFrame, context: int, residual: float, damping: float = 0.85, decay: float = 0.9) -> DataFrame:
+    """(anchor, position, chunk): for each anchor chunk the context of so many chunks that grows from it. In each round the
+    entities of the anchor weigh 1, those of chunks taken in round r weigh decay^r (an entity its largest weight); of
+    the chunks not taken yet that where the walk from these entities stays most is taken, ties by the least id. Anchors
+    without an entity, or for which a round finds no chunk, are left out.
+
+    ``mentions`` has (chunk: long, entity: string). Anchors, their weights and what they took are tables; all of them take each
+    round together, and nothing of them reaches the driver."""
+    node = F.concat(F.lit("chunk "), F.col("chunk"))
+    ways = push_ways(mentions.select(node.alias("src"), F.concat(F.lit("entity "), "entity").alias("dst")))
+    taken = anchors.select("anchor", F.lit(0).alias("position"), F.col("anchor").alias("chunk"))
+    weights = None
+    for r in range(context):
+        now = taken.filter(F.col("position") == r).join(mentions, "chunk").select("anchor", F.concat(F.lit("entity "), "entity").alias("id"), F.lit(decay**r).alias("weight"))
+        weights = now if weights is None else weights.unionByName(now)
+        if r == context - 1:
+            break
+        weights = materialise(weights.groupBy("anchor", "id").agg(F.max("weight").alias("weight")), "weights")
+        total = weights.groupBy("anchor").agg(F.sum("weight").alias("total"))
+        restarts = weights.join(total, "anchor").select(F.col("anchor").alias("query_id"), "id", (F.col("weight") / F.col("total")).alias("weight"))
+        scores = pushed_pagerank(None, restarts, damping, residual, ways=ways).filter(F.col("id").startswith("chunk "))
+        found = scores.select(F.col("query_id").alias("anchor"), F.substring("id", 7, 20).cast("long").alias("chunk"), "score").join(taken, ["anchor", "chunk"], "left_anti")
+        best = found.groupBy("anchor").agg(F.max_by("chunk", F.struct(F.round("score", 9), -F.col("chunk"))).alias("chunk"))
+        taken = materialise(taken.unionByName(best.select("anchor", F.lit(r + 1).alias("position"), "chunk")), "taken")
+    whole = taken.groupBy("anchor").count().filter(F.col("count") == context)
+    return taken.join(whole, "anchor", "left_semi")
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(label, nodes, all_nodes, all_edges) by label, the most frequent first."""
     totals = nodes.agg(F.count("*").alias("all_nodes")).join(edges.agg(F.count("*").alias("all_edges")))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import materialise, release
+
 MODELS: dict[str, Callable[[list[str]], list]] = {}
 
 
@@ -51,6 +53,62 @@ def applied(df: DataFrame, name: str, text_col: str, out_col: str, kind: str, si
     return df.mapInArrow(run, f"{fields}, `{out_col}` {kind}")
 
 
+def _attempted(fn: Callable[[list[str]], list], size: int, attempts: int, sleep: Callable[[float], None]):
+    """(key, result, error) of each (key, text): a batch that fails is asked again text by text, so that one does not spoil others."""
+
+    def one(text: str) -> tuple[str | None, str | None]:
+        error = None
+        for attempt in range(1, attempts + 1):
+            try:
+                return fn([text])[0], None
+            except Exception as e:  # whatever a remote model fails with
+                error = f"{type(e).__name__}: {e}"
+                if attempt < attempts:
+                    sleep(delay(attempt, getattr(e, "retry_after", None)))
+        return None, error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, size) for i in range(0, batch.num_rows, size)):
+                texts = part.column(1).to_pylist()
+                try:
+                    results = [(x, None) for x in fn(texts)]
+                    if len(results) != len(texts):
+                        raise ValueError("a model must give a result for each text")
+                except Exception:
+                    results = [one(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r for r, _ in results], pa.string()), pa.array([e for _, e in results], pa.string())], names=["key", "result", "error"])
+
+    return run
+
+
+def memoised(df: DataFrame, name: str, text_col: str, out_col: str, store: str, size: int = 20, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``df`` with the model's result (a string) of a text column, and ``status``: ``done``, or ``failed`` where it failed ``attempts``
+    times. Results are kept in the folder ``store`` by a hash of the model's name and the text: the model is asked only for texts
+    without one, each once however many rows have it; failures are kept apart in ``store``/failed with their error, and tried
+    again in the next call. Null texts count as empty. Results are appended, so a call that is cut off loses only those of
+    files not yet written."""
+    spark = df.sparkSession
+    key = F.sha2(F.concat(F.lit(name), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))), 256)
+    shape = "key string, result string"
+
+    def kept() -> DataFrame:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/done")
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        # a text that two calls asked for at once has two rows
+        return spark.read.schema(shape).parquet(f"{store}/done").dropDuplicates(["key"]) if there else spark.createDataFrame([], shape)
+
+    asked = df.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    new = asked.join(kept(), "key", "left_anti").mapInArrow(_attempted(MODELS[name], size, attempts, sleep), "key string, result string, error string")
+    new = materialise(new, "asked")
+    new.filter("error is null").select("key", "result").write.mode("append").parquet(f"{store}/done")
+    new.filter("error is not null").select("key", "error", F.current_timestamp().alias("at")).write.mode("append").parquet(f"{store}/failed")
+    release(new)
+    mine = "_".join(["key", *df.columns])
+    found = df.withColumn(mine, key).join(kept().select(F.col("key").alias(mine), F.col("result").alias(out_col), F.lit("done").alias("status")), mine, "left")
+    return found.withColumn("status", F.coalesce("status", F.lit("failed"))).drop(mine)
+
+
 def checked_scores(results: list, n: int) -> list[float]:
     """The scores of a reranker's reply, (index, score) for each of ``n`` texts in any order; an index that is missing,
     repeated or out of range, or a score that is no finite number, is a ValueError."""

@@ -35,13 +35,13 @@ def ev_recent(t: Tables) -> DataFrame:
 
 @query(
     "ev_append",
-    """WITH a AS (SELECT 1704067200000 + CASE WHEN event_id < 500 THEN 0 ELSE 1000 END AS ms, event_id AS n, event_type FROM events WHERE user_id <= 20)
+    """WITH a AS (SELECT 1704067200000 + CASE WHEN event_id < 500 THEN 0 ELSE 1000 END AS ms, event_id AS n, event_type FROM events)
     SELECT ms || '-' || n AS seq, '{"v":1,"run_id":"r","kind":"' || event_type || '"}' AS envelope, ms + 7200000 AS drop_after FROM a ORDER BY ms DESC, n DESC LIMIT 300""",
 )
 def ev_append(t: Tables) -> DataFrame:
     """Two batches appended to a log; the latest 300 are kept."""
     log = new_path(t.spark, "log")
-    rows = t.events.filter("user_id <= 20").select(F.col("event_type").alias("kind"), F.lit(None).cast("string").alias("payload"), F.col("event_id").alias("n"))
+    rows = t.events.select(F.col("event_type").alias("kind"), F.lit(None).cast("string").alias("payload"), F.col("event_id").alias("n"))
     for part, second in (("n < 500", 0), ("n >= 500", 1)):
         E.appended(t.spark, log, "r", rows.filter(part), F.lit(f"2024-01-01 00:00:0{second}").cast("timestamp"), 0)
     return E.retained(t.spark.read.parquet(log), 1704067200000, 300).select("seq", "envelope", "drop_after")
@@ -160,7 +160,11 @@ def session_windows(t: Tables) -> DataFrame:
     return found.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("graph_build")
+_ENTITIES = """SELECT doc_id, unnest(list_distinct(list_filter(list_transform(range(2, len(ws) + 1), lambda i: CASE WHEN regexp_matches(ws[i - 1], '[a-z,;]$') THEN regexp_extract(ws[i], '^[A-Z][a-z]{3,}') ELSE '' END), lambda x: x <> ''))) AS entity
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS ws FROM documents)"""
+
+
+@query("graph_build", f"SELECT entity, count(*) AS mentions FROM ({_ENTITIES}) GROUP BY entity")
 def graph_build(t: Tables) -> DataFrame:
     """A resumable pipeline in stages of files: documents to extracted entities to mentions, each file once."""
     def entities(df: DataFrame) -> DataFrame:
@@ -172,6 +176,25 @@ def graph_build(t: Tables) -> DataFrame:
     return out.groupBy("entity").agg(F.count("*").alias("mentions"))
 
 
+_CRON_ZONES = ["UTC", "Etc/GMT-8", "Etc/GMT+5"]
+
+
+@query(
+    "cron_next",
+    """
+    WITH e AS (SELECT event_id, ts, event_id % 60 AS m, user_id % 24 AS h, event_id % 7 AS d, [0, 8, -5][event_id % 3 + 1] AS shift FROM events),
+    l AS (SELECT *, ts + shift * INTERVAL 1 HOUR AS here FROM e),
+    c AS (SELECT *, date_trunc('day', here) + ((d - dayofweek(here) + 7) % 7) * INTERVAL 1 DAY + h * INTERVAL 1 HOUR + m * INTERVAL 1 MINUTE AS first FROM l)
+    SELECT event_id, CASE WHEN first > here THEN first ELSE first + INTERVAL 7 DAY END - shift * INTERVAL 1 HOUR AS next_run FROM c""",
+)
+def cron_next(t: Tables) -> DataFrame:
+    """Each event as a schedule: a minute and hour of a weekday, in one of three zones."""
+    zones = F.array(*(F.lit(z) for z in _CRON_ZONES))
+    text = F.format_string("%d %d * * %d", F.col("event_id") % 60, F.col("user_id") % 24, F.col("event_id") % 7)
+    rows = t.events.select("event_id", "ts", text.alias("cron"), F.element_at(zones, (F.col("event_id") % 3 + 1).cast("int")).alias("zone"))
+    return E.with_next_run(rows, "cron", "zone", "ts").select("event_id", "next_run")
+
+
 @query("src_html")
 def src_html(t: Tables) -> DataFrame:
     M.register("html", lambda texts: [R.html_to_markdown(x) for x in texts])
@@ -236,7 +259,20 @@ def snk_upsert_chunks(t: Tables) -> DataFrame:
     return K.merged(old, numbered, "chunk_id", F.col("seq")).select("chunk_id", "value")
 
 
-@query("embed_batch")
+#: CRC-32 of a token, bit by bit.
+_CRC = """xor(list_reduce(list_transform(range(1, strlen(w) + 1), lambda i: CAST(ascii(w[i]) AS BIGINT)), lambda c, b: list_reduce(CAST(range(8) AS BIGINT[]),
+    lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+@query(
+    "embed_batch",
+    rf"""
+    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9_]+|[\x{{4e00}}-\x{{9fff}}]')) AS w FROM documents),
+    h AS (SELECT w, {_CRC} % 64 AS slot FROM (SELECT DISTINCT w FROM t)),
+    n AS (SELECT doc_id, slot, count(*) AS n FROM t JOIN h USING (w) GROUP BY ALL),
+    m AS (SELECT doc_id, map_from_entries(list({{'k': slot, 'v': n}})) AS m FROM n GROUP BY doc_id)
+    SELECT doc_id, list_transform(range(64), lambda i: coalesce(m[i], 0)::DOUBLE) AS embedding FROM documents LEFT JOIN m USING (doc_id)""",
+)
 def embed_batch(t: Tables) -> DataFrame:
     from tessella.operators.chunking import hashed_vectors
 
@@ -244,9 +280,12 @@ def embed_batch(t: Tables) -> DataFrame:
     return M.applied(t.documents.select("doc_id", "text"), "hashed", "text", "embedding", "array<double>").select("doc_id", "embedding")
 
 
-@query("llm_extract")
+@query("llm_extract", _ENTITIES)
 def llm_extract(t: Tables) -> DataFrame:
-    found = M.applied(t.documents.select("doc_id", "text"), "capitalised_entities", "text", "reply", "string")
+    """The second call takes what the first has stored."""
+    store, docs = new_path(t.spark, "extracted"), t.documents.select("doc_id", "text")
+    M.memoised(docs.filter("doc_id % 2 = 0"), "capitalised_entities", "text", "reply", store)
+    found = M.memoised(docs, "capitalised_entities", "text", "reply", store).filter("status = 'done'")
     return found.select("doc_id", F.explode(F.from_json(M.fenced_json(F.col("reply")), "entities array<string>").getField("entities")).alias("entity"))
 
 

@@ -51,14 +51,14 @@ def rounds_sql(rounds: int) -> str:
     return ", ".join(steps)
 
 
-def push_sql(rounds: int, residual: float) -> str:
-    """Personalised PageRank of many queries by forward push: ``s{rounds}`` (q, id, d, p, r), from ``seed`` (q, id, w), ``ways`` (src, dst) and ``deg`` (src, d)."""
-    steps = ["s0 AS MATERIALIZED (SELECT q, id, d, 0.0::DOUBLE AS p, w AS r FROM seed JOIN deg ON src = id)"]
+def push_sql(rounds: int, residual: float, seed: str = "seed", name: str = "s") -> str:
+    """Personalised PageRank of many queries by forward push: ``{name}{rounds}`` (q, id, d, p, r), from ``seed`` (q, id, w), ``ways`` (src, dst) and ``deg`` (src, d)."""
+    steps = [f"{name}0 AS MATERIALIZED (SELECT q, id, d, 0.0::DOUBLE AS p, w AS r FROM {seed} JOIN deg ON src = id)"]
     for i in range(rounds):
         steps.append(
-            f"g{i} AS (SELECT q, dst AS id, sum(0.85 * r / d) AS r FROM s{i} JOIN ways ON src = id WHERE r > {residual} * d GROUP BY q, dst), "
-            f"s{i + 1} AS MATERIALIZED (SELECT q, id, d, p, r FROM (SELECT q, id, sum(p) AS p, sum(r) AS r FROM ("
-            f"SELECT q, id, CASE WHEN r > {residual} * d THEN p + 0.15 * r ELSE p END AS p, CASE WHEN r > {residual} * d THEN 0 ELSE r END AS r FROM s{i} "
-            f"UNION ALL SELECT q, id, 0, r FROM g{i}) GROUP BY q, id) JOIN deg ON src = id)"
+            f"{name}g{i} AS (SELECT q, dst AS id, sum(0.85 * r / d) AS r FROM {name}{i} JOIN ways ON src = id WHERE r > {residual} * d GROUP BY q, dst), "
+            f"{name}{i + 1} AS MATERIALIZED (SELECT q, id, d, p, r FROM (SELECT q, id, sum(p) AS p, sum(r) AS r FROM ("
+            f"SELECT q, id, CASE WHEN r > {residual} * d THEN p + 0.15 * r ELSE p END AS p, CASE WHEN r > {residual} * d THEN 0 ELSE r END AS r FROM {name}{i} "
+            f"UNION ALL SELECT q, id, 0, r FROM {name}g{i}) GROUP BY q, id) JOIN deg ON src = id)"
         )
     return ", ".join(steps)

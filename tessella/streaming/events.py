@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, time, timedelta, timezone
+from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,32 +58,84 @@ def cancelled_tree(runs: DataFrame, root, ended: list[str]) -> DataFrame:
     return runs.join(found, "id", "left_semi").filter(~F.col("status").isin(ended)).select("id")
 
 
-def cron_next(expression: str, zone: str, after: datetime) -> datetime:
-    """The first time after ``after`` (naive UTC) that a five-field cron expression names in a zone, as naive UTC. As usual,
-    if both days are restricted, either is enough."""
+@lru_cache(4096)
+def _cron(expression: str) -> tuple[list[int], list[int], set[int], set[int], set[int], bool]:
+    """Minutes and hours in order, days, months and weekdays (0: Sunday) of a five-field expression; and whether either kind of
+    day is enough, as it is if both are restricted."""
+    fields = expression.split()
     bounds = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
-    fields = []
-    for part, (low, high) in zip(expression.split(), bounds, strict=True):
+    if len(fields) != 5:
+        raise ValueError(f"{expression!r} has not five fields")
+    found = []
+    for part, (low, high) in zip(fields, bounds, strict=True):
         values: set[int] = set()
         for item in part.split(","):
             span, _, step = item.partition("/")
             a, _, b = span.partition("-")
             first, last = (low, high) if a == "*" else (int(a), int(b) if b else (high if step else int(a)))
+            if not low <= first <= last <= high or (step and int(step) < 1):
+                raise ValueError(f"{item!r} is not between {low} and {high}")
             values |= set(range(first, last + 1, int(step or 1)))
-        fields.append(values)
-    minutes, hours, days, months, weekdays = fields
-    weekdays = {d % 7 for d in weekdays}
-    both = not expression.split()[2].startswith("*") and not expression.split()[4].startswith("*")
-    at = after.replace(tzinfo=timezone.utc).replace(second=0, microsecond=0)
-    for _ in range(4 * 366 * 24 * 60):
-        at += timedelta(minutes=1)
-        local = at.astimezone(ZoneInfo(zone))
-        if local.month not in months:
+        found.append(values)
+    minutes, hours, days, months, weekdays = found
+    either = not fields[2].startswith("*") and not fields[4].startswith("*")
+    return sorted(minutes), sorted(hours), days, months, {d % 7 for d in weekdays}, either
+
+
+def cron_next(expression: str, zone: str, after: datetime, years: int = 8) -> datetime | None:
+    """The first time after ``after`` (naive UTC) that a five-field cron expression names in a zone, as naive UTC; None if there
+    is none within ``years``. If both kinds of days are restricted, either is enough.
+
+    Days that do not fit are passed over whole, and in one that fits the first fitting hour and minute are looked up. Local
+    times that a change of the clock leaves out are passed over, and those that come twice count twice."""
+    minutes, hours, days, months, weekdays, either = _cron(expression)
+    place = ZoneInfo(zone)
+    start = after.replace(tzinfo=timezone.utc)
+    day = start.astimezone(place).date()
+    last = day.replace(year=day.year + years, day=min(day.day, 28))
+    while day <= last:
+        if day.month not in months:
+            day = date(day.year + day.month // 12, day.month % 12 + 1, 1)
             continue
-        by_day, by_week = local.day in days, (local.weekday() + 1) % 7 in weekdays
-        if (by_day or by_week if both else by_day and by_week) and local.hour in hours and local.minute in minutes:
-            return at.replace(tzinfo=None)
-    raise ValueError("no time within four years")
+        by_day, by_week = day.day in days, day.isoweekday() % 7 in weekdays
+        if by_day or by_week if either else by_day and by_week:
+            found = None
+            for fold in (0, 1):
+                # times of one fold rise within a day; the first of each is after all that a change leaves out
+                for h in hours:
+                    first, final = (datetime.combine(day, time(h, m), place).replace(fold=fold).astimezone(timezone.utc) for m in (minutes[0], minutes[-1]))
+                    if final <= start and first <= final:
+                        continue
+                    hit = None
+                    for m in minutes:
+                        local = datetime.combine(day, time(h, m), place).replace(fold=fold)
+                        at = local.astimezone(timezone.utc)
+                        back = at.astimezone(place)
+                        if at > start and (back.hour, back.minute, back.day) == (h, m, day.day):
+                            hit = at
+                            break
+                    if hit is not None:
+                        found = hit if found is None else min(found, hit)
+                        break
+            if found is not None:
+                return found.replace(tzinfo=None)
+        day += timedelta(days=1)
+    return None
+
+
+def with_next_run(schedules: DataFrame, expression: str, zone: str, after: str, out: str = "next_run") -> DataFrame:
+    """``schedules`` with the next time of each row's expression in its zone after a time (naive UTC); null where one of them is null
+    or no time fits. An expression that is none, or an unknown zone, is an error."""
+
+    @F.pandas_udf("timestamp_ntz")
+    def next_of(e, z, t):
+        import pandas as pd
+
+        rows = zip(e, z, t, strict=True)
+        found = [None if a is None or b is None or pd.isna(c) else cron_next(a, b, c.to_pydatetime()) for a, b, c in rows]
+        return pd.Series(found, dtype="datetime64[ns]")
+
+    return schedules.withColumn(out, next_of(F.col(expression), F.col(zone), F.col(after)))
 
 
 def windowed(events: DataFrame, ts: Column, minutes: int = 60) -> DataFrame:

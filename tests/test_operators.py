@@ -1,5 +1,6 @@
 """Operators on literal rows, with results worked out by hand."""
 
+import hashlib
 import random
 import re
 from datetime import datetime
@@ -110,6 +111,80 @@ def test_keyword_search_skips_blocks_and_loses_nothing(spark, monkeypatch):
     assert retrieval.bm25_top_k(frame.limit(0), queries, 5).count() == 0
 
 
+def test_cron_next_is_the_first_minute_that_fits(spark):
+    from datetime import timedelta, timezone
+    from zoneinfo import ZoneInfo
+
+    def minute_by_minute(expression, zone, after, most=100_000):
+        minutes, hours, days, months, weekdays, either = E._cron(expression)
+        at = after.replace(tzinfo=timezone.utc, second=0, microsecond=0)
+        for _ in range(most):
+            at += timedelta(minutes=1)
+            x = at.astimezone(ZoneInfo(zone))
+            a, b = x.day in days, x.isoweekday() % 7 in weekdays
+            if x.minute in minutes and x.hour in hours and x.month in months and (a or b if either else a and b):
+                return at.replace(tzinfo=None)
+        return None
+
+    r = random.Random(9)
+    zones = ["UTC", "Asia/Shanghai", "Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Asia/Kolkata"]
+    # days on which clocks change, and others
+    starts = [datetime(2024, 3, 30, 20, 17, 5), datetime(2024, 3, 31, 0, 59), datetime(2024, 10, 26, 21, 30), datetime(2024, 10, 27, 0, 30), datetime(2024, 3, 10, 5, 0), datetime(2024, 11, 3, 5, 45), datetime(2024, 4, 6, 14, 0), datetime(2023, 12, 31, 23, 59)]
+    exprs = ["*/7 * * * *", "30 2 * * *", "15,45 1-3 * * *", "0 0 * * 0", "30 1 * * 1-5", "5 */6 1,15 * *", "0 12 13 * 5", "59 23 31 * *", "* * * * *", "0 3 * * 7"]
+    for _ in range(120):
+        e, z, t = r.choice(exprs), r.choice(zones), r.choice(starts)
+        assert E.cron_next(e, z, t) == minute_by_minute(e, z, t), (e, z, t)
+    assert E.cron_next("0 0 29 2 *", "UTC", datetime(2024, 3, 1)) == datetime(2028, 2, 29) and E.cron_next("0 0 30 2 *", "UTC", datetime(2024, 1, 1)) is None
+    for bad in ("* * * *", "61 * * * *", "*/0 * * * *", "5-2 * * * *"):
+        with pytest.raises(ValueError):
+            E.cron_next(bad, "UTC", datetime(2024, 1, 1))
+    rows = spark.createDataFrame([("0 9 * * *", "UTC", datetime(2024, 1, 1, 9)), (None, "UTC", datetime(2024, 1, 1)), ("0 9 * * *", "UTC", None)], "c string, z string, t timestamp_ntz")
+    assert [x["next_run"] for x in E.with_next_run(rows, "c", "z", "t").collect()] == [datetime(2024, 1, 2, 9), None, None]
+
+
+def test_memoised_asks_only_for_new_texts(spark, tmp_path):
+    from tessella.operators import models
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def model(texts):
+        for t in texts:
+            with open(calls / hashlib.sha1(t.encode()).hexdigest(), "a") as f:
+                f.write("x")
+        if any("bad" in t for t in texts):
+            raise TimeoutError("no answer")
+        return [t.upper() for t in texts]
+
+    def asked(text):
+        path = calls / hashlib.sha1(text.encode()).hexdigest()
+        return len(path.read_text()) if path.exists() else 0
+
+    models.register("shout", model)
+    store = str(tmp_path / "store")
+    rows = [(1, "a"), (2, "b"), (2, "b"), (3, "bad"), (4, None), (None, "a")]
+    run = lambda r: sorted((x["id"] or 0, x["out"], x["status"]) for x in models.memoised(spark.createDataFrame(r, "id long, text string, key string"), "shout", "text", "out", store, sleep=lambda s: None).collect())
+    rows = [(i, t, "clash") for i, t in rows]
+    first = run(rows)
+    assert first == [(0, "A", "done"), (1, "A", "done"), (2, "B", "done"), (2, "B", "done"), (3, None, "failed"), (4, "", "done")]
+    before = {t: asked(t) for t in ("a", "b", "bad", "")}
+    assert before["bad"] >= 3
+    assert run([*rows, (5, "new", "clash")])[-1] == (5, "NEW", "done")
+    assert {t: asked(t) for t in ("a", "b", "")} == {t: before[t] for t in ("a", "b", "")} and asked("bad") > before["bad"] and asked("new") <= 2  # alone again after a batch that failed
+    assert spark.read.parquet(f"{store}/failed").filter("error like 'TimeoutError%'").count() == 2
+    assert run([]) == []
+
+
+def test_contexts_grow_from_each_anchor(spark):
+    mentions = [(1, "x"), (1, "y"), (2, "x"), (2, "z"), (3, "z"), (3, "w"), (4, "w"), (5, "alone"), (6, "y"), (6, "x")]
+    frame = spark.createDataFrame(mentions, "chunk long, entity string")
+    anchors = spark.createDataFrame([(1,), (4,), (5,), (9,)], "anchor long")
+    got = {}
+    for r in G.expanded_contexts(frame, anchors, 3, 1e-5).orderBy("anchor", "position").collect():
+        got.setdefault(r["anchor"], []).append(r["chunk"])
+    assert got == {1: [1, 6, 2], 4: [4, 3, 2]}  # 5 leads nowhere, 9 mentions nothing
+
+
 def test_pagerank_sums_to_one(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "id string")
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
