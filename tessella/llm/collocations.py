@@ -33,6 +33,8 @@ _IS_BREAK = np.zeros(256, np.int32)
 _IS_BREAK[list(BREAKS)] = 1
 #: Bytes of text handled at a time.
 SLICE = 2 << 20
+#: Parts of a language whose candidates are ranked apart before they meet.
+SALTS = 64
 #: The language of rows that have none.
 NO_LANG = "und"
 
@@ -191,11 +193,11 @@ def collocations(
             break
         release(words)
     frequent = words.filter(F.col("f") >= least)
-    pairs = rows.mapInArrow(_count_pairs(seed, sieve(frequent.select("key"))), "a long, b long, n long")
+    pairs = rows.mapInArrow(_count_pairs(seed, sieve(frequent.select("key"), expected=frequent.count())), "a long, b long, n long")
     pairs = materialise(pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "pairs")
     phrases = pairs.select(F.array("a", "b").alias("keys"), "f")
     if most_words > 2:
-        bits = sieve(pairs.select("a", "b"), lambda b: _pair_key(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)))
+        bits = sieve(pairs.select("a", "b"), lambda b: _pair_key(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)), pairs.count())
         projected = rows.mapInArrow(_project(seed, bits, most_words - 2), "a long, b long, rest array<long>, n long").groupBy("a", "b", "rest").agg(F.sum("n").alias("n"))
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = projected.withColumn("task", F.pmod(F.xxhash64("a", "b", F.col("rest")[0]), F.lit(tasks)))
@@ -222,9 +224,10 @@ def collocations(
         .agg(F.max("f").alias("longer"))
     )
     kept = scored.join(longer, "keys", "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a"))).select("keys", "lang", "a", "worst.*")
-    # texts are looked up only for what can be among the first; ties at the end stay until the phrases are known
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    kept = kept.withColumn("place", F.rank().over(best)).filter(F.col("place") <= top).drop("place")
+    # texts are looked up only for what can be among the first; ties at the end stay until the phrases are known. A language is
+    # ranked in SALTS parts first, as it may have most of the candidates
+    best = Window.partitionBy("lang", "salt").orderBy(F.desc("score"), F.desc("a"))
+    kept = kept.withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(SALTS))).withColumn("place", F.rank().over(best)).filter(F.col("place") <= top).drop("place", "salt")
     spelled = (
         kept.select("keys", F.posexplode("keys").alias("pos", "key"))
         .join(frequent.select("key", "word"), "key")
