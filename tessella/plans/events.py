@@ -12,6 +12,7 @@ from tessella.session import new_path
 from tessella.sources import readers as R
 from tessella.sources import sinks as K
 from tessella.streaming import events as E
+from tessella.streaming import stateful as T
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -119,6 +120,42 @@ def dispatch_scopes(t: Tables) -> DataFrame:
     return of("view").union(of("signup")).distinct()
 
 
+_LEASE_SQL = """
+    WITH e AS (SELECT user_id AS id, event_id AS seq, epoch_ms(ts) AS t, CASE event_type WHEN 'signup' THEN 'submit' WHEN 'click' THEN 'claim' WHEN 'view' THEN 'beat' WHEN 'purchase' THEN 'done' ELSE 'error' END AS k FROM events),
+    x AS (SELECT id, t, seq, 0 AS o, 'tick' AS k FROM e UNION ALL SELECT id, t, seq, 1, k FROM e UNION ALL SELECT DISTINCT id, (SELECT max(t) - 600000 FROM e), 9223372036854775807, 2, 'tick' FROM e),
+    l AS (SELECT id, list({'s': 'none', 'a': 0, 'due': 0::BIGINT, 'lease': 0::BIGINT, 'k': k, 't': t} ORDER BY o = 2, t, seq, o) AS es FROM x GROUP BY id),
+    f AS (SELECT id, list_reduce(es, lambda c, e:
+      CASE WHEN e.k = 'submit' AND c.s IN ('none', 'done', 'failed') THEN {'s': 'pending', 'a': 0, 'due': e.t, 'lease': 0, 'k': '', 't': 0}
+        WHEN e.k = 'claim' AND c.s = 'pending' AND c.due <= e.t THEN {'s': 'running', 'a': c.a + 1, 'due': 0, 'lease': e.t + 86400000, 'k': '', 't': 0}
+        WHEN e.k = 'beat' AND c.s = 'running' THEN {'s': 'running', 'a': c.a, 'due': 0, 'lease': e.t + 86400000, 'k': '', 't': 0}
+        WHEN e.k = 'done' AND c.s = 'running' THEN {'s': 'done', 'a': c.a, 'due': 0, 'lease': 0, 'k': '', 't': 0}
+        WHEN c.s = 'running' AND (e.k = 'error' OR (e.k = 'tick' AND c.lease < e.t)) THEN
+          CASE WHEN c.a > 2 THEN {'s': 'failed', 'a': c.a, 'due': 0, 'lease': 0, 'k': '', 't': 0}
+            ELSE {'s': 'pending', 'a': c.a, 'due': CASE WHEN e.k = 'tick' THEN c.lease ELSE e.t END + CASE c.a WHEN 1 THEN 5000 ELSE 30000 END, 'lease': 0, 'k': '', 't': 0} END
+        ELSE c END, {'s': 'none', 'a': 0, 'due': 0::BIGINT, 'lease': 0::BIGINT, 'k': '', 't': 0::BIGINT}) AS c FROM l)
+    SELECT id, c.s AS status, CAST(c.a AS INTEGER) AS attempt FROM f"""
+
+
+def task_events(events: DataFrame) -> DataFrame:
+    """Events of users as those of a task each."""
+    kind = F.create_map(*(F.lit(x) for x in ("signup", "submit", "click", "claim", "view", "beat", "purchase", "done", "error", "error")))
+    return events.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), kind[F.col("event_type")].alias("kind"), F.col("ts").cast("timestamp").alias("at"))
+
+
+@query("lease_states", _LEASE_SQL)
+def lease_states(t: Tables) -> DataFrame:
+    """Claims, leases and retries of all tasks at the end of the watermark, as one fold a task."""
+    end = t.events.agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))) - 600_000).first()[0] or 0
+    return T.task_states(task_events(t.events), end)
+
+
+@query("lease_stream", _LEASE_SQL.replace("FROM f", "FROM f WHERE c.s <> 'none'"))
+def lease_stream(t: Tables) -> DataFrame:
+    """The same out of a stream with a timer for each lease; tasks without a transition give no row."""
+    stream = task_events(E.stream_of(t.spark, t.sf_dir, t.events.schema, "events.parquet"))
+    return T.latest_states(E.run_once(T.task_transitions(stream), new_path(t.spark, "transitions"), new_path(t.spark, "transitions-checkpoint")))
+
+
 _HOURS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL"
 
 
@@ -166,14 +203,19 @@ _ENTITIES = """SELECT doc_id, unnest(list_distinct(list_filter(list_transform(ra
 
 @query("graph_build", f"SELECT entity, count(*) AS mentions FROM ({_ENTITIES}) GROUP BY entity")
 def graph_build(t: Tables) -> DataFrame:
-    """A resumable pipeline in stages of files: documents to extracted entities to mentions, each file once."""
-    def entities(df: DataFrame) -> DataFrame:
-        words = F.regexp_extract_all("text", F.lit(r"(?<=[a-z,;] )[A-Z][a-z]{3,}"), F.lit(0))
-        return df.select("doc_id", F.explode(F.array_distinct(words)).alias("entity"))
+    """A resumable pipeline in stages of tables: documents to extracted entities to mentions, each file once."""
+    store, out = new_path(t.spark, "extracted"), new_path(t.spark, "graph")
+
+    def extract(df: DataFrame) -> DataFrame:
+        found = M.memoised(df.select("doc_id", "text"), "capitalised_entities", "text", "reply", store)
+        return found.select("doc_id", "status", F.from_json(M.fenced_json(F.col("reply")), "entities array<string>").getField("entities").alias("entities"))
+
+    def mentions(df: DataFrame) -> DataFrame:
+        return df.filter("status = 'done'").select("doc_id", F.explode("entities").alias("entity"))
 
     stream = E.stream_of(t.spark, t.sf_dir, t.documents.schema, "documents.parquet")
-    out = E.run_once(entities(stream), new_path(t.spark, "mentions"), new_path(t.spark, "mentions-checkpoint"))
-    return out.groupBy("entity").agg(F.count("*").alias("mentions"))
+    T.run_stages(stream, [("extracted", extract), ("mentions", mentions)], out, new_path(t.spark, "graph-checkpoint"))
+    return t.spark.read.parquet(f"{out}/mentions").groupBy("entity").agg(F.count("*").alias("mentions"))
 
 
 _CRON_ZONES = ["UTC", "Etc/GMT-8", "Etc/GMT+5"]
