@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.llm.words import ALNUM, Words, encoded, mix, powers, shingles, sliced
 from tessella.session import bounded_batches, materialise, release
@@ -305,10 +304,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     signed = rows.select("y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_copies, "y double, text string, copy long")
     sample = materialise(signed.groupBy("copy", "y").agg(F.min("text").alias("text")).select("y", "text"), "labelled")
 
-    windows = sample.mapInArrow(_windows(toxic_stems(sample)), "words binary, tags binary, marked boolean")
-    place = F.row_number().over(Window.partitionBy("marked").orderBy("hash", "words", "tags"))
-    few = windows.withColumn("hash", F.xxhash64("words")).withColumn("place", place).filter(F.col("place") <= WINDOWS)
-    got = few.select("words", "tags").toArrow()
+    windows = materialise(sample.mapInArrow(_windows(toxic_stems(sample)), "words binary, tags binary, marked boolean").withColumn("hash", F.xxhash64("words")), "windows")
+    few = [windows.filter(kind).orderBy("hash", "words", "tags").limit(WINDOWS).select("words", "tags") for kind in ("marked", "not marked")]
+    got = few[0].unionByName(few[1]).toArrow()
+    release(windows)
     pairs = sorted(zip(got.column("words").to_pylist(), got.column("tags").to_pylist(), strict=True))  # the fit does not depend on the order in which tasks end
     field = fit(Tokens([w for w, _ in pairs]), np.frombuffer(b"".join(t for _, t in pairs), np.uint8).astype(np.int64))
 
