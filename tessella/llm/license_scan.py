@@ -24,7 +24,9 @@ PHRASES = [
     ("cc-by", "cc by"),
     ("mit", "mit license"),
 ]
-# Notices of public licenses (label, text), of at most 64 words each: a pair is a bit of a long.
+#: Words of a template at most, as a pair of words is a bit of a long; longer notices are several templates, which share a word.
+MOST_WORDS = 64
+# Notices of public licenses (label, text).
 NOTICES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     (
@@ -53,6 +55,30 @@ NOTICES = [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
         "conditions are met",
     ),
+    (
+        "bsd-3-clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission",
+    ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "agpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    (
+        "mit",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
 ]
@@ -73,7 +99,10 @@ def templates() -> list[tuple[int, str, bool, list[str]]]:
     found = []
     for label, text in PHRASES + NOTICES:
         words = re.findall("[0-9a-z]+", text.lower())
-        found.append((len(found), label, len(found) < len(PHRASES), words))
+        parts = -(-(len(words) - 1) // (MOST_WORDS - 1))
+        cuts = [i * (len(words) - 1) // parts for i in range(parts + 1)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            found.append((len(found), label, len(found) < len(PHRASES), words[a : b + 1]))
     return found
 
 
