@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.session import bounded_batches, materialise, release
+from tessella.session import bounded_batches, materialise, new_path, release
 
 #: Query vectors that are compared with all rows in one scan.
 QUERY_BLOCK = 4096
@@ -344,17 +344,18 @@ def hydrate(found: DataFrame, files: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class CoarseIndex:
-    """Vectors by their nearest center, and how many lists to read."""
+    """Vectors by list (the nearest center within the nearest cell), written by cell and sorted by list; and how many lists to read."""
 
-    centers: np.ndarray
-    rows: DataFrame  # id, embedding, list
+    centers: np.ndarray  # of all lists
+    cell_of: np.ndarray  # of each list
+    rows: DataFrame  # id, embedding, list, cell
     probes: int
 
 
-def probes_for(centers: np.ndarray, sample: np.ndarray, k: int, recall: float, tried: int = 256) -> int:
+def probes_for(centers: np.ndarray, sample: np.ndarray, k: int, recall: float, tried: int = 256, lists: np.ndarray | None = None) -> int:
     """The fewest lists to read so that, within the sample, the mean share of the k nearest vectors that are found is at least
-    ``recall``; the first ``tried`` vectors are the queries."""
-    lists = _by_distance(centers, sample)[:, 0]
+    ``recall``; the first ``tried`` vectors are the queries. ``lists`` has the list of each, by default that of the nearest center."""
+    lists = _by_distance(centers, sample)[:, 0] if lists is None else lists
     scores = np.nan_to_num(_cosines(sample[:tried], sample), nan=-2.0)
     nearest = np.argsort(-scores, axis=1, kind="stable")[:, :k]
     place = np.argsort(_by_distance(centers, sample[:tried]), axis=1)  # of each list in the query's order
@@ -372,28 +373,87 @@ def _by_distance(centers: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.argsort((centers * centers).sum(axis=1)[None, :] - 2 * _unit(x) @ centers.T, axis=1, kind="stable")
 
 
-def coarse_index(vectors: DataFrame, k: int = 10, recall: float = 0.95, lists: int | None = None, sample_rows: int = 10_000, seed: int = 7) -> CoarseIndex:
-    """A k-means partition of the vectors by direction, as many lists as the square root of their number if not given.
-
-    It is fitted on at most ``sample_rows`` vectors, by a hash of the id, and has at least 40 of them in a list; the number of
-    lists to read is that which finds ``recall`` of the k nearest within the sample. Every vector that is not null is indexed."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    wide = F.transform("embedding", lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.transform(wide, lambda x: x / F.when(length > 0, length).otherwise(1.0))
-    points = vectors.filter("embedding is not null").select("id", "embedding", array_to_vector(unit).alias("features"))
-    sample = materialise(points.orderBy(F.xxhash64("id"), "id").limit(sample_rows), "sample")
-    own = np.array([r["embedding"] for r in sample.select("embedding").collect()], float)
+def _means(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """At most k centers of the rows by k-means: the first ones drawn far apart, then means of the nearest."""
+    rng, centers = np.random.default_rng(seed), x[:1]
+    far = ((x - centers[0]) ** 2).sum(axis=1)
+    while len(centers) < min(k, len(x)) and far.sum() > 0:
+        centers = np.concatenate([centers, x[rng.choice(len(x), p=far / far.sum())][None]])
+        far = np.minimum(far, ((x - centers[-1]) ** 2).sum(axis=1))
+    for _ in range(rounds):
+        own = np.argmin((centers * centers).sum(axis=1)[None, :] - 2 * x @ centers.T, axis=1)
+        sizes = np.bincount(own, minlength=len(centers))
+        sums = np.zeros_like(centers)
+        np.add.at(sums, own, x)
+        centers = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centers)
+    return centers
+
+
+def _lists_of(x: np.ndarray, cells: np.ndarray, centers: np.ndarray, cell_of: np.ndarray) -> np.ndarray:
+    """The list of each vector: the nearest cell, then the nearest of its lists."""
+    out, own = np.zeros(len(x), np.int64), _by_distance(cells, x)[:, 0]
+    for c in np.unique(own):
+        here, lists = own == c, np.flatnonzero(cell_of == c)
+        out[here] = lists[_by_distance(centers[lists], x[here])[:, 0]]
+    return out
+
+
+def coarse_index(vectors: DataFrame, k: int = 10, recall: float = 0.95, lists: int | None = None, sample_rows: int = 10_000, list_rows: int = 40, seed: int = 7) -> CoarseIndex:
+    """A partition of the vectors by direction on two levels, with about the square root of their number of lists if not given,
+    dealt to cells, of which there are the square root of the lists.
+
+    The cells' centers are fitted on at most ``sample_rows`` vectors, by a hash of the id; those of a cell's lists in one task
+    a cell, on about ``list_rows`` of its vectors for each list, by a hash too. Centers of all lists reach the driver (at a thousand
+    million vectors 32,000). The lists to read are as many as find ``recall`` of the k nearest within the sample. Every vector
+    that is not null is written, by cell, so that a search reads the cells of its lists only, and sorted by list within."""
+    spark = vectors.sparkSession
+    points = vectors.filter("embedding is not null").select("id", "embedding")
+    own = np.array([r["embedding"] for r in points.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("embedding").collect()], float)
     if not len(own):
-        return CoarseIndex(np.zeros((0, 0)), vectors.filter("false").select("id", "embedding", F.lit(0).alias("list")), 0)
-    lists = lists or max(1, min(int(np.sqrt(points.count())), len(own) // 40))
-    if lists == 1:
-        return CoarseIndex(_unit(own).mean(axis=0, keepdims=True), points.select("id", "embedding", F.lit(0).alias("list")), 1)
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(sample)
-    centers = np.array(model.clusterCenters())
-    return CoarseIndex(centers, model.transform(points).select("id", "embedding", F.col("prediction").alias("list")), probes_for(centers, own, k, recall))
+        return CoarseIndex(np.zeros((0, 0)), np.zeros(0, np.int64), points.filter("false").select("id", "embedding", F.lit(0).alias("list"), F.lit(0).alias("cell")), 0)
+    n = points.count()
+    lists = lists or max(1, min(int(np.sqrt(n)), n // list_rows))
+    cells = _means(_unit(own), max(1, int(np.sqrt(lists))), seed)
+    kind, wide = (points.schema[c].dataType.simpleString() for c in ("id", "embedding"))
+
+    def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            cell = _by_distance(cells, x)[:, 0] if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["id", "embedding", "cell"])
+
+    celled = materialise(points.mapInArrow(in_cells, f"id {kind}, embedding {wide}, cell int"), "cells")
+    sizes = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}
+    share = {c: max(1, round(lists * size / n)) for c, size in sizes.items()}
+    part = F.create_map(*(F.lit(v) for c, m in share.items() for v in (c, min(1.0, list_rows * m / sizes[c]))))
+    sample = celled.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (1 << 20) * part[F.col("cell")])
+
+    def split(table: pa.Table) -> pa.Table:
+        cell = table.column("cell")[0].as_py()
+        found = _means(_unit(np.array(table.column("embedding").to_pylist(), float)), share[cell], seed)
+        return pa.table({"cell": pa.array([cell] * len(found), pa.int32()), "center": pa.array(list(found), pa.list_(pa.float64()))})
+
+    made = sorted((r["cell"], tuple(r["center"])) for r in sample.groupBy("cell").applyInArrow(split, "cell int, center array<double>").collect())
+    for c in sizes.keys() - {c for c, _ in made}:  # none of a small cell was drawn
+        made.append((c, tuple(cells[c])))
+    cell_of, centers = np.array([c for c, _ in made], np.int64), np.array([x for _, x in made])
+
+    def in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, cell = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1), batch.column(2).to_numpy()
+            found = np.zeros(batch.num_rows, np.int32)
+            for c in np.unique(cell):
+                mine = np.flatnonzero(cell_of == c)
+                found[cell == c] = mine[_by_distance(centers[mine], x[cell == c])[:, 0]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), batch.column(2)], names=["id", "embedding", "list", "cell"])
+
+    shape = f"id {kind}, embedding {wide}, list int, cell int"
+    path = new_path(spark, "vector-index")
+    dealt = celled.mapInArrow(in_lists, shape).repartition("list").sortWithinPartitions("cell", "list")
+    dealt.write.partitionBy("cell").option("compression", "zstd").parquet(path)
+    release(celled)
+    rows = spark.read.schema(shape).parquet(path).select("id", "embedding", "list", "cell")
+    return CoarseIndex(centers, cell_of, rows, probes_for(centers, own, k, recall, lists=_lists_of(own, cells, centers, cell_of)))
 
 
 def indexed_top_k(index: CoarseIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
@@ -422,7 +482,8 @@ def indexed_top_k(index: CoarseIndex, queries: DataFrame, k: int, probes: int |
             break
         near = _by_distance(index.centers, matrix)[:, : probes or index.probes]
         of_list = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
-        rows = index.rows.filter(F.col("list").isin([*of_list])).select("id", "embedding", "list")
+        wanted = sorted({int(index.cell_of[c]) for c in of_list})  # folders that are not read at all
+        rows = index.rows.filter(F.col("cell").isin(wanted) & F.col("list").isin([*of_list])).select("id", "embedding", "list")
         one = rows.mapInArrow(block(ids, matrix, of_list), "query_id long, id long, score double")
         found = one if found is None else found.unionByName(one)
     if found is None:

@@ -449,6 +449,29 @@ def test_index_recall(spark):
     assert {(r["query_id"], r["id"]) for r in everything} == exact
 
 
+def test_index_of_clustered_vectors_reads_little_of_them(spark):
+    from tessella.operators import retrieval
+
+    r = np.random.default_rng(2)
+    centers = r.normal(size=(60, 24))
+    # a third of all in one cluster
+    of = np.where(r.random(6000) < 0.33, 0, r.integers(0, 60, 6000))
+    data = [(i, x.tolist()) for i, x in enumerate(centers[of] + r.normal(size=(6000, 24)) * 0.35)]
+    rows = spark.createDataFrame(data, "id long, embedding array<float>").repartition(6)
+    asked = rows.filter("id % 100 = 0")
+    index = retrieval.coarse_index(rows)
+    assert index.rows.count() == 6000 and len(set(index.cell_of.tolist())) > 3
+    exact = {(x["query_id"], x["id"]) for x in vector_top_k(rows, asked, 10).collect()}
+    found = {(x["query_id"], x["id"]) for x in retrieval.indexed_top_k(index, asked, 10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    sizes = {x["list"]: x["count"] for x in index.rows.groupBy("list").count().collect()}
+    vectors = np.array([x["embedding"] for x in asked.collect()])
+    read = sum(sizes.get(c, 0) for near in retrieval._by_distance(index.centers, vectors)[:, : index.probes].tolist() for c in near) / (len(vectors) * 6000)
+    assert read < 0.25
+    plan = retrieval.indexed_top_k(index, asked.filter("id = 100"), 10, probes=1)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell", plan)
+
+
 def test_index_of_blocks_and_of_odd_vectors(spark, monkeypatch):
     from tessella.operators import retrieval
 
@@ -458,8 +481,9 @@ def test_index_of_blocks_and_of_odd_vectors(spark, monkeypatch):
     asked = rows.filter("id % 20 = 0 or id = 301")
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
     index = retrieval.coarse_index(rows, k=3)
-    assert len(index.centers) == 7 and 1 <= index.probes <= 7 and index.rows.count() == 301
-    every = retrieval.indexed_top_k(index, asked, 3, probes=7)
+    lists = len(index.centers)
+    assert 4 <= lists <= 12 and 1 <= index.probes <= lists and index.rows.count() == 301
+    every = retrieval.indexed_top_k(index, asked, 3, probes=lists)
     pairs = lambda df: sorted((x["query_id"], x["rank"], x["id"]) for x in df.collect())
     assert pairs(every) == pairs(vector_top_k(rows, asked, 3))
     small = retrieval.coarse_index(rows.limit(10))
