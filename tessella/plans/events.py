@@ -218,6 +218,31 @@ def graph_build(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{out}/mentions").groupBy("entity").agg(F.count("*").alias("mentions"))
 
 
+#: CRC-32 of a token, bit by bit.
+_CRC = """xor(list_reduce(list_transform(range(1, strlen(w) + 1), lambda i: CAST(ascii(w[i]) AS BIGINT)), lambda c, b: list_reduce(CAST(range(8) AS BIGINT[]),
+    lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+_EMBEDDINGS = rf"""
+    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9_]+|[\x{{4e00}}-\x{{9fff}}]')) AS w FROM documents),
+    h AS (SELECT w, {_CRC} % 64 AS slot FROM (SELECT DISTINCT w FROM t)),
+    n AS (SELECT doc_id, slot, count(*) AS n FROM t JOIN h USING (w) GROUP BY ALL),
+    m AS (SELECT doc_id, map_from_entries(list({{'k': slot, 'v': n}})) AS m FROM n GROUP BY doc_id)
+    SELECT doc_id, list_transform(range(64), lambda i: coalesce(m[i], 0)::DOUBLE) AS embedding FROM documents LEFT JOIN m USING (doc_id)"""
+
+
+@query("embed_index", _EMBEDDINGS)
+def embed_index(t: Tables) -> DataFrame:
+    """Half of the documents are indexed, then all: the second call embeds the others only."""
+    from tessella.operators.chunking import hashed_vectors
+
+    M.register("hashed", lambda texts: hashed_vectors(texts).tolist())
+    docs, name = t.documents.select(F.col("doc_id").alias("id"), "text"), "embeddings_" + new_path(t.spark, "t").rsplit("-", 1)[-1]
+    K.index_embeddings(docs.filter("id % 2 = 0"), name, "hashed", 8)
+    K.index_embeddings(docs, name, "hashed", 8)
+    return t.spark.table(name).select(F.col("id").alias("doc_id"), "embedding")
+
+
 _CRON_ZONES = ["UTC", "Etc/GMT-8", "Etc/GMT+5"]
 
 
@@ -271,12 +296,16 @@ def src_json(t: Tables) -> DataFrame:
     return M.applied(found.select(F.col("k").cast("int").alias("n_nationkey"), "value"), "json", "value", "markdown", "string").select("n_nationkey", "markdown")
 
 
-@query("src_xls", "SELECT * FROM (VALUES ('Sheet1', 0, ['id', 'name', '']), ('Sheet1', 1, ['1', 'é', '2.50']), ('Second', 0, ['x'])) AS v(sheet, row, cells)")
+@query(
+    "src_xls",
+    """WITH r AS (SELECT s_nationkey AS book, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n FROM supplier)
+    SELECT book, 'names' AS sheet, n AS row, [CAST(s_suppkey AS VARCHAR), s_name] AS cells FROM r UNION ALL SELECT book, 'keys', n, [CAST(s_suppkey AS VARCHAR)] FROM r""",
+)
 def src_xls(t: Tables) -> DataFrame:
-    """A workbook of two sheets: every cell as text, without a header."""
-    sheets = {"Sheet1": [["id", "name"], ["1", "é", "2.50"]], "Second": [["x"]]}
-    book = t.spark.createDataFrame([("a.xlsx", R.workbook(sheets))], "path string, content binary")
-    return R.sheet_rows(book).select("sheet", "row", "cells")
+    """A workbook of two sheets for each nation's suppliers, read back: every cell as text, without a header."""
+    books = K.workbooks(t.supplier, "s_nationkey", {"names": ["s_suppkey", "s_name"], "keys": ["s_suppkey"]}, "s_suppkey")
+    found = R.sheet_rows(books.select(F.concat(F.col("s_nationkey").cast("string"), F.lit(".xlsx")).alias("path"), "content"))
+    return found.select(F.split_part("path", F.lit("."), F.lit(1)).cast("int").alias("book"), "sheet", "row", "cells")
 
 
 @query("src_jsonl", "SELECT 'item ' || item_id AS query, item_id > 5 AS has_gold_chunks, item_id <> 7 AS has_gold_answer, false AS bad FROM benchmark")
@@ -301,20 +330,7 @@ def snk_upsert_chunks(t: Tables) -> DataFrame:
     return K.merged(old, numbered, "chunk_id", F.col("seq")).select("chunk_id", "value")
 
 
-#: CRC-32 of a token, bit by bit.
-_CRC = """xor(list_reduce(list_transform(range(1, strlen(w) + 1), lambda i: CAST(ascii(w[i]) AS BIGINT)), lambda c, b: list_reduce(CAST(range(8) AS BIGINT[]),
-    lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
-
-
-@query(
-    "embed_batch",
-    rf"""
-    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9_]+|[\x{{4e00}}-\x{{9fff}}]')) AS w FROM documents),
-    h AS (SELECT w, {_CRC} % 64 AS slot FROM (SELECT DISTINCT w FROM t)),
-    n AS (SELECT doc_id, slot, count(*) AS n FROM t JOIN h USING (w) GROUP BY ALL),
-    m AS (SELECT doc_id, map_from_entries(list({{'k': slot, 'v': n}})) AS m FROM n GROUP BY doc_id)
-    SELECT doc_id, list_transform(range(64), lambda i: coalesce(m[i], 0)::DOUBLE) AS embedding FROM documents LEFT JOIN m USING (doc_id)""",
-)
+@query("embed_batch", _EMBEDDINGS)
 def embed_batch(t: Tables) -> DataFrame:
     from tessella.operators.chunking import hashed_vectors
 

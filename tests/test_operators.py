@@ -175,6 +175,31 @@ def test_memoised_asks_only_for_new_texts(spark, tmp_path):
     assert run([]) == []
 
 
+def test_embedding_index_is_bucketed_and_takes_changes_only(spark, tmp_path):
+    from tessella.operators import models
+
+    calls = tmp_path / "calls"
+
+    def model(texts):
+        with open(calls, "a") as f:
+            f.write("".join(f"{t}\n" for t in texts))
+        return [[float(len(t))] for t in texts]
+
+    models.register("lengths", model)
+    frame = lambda rows: spark.createDataFrame(rows, "id string, text string")
+    name = "embedding_index_test"
+    first = [("a", "one"), ("b", "two two"), ("c", None), (None, "lost"), ("b", "two two")]
+    assert K.index_embeddings(frame(first), name, "lengths", 4) == 3
+    assert K.index_embeddings(frame(first), name, "lengths", 4) == 0
+    assert K.index_embeddings(frame([("a", "one"), ("b", "changed"), ("d", "new")]), name, "lengths", 4) == 2
+    assert {r["id"]: r["embedding"] for r in spark.table(name).collect()} == {"a": [3.0], "b": [7.0], "c": [0.0], "d": [3.0]}
+    assert sorted(calls.read_text().splitlines()) == ["", "changed", "new", "one", "two two"]
+    joined = spark.table(name).join(frame([("a", "x")]).hint("merge"), "id")
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 * ("Initial Plan" in plan) or plan.count("Exchange hashpartitioning") == 1  # the other side's alone
+
+
 def test_contexts_grow_from_each_anchor(spark):
     mentions = [(1, "x"), (1, "y"), (2, "x"), (2, "z"), (3, "z"), (3, "w"), (4, "w"), (5, "alone"), (6, "y"), (6, "x")]
     frame = spark.createDataFrame(mentions, "chunk long, entity string")
