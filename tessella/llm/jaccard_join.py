@@ -37,7 +37,7 @@ from pyspark.sql.types import IntegralType
 
 from tessella.llm.components import components
 from tessella.llm.sieve import held, passing, sieve
-from tessella.llm.words import encoded, lists, mix, shingles, sliced
+from tessella.llm.words import encoded, lists, mix, shingles, sliced, trimmed
 from tessella.session import bounded_batches, materialise, release
 
 #: Sets above this size are never light: their subsets are too many whatever the sizes of others.
@@ -343,10 +343,10 @@ def _verified(texts: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, num:
     wanted = materialise(wanted, "wanted")
     sifted = passing(texts, sieve(wanted.select("id"), expected=wanted.count()), "id")
     # always a shuffle: within one stage the two functions would run in two Python workers at once
-    sets = sifted.join(wanted.hint("merge"), "id").select("id", "text", "places").mapInArrow(_whole_sets(k), "g long, i int, j int, a long, s binary")
+    sets = sifted.join(wanted.hint("merge"), "id").select("id", "text", "places").mapInArrow(trimmed(_whole_sets(k)), "g long, i int, j int, a long, s binary")
     both = sets.select("g", "i", "j", "a", F.lit(None).cast("long").alias("b"), "s").unionByName(met.withColumn("s", F.lit(None).cast("binary")))
     dealt = both.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", F.asc_nulls_first("b"))
-    links = materialise(dealt.mapInArrow(_similar(num, den), "a long, b long").distinct(), "links")
+    links = materialise(dealt.mapInArrow(trimmed(_similar(num, den)), "a long, b long").distinct(), "links")
     release(pairs, nodes, met, wanted)
     return links
 
@@ -409,7 +409,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise TypeError(f"ids in {id_col} must be integers")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    survey = materialise(texts.mapInArrow(_survey(k, num, den), _SURVEY), "survey")
+    survey = materialise(texts.mapInArrow(trimmed(_survey(k, num, den)), _SURVEY), "survey")
     rows = survey.filter("not frequent").select("id", "n", "d1", "d2")
 
     linkable = survey.filter("not frequent and n > 0 and id is not null")
@@ -504,7 +504,7 @@ def _list_pairs(texts: DataFrame, survey: DataFrame, rep: DataFrame, early: Data
 
     def prefixes(only: np.ndarray | None) -> DataFrame:
         """(id, n, prefix, component) of the sets, or of those whose ids the table may have."""
-        made = materialise(texts.mapInArrow(_prefixes(k, num, den, above, late_hashes, in_early, only), "id long, n long, prefix array<long>, linked boolean"), "prefixes")
+        made = materialise(texts.mapInArrow(trimmed(_prefixes(k, num, den, above, late_hashes, in_early, only)), "id long, n long, prefix array<long>, linked boolean"), "prefixes")
         looked_up = made.filter("linked").join(linked, F.col("id") == F.col("node"), "left").filter("node is null or is_rep")
         looked_up = materialise(looked_up.select("id", "n", "prefix", F.coalesce("component", "id").alias("component")), "looked_up")
         return made.filter("not linked").select("id", "n", "prefix", F.col("id").alias("component")).unionByName(looked_up)
@@ -524,7 +524,7 @@ def _list_pairs(texts: DataFrame, survey: DataFrame, rep: DataFrame, early: Data
         # the order, and make the prefixes that hold a moved shingle again, whoever's they are: any other prefix is
         # the same in both orders, so that all sets follow one
         touched = sieve(entries, _ids_with(sieve(too_long)))
-        counts = texts.mapInArrow(_low_half(k, touched), "low array<long>").select(F.explode("low").alias("h")).groupBy("h").count()
+        counts = texts.mapInArrow(trimmed(_low_half(k, touched)), "low array<long>").select(F.explode("low").alias("h")).groupBy("h").count()
         moved = materialise(counts.filter(F.col("count") > LONG_LIST).orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h"), "moved")
         late_hashes = np.union1d(late_hashes, _hashes(moved))
         stale = sieve(entries, _ids_with(sieve(moved)))
@@ -533,14 +533,14 @@ def _list_pairs(texts: DataFrame, survey: DataFrame, rep: DataFrame, early: Data
         mixed = mixed_lists(passing(entries, stale, "id", inside=False).unionByName(again))
     of_several = sieve(mixed.select("h"), expected=mixed.count())
     schema = "id long, n long, component long, h long"
-    entered = entries.mapInArrow(_entered(of_several, stale), schema)
+    entered = entries.mapInArrow(trimmed(_entered(of_several, stale)), schema)
     if again is not None:
-        entered = entered.unionByName(again.mapInArrow(_entered(of_several, None), schema))
+        entered = entered.unionByName(again.mapInArrow(trimmed(_entered(of_several, None)), schema))
     keyed = materialise(entered.join(mixed.select("h", "p"), "h"), "keyed")
     full = keyed.select("p", "id").distinct().groupBy("p").count().filter(F.col("count") > EXACT_ABOVE).select("p", F.lit(True).alias("full"))
     flagged = keyed.join(full, "p", "left").withColumn("crowded", F.coalesce("full", F.lit(False)))
     by_set = flagged.groupBy("id", "n", "component").agg(F.collect_list(F.struct("p", "h", "crowded")).alias("entered"))
-    members = materialise(by_set.mapInArrow(_members, "p long, id long, n long, component long, out long, exact boolean, hs array<long>"), "members")
+    members = materialise(by_set.mapInArrow(trimmed(_members), "p long, id long, n long, component long, out long, exact boolean, hs array<long>"), "members")
     crowded = members.groupBy("p").count().filter(F.col("count") > BLOCK).select("p", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(crowded, "p", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -550,7 +550,7 @@ def _list_pairs(texts: DataFrame, survey: DataFrame, rep: DataFrame, early: Data
         .select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "out", "exact", "hs")
     )
     units = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
-    counted = units.mapInArrow(_candidates(num, den), "a long, b long, n_a long, n_b long, shared long, exact long")
+    counted = units.mapInArrow(trimmed(_candidates(num, den)), "a long, b long, n_a long, n_b long, shared long, exact long")
     beyond = F.greatest(*(F.ceil(F.col(c) * num / den) - 1 for c in ("n_a", "n_b")))
     return (
         counted.groupBy("a", "b", "n_a", "n_b")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import SPACED, Words, blocks, encoded, sliced
+from tessella.llm.words import SPACED, Words, blocks, encoded, sliced, trimmed
 from tessella.session import bounded_batches
 
 #: Bounds of the fitting sample, and the model's size.
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = features(encoded(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = rows.mapInArrow(run, "y double, x array<double>").toArrow()  # one row for each id
+    got = rows.mapInArrow(trimmed(run), "y double, x array<double>").toArrow()  # one row for each id
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = got.column("y").to_numpy()
     order = np.lexsort((*x.T, y))  # the fit does not depend on the order in which tasks end
@@ -207,7 +207,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(features(encoded(batch.column(1)))), pa.float64())], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
@@ -219,4 +219,4 @@ def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text"
         for batch in sliced(batches, at):
             yield batch.filter(pa.array(model.scores(features(encoded(batch.column(at)))) >= least, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

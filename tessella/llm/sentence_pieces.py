@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import sliced
+from tessella.llm.words import sliced, trimmed
 from tessella.session import bounded_batches
 
 MARK = "▁"
@@ -317,7 +317,7 @@ def encoded_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decoded_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -331,7 +331,7 @@ def decoded_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(trimmed(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,4 +359,4 @@ def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), schema).withColumnRenamed("id", id_col)

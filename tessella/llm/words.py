@@ -6,7 +6,8 @@ the encoded bytes, and lower-casing A-Z is a table lookup. Hashes are 64 bits wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,27 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int | str, limit: int = 2
             lo = hi
 
 
+def _trim() -> None:
+    """Freed memory goes back to the system, where its allocators can do so."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker, which Spark keeps for later tasks and stages, holds no memory that it has freed."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return wrapped
+
+
 class Words:
     """All words of some texts: ``hashes``, byte ranges ``starts`` to ``ends`` in ``buffer``, and where
     each text's words begin and end (``offsets``: one more than texts)."""
