@@ -105,19 +105,23 @@ def personalised_pagerank(
     alpha = min(0.99, max(0.1, damping))
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
     degree = both.groupBy("src").agg(F.count("*").alias("degree"))
-    ways = materialise(both.join(degree, "src"), "ways")
+    ways = materialise(both.join(degree, "src").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"), "ways")
     start = materialise(nodes.select("id").distinct().join(restart, "id", "left").join(degree.select(F.col("src").alias("id"), "degree"), "id", "left").select("id", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("degree").isNull().alias("dangling")), "nodes")
     alone = start.filter("dangling").agg(F.sum("weight")).first()[0] or 0.0
-    lost = alone
+    lost, written = alone, []
     scores = start.select("id", F.col("weight").alias("score"))
     kept = start.select("id", F.col("weight").alias("before"))
     for i in range(rounds):
-        given = scores.select(F.col("id").alias("src"), "score").join(ways, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
-        score = alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("weight")) + (1 - alpha) * F.col("weight")
-        scores = start.join(given, "id", "left").select("id", score.alias("score"))
+        # one sum of what comes from the restart and from neighbours: it leaves scores dealt by id, as the next round joins them
+        own = start.select("id", ((alpha * lost + 1 - alpha) * F.col("weight")).alias("part"))
+        given = scores.select(F.col("id").alias("src"), "score").join(ways, "src").select(F.col("dst").alias("id"), (alpha * F.col("score") / F.col("degree")).alias("part"))
+        scores = own.unionByName(given).groupBy("id").agg(F.sum("part").alias("score"))
         lost = alone * (alpha * lost + 1 - alpha)
         if (i + 1) % cut_every == 0:
             scores = materialise(scores, "scores")
+            written.append(scores)
+            if len(written) > 2:  # the last two are compared
+                release(written.pop(0))
             if not tolerance:
                 continue
             change = scores.join(kept, "id").agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0

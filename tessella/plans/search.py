@@ -111,7 +111,18 @@ def open_window(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", S.numbered_window(F.col("text"), 2, 3).alias("lines"))
 
 
-@query("find_windows")
+@query(
+    "find_windows",
+    r"""
+    WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    m AS (SELECT doc_id, len(ls) AS n, list_filter(list_transform(ls, lambda x, i: CASE WHEN regexp_matches(x, '(?i)token\s*=|@|licen[cs]e') THEN i - 1 ELSE -1 END), lambda i: i >= 0) AS hits FROM l),
+    f AS (SELECT doc_id, list_reduce(list_transform(hits, lambda i: {'m': i, 'n': n, 'covered': 0, 'f': CAST([] AS STRUCT(a INT, b INT)[])}), lambda s, x:
+      CASE WHEN x.m < s.covered THEN s ELSE {'m': x.m, 'n': x.n, 'covered': least(greatest(x.m - 2, 0) + 5, x.n),
+        'f': list_append(s.f, {'a': greatest(least(greatest(x.m - 2, 0) + 5, x.n) - 5, 0), 'b': least(greatest(x.m - 2, 0) + 5, x.n)})} END,
+      {'m': 0, 'n': 0, 'covered': 0, 'f': CAST([] AS STRUCT(a INT, b INT)[])}).f AS f FROM m WHERE len(hits) > 0),
+    w AS (SELECT doc_id, unnest(f[1:20]) AS w FROM f)
+    SELECT doc_id, CAST(w.a AS INTEGER) AS start, CAST(w.b AS INTEGER) AS "end" FROM w""",
+)
 def find_windows(t: Tables) -> DataFrame:
     """Greedy windows of five lines around lines that match any of the patterns."""
     wanted = lambda x: x.rlike(r"(?i)token\s*=|@|licen[cs]e")
@@ -228,7 +239,10 @@ def consistency(t: Tables) -> DataFrame:
     return idle.unionByName(bare)
 
 
-@query("utf8_truncate")
+@query(
+    "utf8_truncate",
+    "SELECT doc_id, CASE WHEN strlen(text) <= 200 THEN text ELSE concat(left(text, list_max(list_filter(range(0, 201), lambda n: strlen(left(text, n)) <= 200))), '...') END AS text FROM documents",
+)
 def utf8_truncate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", utf8_cut(F.col("text"), 200).alias("text"))
 
