@@ -32,7 +32,7 @@ CACHE = 150_000
 #: Longer words are joined with a queue of edges, as rounds over all symbols would take long.
 LONG = 64
 #: Bytes of text whose new words are indexed together, and characters in one suffix array.
-TOGETHER, INDEXED = 2 << 20, 1 << 21
+TOGETHER, INDEXED = 1 << 20, 1 << 21
 _WORD = re.compile(f"{MARK}*[^{MARK}]*")
 
 
