@@ -146,8 +146,13 @@ def windowed(events: DataFrame, ts: Column, minutes: int = 60) -> DataFrame:
 
 
 def stream_of(spark: SparkSession, path: str, schema, name: str) -> DataFrame:
-    """A Parquet folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(path)
+    """The Parquet table ``name`` below ``path`` as a stream, whether it is one file or a folder of files."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema)
+    if found.getFileStatus(place).isDirectory():
+        return reader.parquet(f"{path}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(path)
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:

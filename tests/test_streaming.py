@@ -111,3 +111,20 @@ def test_stages_killed_between_each_other_end_with_the_same_tables(spark, tmp_pa
         run("broken")
     os.remove(fails)
     assert run("broken") == want and run("broken") == want
+
+
+def test_a_stream_reads_a_table_that_is_a_folder_as_one_that_is_a_file(spark, tmp_path):
+    rows = made_events(40, 4)
+    add_file(spark, str(tmp_path / "events.parquet"), rows[:25])
+    add_file(spark, str(tmp_path / "events.parquet"), rows[25:])
+    add_file(spark, str(tmp_path / "other.parquet"), rows[:3])
+    os.mkdir(tmp_path / "file")
+    part = next(x for x in os.listdir(tmp_path / "events.parquet") if x.endswith(".parquet"))
+    os.link(tmp_path / "events.parquet" / part, tmp_path / "file" / "events.parquet")
+
+    def read(path, name):
+        schema = spark.createDataFrame([], SCHEMA).schema
+        return E.run_once(E.stream_of(spark, path, schema, "events.parquet"), str(tmp_path / name), str(tmp_path / f"{name}-check")).count()
+
+    assert read(str(tmp_path), "all") == 40
+    assert read(str(tmp_path / "file"), "one") in (15, 25)
