@@ -92,6 +92,22 @@ def test_pushed_pagerank_is_near_the_fixed_point_for_all_queries(spark):
     assert G.pushed_pagerank(frame, spark.createDataFrame([], "query_id long, id string, weight double")).count() == 0
 
 
+def test_a_walk_reads_only_what_pushes_and_gives_the_nodes_asked_for_the_same_scores(spark):
+    r = random.Random(6)
+    edges = sorted({(f"c{i}", f"e{r.choice([0, 0, 1, r.randrange(2, 60)])}") for i in range(80) for _ in range(4)})
+    frame = spark.createDataFrame(edges, "src string, dst string")
+    restarts = spark.createDataFrame([(1, "e5", 0.5), (1, "e0", 0.5), (2, "c7", 1.0), (3, "e1", 1.0)], "query_id long, id string, weight double")
+    whole = G.PushWays(frame, 0.02)
+    asked = G.PushWays(frame, 0.02, F.col("id").startswith("c"))
+    scores = [{(x["query_id"], x["id"]): x["score"] for x in G.pushed_pagerank(None, restarts, ways=w).collect() if x["id"][0] == "c"} for w in (whole, asked)]
+    assert scores[0] and scores[0] == pytest.approx(scores[1])
+    degree = {x["id"]: x["degree"] for x in whole.degrees.collect()}
+    assert degree["e0"] > 50 and degree == {n: sum(n in e for e in edges) for n in degree}  # e0 cannot push
+    read = {x["id"] for x in whole.known.collect()}
+    assert "e0" not in read and len(read) == whole.known.count() < len(degree)
+    assert {x["id"] for x in asked.near.collect()} == {x["id"] for x in whole.near.collect()} - {n for n, d in degree.items() if n[0] == "e" and d * 0.02 >= 1.001}
+
+
 def test_keyword_search_skips_blocks_and_loses_nothing(spark, monkeypatch):
     from tessella.operators import retrieval
 
