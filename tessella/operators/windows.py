@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.session import materialise
+
 
 def newest_per_group(df: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each group; the plan cuts groups before the shuffle (WindowGroupLimit)."""
@@ -50,3 +52,24 @@ def tail(df: DataFrame, key: str, n: int) -> DataFrame:
 def within_budget(df: DataFrame, by: list[str], order: list[Column], size: Column, most: int) -> DataFrame:
     """The rows of each group until their sizes exceed the budget: the first that does ends it, none after it is kept."""
     return df.withColumn("_sum", F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") <= most).drop("_sum")
+
+
+def with_ntile(df: DataFrame, tiles: int, order: list[str], out: str, part_rows: int = 250_000) -> DataFrame:
+    """``df`` with the number from 1 of its tile of as equal tiles in ascending ``order`` (nulls first), as ``ntile`` over the whole
+    table gives it, but in ranges of about ``part_rows`` rows: rows are numbered within a range, after those of the ranges before,
+    whose sizes are all that the driver gets."""
+    n = df.count()
+    ranges = max(1, -(-n // part_rows))
+    dealt = materialise(df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dict(dealt.groupBy("_part").count().collect())
+    before, starts = 0, []
+    for part in sorted(sizes):
+        starts.append((part, before))
+        before += sizes[part]
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _before long"))
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    small, larger = divmod(n, tiles)
+    split = larger * (small + 1)  # rows of the tiles that have one more
+    tile = F.when(F.col("_at") < split, F.floor(F.col("_at") / (small + 1))).otherwise(larger + F.floor((F.col("_at") - split) / max(1, small)))
+    numbered = dealt.join(starts, "_part").withColumn("_at", at)
+    return numbered.withColumn(out, (tile + 1).cast("int")).drop("_part", "_before", "_at")

@@ -108,6 +108,43 @@ def test_a_walk_reads_only_what_pushes_and_gives_the_nodes_asked_for_the_same_sc
     assert {x["id"] for x in asked.near.collect()} == {x["id"] for x in whole.near.collect()} - {n for n, d in degree.items() if n[0] == "e" and d * 0.02 >= 1.001}
 
 
+def test_tiles_are_those_of_ntile_without_one_task_for_all(spark):
+    from pyspark.sql.window import Window
+
+    from tessella.operators.windows import with_ntile
+
+    for n in (0, 3, 50, 103):
+        frame = spark.createDataFrame([(None if i % 9 == 4 else float(i * 37 % 11), i) for i in range(n)], "x double, i long")
+        want = frame.withColumn("t", F.ntile(4).over(Window.orderBy("x", "i")))
+        got = with_ntile(frame, 4, ["x", "i"], "t", part_rows=20)
+        assert sorted(got.collect(), key=lambda r: r["i"]) == sorted(want.collect(), key=lambda r: r["i"])
+        assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inserts_of_absent_rows_join_nothing(spark):
+    old = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (None, "n", 3)], "k long, name string, v int")
+    new = spark.createDataFrame([(1, "a", 9), (2, "b", 5), (2, "b", 5), (None, "n", 7), (4, None, None)], "k long, name string, v int")
+    got = G.insert_absent(old, new, ["k", "name"])
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, [*old.collect(), (2, "b", 5), (None, "n", 7), (4, None, None)]))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vector_scores_are_made_in_bounded_parts_with_the_same_rows(monkeypatch):
+    from tessella.operators import retrieval
+
+    r = np.random.default_rng(3)
+    x, own, asked = r.normal(size=(30, 5)), np.arange(30), r.normal(size=(17, 5))
+
+    def best():
+        return sorted(tuple(c.as_py() for c in row) for b in retrieval._best_pairs(own, x, np.arange(17), asked, 4) for row in zip(*b.columns))
+
+    whole, shapes, plain = best(), [], retrieval._cosines
+    monkeypatch.setattr(retrieval, "SCORES", 100)
+    monkeypatch.setattr(retrieval, "_cosines", lambda a, b: shapes.append(len(a) * len(b)) or plain(a, b))
+    assert best() == whole and max(shapes) <= 100
+
+
 def test_keyword_search_skips_blocks_and_loses_nothing(spark, monkeypatch):
     from tessella.operators import retrieval
 
