@@ -12,12 +12,12 @@ from tessella.functions.text import TOKEN, probable_heading, tok_count
 
 _INK = r"[^\s 　]"
 _NO_TOKEN = r"[^A-Za-z0-9_一-鿿]"
-_EDGES = r"^[\s 　]+|[\s 　]+$"
+_WHITE = " \t\n\x0b\f\r\u00a0\u3000"
 
 
 def strip(text: Column) -> Column:
     """Without white space at the ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(_WHITE))
 
 
 def sections(text: Column, delimiter: str) -> Column:
@@ -112,22 +112,37 @@ def separated(text: Column, limit: int, overlap_percent: int, delimiter: str) ->
                 lambda i: strip(F.concat(F.when(i == 0, _before_tokens(part)).otherwise(""), F.array_join(F.slice(units, i * step + 1, F.lit(limit)), ""))),
             )
 
-        return F.when(F.regexp_count(part, F.lit(TOKEN)) <= limit, F.array(part)).otherwise(F.flatten(F.transform(F.array(_units(part)), cut)))
+        # no text has more tokens than characters
+        few = (F.length(part) <= limit) | (F.regexp_count(part, F.lit(TOKEN)) <= limit)
+        return F.when(few, F.array(part)).otherwise(F.flatten(F.transform(F.array(_units(part)), cut)))
 
     return F.flatten(F.transform(F.transform(sections(text, delimiter), strip), slices))
 
 
 def placed(text: Column, chunks: Column) -> Column:
     """(content, start, end) of each chunk: where it stands verbatim, searched forward from the one before; null where it does not."""
-    kind = "array<struct<content:string,start:bigint,end:bigint>>"
-    state = F.struct(F.expr(f"cast(array() as {kind})").alias("found"), F.lit(0).cast("long").alias("here"))
+    # ``rest`` is the text from ``here`` on, so that a search never walks over what is behind it
+    state = F.struct(
+        F.expr("cast(array() as array<bigint>)").alias("starts"), F.lit(0).cast("long").alias("here"), F.coalesce(text, F.lit("")).alias("rest")
+    )
 
     def step(a: Column, c: Column) -> Column:
-        at = F.call_function("locate", c, F.coalesce(text, F.lit("")), a["here"].cast("int") + 1).cast("long") - 1
-        row = F.struct(c.alias("content"), F.when(at >= 0, at).alias("start"), F.when(at >= 0, at + F.length(c)).alias("end"))
-        return F.struct(F.concat(a["found"], F.array(row)).alias("found"), F.greatest(a["here"], at).alias("here"))
+        def moved(at: Column) -> Column:
+            return F.struct(
+                F.concat(a["starts"], F.array(F.when(at > 0, a["here"] + at - 1))).alias("starts"),
+                (a["here"] + F.greatest(at - 1, F.lit(0))).alias("here"),
+                F.when(at > 1, F.call_function("substring", a["rest"], at)).otherwise(a["rest"]).alias("rest"),
+            )
+
+        # the place is bound once, as the one element of an array
+        return F.get(F.transform(F.array(F.call_function("locate", c, a["rest"])), moved), 0)
+
+    def rows(found: Column) -> Column:
+        starts = F.aggregate(found["c"], state, step, lambda a: a["starts"])
+        pairs = F.arrays_zip(found["c"].alias("content"), starts.alias("start"))
+        return F.transform(pairs, lambda x: F.struct(x["content"], x["start"], (x["start"] + F.length(x["content"])).alias("end")))
 
-    return F.aggregate(chunks, state, step, lambda a: a["found"])
+    return F.flatten(F.transform(F.array(F.struct(chunks.alias("c"))), rows))
 
 
 #: Weights of a heading in the vote: by the number of its marks in markdown, else 1; less if a mark of a list stands within the

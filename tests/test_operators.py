@@ -320,6 +320,14 @@ def test_chunkers_keep_all_tokens_and_limits(spark):
     assert C.spans("a b c", ["a", "c", "zz"]) == [(0, 1), (4, 5), (None, None)]
 
 
+def test_separated_parts_are_stripped_at_their_ends_only_and_placed_forward(spark):
+    """A line terminator at the end is no end of text: what stands before it stays, as in SQL."""
+    text = "one \u0085. two. two. \u3000three\u00a0. zwei drei. two"
+    found = chunks_of(spark, text, "separator", C.ChunkParams(limit=8, delimiter="`. `"))
+    assert [r["content"] for r in found] == ["one \u0085", "two", "two", "three", "zwei drei", "two"]
+    assert [(r["start"], r["end"]) for r in found] == C.spans(text, [r["content"] for r in found])
+
+
 def test_native_chunks_are_the_fold_line_by_line(spark):
     """Random texts against the functions of lists; nulls, blanks, texts without tokens and very long ones."""
     from tessella.functions import chunks as N
