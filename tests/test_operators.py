@@ -394,6 +394,20 @@ def test_long_paragraphs_cluster_as_a_whole():
     assert len(set(C.chained_linkage(np.tile(topics[:3], (200, 1)), 3).tolist())) == 3
 
 
+def test_terms_of_long_texts_are_counted_in_slices():
+    """However many texts come in one batch, a task holds the terms of about a megabyte of them."""
+    import pyarrow as pa
+
+    from tessella.operators import retrieval as R
+
+    texts = ["ab Cd 字 " * 40_000, None, "", *["x1 y2 " * 60_000] * 8, "one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    out = list(R._counted(iter([batch])))
+    assert len(out) >= 4 and [i for b in out for i in b.column("id").to_pylist()] == list(range(len(texts)))
+    assert [n for b in out for n in b.column("dl").to_pylist()] == [120_000, 0, 0, *[120_000] * 8, 1]
+    assert out[0].column("terms").to_pylist()[0] == ["ab", "cd", "字"] and out[0].column("tfs").to_pylist()[0] == [40_000] * 3
+
+
 def test_linkage_of_repeated_sentences_and_of_those_without_tokens():
     """Groups of copies fold before any distance of theirs is taken: 12,000 sentences took over 10 s of CPU one by one."""
     import time
