@@ -409,7 +409,7 @@ def test_terms_of_long_texts_are_counted_in_slices():
 
 
 def test_linkage_of_repeated_sentences_and_of_those_without_tokens():
-    """Groups of copies fold before any distance of theirs is taken: 12,000 sentences took over 10 s of CPU one by one."""
+    """Groups of copies fold before any distance of theirs is taken: 12,000 sentences took 5.8 s of CPU one by one."""
     import time
 
     r = np.random.default_rng(4)
@@ -419,7 +419,7 @@ def test_linkage_of_repeated_sentences_and_of_those_without_tokens():
     vectors = kinds[of] * r.integers(1, 4, 12_000)[:, None]
     began = time.process_time()
     label = C.chained_linkage(vectors, 3_000)
-    assert time.process_time() - began < 5
+    assert time.process_time() - began < 3
     assert len(set(label.tolist())) == 3_000
 
     def plain(count, vectors):
